@@ -22,6 +22,8 @@ _MODULES = (
     "protolens.plans.q_metrics",
     "protolens.plans.q_meta",
     "protolens.plans.q_corpus",
+    "protolens.plans.q_text",
+    "protolens.plans.q_relational",
     "protolens.plans.q_sampling",
     "protolens.plans.q_contrast",
     "protolens.plans.q_rollup",

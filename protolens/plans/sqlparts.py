@@ -56,3 +56,31 @@ g_k AS (SELECT {kj}, count(*) AS kk FROM g_mu GROUP BY ALL),
 g_params AS (SELECT {kj}, cls, m0, m1, m0 * p00 + m1 * p01 AS w0, m0 * p01 + m1 * p11 AS w1,
                     ln(1.0 / kk) - 0.5 * ((m0 * p00 + m1 * p01) * m0 + (m0 * p01 + m1 * p11) * m1) AS b
              FROM g_mu JOIN g_prec USING ({kj}) JOIN g_k USING ({kj}))"""
+
+
+def lit(s: str) -> str:
+    """A Python string as a DuckDB string expression (newlines via chr(10))."""
+    parts = ["'" + p.replace("'", "''") + "'" for p in s.split("\n")]
+    return "(" + " || chr(10) || ".join(parts) + ")"
+
+
+def fill_sql(template: str, **slots: str) -> str:
+    """DuckDB concat() of a ``{slot}`` template with SQL expressions bound to the slots."""
+    import re
+
+    out, pos = [], 0
+    for m in re.finditer(r"\{([a-zA-Z_][a-zA-Z0-9_]*)\}", template):
+        if m.start() > pos:
+            out.append(lit(template[pos:m.start()]))
+        out.append(f"({slots[m.group(1)]})")
+        pos = m.end()
+    if pos < len(template):
+        out.append(lit(template[pos:]))
+    return "concat(" + ", ".join(out) + ")"
+
+
+STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def strip(x: str) -> str:
+    return STRIP.format(x=x)
