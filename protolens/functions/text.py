@@ -75,7 +75,7 @@ def render_base_chat(messages) -> Column:
 
 def _last_content(messages, role: str) -> Column:
     picked = F.filter(_c(messages), lambda m: m["role"] == role)
-    return F.coalesce(F.element_at(picked, -1)["content"], F.lit(""))
+    return F.coalesce(F.try_element_at(picked, F.lit(-1))["content"], F.lit(""))
 
 
 def render_classifier_prompt(messages, bos_token: str = "") -> Column:
