@@ -172,13 +172,14 @@ def suffix_expansion(pairs: DataFrame, suffixes: DataFrame, pair_order: str, suf
     """Suffix x pair product, suffix-major.  ``suffixes`` has ``suffix`` or
     (``pos_suffix``, ``neg_suffix``) columns and is a bounded parameter table (broadcast)."""
     cols = set(suffixes.columns)
-    j = pairs.crossJoin(F.broadcast(suffixes))
-    if "pos_suffix" in cols:
-        ps, ns = F.col("pos_suffix"), F.col("neg_suffix")
-    else:
-        ps = ns = F.col("suffix")
-    return j.select(F.col(suffix_order), F.col(pair_order), F.concat(F.col(positive), ps).alias("positive"),
-                    F.concat(F.col(negative), ns).alias("negative"))
+    tup = "pos_suffix" in cols
+    rows = suffixes.collect()  # bounded parameter list, inlined as a literal array
+    arr = F.array(*[F.struct(F.lit(r[suffix_order]).alias(suffix_order),
+                             F.lit(r["pos_suffix"] if tup else r["suffix"]).alias("_ps"),
+                             F.lit(r["neg_suffix"] if tup else r["suffix"]).alias("_ns")) for r in rows])
+    j = pairs.select("*", F.inline(arr))
+    return j.select(F.col(suffix_order), F.col(pair_order), F.concat(F.col(positive), F.col("_ps")).alias("positive"),
+                    F.concat(F.col(negative), F.col("_ns")).alias("negative"))
 
 
 def rename_and_prune(df: DataFrame, renames: dict[str, str], keep: Sequence[str]) -> DataFrame:

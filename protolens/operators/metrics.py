@@ -103,8 +103,11 @@ def prefix_sums(df: DataFrame, keys, order: str, cols: Sequence[str], buckets: i
         w = Window.partitionBy(*keys).orderBy(osort).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(c).over(w).alias(c + suffix) for c in cols])
     qs = [i / buckets for i in range(1, buckets)]
+    if not keys:
+        df = df.withColumn("_pk_all", F.lit(0))
+        keys = ["_pk_all"]
     bounds = df.groupBy(*keys).agg(F.percentile_approx(order, qs, 10000).alias("_bounds"))
-    with_b = attach_params(df, bounds, keys) if keys else df.crossJoin(F.broadcast(bounds))
+    with_b = attach_params(df, bounds, keys)
     if descending:
         bucket = F.size(F.filter("_bounds", lambda b: b >= o))
     else:
@@ -117,10 +120,11 @@ def prefix_sums(df: DataFrame, keys, order: str, cols: Sequence[str], buckets: i
     )
     j = with_b.join(offsets, keys + ["_bucket"])
     w = Window.partitionBy(*keys, "_bucket").orderBy(osort).rowsBetween(Window.unboundedPreceding, 0)
-    return j.select(
+    out = j.select(
         *[F.col(c) for c in df.columns],
         *[(F.sum(c).over(w) + F.col(c + "_off")).alias(c + suffix) for c in cols],
     )
+    return out.drop("_pk_all") if "_pk_all" in out.columns else out
 
 
 def score_table(df: DataFrame, keys, score: str = "score", label: str = "label") -> DataFrame:

@@ -106,10 +106,8 @@ def paired_sample(left: DataFrame, right: DataFrame, key: str, n: int, seed: int
 def seed_size_grid(df: DataFrame, seeds: Sequence[int], sizes: Sequence[int], keys=(), label: str = "label",
                    id_col: str = "example_id") -> DataFrame:
     """SP7: rows of every (seed, size) cell; ranks computed once per seed, cells nested by rank <= size."""
-    spark = df.sparkSession
     keys = _k(keys)
-    seeds_df = spark.createDataFrame([(int(s),) for s in seeds], "seed int")
-    sizes_df = spark.createDataFrame([(int(s),) for s in sizes], "size int")
-    ranked = sample_per_class(df.crossJoin(F.broadcast(seeds_df)), max(sizes), keys + ["seed"], label, id_col,
-                              seed_col="seed", rank_col="rank")
-    return ranked.join(F.broadcast(sizes_df), F.col("rank") <= F.col("size"))
+    seeded = df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
+    ranked = sample_per_class(seeded, max(sizes), keys + ["seed"], label, id_col, seed_col="seed", rank_col="rank")
+    size_arr = F.array(*[F.lit(int(s)) for s in sizes])
+    return ranked.withColumn("size", F.explode(F.filter(size_arr, lambda z: z >= F.col("rank"))))

@@ -200,10 +200,9 @@ def q_few_shot_prefix(spark, sf):
     h = hash_order("item_id", 42)
     ex = b.withColumn("_h", h).orderBy("_h", "item_id").limit(3)  # n exemplars: the feature itself
     ex = ex.withColumn("_o", F.struct("_h", "item_id"))
-    prefix = TX.few_shot_prefix(ex, "text", "text", "_o")
+    prefix = TX.few_shot_prefix(ex, "text", "text", "_o").first()["prefix"]  # n exemplars: bounded
     d = fx.table(spark, sf, "documents")
-    j = d.crossJoin(F.broadcast(prefix))  # one-row parameter table
-    return j.select("doc_id", F.concat("prefix", F.lit("Question: "), py_strip("text")).alias("instruction"))
+    return d.select("doc_id", F.concat(F.lit(prefix), F.lit("Question: "), py_strip("text")).alias("instruction"))
 
 
 # T14 --------------------------------------------------------------------------

@@ -153,18 +153,13 @@ combos AS (SELECT m, dataset, string_agg(dataset, '+' ORDER BY r) OVER (PARTITIO
 
 
 def _combos(spark: SparkSession, v: DataFrame) -> DataFrame:
-    """A14 from the data: every non-empty subset of the distinct datasets, named by '+'."""
-    ds = v.select("dataset").distinct()
-    k = ds.count()  # number of datasets: a parameter, bounds the 2^k - 1 subsets
-    ranked = ds.withColumn("r", (F.row_number().over(Window.orderBy("dataset")) - 1).cast("int"))
-    masks = spark.range(1, 2 ** k).withColumnRenamed("id", "m")
-    cd = masks.crossJoin(F.broadcast(ranked)).where(F.expr("shiftright(m, r) & 1") == 1)
-    names = cd.groupBy("m").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "dataset"))), lambda t: t["dataset"]),
-                     "+").alias("combo"),
-        F.count(F.lit(1)).cast("int").alias("combo_size"),
-    )
-    return cd.join(names, "m").select("m", "dataset", "combo", "combo_size")
+    """A14 from the data: every non-empty subset of the distinct datasets, named by '+'.
+
+    The dataset names are a parameter (a handful), so the 2^k - 1 subsets are
+    enumerated on the driver and used as a small broadcast table.
+    """
+    names = sorted(r[0] for r in v.select("dataset").distinct().collect())
+    return S.dataset_combinations(spark, names)
 
 
 A14_SQL = vec_base(_DS_COMBOS + """
@@ -247,8 +242,7 @@ def q_incremental_categories(spark: SparkSession, sf: str) -> DataFrame:
     """Pooled covariance for category steps 1..9 from per-category partials (one scan)."""
     tr, _ = train_test(spark, sf)
     per_cat = S.class_scatter(tr, ["layer"], "category")  # additive per category
-    steps = spark.range(1, 10).select(F.col("id").cast("int").alias("step"))
-    stepped = per_cat.join(F.broadcast(steps), F.col("category") <= F.col("step"))
+    stepped = S.incremental_steps(per_cat, "category", max_step=9)
     pooled = S.pooled_covariance(stepped.drop("category"), ["step", "layer"])
     return long_matrix(pooled, ["step", "layer"])
 
@@ -402,8 +396,9 @@ def q_layer_dataset_features(spark: SparkSession, sf: str) -> DataFrame:
     fit = S.fit_gda(tr, ["layer", "dataset"], "label")
     params = fit["params"].withColumnRenamed("dataset", "model")
     # every test row against every dataset's model of the same layer
-    per_model = params.select("model").distinct()
-    rows = te.select("example_id", "layer", "vector").crossJoin(F.broadcast(per_model))
+    models = sorted(r[0] for r in params.select("model").distinct().collect())  # a parameter: dataset names
+    rows = te.select("example_id", "layer", "vector").withColumn(
+        "model", F.explode(F.array(*[F.lit(m) for m in models])))
     s = SC.softmax_probs(SC.gda_logits(rows, params, ["layer", "model"], "label"))
     return s.select("example_id", "layer", "model", rnd(SC.positive_score("probs")).alias("score"))
 
@@ -444,11 +439,11 @@ FROM pr GROUP BY seed, layer""", two_dim=True)
 def q_layer_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Single-layer evaluation for every (seed, layer) as one grouped job."""
     tr, te = train_test(spark, sf, two_dim=True)
-    seeds = spark.range(3).select(F.col("id").cast("int").alias("seed"))
-    smp = SP.sample_per_class(tr.crossJoin(F.broadcast(seeds)), n=100, keys=["seed", "layer"], label="label",
+    seeds = F.explode(F.array(*[F.lit(i) for i in range(3)]))
+    smp = SP.sample_per_class(tr.withColumn("seed", seeds), n=100, keys=["seed", "layer"], label="label",
                               id_col="example_id", seed_col="seed")
     fit = S.fit_gda(smp, ["seed", "layer"], "label")
-    rows = te.crossJoin(F.broadcast(seeds))
+    rows = te.withColumn("seed", seeds)
     s = SC.softmax_probs(SC.gda_logits(rows, fit["params"], ["seed", "layer"], "label"))
     s = s.withColumn("pred", (SC.positive_score("probs") > 0.5).cast("int"))
     m = M.counting_metrics(M.confusion_counts(s, ["seed", "layer"], "pred", "label"))

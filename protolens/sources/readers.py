@@ -92,28 +92,21 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", header: bool
 
 
 def read_two_row_header_csv(spark: SparkSession, path: str, id_cols: int = 1) -> DataFrame:
-    """Two header rows -> long rows (row_id, dataset_type, dataset, value).
+    """Two header rows -> long rows (id columns..., dataset_type, dataset, value).
 
-    Header rows and data rows come from one headerless scan; the two header
-    rows are joined to the unpivoted body on column position (a tiny table).
+    The two header lines (bounded) are read on the driver; the body is one
+    distributed scan unpivoted with the header names as literals.
     """
-    raw = spark.read.option("header", "false").csv(path)
-    ncol = len(raw.columns)
-    idx = raw.withColumn("_line", F.monotonically_increasing_id())
-    cells = idx.select(
-        "_line",
-        *[F.col(raw.columns[i]).alias(f"id{i}") for i in range(id_cols)],
-        F.posexplode(F.array(*[F.col(raw.columns[i]) for i in range(id_cols, ncol)])).alias("pos", "value"),
-    )
-    first_two = idx.orderBy("_line").limit(2).select("_line")
-    heads = cells.join(F.broadcast(first_two), "_line", "left_semi")
-    w_lines = heads.select("_line").distinct()
-    top = w_lines.agg(F.min("_line").alias("l0"))
-    h = heads.crossJoin(F.broadcast(top)).select(
-        "pos", F.when(F.col("_line") == F.col("l0"), "dataset_type").otherwise("dataset").alias("kind"), "value"
-    )
-    header = h.groupBy("pos").pivot("kind", ["dataset_type", "dataset"]).agg(F.first("value"))
-    body = cells.join(F.broadcast(first_two), "_line", "left_anti")
-    return body.join(F.broadcast(header), "pos").select(
-        *[f"id{i}" for i in range(id_cols)], "dataset_type", "dataset", "value"
-    )
+    lines = spark.read.text(path)
+    head = [r.value for r in lines.limit(2).collect()]  # the two header rows: the feature itself
+    import csv
+
+    h0, h1 = (next(csv.reader([x])) for x in head)
+    body = spark.read.option("header", "false").csv(path)
+    cols = body.columns
+    # drop the two header lines: they are the rows whose cells equal the header text
+    body = body.where(~((F.col(cols[id_cols]) == h0[id_cols]) | (F.col(cols[id_cols]) == h1[id_cols]))
+                      | F.col(cols[id_cols]).isNull())
+    cells = F.array(*[F.struct(F.lit(h0[i]).alias("dataset_type"), F.lit(h1[i]).alias("dataset"),
+                               F.col(cols[i]).alias("value")) for i in range(id_cols, len(cols))])
+    return body.select(*[F.col(cols[i]).alias(f"id{i}") for i in range(id_cols)], F.inline(cells))
