@@ -41,28 +41,33 @@ def select_layers(df: DataFrame, exclude=(0,), only: int | None = None, pooling:
 def scan_benchmarks(spark: SparkSession, root: str, fmt: str = "parquet") -> DataFrame:
     """S3: every ``{dataset_type}/{dataset}/...`` folder under ``root`` in one read."""
     raw = spark.read.option("recursiveFileLookup", "true").format(fmt).load(root)
-    rel = F.regexp_replace(F.input_file_name(), r"^.*?" + root.rstrip("/").split("/")[-1] + "/", "")
+    rel = F.regexp_replace(F.input_file_name(), r"^.*?/" + root.rstrip("/").split("/")[-1] + "/", "")
     parts = F.split(rel, "/")
-    return raw.select(
-        F.element_at(parts, 1).alias("dataset_type"), F.element_at(parts, 2).alias("dataset"), *raw.columns
-    )
+
+    def part(i):  # plain folder names, or hive-style name=value folders
+        return F.regexp_replace(F.element_at(parts, i), r"^[^=/]*=", "")
+
+    return raw.select(part(1).alias("dataset_type"), part(2).alias("dataset"), *raw.columns)
 
 
 def scan_result_scores(spark: SparkSession, root: str, schema: T.StructType | str | None = None,
-                       levels=("model", "dataset_type", "dataset")) -> DataFrame:
+                       levels=("model", "dataset_type", "dataset"), file_glob: str = "scores.json",
+                       multi_line: bool = True) -> DataFrame:
     """Every ``.../scores.json`` below ``root``; missing files are simply absent.
 
     Path parts below ``root`` become columns named by ``levels`` (last parts
     before the file name).
     """
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "scores.json")
-    reader = reader.option("multiLine", "true")
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file_glob)
+    # a reference scores.json is one pretty-printed object per file; JSON lines are splittable
+    reader = reader.option("multiLine", str(multi_line).lower())
     if schema is not None:
         reader = reader.schema(schema)
     raw = reader.json(root)
     parts = F.split(F.input_file_name(), "/")
     n = len(levels)
-    cols = [F.element_at(parts, -(n + 1) + j).alias(name) for j, name in enumerate(levels)]
+    cols = [F.regexp_replace(F.element_at(parts, -(n + 1) + j), r"^[^=/]*=", "").alias(name)
+            for j, name in enumerate(levels)]
     return raw.select(*cols, *raw.columns)
 
 
@@ -81,9 +86,15 @@ def flatten_keyed_json(df: DataFrame, map_col: str, key_name: str = "key") -> Da
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", header: bool = True,
-                   schema: T.StructType | str | None = None, keep_empty: bool = True) -> DataFrame:
-    """CSV / TSV; with ``keep_empty`` an empty field stays '' instead of NULL."""
+                   schema: T.StructType | str | None = None, keep_empty: bool = True,
+                   multi_line: bool = False) -> DataFrame:
+    """CSV / TSV; with ``keep_empty`` an empty field stays '' instead of NULL.
+
+    ``multi_line`` allows quoted fields with line breaks (such files are read
+    one task per file, so it is off by default).
+    """
     reader = spark.read.option("sep", sep).option("header", str(header).lower())
+    reader = reader.option("multiLine", str(multi_line).lower())
     if keep_empty:
         reader = reader.option("emptyValue", "").option("nullValue", "\u0000")
     if schema is not None:
