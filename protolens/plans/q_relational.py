@@ -193,3 +193,16 @@ SELECT CAST(p.rk AS INTEGER) AS rank, p.example_id AS pos_id, n.example_id AS ne
 FROM r p JOIN r n ON p.rk = n.rk AND p.label = 1 AND n.label = 0""", "doc_vectors"))
 def q_contrastive_zip(spark, sf):
     return C.contrastive_zip(fx.doc_vectors(spark, sf), "example_id", "label")
+
+
+# F9 (rows only: randomised trees) --------------------------------------------------
+@register("outlier_filter")
+def q_outlier_filter(spark, sf):
+    """Per (layer, class) isolation forests on the vector table; rows of every class scored by their own forest."""
+    from protolens.operators import outliers as O
+    from protolens.plans.common import layer_vectors
+
+    v = layer_vectors(spark, sf).select("example_id", "layer", "label", "vector")
+    forests = O.fit_forests(v, ["layer", "label"], n_trees=100, max_samples=256)
+    s = O.outlier_scores(v, forests, ["layer", "label"])
+    return s.select("example_id", "layer", "label", F.round("outlier_score", 6).alias("outlier_score"), "keep")
