@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from protolens.functions import vec as V
-from protolens.operators.params import attach_params
+from protolens.operators.params import attach_params, materialize
 
 DEFAULT_BUCKETS = 16
 
@@ -107,7 +107,7 @@ def prefix_sums(df: DataFrame, keys, order: str, cols: Sequence[str], buckets: i
         df = df.withColumn("_pk_all", F.lit(0))
         keys = ["_pk_all"]
     bounds = df.groupBy(*keys).agg(F.percentile_approx(order, qs, 10000).alias("_bounds"))
-    with_b = attach_params(df, bounds, keys)
+    with_b = attach_params(df, bounds, keys)  # bounds: #groups x buckets values
     if descending:
         bucket = F.size(F.filter("_bounds", lambda b: b >= o))
     else:
@@ -139,10 +139,13 @@ def score_table(df: DataFrame, keys, score: str = "score", label: str = "label")
 
 # ---------------------------------------------------------------- M7, M8
 def roc_auc(df: DataFrame, keys, score: str = "score", label: str = "label",
-            buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """M7: tie-aware ROC AUC (Mann-Whitney, ties count 1/2); NULL with one class."""
+            buckets: int = DEFAULT_BUCKETS, table: DataFrame | None = None) -> DataFrame:
+    """M7: tie-aware ROC AUC (Mann-Whitney, ties count 1/2); NULL with one class.
+
+    ``table``: a materialized ``score_table`` to reuse (else built from ``df``).
+    """
     keys = _k(keys)
-    st = score_table(df, keys, score, label)
+    st = table if table is not None else materialize(score_table(df, keys, score, label))
     c = prefix_sums(st, keys, "score", ["neg"], buckets)
     below = F.col("neg_cum") - F.col("neg")
     agg = c.groupBy(*keys).agg(
@@ -157,10 +160,11 @@ def roc_auc(df: DataFrame, keys, score: str = "score", label: str = "label",
 
 
 def average_precision(df: DataFrame, keys, score: str = "score", label: str = "label",
-                      buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                      buckets: int = DEFAULT_BUCKETS, table: DataFrame | None = None) -> DataFrame:
     """M8: sum over distinct thresholds (descending) of (R_n - R_n-1) P_n; NULL with one class."""
     keys = _k(keys)
-    st = score_table(df, keys, score, label).withColumn("_all", F.col("pos") + F.col("neg"))
+    st = table if table is not None else materialize(score_table(df, keys, score, label))
+    st = st.withColumn("_all", F.col("pos") + F.col("neg"))
     c = prefix_sums(st, keys, "score", ["pos", "_all"], buckets, descending=True)
     agg = c.groupBy(*keys).agg(
         F.sum(F.col("pos") * F.col("pos_cum") / F.col("_all_cum")).alias("_s"),
@@ -177,13 +181,26 @@ def binary_scores(df: DataFrame, keys, score: str = "score", label: str = "label
                   calculate_auc: bool = True, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """M15 building block: every metric of the reference's score record per group."""
     keys = _k(keys)
-    if pred is None:
-        df = df.withColumn("_pred", (F.col(score) > 0.5).cast("int"))
-        pred = "_pred"
-    out = counting_metrics(confusion_counts(df, keys, pred, label)).drop("tn", "fp", "fn", "tp")
-    if calculate_auc:
-        out = out.join(roc_auc(df, keys, score, label, buckets), keys, "left")
-        out = out.join(average_precision(df, keys, score, label, buckets), keys, "left")
+    if pred is not None:
+        out = counting_metrics(confusion_counts(df, keys, pred, label)).drop("tn", "fp", "fn", "tp")
+        if not calculate_auc:
+            return out
+        st = materialize(score_table(df, keys, score, label))
+    else:
+        # every metric from one materialized distinct-score table: the scored rows are computed once
+        st = materialize(score_table(df, keys, score, label))
+        above = F.col("score") > 0.5
+        conf = st.groupBy(*keys).agg(
+            F.sum(F.when(~above, F.col("neg")).otherwise(0)).cast("long").alias("tn"),
+            F.sum(F.when(above, F.col("neg")).otherwise(0)).cast("long").alias("fp"),
+            F.sum(F.when(~above, F.col("pos")).otherwise(0)).cast("long").alias("fn"),
+            F.sum(F.when(above, F.col("pos")).otherwise(0)).cast("long").alias("tp"))
+        conf = conf.withColumn("accuracy", (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")))
+        out = counting_metrics(conf).drop("tn", "fp", "fn", "tp")
+        if not calculate_auc:
+            return out
+    out = out.join(roc_auc(None, keys, buckets=buckets, table=st), keys, "left")
+    out = out.join(average_precision(None, keys, buckets=buckets, table=st), keys, "left")
     return out
 
 

@@ -57,6 +57,15 @@ def estimated_bytes(params: DataFrame) -> int:
     return int(row["b"])
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a (parameter-sized or aggregated) table once and cut its lineage.
+
+    Reliable checkpoint into the shared ``spark.checkpoint.dir``: later uses and
+    task retries read the written table instead of re-running the lineage.
+    """
+    return df.checkpoint(eager=True)
+
+
 def attach_params(
     rows: DataFrame,
     params: DataFrame,
@@ -65,13 +74,20 @@ def attach_params(
     max_broadcast_bytes: int | None = None,
     salt_buckets: int = DEFAULT_SALT_BUCKETS,
     salt_col: str | None = None,
+    materialized: bool = False,
 ) -> DataFrame:
-    """Join ``params`` to ``rows`` on ``on``: broadcast when measured small, salted shuffle otherwise."""
+    """Join ``params`` to ``rows`` on ``on``: broadcast when measured small, salted shuffle otherwise.
+
+    The parameter table is materialized first (unless ``materialized``), so
+    measuring it and joining it run its lineage once.
+    """
     on = list(on)
     spark = rows.sparkSession
     limit = max_broadcast_bytes
     if limit is None:
         limit = int(spark.conf.get("protolens.maxBroadcastBytes", str(DEFAULT_MAX_BROADCAST_BYTES)))
+    if not materialized:
+        params = materialize(params)
     size = estimated_bytes(params)
     if size <= limit:
         return rows.join(F.broadcast(params), on, how)

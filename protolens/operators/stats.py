@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from protolens.functions import vec as V
-from protolens.operators.params import attach_params
+from protolens.operators.params import attach_params, materialize
 
 
 def _keys(keys: Sequence[str] | str | None) -> list[str]:
@@ -117,14 +117,16 @@ def merge_gram(partials: DataFrame, group_cols: Sequence[str]) -> DataFrame:
 
 
 def _rows_to_scatter(merged: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    """Scatter rows G_i - s_i s / n from merged Gram rows; (group..., i, n, row)."""
+    """Scatter rows G_i - s_i s / n from merged Gram rows; (group..., i, n, row).
+
+    The column-sum vector s is gathered with a window over the d rows of one
+    matrix (bounded by d), so no join is needed.
+    """
     group_cols = list(group_cols)
-    svec = merged.groupBy(*group_cols).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda t: t["s"]).alias("svec")
-    )
-    j = attach_params(merged, svec, group_cols)
-    row = F.zip_with("g", "svec", lambda g, sj: g - F.col("s") * sj / F.col("n"))
-    return j.select(*group_cols, "i", "n", row.alias("row"))
+    w = Window.partitionBy(*group_cols)
+    svec = F.transform(F.array_sort(F.collect_list(F.struct("i", "s")).over(w)), lambda t: t["s"])
+    row = F.zip_with("g", "_svec", lambda g, sj: g - F.col("s") * sj / F.col("n"))
+    return merged.withColumn("_svec", svec).select(*group_cols, "i", "n", row.alias("row"))
 
 
 # ---------------------------------------------------------------- A3, A4
@@ -134,12 +136,16 @@ def class_scatter(
     label: str = "label",
     vec: str = "vector",
     means: DataFrame | None = None,
+    means_materialized: bool = False,
 ) -> DataFrame:
     """Per-class scatter sum_{i in k}(x - mu_k)(x - mu_k)^T as rows: (keys..., label, i, n, row)."""
     keys = _keys(keys)
     if means is None:
         means = class_means(df, keys, label, vec)
-    centred = attach_params(df.select(*keys, label, vec), means.select(*keys, label, "mean"), keys + [label])
+    means = means.select(*keys, label, "mean")
+    if not means_materialized:
+        means = materialize(means)  # pass 1 over the rows, computed once
+    centred = attach_params(df.select(*keys, label, vec), means, keys + [label], materialized=True)
     centred = centred.select(*keys, label, V.sub(vec, "mean").alias(vec))
     merged = merge_gram(gram_partials(centred, keys + [label], vec), keys + [label])
     return _rows_to_scatter(merged, keys + [label])
@@ -236,12 +242,13 @@ def fit_gda(
 ) -> dict[str, DataFrame]:
     """Means, pooled (and per-class) covariance, precisions and GDA parameters in one plan."""
     keys = _keys(keys)
-    means = class_means(df, keys, label, vec)
-    scatter = class_scatter(df, keys, label, vec, means)
+    # every stage below is parameter-sized (K x d or d x d per key) and reused, so it is materialized once
+    means = materialize(class_means(df, keys, label, vec))
+    scatter = materialize(class_scatter(df, keys, label, vec, means, means_materialized=True))
     pooled = pooled_covariance(scatter, keys)
     out = {"means": means, "scatter": scatter, "pooled": pooled}
-    out["precision"] = bayes_precision(pooled, keys)
-    out["params"] = gda_params(means, out["precision"], keys, label)
+    out["precision"] = materialize(bayes_precision(pooled, keys))
+    out["params"] = materialize(gda_params(means, out["precision"], keys, label))
     if per_class:
         cc = class_covariance(scatter, keys, label)
         if scale_covariances:

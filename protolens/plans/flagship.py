@@ -28,9 +28,7 @@ RECORD_COLS = ["accuracy", "f1", "true_positive_rate", "true_negative_rate", "ne
 
 
 def fit_layers(train: DataFrame, keys=("layer",), label: str = "label") -> dict:
-    fit = S.fit_gda(train, list(keys), label)
-    fit["params"] = fit["params"].checkpoint()
-    return fit
+    return S.fit_gda(train, list(keys), label)  # parameters come back materialized
 
 
 def layer_probabilities(rows: DataFrame, params: DataFrame, label: str = "label") -> DataFrame:
