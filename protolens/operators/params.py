@@ -63,6 +63,9 @@ def materialize(df: DataFrame) -> DataFrame:
     Reliable checkpoint into the shared ``spark.checkpoint.dir``: later uses and
     task retries read the written table instead of re-running the lineage.
     """
+    from protolens.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)  # the session's spark.checkpoint.dir; a local one only when unset
     return df.checkpoint(eager=True)
 
 

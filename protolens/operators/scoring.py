@@ -7,13 +7,18 @@ arithmetic is built-in higher-order functions, so nothing leaves the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from protolens.functions import vec as V
-from protolens.operators.params import attach_params, pack_params
+from protolens.operators.params import DEFAULT_MAX_BROADCAST_BYTES, attach_params, materialize, pack_params
+
+HOF_MAX_DIM = 256  # above this width the d^2-per-row distances run in numpy on Arrow batches
 
 
 def _k(keys) -> list[str]:
@@ -39,10 +44,108 @@ def argmax_class(df: DataFrame, scores: str = "probs", out: str = "pred") -> Dat
     return df.withColumn(out, V.argmax(scores))
 
 
+def _vector_width(means: DataFrame) -> int:
+    return int(means.select(F.max(F.size("mean"))).first()[0] or 0)
+
+
+def _arrow_mahalanobis(df: DataFrame, params: dict, keys: list[str], vec: str, out: str,
+                       max_bytes: int) -> DataFrame:
+    """Distances per Arrow batch with numpy; parameter chunks are broadcast under ``max_bytes`` each.
+
+    ``params``: {key tuple: (means K x d, precision d x d or K x d x d)}.  When the
+    matrices of all keys exceed the limit, keys are processed in chunks and
+    each chunk scans only its own rows (partition pruning on a layer-partitioned table).
+    """
+    spark = df.sparkSession
+    out_schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
+    chunks, cur, cur_b = [], {}, 0
+    for k, (m, p) in params.items():
+        b = (m.size + p.size) * 8
+        if b > max_bytes:
+            raise ValueError(f"precision matrices of key {k} ({b} bytes) exceed the broadcast limit")
+        if cur and cur_b + b > max_bytes:
+            chunks.append(cur)
+            cur, cur_b = {}, 0
+        cur[k], cur_b = (m, p), cur_b + b
+    if cur:
+        chunks.append(cur)
+
+    def scorer(bc):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            prm = bc.value
+            for pdf in batches:
+                res = [None] * len(pdf)
+                for key, part in pdf.groupby(keys, sort=False, dropna=False):
+                    key = key if isinstance(key, tuple) else (key,)
+                    if key not in prm:
+                        continue
+                    m, p = prm[key]
+                    x = np.stack(part[vec].to_numpy()).astype(np.float64)
+                    dist = np.empty((x.shape[0], m.shape[0]))
+                    for c in range(m.shape[0]):
+                        z = x - m[c]
+                        pc = p[c] if p.ndim == 3 else p
+                        dist[:, c] = np.einsum("ij,ij->i", z @ pc, z)
+                    for pos, row in zip(pdf.index.get_indexer(part.index), dist):
+                        res[pos] = row.tolist()
+                yield pdf.assign(**{out: res})
+        return run
+
+    parts = []
+    for ch in chunks:
+        bc = spark.sparkContext.broadcast(ch)
+        cond = None
+        for k in ch:
+            c = None
+            for name, val in zip(keys, k):
+                e = F.col(name) == F.lit(val)
+                c = e if c is None else c & e
+            cond = c if cond is None else cond | c
+        parts.append(df.where(cond).mapInPandas(scorer(bc), out_schema))
+    res = parts[0]
+    for p_ in parts[1:]:
+        res = res.unionByName(p_)
+    return res
+
+
+def _collect_params(means: DataFrame, matrices: DataFrame, keys: list[str], label: str, per_class: bool) -> dict:
+    """Parameter-sized tables to numpy on the driver: {key: (K x d means, d x d or K x d x d)}."""
+    mu = {}
+    for r in means.select(*keys, label, "mean").collect():
+        mu.setdefault(tuple(r[k] for k in keys), []).append((r[label], r["mean"]))
+    mats = {}
+    cols = keys + ([label] if per_class else [])
+    for r in matrices.select(*cols, "i", "row").collect():
+        mats.setdefault(tuple(r[c] for c in cols), []).append((r["i"], r["row"]))
+    out = {}
+    for k, lst in mu.items():
+        lst.sort()
+        m = np.array([v for _, v in lst], dtype=np.float64)
+
+        def mat(key):
+            rows = sorted(mats[key])
+            return np.array([v for _, v in rows], dtype=np.float64)
+
+        p = np.stack([mat(k + (lab,)) for lab, _ in lst]) if per_class else mat(k)
+        out[k] = (m, p)
+    return out
+
+
 def mahalanobis_sq(df: DataFrame, means: DataFrame, precision: DataFrame, keys=("layer",), label: str = "label",
-                   vec: str = "vector", out: str = "maha") -> DataFrame:
-    """Squared Mahalanobis distance to every prototype with one shared precision per key."""
+                   vec: str = "vector", out: str = "maha", engine: str = "auto",
+                   max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """Squared Mahalanobis distance to every prototype with one shared precision per key.
+
+    ``engine``: 'hof' (JVM higher-order functions), 'arrow' (numpy per batch)
+    or 'auto' (by vector width).
+    """
     keys = _k(keys)
+    if engine == "auto":
+        means = materialize(means)
+        engine = "hof" if _vector_width(means) <= HOF_MAX_DIM else "arrow"
+    if engine == "arrow":
+        prm = _collect_params(means, precision, keys, label, per_class=False)
+        return _arrow_mahalanobis(df, prm, keys, vec, out, max_broadcast_bytes)
     mpack = pack_params(means, keys, label, ["mean"], "_mu")
     ppack = precision.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda t: t["row"]).alias("_p")
@@ -55,9 +158,16 @@ def mahalanobis_sq(df: DataFrame, means: DataFrame, precision: DataFrame, keys=(
 
 
 def mahalanobis_class_sq(df: DataFrame, means: DataFrame, class_precision: DataFrame, keys=("layer",),
-                         label: str = "label", vec: str = "vector", out: str = "maha") -> DataFrame:
-    """Squared distance with each prototype's own precision matrix."""
+                         label: str = "label", vec: str = "vector", out: str = "maha", engine: str = "auto",
+                         max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """Squared distance with each prototype's own precision matrix (engines as in G4)."""
     keys = _k(keys)
+    if engine == "auto":
+        means = materialize(means)
+        engine = "hof" if _vector_width(means) <= HOF_MAX_DIM else "arrow"
+    if engine == "arrow":
+        prm = _collect_params(means, class_precision, keys, label, per_class=True)
+        return _arrow_mahalanobis(df, prm, keys, vec, out, max_broadcast_bytes)
     pm = class_precision.groupBy(*keys, label).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda t: t["row"]).alias("p")
     )

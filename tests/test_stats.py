@@ -99,3 +99,19 @@ def test_salted_param_join_equals_broadcast(spark, data):
         spark.conf.unset("protolens.maxBroadcastBytes")
     key = lambda r: (r.example_id, r.layer)
     assert sorted(a, key=key) == sorted(b, key=key)
+
+
+@pytest.mark.parametrize("per_class", [False, True])
+def test_mahalanobis_engines_agree(spark, data, per_class):
+    """JVM higher-order functions and the Arrow/numpy engine (also when chunked) give the same distances."""
+    tr, te, _, _ = data
+    fit = S.fit_gda(tr, ["layer"], "label", per_class=per_class)
+    fn = SC.mahalanobis_class_sq if per_class else SC.mahalanobis_sq
+    mats = fit["class_precision"] if per_class else fit["precision"]
+    a = {(r.example_id, r.layer): r.maha for r in fn(te, fit["means"], mats, ["layer"], engine="hof").collect()}
+    b = {(r.example_id, r.layer): r.maha for r in fn(te, fit["means"], mats, ["layer"], engine="arrow").collect()}
+    c = {(r.example_id, r.layer): r.maha for r in
+         fn(te, fit["means"], mats, ["layer"], engine="arrow", max_broadcast_bytes=6000).collect()}
+    assert a.keys() == b.keys() == c.keys() and len(a) > 0
+    for k in a:
+        assert np.allclose(a[k], b[k], atol=1e-9) and np.allclose(a[k], c[k], atol=1e-9)
