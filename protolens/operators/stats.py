@@ -67,9 +67,16 @@ def class_counts(df: DataFrame, keys=("layer",), label: str = "label") -> DataFr
 
 
 # ---------------------------------------------------------------- partial Grams
-def gram_partials(df: DataFrame, group_cols: Sequence[str], vec: str = "vector") -> DataFrame:
+GRAM_STATE_BUDGET_BYTES = 512 * 1024 * 1024
+
+
+def gram_partials(df: DataFrame, group_cols: Sequence[str], vec: str = "vector",
+                  state_budget_bytes: int = GRAM_STATE_BUDGET_BYTES) -> DataFrame:
     """Per input partition and group: n, column sums s_i and Gram rows g_i (numpy BLAS).
 
+    A task keeps one d x d accumulator per group it has seen; when they exceed
+    ``state_budget_bytes`` the oldest accumulators are emitted early (partials
+    are additive, so this only adds rows to the shuffle, never changes results).
     Output: (group_cols..., i INT, n BIGINT, s DOUBLE, g ARRAY<DOUBLE>).
     """
     group_cols = list(group_cols)
@@ -83,8 +90,15 @@ def gram_partials(df: DataFrame, group_cols: Sequence[str], vec: str = "vector")
         ]
     )
 
+    def emit(key, n, s, g) -> pd.DataFrame:
+        d = s.shape[0]
+        rows = {c: [key[j]] * d for j, c in enumerate(group_cols)}
+        rows.update(i=np.arange(d, dtype=np.int32), n=np.full(d, n, dtype=np.int64), s=s, g=list(g))
+        return pd.DataFrame(rows)
+
     def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc: dict[tuple, list] = {}
+        acc: dict[tuple, list] = {}  # insertion-ordered: oldest first
+        held = 0
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -94,15 +108,18 @@ def gram_partials(df: DataFrame, group_cols: Sequence[str], vec: str = "vector")
                 st = acc.get(key)
                 if st is None:
                     acc[key] = [x.shape[0], x.sum(axis=0), x.T @ x]
+                    held += acc[key][2].nbytes
                 else:
                     st[0] += x.shape[0]
                     st[1] += x.sum(axis=0)
                     st[2] += x.T @ x
+            while held > state_budget_bytes and len(acc) > 1:
+                old = next(iter(acc))
+                n, s, g = acc.pop(old)
+                held -= g.nbytes
+                yield emit(old, n, s, g)
         for key, (n, s, g) in acc.items():
-            d = s.shape[0]
-            rows = {c: [key[j]] * d for j, c in enumerate(group_cols)}
-            rows.update(i=np.arange(d, dtype=np.int32), n=np.full(d, n, dtype=np.int64), s=s, g=list(g))
-            yield pd.DataFrame(rows)
+            yield emit(key, n, s, g)
 
     return df.select(*group_cols, vec).mapInPandas(per_partition, out_schema)
 

@@ -70,11 +70,11 @@ def q_negated_safety_label(spark, sf):
 # P5 ---------------------------------------------------------------------------
 @register("constant_label", """
 SELECT item_id AS id, 'general' AS dataset, 0.0 AS labels FROM benchmark
-UNION ALL SELECT doc_id AS id, 'all_harmful' AS dataset, 1.0 AS labels FROM documents WHERE source = 'src0'""")
+UNION ALL SELECT doc_id AS id, 'all_harmful' AS dataset, 1.0 AS labels FROM documents""")
 def q_constant_label(spark, sf):
     b = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lit("general").alias("dataset"),
                                                  L.constant_label(0.0).alias("labels"))
-    d = fx.table(spark, sf, "documents").where(F.col("source") == "src0").select(
+    d = fx.table(spark, sf, "documents").select(
         F.col("doc_id").alias("id"), F.lit("all_harmful").alias("dataset"), L.constant_label(1.0).alias("labels"))
     return b.unionByName(d)
 

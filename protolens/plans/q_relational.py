@@ -159,12 +159,15 @@ def q_key_set_check(spark, sf):
 
 # J6 ---------------------------------------------------------------------------
 @register("join_task_prompt", f"""
-WITH pr AS (SELECT concat('src', CAST(item_id AS VARCHAR)) AS task_name, text AS cot_prompt FROM benchmark WHERE item_id < 20)
+WITH pr AS (SELECT concat('src', CAST(item_id % 20 AS VARCHAR)) AS task_name, arg_max(text, item_id) AS cot_prompt
+            FROM benchmark GROUP BY 1)
 SELECT d.source AS task_name, d.doc_id, concat({strip('pr.cot_prompt')}, chr(10), chr(10), 'Q: ', d.text) AS instruction
 FROM documents d JOIN pr ON d.source = pr.task_name""")
 def q_join_task_prompt(spark, sf):
-    pr = fx.table(spark, sf, "benchmark").where(F.col("item_id") < 20).select(
-        F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("task_name"), F.col("text").alias("cot_prompt"))
+    # one prompt per task: the benchmark items are spread over the 20 task names, the last item wins
+    pr = fx.table(spark, sf, "benchmark").groupBy(
+        F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("task_name")) \
+        .agg(F.max_by("text", "item_id").alias("cot_prompt"))
     inputs = fx.table(spark, sf, "documents").select(F.col("source").alias("task_name"), "doc_id", "text")
     j = C.join_task_prompt(inputs, pr, "task_name", "text", "cot_prompt")
     return j.select("task_name", "doc_id", "instruction")
