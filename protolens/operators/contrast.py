@@ -260,7 +260,7 @@ def condition_predictions(sims: DataFrame, best: DataFrame, id_col: str = "examp
                           sim: str = "similarity") -> DataFrame:
     """C11: the best rule applied to every row (C9 meaning of the direction, Q8)."""
     b = best.select(F.explode("layers").alias("layer"), F.col("t").alias("_t"), F.col("direction").alias("_d"))
-    j = sims.join(F.broadcast(b), "layer")
+    j = sims.join(F.broadcast(b), "layer")  # the single best cell (top-1): at most L rows
     flag = F.when(F.col("_d") == "smaller", F.col(sim) > F.col("_t")).otherwise(F.col(sim) <= F.col("_t"))
     return j.groupBy(id_col).agg(F.bool_or(flag).cast("int").alias("pred"))
 
@@ -332,7 +332,7 @@ def add_behavior(rows: DataFrame, behavior: DataFrame, condition: DataFrame | No
     keys = list(keys)
     comb = combine or (lambda h, v: V.add(h, v))
     b = behavior.select(*keys, F.col("direction").alias("_b"))
-    j = rows.join(F.broadcast(b), keys, "left")
+    j = attach_params(rows, b, keys, "left")
     if condition is not None:
         j = j.join(condition.select(id_col, "condition_met"), id_col, "left")
         on = F.coalesce(F.col("condition_met"), F.lit(False))

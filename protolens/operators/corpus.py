@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from protolens.functions.labels import py_strip
+from protolens.operators.params import attach_params
 from protolens.operators.sampling import hash_order, rank_cut
 
 
@@ -94,7 +95,7 @@ def key_set_check(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def join_task_prompt(inputs: DataFrame, prompts: DataFrame, task: str, inp: str, prompt: str) -> DataFrame:
     """Every task input with its task's prompt (prompts: one per task, a bounded table)."""
-    j = inputs.join(F.broadcast(prompts), task)
+    j = attach_params(inputs, prompts, [task])
     return j.withColumn("instruction", F.concat(py_strip(prompt), F.lit("\n\nQ: "), F.col(inp)))
 
 
@@ -113,8 +114,7 @@ def display_name_map(df: DataFrame, mapping: Mapping[str, tuple[str, int]], col:
 def contrastive_zip(df: DataFrame, id_col: str, label: str = "label", seed: int = 42) -> DataFrame:
     """I-th positive with i-th negative in seeded hash order (rank by bucketed windows, join on rank)."""
     h = df.withColumn("_h", hash_order(id_col, seed))
-    n = h.count()  # upper bound of any class size; only used as the rank limit
-    ranked = rank_cut(h, [label], "_h", id_col, max(n, 1), "rank")
+    ranked = rank_cut(h, [label], "_h", id_col, 2 ** 31 - 1, "rank")  # every row ranked, no cut
     pos = ranked.where(F.col(label) == 1).select("rank", F.col(id_col).alias("pos_id"))
     neg = ranked.where(F.col(label) == 0).select("rank", F.col(id_col).alias("neg_id"))
     return pos.join(neg, "rank")

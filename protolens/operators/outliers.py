@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from protolens.operators.params import DEFAULT_MAX_BROADCAST_BYTES
+from protolens.operators.params import DEFAULT_MAX_BROADCAST_BYTES, attach_params
 from protolens.operators.sampling import rank_cut
 
 EULER = 0.5772156649015329
@@ -86,7 +86,7 @@ def fit_forests(df: DataFrame, keys: Sequence[str], id_col: str = "example_id",
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     # acceptance rate with a wide margin; the exact cut below takes the first psi rows per tree
     rate = F.least(F.lit(1.0), (F.lit(float(max_samples)) * 1.5 + 64) / F.col("_n"))
-    j = df.join(F.broadcast(counts), keys)
+    j = attach_params(df, counts, keys)
     u = lambda t: (F.pmod(F.xxhash64(F.col(id_col), t, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30))
     trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: u(t) < F.col("_rate"))
     cand = j.withColumn("_rate", rate).select(*keys, id_col, vec, "_n", F.explode(trees).alias("tree"))

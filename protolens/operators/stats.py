@@ -316,7 +316,7 @@ def dataset_combinations(spark, datasets: Sequence[str], fixed: Sequence[Sequenc
 def stack_prototypes(means: DataFrame, combos: DataFrame, keys=("layer",), label: str = "label") -> DataFrame:
     """Prototypes of the chosen datasets stacked; proto_id re-ranked, class = proto_id mod 2."""
     keys = _keys(keys)
-    j = means.join(F.broadcast(combos.select("combo", "dataset")), "dataset")
+    j = means.join(F.broadcast(combos.select("combo", "dataset")), "dataset")  # driver-built combination list
     w = Window.partitionBy("combo", *keys).orderBy("dataset", label)
     return j.select(
         "combo", *keys, "dataset", label, "n", "mean", (F.row_number().over(w) - 1).cast("int").alias("proto_id")

@@ -10,6 +10,7 @@ from protolens.operators import metrics as M
 from protolens.operators import sampling as SP
 from protolens.operators import scoring as SC
 from protolens.operators import stats as S
+from protolens.operators.params import attach_params
 from protolens.plans.catalog import register
 from protolens.plans.common import layer_vectors, long_array, long_matrix, rnd, train_test
 from protolens.plans.sqlparts import gda2_ctes, nmc_ctes, vec_base
@@ -187,7 +188,7 @@ def q_merge_covariances(spark: SparkSession, sf: str) -> DataFrame:
     tr, _ = train_test(spark, sf)
     combos = _combos(spark, layer_vectors(spark, sf))
     per_ds = S.pooled_covariance(S.class_scatter(tr, ["layer", "dataset"], "label"), ["layer", "dataset"])
-    expanded = per_ds.join(F.broadcast(combos.select("dataset", "combo")), "dataset")
+    expanded = per_ds.join(F.broadcast(combos.select("dataset", "combo")), "dataset")  # 2^k-1 combos, built on the driver
     merged = S.merge_covariances(expanded, ["combo", "layer"], over="dataset")
     return long_matrix(merged, ["combo", "layer"])
 
@@ -462,7 +463,7 @@ def q_score_cross_join(spark: SparkSession, sf: str) -> DataFrame:
     """Every test vector against every prototype of its own layer (equi join on layer, broadcast)."""
     tr, te = train_test(spark, sf)
     protos = S.class_means(tr, ["layer"], "label").select("layer", F.col("label").alias("proto"), "mean")
-    j = te.join(F.broadcast(protos), "layer")
+    j = attach_params(te, protos, ["layer"])
     return j.select("example_id", "layer", F.col("proto").cast("int").alias("proto"),
                     rnd(V.sq_dist("vector", "mean")).alias("value"))
 
