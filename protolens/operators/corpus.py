@@ -82,7 +82,8 @@ def instruction_join(df: DataFrame, instructions: DataFrame, key: str, ikey: str
     rk = F.replace(F.col(ikey), F.lit(rewrite[0]), F.lit(rewrite[1]))
     last = instructions.withColumn("_k", rk).groupBy("_k").agg(F.max_by(F.struct(*instructions.columns),
                                                                           F.col(order)).alias("_ins"))
-    return df.join(last, F.col(key) == F.col("_k")).select(*df.columns, "_ins.*").drop(ikey, order)
+    j = attach_params(df.withColumn("_k", F.col(key)), last, ["_k"])  # one row per key, measured
+    return j.select(*df.columns, "_ins.*").drop(ikey, order)
 
 
 def key_set_check(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

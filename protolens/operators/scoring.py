@@ -11,6 +11,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,20 +51,24 @@ def _vector_width(means: DataFrame) -> int:
 
 
 def _arrow_mahalanobis(df: DataFrame, params: dict, keys: list[str], vec: str, out: str,
-                       max_bytes: int) -> DataFrame:
-    """Distances per Arrow batch with numpy; parameter chunks are broadcast under ``max_bytes`` each.
-
-    ``params``: {key tuple: (means K x d, precision d x d or K x d x d)}.  When the
-    matrices of all keys exceed the limit, keys are processed in chunks and
-    each chunk scans only its own rows (partition pruning on a layer-partitioned table).
+                       max_bytes: int, id_col: str | None = None) -> DataFrame:
+    """Distances per Arrow batch with numpy; parameters are broadcast in pieces of at most ``max_bytes``.
+
+    ``params``: {key tuple: (means K x d, precision d x d or K x d x d)}.  Keys
+    are grouped into chunks under the limit, and each chunk scans only its own
+    rows (partition pruning on a layer-partitioned table).  A key whose
+    matrices alone exceed the limit is split into blocks of precision rows:
+    each block adds z[rows]^T (P[rows, :] z) per row, and the block partials are
+    summed by (``id_col``, keys).
     """
     spark = df.sparkSession
     out_schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
-    chunks, cur, cur_b = [], {}, 0
+    chunks, cur, cur_b, blocked = [], {}, 0, {}
     for k, (m, p) in params.items():
         b = (m.size + p.size) * 8
         if b > max_bytes:
-            raise ValueError(f"precision matrices of key {k} ({b} bytes) exceed the broadcast limit")
+            blocked[k] = (m, p)
+            continue
         if cur and cur_b + b > max_bytes:
             chunks.append(cur)
             cur, cur_b = {}, 0
@@ -70,7 +76,17 @@ def _arrow_mahalanobis(df: DataFrame, params: dict, keys: list[str], vec: str, o
     if cur:
         chunks.append(cur)
 
-    def scorer(bc):
+    def key_filter(ks):
+        cond = None
+        for k in ks:
+            c = None
+            for name, val in zip(keys, k):
+                e = F.col(name) == F.lit(val)
+                c = e if c is None else c & e
+            cond = c if cond is None else cond | c
+        return cond
+
+    def scorer(bc, rows_sel=None):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             prm = bc.value
             for pdf in batches:
@@ -79,13 +95,16 @@ def _arrow_mahalanobis(df: DataFrame, params: dict, keys: list[str], vec: str, o
                     key = key if isinstance(key, tuple) else (key,)
                     if key not in prm:
                         continue
-                    m, p = prm[key]
+                    m, p, rb = prm[key] if rows_sel else (*prm[key], None)
                     x = np.stack(part[vec].to_numpy()).astype(np.float64)
                     dist = np.empty((x.shape[0], m.shape[0]))
                     for c in range(m.shape[0]):
                         z = x - m[c]
                         pc = p[c] if p.ndim == 3 else p
-                        dist[:, c] = np.einsum("ij,ij->i", z @ pc, z)
+                        if rb is None:
+                            dist[:, c] = np.einsum("ij,ij->i", z @ pc, z)
+                        else:  # pc holds only the precision rows rb (r x d)
+                            dist[:, c] = np.einsum("ij,ij->i", z @ pc.T, z[:, rb])
                     for pos, row in zip(pdf.index.get_indexer(part.index), dist):
                         res[pos] = row.tolist()
                 yield pdf.assign(**{out: res})
@@ -94,14 +113,28 @@ def _arrow_mahalanobis(df: DataFrame, params: dict, keys: list[str], vec: str, o
     parts = []
     for ch in chunks:
         bc = spark.sparkContext.broadcast(ch)
-        cond = None
-        for k in ch:
-            c = None
-            for name, val in zip(keys, k):
-                e = F.col(name) == F.lit(val)
-                c = e if c is None else c & e
-            cond = c if cond is None else cond | c
-        parts.append(df.where(cond).mapInPandas(scorer(bc), out_schema))
+        parts.append(df.where(key_filter(ch)).mapInPandas(scorer(bc), out_schema))
+    for k, (m, p) in blocked.items():
+        if id_col is None:
+            raise ValueError(f"precision matrices of key {k} exceed the broadcast limit; pass id_col for blocked scoring")
+        d = m.shape[1]
+        per_row = (p.shape[0] if p.ndim == 3 else 1) * d * 8
+        rows_per_block = max(1, (max_bytes - m.size * 8) // per_row)
+        base = df.where(key_filter([k]))
+        partials = []
+        for start in range(0, d, rows_per_block):
+            rb = np.arange(start, min(d, start + rows_per_block))
+            pb = p[:, rb, :] if p.ndim == 3 else p[rb, :]
+            bc = spark.sparkContext.broadcast({k: (m, pb, rb)})
+            partials.append(base.select(id_col, *keys, vec).mapInPandas(
+                scorer(bc, rows_sel=True), T.StructType(base.select(id_col, *keys, vec).schema.fields
+                                                        + [T.StructField(out, T.ArrayType(T.DoubleType()))])))
+        u = partials[0]
+        for q in partials[1:]:
+            u = u.unionByName(q)
+        summed = u.groupBy(id_col, *keys).agg(
+            vector_to_array(Summarizer.sum(array_to_vector(F.col(out)))).alias(out))
+        parts.append(base.join(summed, [id_col, *keys]))
     res = parts[0]
     for p_ in parts[1:]:
         res = res.unionByName(p_)
@@ -133,7 +166,7 @@ def _collect_params(means: DataFrame, matrices: DataFrame, keys: list[str], labe
 
 def mahalanobis_sq(df: DataFrame, means: DataFrame, precision: DataFrame, keys=("layer",), label: str = "label",
                    vec: str = "vector", out: str = "maha", engine: str = "auto",
-                   max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+                   max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES, id_col: str = "example_id") -> DataFrame:
     """Squared Mahalanobis distance to every prototype with one shared precision per key.
 
     ``engine``: 'hof' (JVM higher-order functions), 'arrow' (numpy per batch)
@@ -145,7 +178,7 @@ def mahalanobis_sq(df: DataFrame, means: DataFrame, precision: DataFrame, keys=(
         engine = "hof" if _vector_width(means) <= HOF_MAX_DIM else "arrow"
     if engine == "arrow":
         prm = _collect_params(means, precision, keys, label, per_class=False)
-        return _arrow_mahalanobis(df, prm, keys, vec, out, max_broadcast_bytes)
+        return _arrow_mahalanobis(df, prm, keys, vec, out, max_broadcast_bytes, id_col)
     mpack = pack_params(means, keys, label, ["mean"], "_mu")
     ppack = precision.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda t: t["row"]).alias("_p")
@@ -159,7 +192,8 @@ def mahalanobis_sq(df: DataFrame, means: DataFrame, precision: DataFrame, keys=(
 
 def mahalanobis_class_sq(df: DataFrame, means: DataFrame, class_precision: DataFrame, keys=("layer",),
                          label: str = "label", vec: str = "vector", out: str = "maha", engine: str = "auto",
-                         max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+                         max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+                         id_col: str = "example_id") -> DataFrame:
     """Squared distance with each prototype's own precision matrix (engines as in G4)."""
     keys = _k(keys)
     if engine == "auto":
@@ -167,7 +201,7 @@ def mahalanobis_class_sq(df: DataFrame, means: DataFrame, class_precision: DataF
         engine = "hof" if _vector_width(means) <= HOF_MAX_DIM else "arrow"
     if engine == "arrow":
         prm = _collect_params(means, class_precision, keys, label, per_class=True)
-        return _arrow_mahalanobis(df, prm, keys, vec, out, max_broadcast_bytes)
+        return _arrow_mahalanobis(df, prm, keys, vec, out, max_broadcast_bytes, id_col)
     pm = class_precision.groupBy(*keys, label).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda t: t["row"]).alias("p")
     )
