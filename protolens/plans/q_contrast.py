@@ -162,10 +162,19 @@ def q_explained_variance_scaling(spark, sf):
     return long_array(CT.explained_variance_scaling(d), ["layer"], "direction")
 
 
-# C7 (rows only) ----------------------------------------------------------------
-@register("two_component_projection")
+# C7 (2-dim closed form: the second axis is the perpendicular of the first) ------
+@register("two_component_projection", _sql(_PCA2 + """,
+e AS (SELECT layer, -d1 AS e0, d0 AS e1, d0, d1, evr FROM dirs),
+ef AS (SELECT layer, d0, d1, evr,
+              CASE WHEN (CASE WHEN abs(e0) >= abs(e1) THEN e0 ELSE e1 END) < 0 THEN -e0 ELSE e0 END AS e0,
+              CASE WHEN (CASE WHEN abs(e0) >= abs(e1) THEN e0 ELSE e1 END) < 0 THEN -e1 ELSE e1 END AS e1 FROM e),
+mu AS (SELECT layer, avg(x0) AS m0, avg(x1) AS m1 FROM tr GROUP BY layer),
+mem AS (SELECT layer, pos_id AS example_id, pos AS v FROM pv UNION ALL SELECT layer, neg_id, neg FROM pv)
+SELECT mem.layer, mem.example_id, round((v[1] - m0) * d0 + (v[2] - m1) * d1, 6) AS pc1,
+       round((v[1] - m0) * e0 + (v[2] - m1) * e1, 6) AS pc2, round(evr, 6) AS pc1_evr
+FROM mem JOIN ef USING (layer) JOIN mu USING (layer)""", two_dim=True))
 def q_two_component_projection(spark, sf):
-    p = _pairs(spark, sf)
+    p = _pairs(spark, sf, two_dim=True)
     train = CT.contrast_matrix_pairwise(p)
     mem = p.select("layer", F.col("pos_id").alias("example_id"), F.col("pos").alias("vector")).unionByName(
         p.select("layer", F.col("neg_id").alias("example_id"), F.col("neg").alias("vector")))

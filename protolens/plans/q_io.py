@@ -166,7 +166,17 @@ def q_write_predictions(spark, sf):
 
 
 # K3 ---------------------------------------------------------------------------
-@register("write_scores")
+def _k3_sql():
+    from protolens.plans.q_metrics import _CONF
+    from protolens.plans.sqlparts import vec_base
+
+    return vec_base(_CONF + """
+SELECT CASE WHEN dataset = 'ds2' THEN 'non_harmful' ELSE 'harmful' END AS dataset_type, dataset,
+       concat('nmc_layer', CAST(layer AS VARCHAR)) AS method,
+       round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1 FROM cf""")
+
+
+@register("write_scores", _k3_sql())
 def q_write_scores(spark, sf):
     from protolens.operators import metrics as M
     from protolens.plans.q_metrics import scored
@@ -176,7 +186,7 @@ def q_write_scores(spark, sf):
     path = scratch_path(spark, "scores")
     SK.write_scores(rec, path)
     return spark.read.text(path).select("dataset_type", "dataset", F.get_json_object("value", "$.method").alias("method"),
-                                        F.get_json_object("value", "$.f1").cast("double").alias("f1"))
+                                        rnd(F.get_json_object("value", "$.f1").cast("double")).alias("f1"))
 
 
 # K4 ---------------------------------------------------------------------------
@@ -190,7 +200,25 @@ def q_write_meta_coefficients(spark, sf):
 
 
 # K5 ---------------------------------------------------------------------------
-@register("save_directions")
+def _k5_sql():
+    from protolens.plans.q_contrast import _PCA2, _sql
+
+    return _sql(_PCA2 + """
+SELECT layer, 0 AS i, round(d0, 6) AS value FROM od UNION ALL SELECT layer, 1, round(d1, 6) FROM od""", two_dim=True)
+
+
+@register("load_directions", _k5_sql())
+def q_load_directions(spark, sf):
+    """K5 read side: directions written by ``save_directions`` and loaded for the requested layers."""
+    from protolens.plans.q_contrast import _directions2
+
+    d, _ = _directions2(spark, sf)
+    path = scratch_path(spark, "directions_load")
+    SK.save_directions(d, path)
+    return long_array(SK.load_directions(spark, path, layers=[1, 2, 3]), ["layer"], "direction")
+
+
+@register("save_directions", _k5_sql())
 def q_save_directions(spark, sf):
     """Directions written as Parquet and read back; requesting a missing layer raises."""
     from protolens.plans.q_contrast import _directions2
