@@ -49,8 +49,12 @@ def meta_predict(model, features: DataFrame, feature_cols: Sequence[str], out: s
     return scored.withColumn(out, vector_to_array("_prob")[1]).drop("_features", "_prob", "_pred", "_raw")
 
 
+# The C grid of the regularisation sweep, in the reference's order.
+REGULARISATION_CS = (0.0001, 0.001, 0.005, 0.05, 0.01, 0.5, 1, 10)
+
+
 def regularisation_path(features: DataFrame, feature_cols: Sequence[str], label: str = "label",
-                        cs: Sequence[float] = (1.0, 0.5, 0.1, 0.05, 0.01, 0.005, 0.001, 0.0005)):
+                        cs: Sequence[float] = REGULARISATION_CS):
     """One model per C from a single persisted feature table (``fit`` with param maps)."""
     data = assemble(features, feature_cols).select("features", F.col(label).cast("double").alias("label"))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)

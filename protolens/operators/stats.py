@@ -331,3 +331,22 @@ def incremental_steps(df: DataFrame, category: str = "category", max_step: int |
     """
     steps = F.sequence(F.greatest(F.col(category).cast("int"), F.lit(1)), F.lit(int(max_step)))
     return df.withColumn("step", F.explode(steps))
+
+
+def fit_gda_steps(df: DataFrame, keys=("layer",), category: str = "category", max_step: int = 1,
+                  vec: str = "vector") -> dict[str, DataFrame]:
+    """A15 + A6/A8 for every category step at once: step i uses categories 0..i as classes.
+
+    Means and scatter are computed once per category; each step's pooled
+    covariance sums the partials of its categories, and the precision and GDA
+    parameters are fitted per (step, keys) in one grouped job.
+    """
+    keys = _keys(keys)
+    means = materialize(class_means(df, keys, category, vec))
+    scatter = materialize(class_scatter(df, keys, category, vec, means, means_materialized=True))
+    stepped = incremental_steps(scatter, category, max_step).drop(category)
+    pooled = pooled_covariance(stepped, keys + ["step"])
+    precision = materialize(bayes_precision(pooled, keys + ["step"]))
+    stepped_means = incremental_steps(means, category, max_step)
+    params = materialize(gda_params(stepped_means, precision, keys + ["step"], category))
+    return {"means": means, "precision": precision, "params": params}

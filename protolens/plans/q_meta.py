@@ -71,33 +71,28 @@ def q_meta_coefficients(spark, sf):
 
 @register("reuse_first_meta")
 def q_reuse_first_meta(spark, sf):
-    """Category steps 1..4; the stack is fitted at step 1 and reused (finetune=False)."""
+    """Category steps 1..9 fitted in one (step, layer)-keyed job; the L1 stack (C = 0.01) is
+    fitted on step 1 and reused for the later steps (finetune=False)."""
     tr, te = train_test(spark, sf)
     layers = sorted(r[0] for r in tr.select("layer").distinct().collect())
-    model = None
-    out = None
-    for step in range(1, 5):
-        tr_s = tr.where(F.col("category") <= step)
-        fit = S.fit_gda(tr_s, ["layer"], "category")
-        params = fit["params"].checkpoint()
-
-        def harm(rows):
-            s = SC.softmax_probs(SC.gda_logits(rows, params, ["layer"], "category"))
-            return s.withColumn("score", 1.0 - F.element_at("probs", 1))
-
-        if model is None:
-            f_tr, cols = features(harm(tr_s), layers)
-            f_tr = f_tr.join(tr_s.select("example_id", (F.col("category") >= 1).cast("int").alias("y")).distinct(),
-                             "example_id")
-            model = ME.meta_fit(f_tr, cols, "y", 1.0)
-        te_s = te.where(F.col("category") <= step)
-        f_te, cols = features(harm(te_s), layers)
-        f_te = f_te.join(te_s.select("example_id", "dataset", (F.col("category") >= 1).cast("int").alias("y"))
-                         .distinct(), "example_id")
-        sc = ME.meta_predict(model, f_te, cols, "score")
-        rec = M.binary_scores(sc, ["dataset"], "score", "y").withColumn("step", F.lit(step))
-        out = rec if out is None else out.unionByName(rec)
-    return out.select("step", "dataset", *[c for c in RECORD_COLS])
+    max_step = int(tr.agg(F.max("category")).first()[0])
+    fit = S.fit_gda_steps(tr, ["layer"], "category", max_step)
+
+    def harm(rows):
+        stepped = S.incremental_steps(rows, "category", max_step)
+        s = SC.softmax_probs(SC.gda_logits(stepped, fit["params"], ["step", "layer"], "category"))
+        s = s.withColumn("score", 1.0 - F.element_at("probs", 1))  # all non-benign classes
+        wide = s.withColumn("_f", F.concat(F.lit("layer_"), F.col("layer").cast("string"))).groupBy(
+            "step", "example_id").pivot("_f", [f"layer_{x}" for x in layers]).agg(F.first("score"))
+        meta = rows.select("example_id", "dataset", (F.col("category") >= 1).cast("int").alias("y")).distinct()
+        return wide.join(meta, "example_id"), [f"layer_{x}" for x in layers]
+
+    f_tr, cols = harm(tr)
+    model = ME.meta_fit(f_tr.where("step = 1"), cols, "y", 0.01)
+    f_te, _ = harm(te)
+    sc = ME.meta_predict(model, f_te, cols, "score")
+    rec = M.binary_scores(sc, ["step", "dataset"], "score", "y")
+    return rec.select("step", "dataset", *[rnd(c).alias(c) if "support" not in c else F.col(c) for c in RECORD_COLS])
 
 
 def _supervised(spark, sf, fit_fn, method):

@@ -131,3 +131,17 @@ def test_gram_flush_budget_keeps_results(spark, data):
     kb = b.set_index(keys + ["i"]).sort_index()
     assert (ka.n == kb.n).all()
     assert np.allclose(np.stack(ka.g.to_numpy()), np.stack(kb.g.to_numpy()), atol=1e-12)
+
+
+def test_step_keyed_fit_equals_refits(data):
+    """Summing per-category partials per step gives the same GDA parameters as refitting on categories <= step."""
+    from pyspark.sql import functions as F
+
+    tr, _, _, _ = data
+    steps = S.fit_gda_steps(tr, ["layer"], "category", max_step=4)["params"].toPandas()
+    for step in (1, 4):
+        ref = S.fit_gda(tr.where(F.col("category") <= step), ["layer"], "category")["params"].toPandas()
+        got = steps[steps.step == step]
+        for _, r in ref.iterrows():
+            g = got[(got.layer == r.layer) & (got.category == r.category)].iloc[0]
+            assert np.allclose(g.w, r.w, atol=1e-9) and abs(g.b - r.b) < 1e-9
