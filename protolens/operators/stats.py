@@ -329,8 +329,10 @@ def incremental_steps(df: DataFrame, category: str = "category", max_step: int |
     Sufficient statistics are additive, so callers aggregate per category once and
     sum partials per step instead of rescanning rows per step.
     """
-    steps = F.sequence(F.greatest(F.col(category).cast("int"), F.lit(1)), F.lit(int(max_step)))
-    return df.withColumn("step", F.explode(steps))
+    first = F.greatest(F.col(category).cast("int"), F.lit(1))
+    steps = F.sequence(first, F.lit(int(max_step)))
+    # categories above the last step belong to no step (sequence would otherwise count down)
+    return df.where(first <= F.lit(int(max_step))).withColumn("step", F.explode(steps))
 
 
 def fit_gda_steps(df: DataFrame, keys=("layer",), category: str = "category", max_step: int = 1,
