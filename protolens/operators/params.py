@@ -53,20 +53,23 @@ def estimated_bytes(params: DataFrame) -> int:
     expr = F.lit(0).cast("long")
     for f in params.schema.fields:
         expr = expr + _cell_bytes(f.dataType, F.col(f.name)).cast("long")
-    row = params.agg(F.coalesce(F.sum(expr), F.lit(0)).alias("b")).first()
+    # one partition in, one row out: a single job without a shuffle stage
+    row = params.coalesce(1).agg(F.coalesce(F.sum(expr), F.lit(0)).alias("b")).first()
     return int(row["b"])
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Compute a (parameter-sized or aggregated) table once and cut its lineage.
 
-    Reliable checkpoint into the shared ``spark.checkpoint.dir``: later uses and
-    task retries read the written table instead of re-running the lineage.
+    The table is written as Parquet to a fresh folder below the shared
+    ``spark.checkpoint.dir`` and read back (one job): later uses and task
+    retries read the written table instead of re-running the lineage.
     """
-    from protolens.session import ensure_checkpoint_dir
+    from protolens.session import scratch_path
 
-    ensure_checkpoint_dir(df.sparkSession)  # the session's spark.checkpoint.dir; a local one only when unset
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "mat")  # below the session's spark.checkpoint.dir
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)  # known schema: no inference job
 
 
 def attach_params(
