@@ -68,9 +68,18 @@ def rank_cut(df: DataFrame, keys, order: str, tie: str, k: int | str, rank_col:
 
 
 def sample_per_class(df: DataFrame, n: int, keys=(), label: str = "label", id_col: str = "example_id",
-                     seed: int = 42, seed_col: str | None = None, rank_col: str | None = None) -> DataFrame:
-    """SP2/SP4/SP6: exactly ``n`` rows per (keys, label) (all rows of smaller classes)."""
+                     seed: int = 42, seed_col: str | None = None, rank_col: str | None = None,
+                     strict: bool = False) -> DataFrame:
+    """SP2/SP4/SP6: exactly ``n`` rows per (keys, label).
+
+    Smaller classes keep all their rows, or raise with ``strict`` (sampling
+    without replacement cannot draw more rows than a class has).
+    """
     keys = _k(keys)
+    if strict:
+        small = df.groupBy(*keys, label).count().where(F.col("count") < n).limit(1).collect()
+        if small:
+            raise ValueError(f"class {small[0].asDict()} has fewer than {n} rows")
     h = hash_order(id_col, F.col(seed_col) if seed_col else seed)
     cut = rank_cut(df.withColumn("_h", h), keys + [label], "_h", id_col, n, rank_col or "_rank")
     cut = cut.drop("_h")

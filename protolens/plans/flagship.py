@@ -31,9 +31,12 @@ def fit_layers(train: DataFrame, keys=("layer",), label: str = "label") -> dict:
     return S.fit_gda(train, list(keys), label)  # parameters come back materialized
 
 
-def layer_probabilities(rows: DataFrame, params: DataFrame, label: str = "label") -> DataFrame:
+def layer_probabilities(rows: DataFrame, params: DataFrame, label: str = "label", use_logits: bool = False) -> DataFrame:
+    """Per-layer class-1 probability, or the class-1 logit with ``use_logits`` (one flag for
+    training and evaluation, Q7)."""
     s = SC.softmax_probs(SC.gda_logits(rows, params, ["layer"], label))
-    return s.withColumn("score", SC.positive_score("probs"))
+    score = F.element_at("logits", 2) if use_logits else SC.positive_score("probs")
+    return s.withColumn("score", score)
 
 
 def features(scored: DataFrame, layers) -> tuple[DataFrame, list[str]]:
@@ -42,18 +45,18 @@ def features(scored: DataFrame, layers) -> tuple[DataFrame, list[str]]:
     return wide.select("example_id", *[F.col(str(x)).alias(f"layer_{x}") for x in layers]), cols
 
 
-def multilayer_report(spark: SparkSession, sf: str, C: float = 1.0) -> DataFrame:
+def multilayer_report(spark: SparkSession, sf: str, C: float = 1.0, use_logits: bool = False) -> DataFrame:
     ensure_checkpoint_dir(spark)
     tr, te = train_test(spark, sf)
     layers = sorted(r[0] for r in tr.select("layer").distinct().collect())  # layer ids: a parameter
     fit = fit_layers(tr)
     params = fit["params"]
 
-    tr_feat, cols = features(layer_probabilities(tr, params), layers)
+    tr_feat, cols = features(layer_probabilities(tr, params, use_logits=use_logits), layers)
     labels_tr = tr.select("example_id", "label").distinct()
     model = ME.meta_fit(tr_feat.join(labels_tr, "example_id"), cols, "label", C)
 
-    te_scored = layer_probabilities(te, params)
+    te_scored = layer_probabilities(te, params, use_logits=use_logits)
     te_feat, _ = features(te_scored, layers)
     te_meta = te.select("example_id", "dataset", "label").distinct()
     stacked = ME.meta_predict(model, te_feat.join(te_meta, "example_id"), cols, "score")

@@ -150,3 +150,17 @@ def test_stream_scoring_equals_batch(spark):
     b = SC.argmax_class(SC.softmax_probs(SC.gda_logits(te, fit["params"], ["layer"])), "probs", "pred")
     exp = {(r.example_id, r.layer): (r.pred, round(r.probs[1], 9)) for r in b.collect()}
     assert got == exp and len(got) > 0
+
+
+def test_sample_per_class_strict_raises(spark):
+    df = spark.createDataFrame(pd.DataFrame({"example_id": np.arange(50), "label": [0] * 45 + [1] * 5}))
+    assert SP.sample_per_class(df, 10, [], "label").count() == 15
+    with pytest.raises(ValueError):
+        SP.sample_per_class(df, 10, [], "label", strict=True)
+
+
+def test_flagship_with_logits(spark):
+    from protolens.plans import flagship
+
+    rows = flagship.multilayer_report(spark, "/root/testdata/sf0.001", use_logits=True).collect()
+    assert len(rows) > 0 and all(r.negative_support + r.positive_support > 0 for r in rows)
