@@ -72,3 +72,25 @@ def test_principal_direction_full_width(spark):
         # orientation: positives project above negatives at least as often as below
         proj_p, proj_n = pos @ got, neg @ got
         assert np.mean(proj_p > proj_n) >= np.mean(proj_p < proj_n)
+
+
+def test_wide_vectors_take_the_arrow_path(spark):
+    """d = 300 (> the higher-order-function limit): Gram fit and Mahalanobis scoring against numpy."""
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    d, n = 300, 700
+    x = rng.normal(size=(n, d)) + 3.0
+    y = (rng.random(n) < 0.5).astype(int)
+    x[y == 1] += 0.4
+    pdf = pd.DataFrame({"example_id": np.arange(n), "layer": 7, "label": y, "vector": list(x)})
+    df = spark.createDataFrame(pdf)
+    fit = S.fit_gda(df, ["layer"], "label")
+    got = {r.example_id: r.maha for r in SC.mahalanobis_sq(df, fit["means"], fit["precision"], ["layer"]).collect()}
+    mus = np.stack([x[y == k].mean(0) for k in (0, 1)])
+    xc = np.concatenate([x[y == k] - mus[k] for k in (0, 1)])
+    c = xc.T @ xc / (n - 1)
+    p = d * np.linalg.inv((n - 1) * c + np.trace(c) * np.eye(d))
+    for i in (0, 11, 333, 699):
+        exp = [(x[i] - m) @ p @ (x[i] - m) for m in mus]
+        assert np.allclose(got[i], exp, rtol=1e-9, atol=1e-8)
