@@ -69,8 +69,8 @@ def q_negated_safety_label(spark, sf):
 
 # P5 ---------------------------------------------------------------------------
 @register("constant_label", """
-SELECT item_id AS id, 'general' AS dataset, 0.0 AS labels FROM benchmark
-UNION ALL SELECT doc_id AS id, 'all_harmful' AS dataset, 1.0 AS labels FROM documents""")
+SELECT item_id AS id, 'general' AS dataset, CAST(0.0 AS DOUBLE) AS labels FROM benchmark
+UNION ALL SELECT doc_id AS id, 'all_harmful' AS dataset, CAST(1.0 AS DOUBLE) AS labels FROM documents""")
 def q_constant_label(spark, sf):
     b = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lit("general").alias("dataset"),
                                                  L.constant_label(0.0).alias("labels"))
@@ -139,7 +139,7 @@ WITH s AS (SELECT d.doc_id, d.text AS vanilla,
                          CASE WHEN l.toxic = 1 THEN 'harmful' ELSE 'benign' END) AS data_type
            FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
 SELECT doc_id, CASE WHEN adversarial = '' THEN vanilla ELSE adversarial END AS prompt,
-       CASE WHEN data_type IN ('adversarial_harmful', 'vanilla_harmful') THEN 1.0 ELSE 0.0 END AS labels
+       CAST(CASE WHEN data_type IN ('adversarial_harmful', 'vanilla_harmful') THEN 1.0 ELSE 0.0 END AS DOUBLE) AS labels
 FROM s""")
 def q_pick_prompt_variant(spark, sf):
     j = _docs_labels(spark, sf)

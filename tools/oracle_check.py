@@ -45,6 +45,25 @@ def _digest(cols, rows):
     return hashlib.sha1("\n".join(lines).encode()).hexdigest(), lines
 
 
+_SPARK_TO_DUCK = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+    "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT", "date": "DATE", "timestamp": "TIMESTAMP",
+}
+
+
+def type_mismatches(df, res) -> list:
+    """Columns whose Spark type and DuckDB type differ (by name)."""
+    duck = dict(zip(res.columns, [str(t) for t in res.types]))
+    out = []
+    for f in df.schema.fields:
+        st = f.dataType.simpleString()
+        want = _SPARK_TO_DUCK.get(st, st.upper())
+        got = duck.get(f.name)
+        if got is not None and got != want:
+            out.append((f.name, st, got))
+    return out
+
+
 def duck_connection(sf_dir: str):
     con = duckdb.connect()
     for t in TABLES:
@@ -67,9 +86,14 @@ def check(spark, con, name, fn, sql, sf_dir, verbose=False):
     ok_cols = sorted(scols) == sorted(dcols)
     hs, ls = _digest(scols, srows)
     hd, ld = _digest(dcols, drows)
+    types = type_mismatches(df, res)
     status = "ok" if (ok_cols and len(srows) == len(drows) and hs == hd) else "MISMATCH"
+    if status == "ok" and types:
+        status = "TYPES"
     out = dict(name=name, status=status, rows=len(srows), duck_rows=len(drows), spark_s=round(t1 - t0, 2),
                duck_s=round(t2 - t1, 2))
+    if types:
+        out["types"] = types
     if status != "ok":
         out["cols"] = (sorted(scols), sorted(dcols))
         if verbose:
@@ -98,7 +122,7 @@ def main(argv):
             r = dict(name=n, status="ERROR", error=f"{type(e).__name__}: {str(e)[:400]}")
             if names:
                 traceback.print_exc()
-        if r["status"] in ("MISMATCH", "ERROR"):
+        if r["status"] in ("MISMATCH", "ERROR", "TYPES"):
             bad += 1
         print(r, flush=True)
     print(f"SUMMARY {len(sel) - bad}/{len(sel)} ok-or-rows-only; {len([n for n in sel if n in sqls])} with oracle")
