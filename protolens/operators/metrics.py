@@ -138,6 +138,31 @@ def score_table(df: DataFrame, keys, score: str = "score", label: str = "label")
 
 
 # ---------------------------------------------------------------- M7, M8
+def ranking_metrics(table: DataFrame, keys, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """M7 + M8 from one ascending prefix pass over a (keys, score, pos, neg) table.
+
+    ROC AUC = sum pos(s) * (negatives below s + neg(s) / 2) / (P N)   (ties count 1/2)
+    AP      = sum pos(s) / P * TP(>= s) / ALL(>= s) over distinct thresholds, descending,
+    where the counts at or above s are totals minus the ascending sums below s.
+    Both are NULL for a group with one class.
+    """
+    keys = _k(keys)
+    c = prefix_sums(table, keys, "score", ["pos", "neg"], buckets)
+    w_tot = c.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    j = c.join(w_tot, keys)
+    pos_below = F.col("pos_cum") - F.col("pos")
+    neg_below = F.col("neg_cum") - F.col("neg")
+    tp_ge = F.col("_p") - pos_below
+    all_ge = F.col("_p") + F.col("_n") - pos_below - neg_below
+    agg = j.groupBy(*keys).agg(
+        F.sum(F.col("pos") * (neg_below + 0.5 * F.col("neg"))).alias("_u"),
+        F.sum(F.col("pos") * tp_ge / all_ge).alias("_s"),
+        F.first("_p").alias("_p"), F.first("_n").alias("_n"))
+    ok = (F.col("_p") > 0) & (F.col("_n") > 0)
+    return agg.select(*keys, F.when(ok, F.col("_u") / (F.col("_p") * F.col("_n"))).alias("roc_auc"),
+                      F.when(ok, F.col("_s") / F.col("_p")).alias("average_precision"))
+
+
 def roc_auc(df: DataFrame, keys, score: str = "score", label: str = "label",
             buckets: int = DEFAULT_BUCKETS, table: DataFrame | None = None) -> DataFrame:
     """M7: tie-aware ROC AUC (Mann-Whitney, ties count 1/2); NULL with one class.
@@ -146,17 +171,7 @@ def roc_auc(df: DataFrame, keys, score: str = "score", label: str = "label",
     """
     keys = _k(keys)
     st = table if table is not None else materialize(score_table(df, keys, score, label))
-    c = prefix_sums(st, keys, "score", ["neg"], buckets)
-    below = F.col("neg_cum") - F.col("neg")
-    agg = c.groupBy(*keys).agg(
-        F.sum(F.col("pos") * (below + 0.5 * F.col("neg"))).alias("_u"),
-        F.sum("pos").alias("_p"),
-        F.sum("neg").alias("_n"),
-    )
-    return agg.select(
-        *keys,
-        F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_u") / (F.col("_p") * F.col("_n"))).alias("roc_auc"),
-    )
+    return ranking_metrics(st, keys, buckets).select(*keys, "roc_auc")
 
 
 def average_precision(df: DataFrame, keys, score: str = "score", label: str = "label",
@@ -164,17 +179,7 @@ def average_precision(df: DataFrame, keys, score: str = "score", label: str = "l
     """M8: sum over distinct thresholds (descending) of (R_n - R_n-1) P_n; NULL with one class."""
     keys = _k(keys)
     st = table if table is not None else materialize(score_table(df, keys, score, label))
-    st = st.withColumn("_all", F.col("pos") + F.col("neg"))
-    c = prefix_sums(st, keys, "score", ["pos", "_all"], buckets, descending=True)
-    agg = c.groupBy(*keys).agg(
-        F.sum(F.col("pos") * F.col("pos_cum") / F.col("_all_cum")).alias("_s"),
-        F.sum("pos").alias("_p"),
-        F.sum("neg").alias("_n"),
-    )
-    return agg.select(
-        *keys,
-        F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_s") / F.col("_p")).alias("average_precision"),
-    )
+    return ranking_metrics(st, keys, buckets).select(*keys, "average_precision")
 
 
 def binary_scores(df: DataFrame, keys, score: str = "score", label: str = "label", pred: str | None = None,
@@ -199,9 +204,7 @@ def binary_scores(df: DataFrame, keys, score: str = "score", label: str = "label
         out = counting_metrics(conf).drop("tn", "fp", "fn", "tp")
         if not calculate_auc:
             return out
-    out = out.join(roc_auc(None, keys, buckets=buckets, table=st), keys, "left")
-    out = out.join(average_precision(None, keys, buckets=buckets, table=st), keys, "left")
-    return out
+    return out.join(ranking_metrics(st, keys, buckets), keys, "left")
 
 
 # ---------------------------------------------------------------- M9-M11
