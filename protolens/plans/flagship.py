@@ -45,27 +45,76 @@ def features(scored: DataFrame, layers) -> tuple[DataFrame, list[str]]:
     return wide.select("example_id", *[F.col(str(x)).alias(f"layer_{x}") for x in layers]), cols
 
 
-def multilayer_report(spark: SparkSession, sf: str, C: float = 1.0, use_logits: bool = False) -> DataFrame:
+def stack_evaluate(train: DataFrame, bench: DataFrame, C: float = 1.0, use_logits: bool = False,
+                   bench_keys=("dataset",)) -> dict[str, DataFrame]:
+    """Fit per-layer GDA + the L1 stack on ``train`` and score ``bench``.
+
+    ``train``: (example_id, layer, label, vector); ``bench``: the same plus
+    ``bench_keys``.  Returns score records per (bench keys, method), the
+    prediction rows and the stack coefficients.
+    """
+    spark = train.sparkSession
     ensure_checkpoint_dir(spark)
-    tr, te = train_test(spark, sf)
-    layers = sorted(r[0] for r in tr.select("layer").distinct().collect())  # layer ids: a parameter
-    fit = fit_layers(tr)
+    bench_keys = list(bench_keys)
+    layers = sorted(r[0] for r in train.select("layer").distinct().collect())  # layer ids: a parameter
+    fit = fit_layers(train)
     params = fit["params"]
 
-    tr_feat, cols = features(layer_probabilities(tr, params, use_logits=use_logits), layers)
-    labels_tr = tr.select("example_id", "label").distinct()
+    tr_feat, cols = features(layer_probabilities(train, params, use_logits=use_logits), layers)
+    labels_tr = train.select("example_id", "label").distinct()
     model = ME.meta_fit(tr_feat.join(labels_tr, "example_id"), cols, "label", C)
 
-    te_scored = layer_probabilities(te, params, use_logits=use_logits)
-    te_feat, _ = features(te_scored, layers)
-    te_meta = te.select("example_id", "dataset", "label").distinct()
-    stacked = ME.meta_predict(model, te_feat.join(te_meta, "example_id"), cols, "score")
+    # one id per benchmark example: the example id is only unique within its benchmark
+    uid = F.concat_ws("|", *[F.col(k).cast("string") for k in bench_keys], F.col("example_id").cast("string"))
+    b = bench.withColumn("_uid", uid)
+    b_scored = layer_probabilities(b.drop("example_id").withColumnRenamed("_uid", "example_id"), params,
+                                   use_logits=use_logits)
+    b_feat, _ = features(b_scored, layers)
+    b_meta = b.select(F.col("_uid").alias("example_id"), *bench_keys, "label").distinct()
+    stacked = ME.meta_predict(model, b_feat.join(b_meta, "example_id"), cols, "score")
     stacked = stacked.withColumn("method", F.lit("multilayer_gda"))
 
-    per_layer = te_scored.select(
-        "dataset", "label", "score", F.concat(F.lit("gda_layer"), F.col("layer").cast("string")).alias("method"))
-    long = stacked.select("dataset", "label", "score", "method").unionByName(per_layer)
-    rec = M.binary_scores(long, ["dataset", "method"], "score", "label")
-    return rec.select("dataset", "method",
-                      *[rnd(c).alias(c) if c not in ("negative_support", "positive_support") else F.col(c)
-                        for c in RECORD_COLS])
+    per_layer = b_scored.select(*bench_keys, "label", "score",
+                                F.concat(F.lit("gda_layer"), F.col("layer").cast("string")).alias("method"))
+    long = stacked.select(*bench_keys, "label", "score", "method").unionByName(per_layer)
+    rec = M.binary_scores(long, bench_keys + ["method"], "score", "label")
+    records = rec.select(*bench_keys, "method",
+                         *[rnd(c).alias(c) if c not in ("negative_support", "positive_support") else F.col(c)
+                           for c in RECORD_COLS])
+    coefs = ME.meta_coefficients(spark, model, layers, C)
+    preds = stacked.select("example_id", *bench_keys, "label", "score")
+    return {"records": records, "predictions": preds, "coefficients": coefs}
+
+
+def multilayer_report(spark: SparkSession, sf: str, C: float = 1.0, use_logits: bool = False) -> DataFrame:
+    """The flagship on the vector fixture: train split to fit, test split scored per dataset."""
+    tr, te = train_test(spark, sf)
+    return stack_evaluate(tr, te, C, use_logits, ["dataset"])["records"]
+
+
+def evaluate_files(spark: SparkSession, train_dir: str, bench_root: str, out_dir: str | None = None,
+                   C: float = 1.0, use_logits: bool = False) -> DataFrame:
+    """The reference's multi-layer evaluation from files.
+
+    ``train_dir``: ``layer_{i}_hidden_states.parquet`` files (layer 0 excluded);
+    ``bench_root``: ``{dataset_type}/{dataset}/layer_{i}_hidden_states.parquet``.
+    Writes predictions (K2), score records (K3) and stack coefficients (K4)
+    below ``out_dir`` when given; returns the score records.
+    """
+    from protolens.sources import readers as RD
+    from protolens.sources import sinks as SK
+
+    def prep(df):
+        return RD.select_layers(df, exclude=(0,)).select(
+            *[c for c in df.columns if c in ("dataset_type", "dataset")], "example_id", "layer",
+            F.col("labels").cast("int").alias("label"),
+            F.transform("hidden_state", lambda x: x.cast("double")).alias("vector"))
+
+    train = prep(RD.read_layer_vectors(spark, train_dir))
+    bench = prep(RD.read_benchmark_vectors(spark, bench_root))
+    out = stack_evaluate(train, bench, C, use_logits, ["dataset_type", "dataset"])
+    if out_dir:
+        SK.write_predictions(out["predictions"], f"{out_dir}/predictions")
+        SK.write_scores(out["records"], f"{out_dir}/scores")
+        SK.write_meta_coefficients(out["coefficients"], f"{out_dir}/meta_model_coefficients")
+    return out["records"]

@@ -1,5 +1,5 @@
 """Readers (survey S1-S8).  Every reader is one distributed scan; path parts
-become columns with ``input_file_name`` instead of driver-side directory walks.
+become columns with ``_metadata.file_path`` instead of driver-side directory walks.
 """
 
 from __future__ import annotations
@@ -18,16 +18,32 @@ def read_layer_vectors(spark: SparkSession, path: str) -> DataFrame:
     Works on the reference layout (one file or folder per layer) and on any
     nesting of it; hive partitions are not needed.  ``pooling`` is 'mean' for
     ``_mean_`` files and 'last' otherwise (the reference mixes both, Q11).
+    Files without an ``example_id`` column get the row position within their
+    file, which is how the reference aligns the layers of one example.
     """
     raw = spark.read.option("recursiveFileLookup", "true").parquet(path)
-    src = F.input_file_name()
+    src = F.col("_metadata.file_path")
+    extra = [] if "example_id" in raw.columns else [F.col("_metadata.row_index").alias("example_id")]
     return raw.select(
         F.regexp_extract(src, LAYER_FILE_PATTERN, 1).cast("int").alias("layer"),
         F.when(F.regexp_extract(src, LAYER_FILE_PATTERN, 2) == "mean", "mean").otherwise("last").alias("pooling"),
+        *extra,
         *raw.columns,
     )
 
 
+def read_benchmark_vectors(spark: SparkSession, root: str) -> DataFrame:
+    """S1 + S3: layer files below ``{root}/{dataset_type}/{dataset}/`` in one scan, path parts as columns."""
+    v = read_layer_vectors(spark, root)
+    rel = F.regexp_replace(F.col("_metadata.file_path"), r"^.*?/" + root.rstrip("/").split("/")[-1] + "/", "")
+    parts = F.split(rel, "/")
+
+    def part(i):
+        return F.regexp_replace(F.element_at(parts, i), r"^[^=/]*=", "")
+
+    return v.select(part(1).alias("dataset_type"), part(2).alias("dataset"), *v.columns)
+
+
 def select_layers(df: DataFrame, exclude=(0,), only: int | None = None, pooling: str | None = "last") -> DataFrame:
     """Every layer but the embedding layer 0, or one named layer."""
     out = df
@@ -41,7 +57,7 @@ def select_layers(df: DataFrame, exclude=(0,), only: int | None = None, pooling:
 def scan_benchmarks(spark: SparkSession, root: str, fmt: str = "parquet") -> DataFrame:
     """S3: every ``{dataset_type}/{dataset}/...`` folder under ``root`` in one read."""
     raw = spark.read.option("recursiveFileLookup", "true").format(fmt).load(root)
-    rel = F.regexp_replace(F.input_file_name(), r"^.*?/" + root.rstrip("/").split("/")[-1] + "/", "")
+    rel = F.regexp_replace(F.col("_metadata.file_path"), r"^.*?/" + root.rstrip("/").split("/")[-1] + "/", "")
     parts = F.split(rel, "/")
 
     def part(i):  # plain folder names, or hive-style name=value folders
@@ -64,7 +80,7 @@ def scan_result_scores(spark: SparkSession, root: str, schema: T.StructType | st
     if schema is not None:
         reader = reader.schema(schema)
     raw = reader.json(root)
-    parts = F.split(F.input_file_name(), "/")
+    parts = F.split(F.col("_metadata.file_path"), "/")
     n = len(levels)
     cols = [F.regexp_replace(F.element_at(parts, -(n + 1) + j), r"^[^=/]*=", "").alias(name)
             for j, name in enumerate(levels)]

@@ -164,3 +164,33 @@ def test_flagship_with_logits(spark):
 
     rows = flagship.multilayer_report(spark, "/root/testdata/sf0.001", use_logits=True).collect()
     assert len(rows) > 0 and all(r.negative_support + r.positive_support > 0 for r in rows)
+
+
+def test_evaluate_from_reference_layout_matches_flagship(spark):
+    """Vector fixture written as per-layer files (train) and per-benchmark folders; same records as the flagship."""
+    from protolens.plans import flagship
+    from protolens.plans.common import layer_vectors
+
+    v = layer_vectors(spark, SF_CHECK).union(
+        __import__("protolens.sources.fixtures", fromlist=["vectors"]).vectors(spark, SF_CHECK).where("layer = 0"))
+
+    def write(df, path, by):
+        out = df.select(*by, F.concat(F.lit("layer_"), F.col("layer").cast("string"),
+                                      F.lit("_hidden_states.parquet")).alias("layer_file"),
+                        "example_id", F.col("label").cast("float").alias("labels"),
+                        F.transform("vector", lambda x: x.cast("float")).alias("hidden_state"))
+        # one file per layer (and benchmark), rows in example order: the reference's positional layout
+        out.repartition(*by, "layer_file").sortWithinPartitions("example_id").drop("example_id") \
+            .write.mode("overwrite").partitionBy(*by, "layer_file").parquet(path)
+
+    train_dir, bench_root = scratch_path(spark, "train_layers"), scratch_path(spark, "bench_layers")
+    write(v.where("split = 'train'"), train_dir, [])
+    write(v.where("split = 'test'"), bench_root, ["dataset_type", "dataset"])
+    out_dir = scratch_path(spark, "eval_out")
+    got = {(r.dataset, r.method): r for r in flagship.evaluate_files(spark, train_dir, bench_root, out_dir).collect()}
+    exp = {(r.dataset, r.method): r for r in flagship.multilayer_report(spark, SF_CHECK).collect()}
+    assert got.keys() == exp.keys() and len(got) > 0
+    for k in exp:
+        for c in ("accuracy", "f1", "roc_auc", "average_precision", "positive_support"):
+            assert got[k][c] == exp[k][c], (k, c)
+    assert spark.read.parquet(f"{out_dir}/predictions").count() > 0
