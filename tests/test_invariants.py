@@ -194,3 +194,29 @@ def test_evaluate_from_reference_layout_matches_flagship(spark):
         for c in ("accuracy", "f1", "roc_auc", "average_precision", "positive_support"):
             assert got[k][c] == exp[k][c], (k, c)
     assert spark.read.parquet(f"{out_dir}/predictions").count() > 0
+
+
+def test_condition_search_plan(spark):
+    from protolens.plans.common import layer_vectors
+    from protolens.plans.condition import condition_search
+
+    v = layer_vectors(spark, SF_CHECK).select("example_id", "layer", "label", "vector")
+    out = condition_search(v, [1, 2, 3], max_layers=2)
+    best = out["best"].first()
+    assert best is not None and 0 < best.f1 <= 1 and best.direction in ("larger", "smaller")
+    g = out["grid"]
+    assert g.agg(F.max("f1")).first()[0] == best.f1
+    assert out["predictions"].count() == v.select("example_id").distinct().count()
+    d = out["directions"].collect()
+    assert len(d) == 3 and all(abs(np.linalg.norm(r.direction) - 1) < 1e-9 for r in d)
+
+
+def test_combo_prototypes_plan(spark):
+    from protolens.plans.combos import combo_prototype_scores
+
+    tr, te = train_test(spark, SF_CHECK)
+    rec = combo_prototype_scores(tr, te).collect()
+    combos = {r.combo for r in rec}
+    assert combos == {"ds0", "ds1", "ds2", "ds0+ds1", "ds0+ds2", "ds1+ds2", "ds0+ds1+ds2"}
+    assert len(rec) == 7 * 3 * 3  # combos x layers x benchmarks
+    assert all(0 <= r.accuracy <= 1 for r in rec)
