@@ -2,7 +2,9 @@
 
 Parameters are packed per key (one array of per-class structs per layer) and
 attached with ``attach_params`` (measured broadcast or salted join).  Per-row
-arithmetic is built-in higher-order functions, so nothing leaves the JVM.
+arithmetic is built-in higher-order functions, so nothing leaves the JVM; for
+vectors wider than ``HOF_MAX_DIM`` the same scores are computed with numpy
+BLAS per Arrow batch against broadcast parameter chunks (``engine='arrow'``).
 """
 
 from __future__ import annotations
@@ -28,11 +30,22 @@ def _k(keys) -> list[str]:
 
 
 def gda_logits(df: DataFrame, params: DataFrame, keys=("layer",), label: str = "label", vec: str = "vector",
-               out: str = "logits") -> DataFrame:
-    """G1: x W^T + b as an array ordered by class id."""
+               out: str = "logits", engine: str = "auto",
+               max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """G1: x W^T + b as an array ordered by class id.
+
+    ``engine``: 'hof' (JVM higher-order functions), 'arrow' (numpy matmul per
+    Arrow batch, for wide vectors) or 'auto' (by vector width).
+    """
     keys = _k(keys)
-    packed = pack_params(params, keys, label, ["w", "b"], "_gda")
-    j = attach_params(df, packed, keys)
+    packed = materialize(pack_params(params, keys, label, ["w", "b"], "_gda"))
+    if engine == "auto":
+        width = packed.select(F.max(F.size(F.element_at("_gda", 1)["w"]))).first()[0] or 0
+        engine = "hof" if width <= HOF_MAX_DIM else "arrow"
+    if engine == "arrow":
+        prm = _packed_to_numpy(packed, keys, "_gda", ["w", "b"])
+        return _arrow_rowwise(df, prm, keys, vec, out, lambda x, wb: x @ wb[0].T + wb[1], max_broadcast_bytes)
+    j = attach_params(df, packed, keys, materialized=True)
     return j.withColumn(out, F.transform("_gda", lambda p: V.dot(vec, p["w"]) + p["b"])).drop("_gda")
 
 
@@ -50,6 +63,70 @@ def _vector_width(means: DataFrame) -> int:
     return int(means.select(F.max(F.size("mean"))).first()[0] or 0)
 
 
+def _key_filter(keys: list[str], ks) -> F.Column:
+    cond = None
+    for k in ks:
+        c = None
+        for name, val in zip(keys, k):
+            e = F.col(name) == F.lit(val)
+            c = e if c is None else c & e
+        cond = c if cond is None else cond | c
+    return cond
+
+
+def _arrow_rowwise(df: DataFrame, params: dict, keys: list[str], vec: str, out: str, fn, max_bytes: int) -> DataFrame:
+    """Apply ``fn(X, params[key]) -> (n x K)`` per key and Arrow batch; parameters broadcast in chunks <= ``max_bytes``.
+
+    Each chunk of keys scans only its own rows (partition pruning on a
+    layer-partitioned table); chunk results are unioned.
+    """
+    spark = df.sparkSession
+    out_schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
+    chunks, cur, cur_b = [], {}, 0
+    for k, prm in params.items():
+        b = sum(np.asarray(a).size for a in prm) * 8
+        if b > max_bytes:
+            raise ValueError(f"parameters of key {k} ({b} bytes) exceed the broadcast limit")
+        if cur and cur_b + b > max_bytes:
+            chunks.append(cur)
+            cur, cur_b = {}, 0
+        cur[k], cur_b = prm, cur_b + b
+    if cur:
+        chunks.append(cur)
+
+    def make(bc):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            prm = bc.value
+            for pdf in batches:
+                res = [None] * len(pdf)
+                for key, part in pdf.groupby(keys, sort=False, dropna=False):
+                    key = key if isinstance(key, tuple) else (key,)
+                    if key not in prm:
+                        continue
+                    x = np.stack(part[vec].to_numpy()).astype(np.float64)
+                    vals = fn(x, prm[key])
+                    for pos, row in zip(pdf.index.get_indexer(part.index), vals):
+                        res[pos] = row.tolist()
+                yield pdf.assign(**{out: res})
+        return run
+
+    parts = [df.where(_key_filter(keys, ch)).mapInPandas(make(spark.sparkContext.broadcast(ch)), out_schema)
+             for ch in chunks]
+    res = parts[0]
+    for p_ in parts[1:]:
+        res = res.unionByName(p_)
+    return res
+
+
+def _packed_to_numpy(packed: DataFrame, keys: list[str], name: str, fields: Sequence[str]) -> dict:
+    """Packed per-key parameter arrays (parameter-sized) to numpy on the driver."""
+    out = {}
+    for r in packed.collect():
+        items = r[name]
+        out[tuple(r[k] for k in keys)] = tuple(np.array([it[f] for it in items], dtype=np.float64) for f in fields)
+    return out
+
+
 def _arrow_mahalanobis(df: DataFrame, params: dict, keys: list[str], vec: str, out: str,
                        max_bytes: int, id_col: str | None = None) -> DataFrame:
     """Distances per Arrow batch with numpy; parameters are broadcast in pieces of at most ``max_bytes``.
@@ -76,16 +153,6 @@ def _arrow_mahalanobis(df: DataFrame, params: dict, keys: list[str], vec: str, o
     if cur:
         chunks.append(cur)
 
-    def key_filter(ks):
-        cond = None
-        for k in ks:
-            c = None
-            for name, val in zip(keys, k):
-                e = F.col(name) == F.lit(val)
-                c = e if c is None else c & e
-            cond = c if cond is None else cond | c
-        return cond
-
     def scorer(bc, rows_sel=None):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             prm = bc.value
@@ -113,14 +180,14 @@ def _arrow_mahalanobis(df: DataFrame, params: dict, keys: list[str], vec: str, o
     parts = []
     for ch in chunks:
         bc = spark.sparkContext.broadcast(ch)
-        parts.append(df.where(key_filter(ch)).mapInPandas(scorer(bc), out_schema))
+        parts.append(df.where(_key_filter(keys, ch)).mapInPandas(scorer(bc), out_schema))
     for k, (m, p) in blocked.items():
         if id_col is None:
             raise ValueError(f"precision matrices of key {k} exceed the broadcast limit; pass id_col for blocked scoring")
         d = m.shape[1]
         per_row = (p.shape[0] if p.ndim == 3 else 1) * d * 8
         rows_per_block = max(1, (max_bytes - m.size * 8) // per_row)
-        base = df.where(key_filter([k]))
+        base = df.where(_key_filter(keys, [k]))
         partials = []
         for start in range(0, d, rows_per_block):
             rb = np.arange(start, min(d, start + rows_per_block))
@@ -214,11 +281,24 @@ def mahalanobis_class_sq(df: DataFrame, means: DataFrame, class_precision: DataF
 
 
 def nmc_neg_distance(df: DataFrame, means: DataFrame, keys=("layer",), label: str = "label", vec: str = "vector",
-                     out: str = "neg_dist") -> DataFrame:
-    """G6 input: minus the Euclidean distance to every class mean."""
+                     out: str = "neg_dist", engine: str = "auto",
+                     max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """G6 input: minus the Euclidean distance to every class mean (engines as in G1)."""
     keys = _k(keys)
-    packed = pack_params(means, keys, label, ["mean"], "_mu")
-    j = attach_params(df, packed, keys)
+    packed = materialize(pack_params(means, keys, label, ["mean"], "_mu"))
+    if engine == "auto":
+        width = packed.select(F.max(F.size(F.element_at("_mu", 1)["mean"]))).first()[0] or 0
+        engine = "hof" if width <= HOF_MAX_DIM else "arrow"
+    if engine == "arrow":
+        prm = _packed_to_numpy(packed, keys, "_mu", ["mean"])
+
+        def neg_dist(x, m):
+            mu = m[0]
+            d2 = (x * x).sum(1)[:, None] - 2 * x @ mu.T + (mu * mu).sum(1)[None, :]
+            return -np.sqrt(np.maximum(d2, 0.0))
+
+        return _arrow_rowwise(df, prm, keys, vec, out, neg_dist, max_broadcast_bytes)
+    j = attach_params(df, packed, keys, materialized=True)
     return j.withColumn(out, F.transform("_mu", lambda m: -F.sqrt(V.sq_dist(vec, m["mean"])))).drop("_mu")
 
 

@@ -145,3 +145,15 @@ def test_step_keyed_fit_equals_refits(data):
         for _, r in ref.iterrows():
             g = got[(got.layer == r.layer) & (got.category == r.category)].iloc[0]
             assert np.allclose(g.w, r.w, atol=1e-9) and abs(g.b - r.b) < 1e-9
+
+
+def test_logit_and_nmc_engines_agree(spark, data):
+    tr, te, _, _ = data
+    fit = S.fit_gda(tr, ["layer"], "label")
+    for fn, arg, col in ((SC.gda_logits, fit["params"], "logits"), (SC.nmc_neg_distance, fit["means"], "neg_dist")):
+        a = {(r.example_id, r.layer): r[col] for r in fn(te, arg, ["layer"], engine="hof").collect()}
+        b = {(r.example_id, r.layer): r[col] for r in fn(te, arg, ["layer"], engine="arrow").collect()}
+        c = {(r.example_id, r.layer): r[col] for r in fn(te, arg, ["layer"], engine="arrow", max_broadcast_bytes=500).collect()}
+        assert a.keys() == b.keys() == c.keys() and len(a) > 0
+        for k in a:
+            assert np.allclose(a[k], b[k], atol=1e-9) and np.allclose(a[k], c[k], atol=1e-9)
