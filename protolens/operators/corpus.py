@@ -86,6 +86,11 @@ def instruction_join(df: DataFrame, instructions: DataFrame, key: str, ikey: str
     return j.select(*df.columns, "_ins.*").drop(ikey, order)
 
 
+def attach_response(prompts: DataFrame, generations: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Prompt, generated response and label assembled into one record by equi joins on ``key``."""
+    return prompts.join(generations, key).join(labels, key)
+
+
 def key_set_check(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys only in ``a`` / only in ``b`` (two anti joins); equal sets give zero rows."""
     ka, kb = a.select(key).distinct(), b.select(key).distinct()

@@ -140,7 +140,7 @@ def q_attach_response(spark, sf):
     gens = c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("response"))
     lab = fx.table(spark, sf, "labels").select(F.col("doc_id").alias("conv_id"),
                                                 (F.col("toxic") == 1).alias("harmfulness_label"))
-    return prompts.join(gens, "conv_id").join(lab, "conv_id")
+    return C.attach_response(prompts, gens, lab, "conv_id")
 
 
 # J5 ---------------------------------------------------------------------------
