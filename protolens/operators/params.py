@@ -101,7 +101,10 @@ def attach_params(
     if salt_col is not None:
         salt = F.pmod(F.xxhash64(F.col(salt_col)), F.lit(salt_buckets))
     else:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salt_buckets))
+        # hash the scalar columns only (cheap, and stable across task retries); vectors are skipped
+        scalar = [f.name for f in rows.schema.fields
+                  if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in (scalar or rows.columns)]), F.lit(salt_buckets))
     salted_rows = rows.withColumn("_salt", salt.cast("int"))
     salted_params = params.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
     return salted_rows.join(salted_params, on + ["_salt"], how).drop("_salt")
