@@ -45,17 +45,36 @@ def features(scored: DataFrame, layers) -> tuple[DataFrame, list[str]]:
     return wide.select("example_id", *[F.col(str(x)).alias(f"layer_{x}") for x in layers]), cols
 
 
+def sample_training_ids(train: DataFrame, num_samples_per_class: int | None = None,
+                        num_frac_data: float | None = None, seed: int = 42) -> DataFrame:
+    """Training rows restricted to ids drawn once (from one layer) and reused for every layer (Q10)."""
+    from protolens.operators import sampling as SP
+
+    if num_samples_per_class is None and num_frac_data is None:
+        return train
+    first_layer = train.agg(F.min("layer")).first()[0]
+    ids = train.where(F.col("layer") == first_layer).select("example_id", "label")
+    if num_frac_data is not None:
+        ids = SP.sample_fraction(ids, num_frac_data, "example_id", seed)
+    if num_samples_per_class is not None:
+        ids = SP.sample_per_class(ids, num_samples_per_class, [], "label", "example_id", seed, strict=True)
+    return train.join(ids.select("example_id"), "example_id", "left_semi")
+
+
 def stack_evaluate(train: DataFrame, bench: DataFrame, C: float = 1.0, use_logits: bool = False,
-                   bench_keys=("dataset",)) -> dict[str, DataFrame]:
+                   bench_keys=("dataset",), num_samples_per_class: int | None = None,
+                   num_frac_data: float | None = None, seed: int = 42) -> dict[str, DataFrame]:
     """Fit per-layer GDA + the L1 stack on ``train`` and score ``bench``.
 
     ``train``: (example_id, layer, label, vector); ``bench``: the same plus
-    ``bench_keys``.  Returns score records per (bench keys, method), the
-    prediction rows and the stack coefficients.
+    ``bench_keys``.  Optional training subsample: a fraction and/or n rows per
+    class, drawn once and used for every layer.  Returns score records per
+    (bench keys, method), the prediction rows and the stack coefficients.
     """
     spark = train.sparkSession
     ensure_checkpoint_dir(spark)
     bench_keys = list(bench_keys)
+    train = sample_training_ids(train, num_samples_per_class, num_frac_data, seed)
     layers = sorted(r[0] for r in train.select("layer").distinct().collect())  # layer ids: a parameter
     fit = fit_layers(train)
     params = fit["params"]

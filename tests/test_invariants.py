@@ -220,3 +220,15 @@ def test_combo_prototypes_plan(spark):
     assert combos == {"ds0", "ds1", "ds2", "ds0+ds1", "ds0+ds2", "ds1+ds2", "ds0+ds1+ds2"}
     assert len(rec) == 7 * 3 * 3  # combos x layers x benchmarks
     assert all(0 <= r.accuracy <= 1 for r in rec)
+
+
+def test_training_sample_is_shared_by_all_layers(spark):
+    from protolens.plans.flagship import sample_training_ids
+
+    tr, _ = train_test(spark, SF_CHECK)
+    s = sample_training_ids(tr, num_samples_per_class=50, num_frac_data=0.9)
+    per_layer = {r.layer: set() for r in s.select("layer").distinct().collect()}
+    for r in s.select("layer", "example_id").collect():
+        per_layer[r.layer].add(r.example_id)
+    sets = list(per_layer.values())
+    assert len(sets) == 3 and all(x == sets[0] for x in sets) and len(sets[0]) == 100
