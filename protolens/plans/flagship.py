@@ -112,13 +112,14 @@ def multilayer_report(spark: SparkSession, sf: str, C: float = 1.0, use_logits:
 
 
 def evaluate_files(spark: SparkSession, train_dir: str, bench_root: str, out_dir: str | None = None,
-                   C: float = 1.0, use_logits: bool = False) -> DataFrame:
+                   C: float = 1.0, use_logits: bool = False, **sample) -> DataFrame:
     """The reference's multi-layer evaluation from files.
 
     ``train_dir``: ``layer_{i}_hidden_states.parquet`` files (layer 0 excluded);
     ``bench_root``: ``{dataset_type}/{dataset}/layer_{i}_hidden_states.parquet``.
     Writes predictions (K2), score records (K3) and stack coefficients (K4)
-    below ``out_dir`` when given; returns the score records.
+    below ``out_dir`` when given; returns the score records.  ``sample``:
+    ``num_samples_per_class`` / ``num_frac_data`` / ``seed`` as in ``stack_evaluate``.
     """
     from protolens.sources import readers as RD
     from protolens.sources import sinks as SK
@@ -131,7 +132,7 @@ def evaluate_files(spark: SparkSession, train_dir: str, bench_root: str, out_dir
 
     train = prep(RD.read_layer_vectors(spark, train_dir))
     bench = prep(RD.read_benchmark_vectors(spark, bench_root))
-    out = stack_evaluate(train, bench, C, use_logits, ["dataset_type", "dataset"])
+    out = stack_evaluate(train, bench, C, use_logits, ["dataset_type", "dataset"], **sample)
     if out_dir:
         SK.write_predictions(out["predictions"], f"{out_dir}/predictions")
         SK.write_scores(out["records"], f"{out_dir}/scores")
