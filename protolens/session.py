@@ -64,18 +64,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def scale_conf(input_bytes: int, vector_dim: int = 4096, cores: int = 8000,
-               batch_bytes: int = 64 * 1024 * 1024) -> dict[str, str]:
+               batch_bytes: int = 64 * 1024 * 1024, classes_per_split: int = 2) -> dict[str, str]:
     """Recommended settings for a cluster run over ``input_bytes`` of vector tables.
 
-    * input splits of 256 MB, shuffle partitions sized so a reduce task reads ~256 MB;
+    * input splits of at least 256 MB and at least 16x the partial-Gram state of
+      a split (``classes_per_split`` x d^2 doubles): each split emits that state
+      once, so the Gram-merge shuffle stays below ~1/8 of the input at any d
+      (d = 4096 -> 2 GiB splits; task memory stays bounded because batches stream);
+    * shuffle partitions sized so a reduce task reads ~256 MB;
     * AQE with partition coalescing and skew-join splitting (a hot layer or class);
     * Arrow batches bounded to ``batch_bytes`` of float64 vectors, so the numpy
       partial Grams and batch scoring keep a fixed memory footprint at any width;
     * broadcast limits for parameter tables (``protolens.maxBroadcastBytes``).
     ``spark.checkpoint.dir`` must name a shared folder; it is never set here.
     """
-    split = 256 * 1024 * 1024
-    shuffle = max(2 * cores, min(200_000, input_bytes // split))
+    split = max(256 * 1024 * 1024, 16 * classes_per_split * vector_dim * vector_dim * 8)
+    shuffle = max(2 * cores, min(200_000, input_bytes // (256 * 1024 * 1024)))
     rows_per_batch = max(128, batch_bytes // max(1, vector_dim * 8))
     return {
         "spark.sql.files.maxPartitionBytes": str(split),
@@ -85,7 +89,7 @@ def scale_conf(input_bytes: int, vector_dim: int = 4096, cores: int = 8000,
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(split),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 * 1024 * 1024),
         "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows_per_batch),
         "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
         "protolens.maxBroadcastBytes": str(256 * 1024 * 1024),
