@@ -70,7 +70,7 @@ def scale_conf(input_bytes: int, vector_dim: int = 4096, cores: int = 8000,
     * input splits of at least 256 MB and at least 16x the partial-Gram state of
       a split (``classes_per_split`` x d^2 doubles): each split emits that state
       once, so the Gram-merge shuffle stays below ~1/8 of the input at any d
-      (d = 4096 -> 2 GiB splits; task memory stays bounded because batches stream);
+      (d = 4096 -> 4 GiB splits; task memory stays bounded because batches stream);
     * shuffle partitions sized so a reduce task reads ~256 MB;
     * AQE with partition coalescing and skew-join splitting (a hot layer or class);
     * Arrow batches bounded to ``batch_bytes`` of float64 vectors, so the numpy
