@@ -31,6 +31,7 @@ def local_session(cpus: int | str = "*", app: str = "protolens") -> SparkSession
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -94,3 +95,42 @@ def scale_conf(input_bytes: int, vector_dim: int = 4096, cores: int = 8000,
         "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
         "protolens.maxBroadcastBytes": str(256 * 1024 * 1024),
     }
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``protolens`` importable in the Python workers (once per SparkContext).
+
+    Arrow UDF closures (``mapInPandas`` / ``applyInPandas``) refer to functions
+    of this package; the package is zipped and added with ``addPyFile``, the
+    same mechanism as ``--py-files``.  A package installed on the executors
+    makes this a no-op in effect.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    # below the shared checkpoint folder when it is a local path; otherwise a driver-side
+    # file that Spark serves to the executors (what --py-files does)
+    shared = scratch_path(spark, "pyfiles")
+    if shared.startswith("file:"):
+        out_dir = shared[len("file:"):]
+    elif shared.startswith("/"):
+        out_dir = shared
+    else:
+        out_dir = tempfile.mkdtemp(prefix="protolens-pyfiles-")
+    zpath = os.path.join(out_dir, "protolens.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)
