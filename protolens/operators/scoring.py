@@ -126,29 +126,72 @@ def _packed_to_numpy(packed: DataFrame, keys: list[str], name: str, fields: Sequ
     return out
 
 
-def _arrow_mahalanobis(df: DataFrame, params: dict, keys: list[str], vec: str, out: str,
+class _ParamSource:
+    """Parameter-sized tables, read to the driver one chunk of keys (or one row block) at a time."""
+
+    def __init__(self, means: DataFrame, matrices: DataFrame, keys: list[str], label: str, per_class: bool):
+        self.means = materialize(means.select(*keys, label, "mean"))
+        cols = keys + ([label] if per_class else [])
+        self.matrices = materialize(matrices.select(*cols, "i", "row"))
+        self.keys, self.label, self.per_class = keys, label, per_class
+        info = self.means.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.max(F.size("mean")).alias("d"))
+        self.shape = {tuple(r[c] for c in keys): (int(r["k"]), int(r["d"])) for r in info.collect()}
+
+    def nbytes(self, key) -> int:
+        k, d = self.shape[key]
+        return (k * d + (k if self.per_class else 1) * d * d) * 8
+
+    def load(self, ks, rows=None) -> dict:
+        """{key: (K x d means, precision [rows] as d x d / r x d, or K x (.) x d)} for the keys ``ks``."""
+        cond = _key_filter(self.keys, ks)
+        mu: dict = {}
+        for r in self.means.where(cond).collect():
+            mu.setdefault(tuple(r[c] for c in self.keys), []).append((r[self.label], r["mean"]))
+        mq = self.matrices.where(cond)
+        if rows is not None:
+            mq = mq.where(F.col("i").isin([int(x) for x in rows]))
+        mats: dict = {}
+        cols = self.keys + ([self.label] if self.per_class else [])
+        for r in mq.collect():
+            mats.setdefault(tuple(r[c] for c in cols), []).append((r["i"], r["row"]))
+        out = {}
+        for k, lst in mu.items():
+            lst.sort()
+            m = np.array([v for _, v in lst], dtype=np.float64)
+
+            def mat(key):
+                return np.array([v for _, v in sorted(mats[key])], dtype=np.float64)
+
+            p = np.stack([mat(k + (lab,)) for lab, _ in lst]) if self.per_class else mat(k)
+            out[k] = (m, p)
+        return out
+
+
+def _arrow_mahalanobis(df: DataFrame, src: _ParamSource, keys: list[str], vec: str, out: str,
                        max_bytes: int, id_col: str | None = None) -> DataFrame:
     """Distances per Arrow batch with numpy; parameters are broadcast in pieces of at most ``max_bytes``.
 
-    ``params``: {key tuple: (means K x d, precision d x d or K x d x d)}.  Keys
-    are grouped into chunks under the limit, and each chunk scans only its own
-    rows (partition pruning on a layer-partitioned table).  A key whose
-    matrices alone exceed the limit is split into blocks of precision rows:
-    each block adds z[rows]^T (P[rows, :] z) per row, and the block partials are
-    summed by (``id_col``, keys).
+    Keys are grouped into chunks under the limit and each chunk's matrices are
+    read to the driver only when its broadcast is built, so the driver never
+    holds more than one chunk.  Each chunk scans only its own rows (partition
+    pruning on a layer-partitioned table).  A key whose matrices alone exceed
+    the limit is split into blocks of precision rows: each block adds
+    z[rows]^T (P[rows, :] z) per row, and the block partials are summed by
+    (``id_col``, keys).
     """
     spark = df.sparkSession
     out_schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
-    chunks, cur, cur_b, blocked = [], {}, 0, {}
-    for k, (m, p) in params.items():
-        b = (m.size + p.size) * 8
+    chunks, cur, cur_b, blocked = [], [], 0, []
+    for k in sorted(src.shape):
+        b = src.nbytes(k)
         if b > max_bytes:
-            blocked[k] = (m, p)
+            blocked.append(k)
             continue
         if cur and cur_b + b > max_bytes:
             chunks.append(cur)
-            cur, cur_b = {}, 0
-        cur[k], cur_b = (m, p), cur_b + b
+            cur, cur_b = [], 0
+        cur.append(k)
+        cur_b += b
     if cur:
         chunks.append(cur)
 
@@ -178,23 +221,23 @@ def _arrow_mahalanobis(df: DataFrame, params: dict, keys: list[str], vec: str, o
 
     parts = []
     for ch in chunks:
-        bc = spark.sparkContext.broadcast(ch)
+        bc = spark.sparkContext.broadcast(src.load(ch))  # one chunk on the driver at a time
         parts.append(df.where(_key_filter(keys, ch)).mapInPandas(scorer(bc), out_schema))
-    for k, (m, p) in blocked.items():
+    for k in blocked:
         if id_col is None:
             raise ValueError(f"precision matrices of key {k} exceed the broadcast limit; pass id_col for blocked scoring")
-        d = m.shape[1]
-        per_row = (p.shape[0] if p.ndim == 3 else 1) * d * 8
-        rows_per_block = max(1, (max_bytes - m.size * 8) // per_row)
+        kk, d = src.shape[k]
+        per_row = (kk if src.per_class else 1) * d * 8
+        rows_per_block = max(1, (max_bytes - kk * d * 8) // per_row)
         base = df.where(_key_filter(keys, [k]))
+        small = base.select(id_col, *keys, vec)
+        schema = T.StructType(small.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
         partials = []
         for start in range(0, d, rows_per_block):
             rb = np.arange(start, min(d, start + rows_per_block))
-            pb = p[:, rb, :] if p.ndim == 3 else p[rb, :]
+            m, pb = src.load([k], rows=rb)[k]
             bc = spark.sparkContext.broadcast({k: (m, pb, rb)})
-            partials.append(base.select(id_col, *keys, vec).mapInPandas(
-                scorer(bc, rows_sel=True), T.StructType(base.select(id_col, *keys, vec).schema.fields
-                                                        + [T.StructField(out, T.ArrayType(T.DoubleType()))])))
+            partials.append(small.mapInPandas(scorer(bc, rows_sel=True), schema))
         u = partials[0]
         for q in partials[1:]:
             u = u.unionByName(q)
@@ -207,29 +250,6 @@ def _arrow_mahalanobis(df: DataFrame, params: dict, keys: list[str], vec: str, o
     return res
 
 
-def _collect_params(means: DataFrame, matrices: DataFrame, keys: list[str], label: str, per_class: bool) -> dict:
-    """Parameter-sized tables to numpy on the driver: {key: (K x d means, d x d or K x d x d)}."""
-    mu = {}
-    for r in means.select(*keys, label, "mean").collect():
-        mu.setdefault(tuple(r[k] for k in keys), []).append((r[label], r["mean"]))
-    mats = {}
-    cols = keys + ([label] if per_class else [])
-    for r in matrices.select(*cols, "i", "row").collect():
-        mats.setdefault(tuple(r[c] for c in cols), []).append((r["i"], r["row"]))
-    out = {}
-    for k, lst in mu.items():
-        lst.sort()
-        m = np.array([v for _, v in lst], dtype=np.float64)
-
-        def mat(key):
-            rows = sorted(mats[key])
-            return np.array([v for _, v in rows], dtype=np.float64)
-
-        p = np.stack([mat(k + (lab,)) for lab, _ in lst]) if per_class else mat(k)
-        out[k] = (m, p)
-    return out
-
-
 def mahalanobis_sq(df: DataFrame, means: DataFrame, precision: DataFrame, keys=("layer",), label: str = "label",
                    vec: str = "vector", out: str = "maha", engine: str = "auto",
                    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES, id_col: str = "example_id") -> DataFrame:
@@ -242,8 +262,8 @@ def mahalanobis_sq(df: DataFrame, means: DataFrame, precision: DataFrame, keys=(
     if engine == "auto":
         engine = "arrow"  # d^2 per row: numpy BLAS wins at every measured width
     if engine == "arrow":
-        prm = _collect_params(means, precision, keys, label, per_class=False)
-        return _arrow_mahalanobis(df, prm, keys, vec, out, max_broadcast_bytes, id_col)
+        src = _ParamSource(means, precision, keys, label, per_class=False)
+        return _arrow_mahalanobis(df, src, keys, vec, out, max_broadcast_bytes, id_col)
     mpack = pack_params(means, keys, label, ["mean"], "_mu")
     ppack = precision.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda t: t["row"]).alias("_p")
@@ -264,8 +284,8 @@ def mahalanobis_class_sq(df: DataFrame, means: DataFrame, class_precision: DataF
     if engine == "auto":
         engine = "arrow"  # d^2 per row: numpy BLAS wins at every measured width
     if engine == "arrow":
-        prm = _collect_params(means, class_precision, keys, label, per_class=True)
-        return _arrow_mahalanobis(df, prm, keys, vec, out, max_broadcast_bytes, id_col)
+        src = _ParamSource(means, class_precision, keys, label, per_class=True)
+        return _arrow_mahalanobis(df, src, keys, vec, out, max_broadcast_bytes, id_col)
     pm = class_precision.groupBy(*keys, label).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda t: t["row"]).alias("p")
     )
