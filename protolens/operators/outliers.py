@@ -116,39 +116,65 @@ def fit_forests(df: DataFrame, keys: Sequence[str], id_col: str = "example_id",
 
 def outlier_scores(df: DataFrame, forests: DataFrame, keys: Sequence[str], vec: str = "vector",
                    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
-    """Anomaly score -2^(-E[h]/c(psi)) of every row under its own group's forest, and ``keep`` (score >= -0.5)."""
+    """Anomaly score -2^(-E[h]/c(psi)) of every row under its own group's forest, and ``keep`` (score >= -0.5).
+
+    Forests are parameter-sized; groups are scored in chunks whose forests fit
+    the broadcast limit, each chunk's forests read to the driver only when its
+    broadcast is built, and each chunk scanning only its own rows.
+    """
+    from protolens.operators.params import materialize
+    from protolens.operators.scoring import _key_filter
+
     keys = list(keys)
-    rows = forests.collect()  # parameter-sized; size checked below
-    approx = sum(len(r["feat"]) * 24 for r in rows)
-    if approx > max_broadcast_bytes:
-        raise ValueError(f"forest table of ~{approx} bytes exceeds the broadcast limit; lower n_trees or group count")
-    forest: dict[tuple, list] = {}
-    for r in rows:
-        forest.setdefault(tuple(r[k] for k in keys), []).append(
-            (r["psi"], (r["feat"], r["thr"], r["left"], r["right"], r["size"])))
-    bc = df.sparkSession.sparkContext.broadcast(forest)
+    forests = materialize(forests)
+    sizes = forests.groupBy(*keys).agg(F.sum(F.size("feat") * 24 + 64).alias("b")).collect()
+    chunks, cur, cur_b = [], [], 0
+    for r in sorted(sizes, key=lambda r: tuple(str(r[k]) for k in keys)):
+        key, b = tuple(r[k] for k in keys), int(r["b"])
+        if b > max_broadcast_bytes:
+            raise ValueError(f"the forest of group {key} (~{b} bytes) exceeds the broadcast limit; lower n_trees")
+        if cur and cur_b + b > max_broadcast_bytes:
+            chunks.append(cur)
+            cur, cur_b = [], 0
+        cur.append(key)
+        cur_b += b
+    if cur:
+        chunks.append(cur)
     out_schema = T.StructType(df.schema.fields + [T.StructField("outlier_score", T.DoubleType()),
                                                   T.StructField("keep", T.BooleanType())])
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fz = bc.value
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(outlier_score=pd.Series(dtype="float64"), keep=pd.Series(dtype="bool"))
-                continue
-            scores = np.full(len(pdf), np.nan)
-            for key, part in pdf.groupby(keys, sort=False, dropna=False):
-                key = key if isinstance(key, tuple) else (key,)
-                trees = fz.get(tuple(key))
-                if not trees:
+    def scorer(bc):
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            fz = bc.value
+            for pdf in batches:
+                if pdf.empty:
+                    yield pdf.assign(outlier_score=pd.Series(dtype="float64"), keep=pd.Series(dtype="bool"))
                     continue
-                x = np.stack(part[vec].to_numpy()).astype(np.float64)
-                h = np.mean([_path_lengths(x, t) for _, t in trees], axis=0)
-                psi = trees[0][0]
-                scores[pdf.index.get_indexer(part.index)] = -np.power(2.0, -h / max(avg_path(psi), 1e-12))
-            yield pdf.assign(outlier_score=scores, keep=np.nan_to_num(scores, nan=0.0) >= -0.5)
-
-    return df.mapInPandas(score, out_schema)
+                scores = np.full(len(pdf), np.nan)
+                for key, part in pdf.groupby(keys, sort=False, dropna=False):
+                    key = key if isinstance(key, tuple) else (key,)
+                    trees = fz.get(tuple(key))
+                    if not trees:
+                        continue
+                    x = np.stack(part[vec].to_numpy()).astype(np.float64)
+                    h = np.mean([_path_lengths(x, t) for _, t in trees], axis=0)
+                    psi = trees[0][0]
+                    scores[pdf.index.get_indexer(part.index)] = -np.power(2.0, -h / max(avg_path(psi), 1e-12))
+                yield pdf.assign(outlier_score=scores, keep=np.nan_to_num(scores, nan=0.0) >= -0.5)
+        return score
+
+    parts = []
+    for ch in chunks:
+        forest: dict[tuple, list] = {}
+        for r in forests.where(_key_filter(keys, ch)).collect():  # one chunk on the driver at a time
+            forest.setdefault(tuple(r[k] for k in keys), []).append(
+                (r["psi"], (r["feat"], r["thr"], r["left"], r["right"], r["size"])))
+        bc = df.sparkSession.sparkContext.broadcast(forest)
+        parts.append(df.where(_key_filter(keys, ch)).mapInPandas(scorer(bc), out_schema))
+    res = parts[0]
+    for p_ in parts[1:]:
+        res = res.unionByName(p_)
+    return res
 
 
 def outlier_filter(df: DataFrame, keys: Sequence[str], id_col: str = "example_id", vec: str = "vector",

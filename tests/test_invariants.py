@@ -232,3 +232,15 @@ def test_training_sample_is_shared_by_all_layers(spark):
         per_layer[r.layer].add(r.example_id)
     sets = list(per_layer.values())
     assert len(sets) == 3 and all(x == sets[0] for x in sets) and len(sets[0]) == 100
+
+
+def test_isolation_forest_chunked_broadcast_equal(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 3))
+    pdf = pd.DataFrame({"example_id": np.arange(400), "label": np.arange(400) % 4, "vector": list(x)})
+    df = spark.createDataFrame(pdf)
+    forests = O.fit_forests(df, ["label"], n_trees=20)
+    a = {r.example_id: r.outlier_score for r in O.outlier_scores(df, forests, ["label"]).collect()}
+    b = {r.example_id: r.outlier_score for r in O.outlier_scores(df, forests, ["label"], max_broadcast_bytes=60000).collect()}
+    assert a.keys() == b.keys() and len(a) == 400
+    assert all(abs(a[k] - b[k]) < 1e-12 for k in a)
