@@ -46,8 +46,8 @@ def gda_logits(df: DataFrame, params: DataFrame, keys=("layer",), label: str = "
         width = packed.select(F.max(F.size(F.element_at("_gda", 1)["w"]))).first()[0] or 0
         engine = "hof" if width <= HOF_MAX_DIM else "arrow"
     if engine == "arrow":
-        prm = _packed_to_numpy(packed, keys, "_gda", ["w", "b"])
-        return _arrow_rowwise(df, prm, keys, vec, out, lambda x, wb: x @ wb[0].T + wb[1], max_broadcast_bytes)
+        return _arrow_rowwise(df, packed, keys, "_gda", ["w", "b"], vec, out, lambda x, wb: x @ wb[0].T + wb[1],
+                              max_broadcast_bytes)
     j = attach_params(df, packed, keys, materialized=True)
     return j.withColumn(out, F.transform("_gda", lambda p: V.dot(vec, p["w"]) + p["b"])).drop("_gda")
 
@@ -73,23 +73,39 @@ def _key_filter(keys: list[str], ks) -> F.Column:
     return cond
 
 
-def _arrow_rowwise(df: DataFrame, params: dict, keys: list[str], vec: str, out: str, fn, max_bytes: int) -> DataFrame:
-    """Apply ``fn(X, params[key]) -> (n x K)`` per key and Arrow batch; parameters broadcast in chunks <= ``max_bytes``.
+def _arrow_rowwise(df: DataFrame, packed: DataFrame, keys: list[str], name: str, fields: Sequence[str], vec: str,
+                   out: str, fn, max_bytes: int) -> DataFrame:
+    """Apply ``fn(X, params) -> (n x K)`` per key and Arrow batch.
 
-    Each chunk of keys scans only its own rows (partition pruning on a
-    layer-partitioned table); chunk results are unioned.
+    ``packed``: one row per key with an array ``name`` of per-class structs.
+    Keys are grouped into chunks under ``max_bytes``; a chunk's parameters are
+    read to the driver and broadcast only when the chunk is built, and each
+    chunk scans only its own rows (partition pruning on a layer-partitioned
+    table); chunk results are unioned.
     """
     spark = df.sparkSession
     out_schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
-    chunks, cur, cur_b = [], {}, 0
-    for k, prm in params.items():
-        b = sum(np.asarray(a).size for a in prm) * 8
+    elem = packed.schema[name].dataType.elementType
+
+    def field_size(field):
+        if isinstance(elem[field].dataType, T.ArrayType):
+            return lambda it: F.coalesce(F.size(it[field]), F.lit(0))
+        return lambda it: F.lit(1)  # a scalar field
+
+    size = F.lit(0)
+    for f in fields:
+        size = size + F.aggregate(F.transform(name, field_size(f)), F.lit(0), lambda a, b: a + b)
+    sizes = packed.select(*keys, (size * 8).alias("_b")).collect()
+    chunks, cur, cur_b = [], [], 0
+    for r in sorted(sizes, key=lambda r: tuple(str(r[k]) for k in keys)):
+        k, b = tuple(r[c] for c in keys), int(r["_b"])
         if b > max_bytes:
             raise ValueError(f"parameters of key {k} ({b} bytes) exceed the broadcast limit")
         if cur and cur_b + b > max_bytes:
             chunks.append(cur)
-            cur, cur_b = {}, 0
-        cur[k], cur_b = prm, cur_b + b
+            cur, cur_b = [], 0
+        cur.append(k)
+        cur_b += b
     if cur:
         chunks.append(cur)
 
@@ -109,8 +125,10 @@ def _arrow_rowwise(df: DataFrame, params: dict, keys: list[str], vec: str, out:
                 yield pdf.assign(**{out: res})
         return run
 
-    parts = [df.where(_key_filter(keys, ch)).mapInPandas(make(spark.sparkContext.broadcast(ch)), out_schema)
-             for ch in chunks]
+    parts = []
+    for ch in chunks:
+        prm = _packed_to_numpy(packed.where(_key_filter(keys, ch)), keys, name, fields)  # one chunk at a time
+        parts.append(df.where(_key_filter(keys, ch)).mapInPandas(make(spark.sparkContext.broadcast(prm)), out_schema))
     res = parts[0]
     for p_ in parts[1:]:
         res = res.unionByName(p_)
@@ -307,14 +325,12 @@ def nmc_neg_distance(df: DataFrame, means: DataFrame, keys=("layer",), label: st
         width = packed.select(F.max(F.size(F.element_at("_mu", 1)["mean"]))).first()[0] or 0
         engine = "hof" if width <= HOF_MAX_DIM else "arrow"
     if engine == "arrow":
-        prm = _packed_to_numpy(packed, keys, "_mu", ["mean"])
-
         def neg_dist(x, m):
             mu = m[0]
             d2 = (x * x).sum(1)[:, None] - 2 * x @ mu.T + (mu * mu).sum(1)[None, :]
             return -np.sqrt(np.maximum(d2, 0.0))
 
-        return _arrow_rowwise(df, prm, keys, vec, out, neg_dist, max_broadcast_bytes)
+        return _arrow_rowwise(df, packed, keys, "_mu", ["mean"], vec, out, neg_dist, max_broadcast_bytes)
     j = attach_params(df, packed, keys, materialized=True)
     return j.withColumn(out, F.transform("_mu", lambda m: -F.sqrt(V.sq_dist(vec, m["mean"])))).drop("_mu")
 
