@@ -4,22 +4,25 @@ Counting metrics are one grouped aggregation.  Ranking metrics (ROC AUC,
 average precision) first collapse rows to one row per distinct score and
 group (map-side combined), then need prefix sums over the score order.  A
 window partitioned only by the group would put a hot group (one dataset may
-hold a third of all rows) into one task, so ``prefix_sums`` splits each group
-into quantile buckets: bucket totals are prefix-summed over a tiny table, and
-rows are prefix-summed within (group, bucket) windows.
+hold a third of all rows) into one task, so ``prefix_sums`` range-partitions
+the (group, score) rows into contiguous ranges sized from the row count,
+cumulates each sorted range in one streaming pass and adds per-range offsets
+from a tiny (group x range) table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from protolens.functions import vec as V
 from protolens.operators.params import attach_params, materialize
 
-DEFAULT_BUCKETS = 16
+DEFAULT_BUCKETS = None  # ranges sized from the row count (ROWS_PER_RANGE rows each)
 
 
 def _k(keys) -> list[str]:
@@ -87,43 +90,61 @@ def counting_metrics(conf: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- prefix sums
-def prefix_sums(df: DataFrame, keys, order: str, cols: Sequence[str], buckets: int = DEFAULT_BUCKETS,
-                descending: bool = False, suffix: str = "_cum") -> DataFrame:
-    """Inclusive running sums of ``cols`` per group in ``order``, without one task per group.
+ROWS_PER_RANGE = 1_000_000
 
-    ``df`` has one row per (keys, order) value.  With ``buckets`` > 1 every
-    group is cut at approximate quantiles of ``order``; equal values always
-    share a bucket, so the result is exact.
+
+def prefix_sums(df: DataFrame, keys, order: str, cols: Sequence[str], buckets: int | None = None,
+                descending: bool = False, suffix: str = "_cum", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Inclusive running sums of ``cols`` per group in ``order``, with no task holding a whole group.
+
+    ``df`` has one row per (keys, order) value.  Rows are range-partitioned on
+    (keys, order) into ``buckets`` partitions (default: rows / ``rows_per_range``),
+    so a hot group is spread over many contiguous ranges.  Each range is
+    sorted and cumulated in one streaming pass (``mapInPandas``); the ranged
+    table is written once so both of its uses see the same ranges; per-range
+    totals (a #groups x #ranges table) give each range its offset.
     """
     keys = _k(keys)
     cols = list(cols)
-    o = F.col(order)
-    osort = o.desc() if descending else o.asc()
-    if buckets <= 1:
-        w = Window.partitionBy(*keys).orderBy(osort).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(w).alias(c + suffix) for c in cols])
-    qs = [i / buckets for i in range(1, buckets)]
+    spark = df.sparkSession
     if not keys:
         df = df.withColumn("_pk_all", F.lit(0))
         keys = ["_pk_all"]
-    bounds = df.groupBy(*keys).agg(F.percentile_approx(order, qs, 10000).alias("_bounds"))
-    with_b = attach_params(df, bounds, keys)  # bounds: #groups x buckets values
-    if descending:
-        bucket = F.size(F.filter("_bounds", lambda b: b >= o))
-    else:
-        bucket = F.size(F.filter("_bounds", lambda b: b < o))
-    with_b = with_b.withColumn("_bucket", bucket.cast("int")).drop("_bounds")
-    totals = with_b.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(c + "_bt") for c in cols])
-    wb = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "_bucket", *[F.coalesce(F.sum(c + "_bt").over(wb), F.lit(0)).alias(c + "_off") for c in cols]
-    )
-    j = with_b.join(offsets, keys + ["_bucket"])
-    w = Window.partitionBy(*keys, "_bucket").orderBy(osort).rowsBetween(Window.unboundedPreceding, 0)
-    out = j.select(
-        *[F.col(c) for c in df.columns],
-        *[(F.sum(c).over(w) + F.col(c + "_off")).alias(c + suffix) for c in cols],
-    )
+    if buckets is None:
+        n = df.count()
+        buckets = max(1, -(-n // max(1, rows_per_range)))
+    o = F.col(order).desc() if descending else F.col(order).asc()
+    ranged = df.repartitionByRange(int(buckets), *[F.col(k) for k in keys], o) \
+        .sortWithinPartitions(*[F.col(k) for k in keys], o).withColumn("_range", F.spark_partition_id())
+    out_schema = T.StructType(ranged.schema.fields + [T.StructField(c + "_loc", ranged.schema[c].dataType) for c in cols])
+
+    def cumulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carry: dict = {}  # running sums per group across the batches of one sorted range
+        for pdf in batches:
+            if pdf.empty:
+                yield pdf.assign(**{c + "_loc": pdf[c] for c in cols})
+                continue
+            g = pdf.groupby(keys, sort=False, dropna=False)
+            loc = g[cols].cumsum()
+            if carry:
+                base = pd.DataFrame([carry.get(k if isinstance(k, tuple) else (k,), [0] * len(cols))
+                                     for k in pdf[keys].itertuples(index=False, name=None)],
+                                    columns=cols, index=pdf.index)
+                loc = loc + base
+            last = pdf[keys].assign(**{c: loc[c] for c in cols}).groupby(keys, sort=False, dropna=False).last()
+            for k, row in last.iterrows():
+                carry[k if isinstance(k, tuple) else (k,)] = [row[c] for c in cols]
+            yield pdf.assign(**{c + "_loc": loc[c].astype(pdf[c].dtype) for c in cols})
+
+    local = materialize(ranged.mapInPandas(cumulate, out_schema))
+    totals = local.groupBy(*keys, "_range").agg(*[F.sum(c).alias(c + "_rt") for c in cols])
+    wr = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_range",
+                            *[F.coalesce(F.sum(c + "_rt").over(wr), F.lit(0)).alias(c + "_off") for c in cols])
+    j = attach_params(local, offsets, keys + ["_range"])
+    out = j.select(*[F.col(c) for c in df.columns],
+                   *[(F.col(c + "_loc") + F.col(c + "_off")).cast(df.schema[c].dataType).alias(c + suffix)
+                     for c in cols])
     return out.drop("_pk_all") if "_pk_all" in out.columns else out
 
 

@@ -244,3 +244,24 @@ def test_isolation_forest_chunked_broadcast_equal(spark):
     b = {r.example_id: r.outlier_score for r in O.outlier_scores(df, forests, ["label"], max_broadcast_bytes=60000).collect()}
     assert a.keys() == b.keys() and len(a) == 400
     assert all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
+def test_prefix_sums_ranges_and_batches(spark):
+    """Many ranges, tiny Arrow batches (sums carried across batches), one hot group: equal to pandas cumsum."""
+    rng = np.random.default_rng(9)
+    n = 3000
+    g = np.where(rng.random(n) < 0.8, "hot", rng.choice(["a", "b", "c"], n))
+    pdf = pd.DataFrame({"g": g, "score": rng.permutation(n).astype(float), "pos": rng.integers(0, 3, n)})
+    df = spark.createDataFrame(pdf)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = M.prefix_sums(df, ["g"], "score", ["pos"], buckets=13).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    exp = pdf.sort_values(["g", "score"]).assign(pos_cum=lambda t: t.groupby("g")["pos"].cumsum())
+    m = exp.merge(got, on=["g", "score"], suffixes=("", "_got"))
+    assert len(m) == n and (m.pos_cum == m.pos_cum_got).all()
+    desc = M.prefix_sums(df, ["g"], "score", ["pos"], buckets=5, descending=True).toPandas()
+    exp_d = pdf.sort_values(["g", "score"], ascending=[True, False]).assign(c=lambda t: t.groupby("g")["pos"].cumsum())
+    md = exp_d.merge(desc, on=["g", "score"])
+    assert (md.c == md.pos_cum).all()
