@@ -21,6 +21,7 @@ from protolens.operators import metrics as M
 from protolens.operators import scoring as SC
 from protolens.operators import stats as S
 from protolens.plans.common import rnd, train_test
+from protolens.operators.params import materialize
 from protolens.session import ensure_checkpoint_dir
 
 RECORD_COLS = ["accuracy", "f1", "true_positive_rate", "true_negative_rate", "negative_support", "positive_support",
@@ -88,6 +89,8 @@ def stack_evaluate(train: DataFrame, bench: DataFrame, C: float = 1.0, use_logit
     b = bench.withColumn("_uid", uid)
     b_scored = layer_probabilities(b.drop("example_id").withColumnRenamed("_uid", "example_id"), params,
                                    use_logits=use_logits)
+    # used twice (stack features, per-layer records): keep the slim scores, not the vectors, and scan once
+    b_scored = materialize(b_scored.select("example_id", "layer", *bench_keys, "label", "score"))
     b_feat, _ = features(b_scored, layers)
     b_meta = b.select(F.col("_uid").alias("example_id"), *bench_keys, "label").distinct()
     stacked = ME.meta_predict(model, b_feat.join(b_meta, "example_id"), cols, "score")
