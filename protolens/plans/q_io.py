@@ -68,18 +68,21 @@ def q_scan_benchmarks(spark, sf):
 
 
 # S4 ---------------------------------------------------------------------------
-_RS_SCHEMA = "seed string, num_samples string, f1 double, accuracy double"
+_S4_LEVELS = ("model", "num_samples", "seed", "dataset_type", "dataset")
 
 
 @register("scan_result_scores", with_views("""
-SELECT model, dataset_type, dataset, seed, num_samples, round(f1, 6) AS f1, round(accuracy, 6) AS accuracy
-FROM result_scores""", "result_scores"))
+SELECT model, num_samples, seed, dataset_type, dataset, 'f1' AS metric, round(f1, 6) AS value FROM result_scores
+UNION ALL SELECT model, num_samples, seed, dataset_type, dataset, 'accuracy', round(accuracy, 6) FROM result_scores""",
+                                           "result_scores"))
 def q_scan_result_scores(spark, sf):
+    """One flat score file per run folder model/num_samples/seed/type/dataset, scanned back in one read."""
     root = scratch_path(spark, "results")
-    fx.result_scores(spark, sf).write.mode("overwrite").partitionBy("model", "dataset_type", "dataset").json(root)
-    r = RD.scan_result_scores(spark, root, _RS_SCHEMA, file_glob="*.json", multi_line=False)
-    return r.select("model", "dataset_type", "dataset", "seed", "num_samples", rnd("f1").alias("f1"),
-                    rnd("accuracy").alias("accuracy"))
+    rs = fx.result_scores(spark, sf)
+    files = rs.select(*_S4_LEVELS, F.to_json(F.struct("f1", "accuracy")).alias("value"))
+    files.repartition(*_S4_LEVELS).write.mode("overwrite").partitionBy(*_S4_LEVELS).text(root)
+    r = RD.scan_result_scores(spark, root, levels=_S4_LEVELS, file_glob="*.txt")
+    return r.select(*_S4_LEVELS, "metric", rnd("value").alias("value"))
 
 
 # S5 ---------------------------------------------------------------------------
@@ -185,8 +188,8 @@ def q_write_scores(spark, sf):
     rec = M.binary_scores(s, ["dataset_type", "dataset", "method"], "score", "label")
     path = scratch_path(spark, "scores")
     SK.write_scores(rec, path)
-    return spark.read.text(path).select("dataset_type", "dataset", F.get_json_object("value", "$.method").alias("method"),
-                                        rnd(F.get_json_object("value", "$.f1").cast("double")).alias("f1"))
+    back = RD.scan_result_scores(spark, path, levels=("dataset_type", "dataset"), nested=True, file_glob="*.txt")
+    return back.where(F.col("metric") == "f1").select("dataset_type", "dataset", "method", rnd("value").alias("f1"))
 
 
 # K4 ---------------------------------------------------------------------------

@@ -66,25 +66,27 @@ def scan_benchmarks(spark: SparkSession, root: str, fmt: str = "parquet") -> Dat
     return raw.select(part(1).alias("dataset_type"), part(2).alias("dataset"), *raw.columns)
 
 
-def scan_result_scores(spark: SparkSession, root: str, schema: T.StructType | str | None = None,
-                       levels=("model", "dataset_type", "dataset"), file_glob: str = "scores.json",
-                       multi_line: bool = True) -> DataFrame:
-    """Every ``.../scores.json`` below ``root``; missing files are simply absent.
-
-    Path parts below ``root`` become columns named by ``levels`` (last parts
-    before the file name).
+def scan_result_scores(spark: SparkSession, root: str, levels=("model", "dataset_type", "dataset"),
+                       nested: bool = False, file_glob: str = "scores.json") -> DataFrame:
+    """Every score file below ``root`` (``.../{levels}/scores.json``) in one scan; missing files are absent.
+
+    A file is one JSON object (pretty-printed or not): flat ``{metric: value}``
+    or, with ``nested``, ``{method: {metric: value}}``.  Path parts above the
+    file name become the ``levels`` columns (``name=value`` folders are
+    accepted).  Output is long: (levels..., [method,] metric, value).
     """
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file_glob)
-    # a reference scores.json is one pretty-printed object per file; JSON lines are splittable
-    reader = reader.option("multiLine", str(multi_line).lower())
-    if schema is not None:
-        reader = reader.schema(schema)
-    raw = reader.json(root)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file_glob) \
+        .option("wholetext", "true").text(root)
     parts = F.split(F.col("_metadata.file_path"), "/")
     n = len(levels)
     cols = [F.regexp_replace(F.element_at(parts, -(n + 1) + j), r"^[^=/]*=", "").alias(name)
             for j, name in enumerate(levels)]
-    return raw.select(*cols, *raw.columns)
+    if nested:
+        m = F.from_json("value", T.MapType(T.StringType(), T.MapType(T.StringType(), T.DoubleType())))
+        by_method = raw.select(*cols, F.explode(m).alias("method", "metrics"))
+        return by_method.select(*levels, "method", F.explode("metrics").alias("metric", "value"))
+    m = F.from_json("value", T.MapType(T.StringType(), T.DoubleType()))
+    return raw.select(*cols, F.explode(m).alias("metric", "value"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:

@@ -28,12 +28,17 @@ def write_predictions(df: DataFrame, path: str) -> None:
     _writer(df, "overwrite", ("dataset_type", "dataset")).parquet(path)
 
 
-def write_scores(df: DataFrame, path: str, keys=("dataset_type", "dataset")) -> None:
-    """K3: one JSON score record per benchmark (and method), partitioned by benchmark."""
+def write_scores(df: DataFrame, path: str, keys=("dataset_type", "dataset"), method: str = "method") -> None:
+    """K3: one score file per benchmark, ``{method: {metric: value}}``, in a ``{keys}/`` folder.
+
+    A benchmark's methods are a bounded group (a handful of rows).
+    """
     keys = list(keys)
-    rec = df.select(*keys, F.to_json(F.struct(*[c for c in df.columns if c not in keys])).alias("value"))
+    metrics = [c for c in df.columns if c not in keys and c != method]
+    entries = F.collect_list(F.struct(F.col(method), F.struct(*[F.col(c).cast("double").alias(c) for c in metrics])))
+    rec = df.groupBy(*keys).agg(F.to_json(F.map_from_entries(entries)).alias("value"))
     df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    _writer(rec, "overwrite", keys).text(path)
+    _writer(rec.repartition(*keys), "overwrite", keys).text(path)
 
 
 def write_meta_coefficients(df: DataFrame, path: str) -> None:

@@ -265,3 +265,27 @@ def test_prefix_sums_ranges_and_batches(spark):
     exp_d = pdf.sort_values(["g", "score"], ascending=[True, False]).assign(c=lambda t: t.groupby("g")["pos"].cumsum())
     md = exp_d.merge(desc, on=["g", "score"])
     assert (md.c == md.pos_cum).all()
+
+
+def test_scan_reference_style_score_files(spark):
+    """Pretty-printed scores.json files (flat and nested) in model/.../type/dataset folders."""
+    import json
+    import os
+
+    from protolens.sources import readers as RD
+
+    root = scratch_path(spark, "scores_tree").replace("file:", "")
+    flat = {("m1", "harmful", "a"): {"f1": 0.5, "accuracy": 0.75}, ("m2", "non_harmful", "b"): {"f1": 0.25, "accuracy": 1}}
+    for (m, t, d), rec in flat.items():
+        os.makedirs(os.path.join(root, "flat", m, "3_datasets", t, d))
+        with open(os.path.join(root, "flat", m, "3_datasets", t, d, "scores.json"), "w") as f:
+            json.dump(rec, f, indent=4)
+    os.makedirs(os.path.join(root, "nested", "harmful", "a"))
+    with open(os.path.join(root, "nested", "harmful", "a", "scores.json"), "w") as f:
+        json.dump({"gda": {"f1": 0.1, "positive_support": 3}, "nmc": {"f1": 0.2}}, f, indent=4)
+    got = {(r.model, r.dataset_type, r.dataset, r.metric): r.value
+           for r in RD.scan_result_scores(spark, os.path.join(root, "flat")).collect()}
+    assert got == {(m, t, d, k): float(v) for (m, t, d), rec in flat.items() for k, v in rec.items()}
+    nested = {(r.method, r.metric): r.value for r in
+              RD.scan_result_scores(spark, os.path.join(root, "nested"), ("dataset_type", "dataset"), nested=True).collect()}
+    assert nested == {("gda", "f1"): 0.1, ("gda", "positive_support"): 3.0, ("nmc", "f1"): 0.2}
