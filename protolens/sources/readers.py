@@ -76,7 +76,7 @@ def scan_result_scores(spark: SparkSession, root: str, levels=("model", "dataset
     accepted).  Output is long: (levels..., [method,] metric, value).
     """
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file_glob) \
-        .option("wholetext", "true").text(root)
+        .text(root, wholetext=True)  # one row per file (the keyword, not .option(): text() sets its own default)
     parts = F.split(F.col("_metadata.file_path"), "/")
     n = len(levels)
     cols = [F.regexp_replace(F.element_at(parts, -(n + 1) + j), r"^[^=/]*=", "").alias(name)

@@ -283,9 +283,10 @@ def test_scan_reference_style_score_files(spark):
     os.makedirs(os.path.join(root, "nested", "harmful", "a"))
     with open(os.path.join(root, "nested", "harmful", "a", "scores.json"), "w") as f:
         json.dump({"gda": {"f1": 0.1, "positive_support": 3}, "nmc": {"f1": 0.2}}, f, indent=4)
-    got = {(r.model, r.dataset_type, r.dataset, r.metric): r.value
-           for r in RD.scan_result_scores(spark, os.path.join(root, "flat")).collect()}
-    assert got == {(m, t, d, k): float(v) for (m, t, d), rec in flat.items() for k, v in rec.items()}
+    levels = ("model", "num_datasets", "dataset_type", "dataset")
+    got = {(r.model, r.num_datasets, r.dataset_type, r.dataset, r.metric): r.value
+           for r in RD.scan_result_scores(spark, os.path.join(root, "flat"), levels).collect()}
+    assert got == {(m, "3_datasets", t, d, k): float(v) for (m, t, d), rec in flat.items() for k, v in rec.items()}
     nested = {(r.method, r.metric): r.value for r in
               RD.scan_result_scores(spark, os.path.join(root, "nested"), ("dataset_type", "dataset"), nested=True).collect()}
     assert nested == {("gda", "f1"): 0.1, ("gda", "positive_support"): 3.0, ("nmc", "f1"): 0.2}
