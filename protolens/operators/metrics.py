@@ -141,7 +141,7 @@ def prefix_sums(df: DataFrame, keys, order: str, cols: Sequence[str], buckets: i
     wr = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_range",
                             *[F.coalesce(F.sum(c + "_rt").over(wr), F.lit(0)).alias(c + "_off") for c in cols])
-    j = attach_params(local, offsets, keys + ["_range"])
+    j = attach_params(local, offsets, keys + ["_range"], uniform_keys=True)  # one row per (group, range)
     out = j.select(*[F.col(c) for c in df.columns],
                    *[(F.col(c + "_loc") + F.col(c + "_off")).cast(df.schema[c].dataType).alias(c + suffix)
                      for c in cols])

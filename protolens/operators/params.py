@@ -81,11 +81,15 @@ def attach_params(
     salt_buckets: int = DEFAULT_SALT_BUCKETS,
     salt_col: str | None = None,
     materialized: bool = False,
+    uniform_keys: bool = False,
 ) -> DataFrame:
-    """Join ``params`` to ``rows`` on ``on``: broadcast when measured small, salted shuffle otherwise.
+    """Join ``params`` to ``rows`` on ``on``: broadcast when measured small, shuffle join otherwise.
 
     The parameter table is materialized first (unless ``materialized``), so
-    measuring it and joining it run its lineage once.
+    measuring it and joining it run its lineage once.  Above the limit the
+    join is salted (a hot key's rows spread over ``salt_buckets`` tasks), or,
+    with ``uniform_keys`` (keys that are hash buckets or ranges by
+    construction), a plain shuffle join.
     """
     on = list(on)
     spark = rows.sparkSession
@@ -97,6 +101,8 @@ def attach_params(
     size = estimated_bytes(params)
     if size <= limit:
         return rows.join(F.broadcast(params), on, how)
+    if uniform_keys:
+        return rows.join(params, on, how)
     # Salted shuffle join: spread each key's rows over ``salt_buckets`` tasks.
     if salt_col is not None:
         salt = F.pmod(F.xxhash64(F.col(salt_col)), F.lit(salt_buckets))

@@ -61,7 +61,8 @@ def rank_cut(df: DataFrame, keys, order: str, tie: str, k: int | str, rank_col:
         Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select(*keys, "_bkt", F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_before"), "_kmax")
     live = before.where(F.col("_before") < F.col("_kmax")).drop("_kmax")
-    kept = attach_params(b, live, keys + ["_bkt"]) if keys else attach_params(b, live, ["_bkt"])
+    # (group, hash bucket) keys are uniform by construction: no salting needed above the broadcast limit
+    kept = attach_params(b, live, keys + ["_bkt"], uniform_keys=True)
     w = Window.partitionBy(*keys, "_bkt").orderBy(F.col(order), F.col(tie))
     ranked = kept.withColumn(rank_col, (F.col("_before") + F.row_number().over(w)).cast("int"))
     return ranked.where(F.col(rank_col) <= F.col("_k")).drop("_bkt", "_before", "_k")

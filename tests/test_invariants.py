@@ -290,3 +290,17 @@ def test_scan_reference_style_score_files(spark):
     nested = {(r.method, r.metric): r.value for r in
               RD.scan_result_scores(spark, os.path.join(root, "nested"), ("dataset_type", "dataset"), nested=True).collect()}
     assert nested == {("gda", "f1"): 0.1, ("gda", "positive_support"): 3.0, ("nmc", "f1"): 0.2}
+
+
+def test_rank_cut_and_prefix_sums_without_broadcast(spark):
+    """Above the broadcast limit the bucket / range tables go through plain shuffle joins, same results."""
+    df = spark.createDataFrame(pd.DataFrame({"example_id": np.arange(3000), "label": np.arange(3000) % 3}))
+    a = sorted(tuple(r) for r in SP.sample_per_class(df, 50, [], "label", rank_col="rank").collect())
+    spark.conf.set("protolens.maxBroadcastBytes", "0")
+    try:
+        b = sorted(tuple(r) for r in SP.sample_per_class(df, 50, [], "label", rank_col="rank").collect())
+        s = M.prefix_sums(df.withColumn("one", F.lit(1)), ["label"], "example_id", ["one"], buckets=4)
+        assert all(r.one_cum == r.example_id // 3 + 1 for r in s.collect())
+    finally:
+        spark.conf.unset("protolens.maxBroadcastBytes")
+    assert a == b and len(a) == 150
