@@ -304,3 +304,17 @@ def test_rank_cut_and_prefix_sums_without_broadcast(spark):
     finally:
         spark.conf.unset("protolens.maxBroadcastBytes")
     assert a == b and len(a) == 150
+
+
+def test_worked_direction_example(spark):
+    """Three pairs whose difference is the same vector: first component along (1, 1, 1), oriented so that
+    positives project above negatives."""
+    pos = [[0.1, 0.2, 0.3], [0.2, 0.3, 0.4], [0.2, 0.3, 0.4]]
+    neg = [[0.4, 0.5, 0.6], [0.5, 0.6, 0.7], [0.5, 0.6, 0.7]]
+    rows = [(1, r + 1, p, n) for r, (p, n) in enumerate(zip(pos, neg))]
+    pairs = spark.createDataFrame(rows, "layer int, rank int, pos array<double>, neg array<double>")
+    d = CT.read_directions(pairs, ["layer"], "pca_pairwise").first()
+    v = np.array(d.direction)
+    assert np.allclose(np.abs(v), np.full(3, 1 / np.sqrt(3)), atol=1e-9) and abs(d.evr - 1.0) < 1e-9
+    # positives are smaller along +(1,1,1), so the oriented direction points to -(1,1,1)
+    assert all(np.dot(p, v) > np.dot(n, v) for p, n in zip(pos, neg))
