@@ -84,9 +84,14 @@ def truthy_label(col, training: bool = False) -> Column:
 
 
 def top_scored_category(json_pairs, threshold: float = 0.5) -> Column:
-    """Argmax of a JSON list of [name, score] pairs (first wins on ties);
-    ``low_confidence`` when the best score is below ``threshold``."""
-    parsed = F.from_json(_c(json_pairs), "array<array<string>>")
+    """Argmax of a list of [name, score] pairs (first wins on ties);
+    ``low_confidence`` when the best score is below ``threshold``.
+
+    Accepts JSON and the Python-repr form with single quotes or tuples (the
+    reference ``eval``s the text); no code is evaluated.
+    """
+    text = F.translate(_c(json_pairs), "'()", '"[]')
+    parsed = F.from_json(text, "array<array<string>>")
     items = F.transform(parsed, lambda p: F.struct(p[0].alias("name"), p[1].cast("double").alias("score")))
     first = F.element_at(items, 1)
     best = F.aggregate(F.slice(items, 2, 1 << 20), first,

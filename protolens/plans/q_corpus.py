@@ -107,7 +107,8 @@ SELECT doc_id, CASE WHEN greatest(s0, s1, s2) < 0.5 THEN 'low_confidence'
 FROM s""")
 def q_top_scored_category(spark, sf):
     d = fx.table(spark, sf, "documents")
-    pairs = [F.concat(F.lit(f'["{n}", '), _p7_score(j).cast("string"), F.lit("]")) for j, n in enumerate(_P7_NAMES)]
+    # the Python-repr text of a list of (name, score) tuples, as stored in the reference's source column
+    pairs = [F.concat(F.lit(f"('{n}', "), _p7_score(j).cast("string"), F.lit(")")) for j, n in enumerate(_P7_NAMES)]
     js = F.concat(F.lit("["), F.concat_ws(", ", *pairs), F.lit("]"))
     return d.select("doc_id", L.top_scored_category(js).alias("category_openai_moderation"))
 
