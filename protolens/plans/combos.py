@@ -46,3 +46,45 @@ def combo_prototype_scores(train: DataFrame, bench: DataFrame, datasets=None, be
     pred, score = M.collapse_dataset_protos(F.col("probs"))
     scored = scored.withColumn("pred", pred).withColumn("score", score)
     return M.binary_scores(scored, ["combo", "layer"] + bench_keys, "score", "label", pred="pred")
+
+
+def combo_multilayer_stack(train: DataFrame, bench: DataFrame, datasets=None, C: float = 0.1,
+                           bench_keys=("dataset",)) -> DataFrame:
+    """Multi-layer stack per dataset combination (G9 features + G11 fit, C = 0.1).
+
+    Per-layer GDA models are fitted per (layer, dataset) in one grouped job; every
+    training and benchmark row is scored against every dataset's model of its
+    layer (rows x k datasets, a parameter); each combination fits its L1 stack on
+    the rows of its own datasets with only its own models' features (Q14), one
+    distributed fit per combination (2^k - 1, k = number of datasets).
+    """
+    from protolens.operators import meta as ME
+    from protolens.plans.flagship import RECORD_COLS
+
+    bench_keys = list(bench_keys)
+    if datasets is None:
+        datasets = sorted(r[0] for r in train.select("dataset").distinct().collect())
+    layers = sorted(r[0] for r in train.select("layer").distinct().collect())
+    fit = S.fit_gda(train, ["layer", "dataset"], "label")
+    params = fit["params"].withColumnRenamed("dataset", "model")
+
+    def features(rows, id_cols):
+        r = rows.withColumn("model", F.explode(F.array(*[F.lit(d) for d in datasets])))
+        s = SC.softmax_probs(SC.gda_logits(r, params, ["layer", "model"], "label"))
+        s = s.withColumn("_f", F.concat(F.lit("layer"), F.col("layer").cast("string"), F.lit("_"), F.col("model")))
+        cols = [f"layer{l}_{d}" for l in layers for d in datasets]
+        wide = s.groupBy(*id_cols).pivot("_f", cols).agg(F.first(F.element_at("probs", 2)))
+        return materialize(wide), cols
+
+    tr_feat, _ = features(train, ["example_id", "dataset", "label"])
+    b_feat, _ = features(bench, ["example_id", *bench_keys, "label"])
+    out = None
+    combos = S.dataset_combinations(train.sparkSession, datasets).groupBy("combo").agg(
+        F.collect_list("dataset").alias("members")).collect()  # 2^k - 1 rows
+    for c in sorted(combos, key=lambda r: r.combo):
+        cols = [f"layer{l}_{d}" for l in layers for d in sorted(c.members)]
+        model = ME.meta_fit(tr_feat.where(F.col("dataset").isin(list(c.members))), cols, "label", C)
+        scored = ME.meta_predict(model, b_feat, cols, "score").withColumn("combo", F.lit(c.combo))
+        rec = M.binary_scores(scored, ["combo", *bench_keys], "score", "label")
+        out = rec if out is None else out.unionByName(rec)
+    return out.select("combo", *bench_keys, *RECORD_COLS)

@@ -318,3 +318,12 @@ def test_worked_direction_example(spark):
     assert np.allclose(np.abs(v), np.full(3, 1 / np.sqrt(3)), atol=1e-9) and abs(d.evr - 1.0) < 1e-9
     # positives are smaller along +(1,1,1), so the oriented direction points to -(1,1,1)
     assert all(np.dot(p, v) > np.dot(n, v) for p, n in zip(pos, neg))
+
+
+def test_combo_multilayer_stack_plan(spark):
+    from protolens.plans.combos import combo_multilayer_stack
+
+    tr, te = train_test(spark, SF_CHECK)
+    rec = combo_multilayer_stack(tr, te).collect()
+    assert {r.combo for r in rec} == {"ds0", "ds1", "ds2", "ds0+ds1", "ds0+ds2", "ds1+ds2", "ds0+ds1+ds2"}
+    assert len(rec) == 7 * 3 and all(r.positive_support + r.negative_support > 0 for r in rec)
