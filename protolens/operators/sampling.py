@@ -93,7 +93,8 @@ def sample_fraction(df: DataFrame, frac: float, id_col: str = "example_id", seed
     h = df.withColumn("_h", hash_order(id_col, seed))
     if keys:
         cnt = h.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        h = attach_params(h, cnt, keys).withColumn("_kk", F.round(F.col("_n") * F.lit(frac), 0).cast("int"))
+        # round half to even, as Python round(frac * n)
+        h = attach_params(h, cnt, keys).withColumn("_kk", F.bround(F.col("_n") * F.lit(frac), 0).cast("int"))
         return rank_cut(h, keys, "_h", id_col, "_kk", "_rank").drop("_h", "_n", "_kk", "_rank")
     total = h.count()
     k = int(round(frac * total))

@@ -327,3 +327,11 @@ def test_combo_multilayer_stack_plan(spark):
     rec = combo_multilayer_stack(tr, te).collect()
     assert {r.combo for r in rec} == {"ds0", "ds1", "ds2", "ds0+ds1", "ds0+ds2", "ds1+ds2", "ds0+ds1+ds2"}
     assert len(rec) == 7 * 3 and all(r.positive_support + r.negative_support > 0 for r in rec)
+
+
+def test_sample_fraction_rounds_half_to_even(spark):
+    # 5 rows per group, frac 0.5 -> 2.5 -> 2 rows (Python round), globally 15 * 0.5 = 7.5 -> 8
+    df = spark.createDataFrame(pd.DataFrame({"example_id": np.arange(15), "g": np.arange(15) % 3}))
+    per = SP.sample_fraction(df, 0.5, "example_id", 1, keys=["g"]).groupBy("g").count().collect()
+    assert {r["count"] for r in per} == {round(2.5)}
+    assert SP.sample_fraction(df, 0.5, "example_id", 1).count() == round(7.5)
