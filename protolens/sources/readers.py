@@ -12,6 +12,14 @@ from pyspark.sql import types as T
 LAYER_FILE_PATTERN = r"layer_(\d+)_(?:(mean)_)?hidden_states"
 
 
+def _below(root: str):
+    """Path of each file relative to ``root`` (the full root path, with or without a URI scheme)."""
+    import re
+
+    bare = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/")
+    return F.element_at(F.split(F.col("_metadata.file_path"), re.escape(bare) + "/", 2), 2)
+
+
 def read_layer_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(layer, pooling, labels, hidden_state, ...) from ``layer_{i}[_mean]_hidden_states.parquet``.
 
@@ -35,8 +43,7 @@ def read_layer_vectors(spark: SparkSession, path: str) -> DataFrame:
 def read_benchmark_vectors(spark: SparkSession, root: str) -> DataFrame:
     """S1 + S3: layer files below ``{root}/{dataset_type}/{dataset}/`` in one scan, path parts as columns."""
     v = read_layer_vectors(spark, root)
-    rel = F.regexp_replace(F.col("_metadata.file_path"), r"^.*?/" + root.rstrip("/").split("/")[-1] + "/", "")
-    parts = F.split(rel, "/")
+    parts = F.split(_below(root), "/")
 
     def part(i):
         return F.regexp_replace(F.element_at(parts, i), r"^[^=/]*=", "")
@@ -57,8 +64,7 @@ def select_layers(df: DataFrame, exclude=(0,), only: int | None = None, pooling:
 def scan_benchmarks(spark: SparkSession, root: str, fmt: str = "parquet") -> DataFrame:
     """S3: every ``{dataset_type}/{dataset}/...`` folder under ``root`` in one read."""
     raw = spark.read.option("recursiveFileLookup", "true").format(fmt).load(root)
-    rel = F.regexp_replace(F.col("_metadata.file_path"), r"^.*?/" + root.rstrip("/").split("/")[-1] + "/", "")
-    parts = F.split(rel, "/")
+    parts = F.split(_below(root), "/")
 
     def part(i):  # plain folder names, or hive-style name=value folders
         return F.regexp_replace(F.element_at(parts, i), r"^[^=/]*=", "")
