@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 
 def _writer(df: DataFrame, mode: str, partition_by=()):
-    w = df.write.mode(mode)
+    # dynamic overwrite as a per-write option: only the partitions present in ``df`` are replaced,
+    # and the session configuration is left untouched
+    w = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
     if partition_by:
         w = w.partitionBy(*partition_by)
     return w
@@ -17,14 +19,11 @@ def _writer(df: DataFrame, mode: str, partition_by=()):
 
 def write_layer_vectors(df: DataFrame, path: str, replace: bool = True) -> None:
     """K1: one partition per (layer, pooling); ``replace`` overwrites only those partitions."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     _writer(df, "overwrite" if replace else "append", ("layer", "pooling")).parquet(path)
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
     """K2: prediction rows partitioned by benchmark."""
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     _writer(df, "overwrite", ("dataset_type", "dataset")).parquet(path)
 
 
@@ -37,7 +36,6 @@ def write_scores(df: DataFrame, path: str, keys=("dataset_type", "dataset"), met
     metrics = [c for c in df.columns if c not in keys and c != method]
     entries = F.collect_list(F.struct(F.col(method), F.struct(*[F.col(c).cast("double").alias(c) for c in metrics])))
     rec = df.groupBy(*keys).agg(F.to_json(F.map_from_entries(entries)).alias("value"))
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     _writer(rec.repartition(*keys), "overwrite", keys).text(path)
 
 
@@ -65,7 +63,6 @@ def load_directions(spark: SparkSession, path: str, layers=None) -> DataFrame:
 
 def write_corpus(df: DataFrame, path: str) -> None:
     """K6: canonical corpus folders partitioned by (task, dataset)."""
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     _writer(df, "overwrite", ("task", "dataset")).parquet(path)
 
 
