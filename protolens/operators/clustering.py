@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from protolens.functions import vec as V
 from protolens.operators import stats as S
-from protolens.operators.params import attach_params, pack_params
+from protolens.operators.params import attach_params, materialize, pack_params
 from protolens.operators.sampling import sample_per_class
 
 
@@ -27,7 +27,7 @@ def grouped_kmeans(df: DataFrame, keys=("layer",), label: str = "label", vec: st
     g = keys + [label]
     init = sample_per_class(df, k, keys, label, id_col, seed, rank_col="_r")
     centres = init.select(*g, (F.col("_r") - 1).cast("int").alias("cluster"), F.col(vec).alias("center"))
-    centres = centres.checkpoint()
+    centres = materialize(centres)
 
     def assign(c: DataFrame) -> DataFrame:
         packed = pack_params(c, g, "cluster", ["cluster", "center"], "_cs")
@@ -43,7 +43,7 @@ def grouped_kmeans(df: DataFrame, keys=("layer",), label: str = "label", vec: st
         merged = centres.join(new, g + ["cluster"], "left").select(
             *g, "cluster", F.coalesce("new_center", "center").alias("center"),
             V.sq_dist(F.coalesce("new_center", "center"), "center").alias("_shift"))
-        merged = merged.checkpoint()
+        merged = materialize(merged)  # cuts the lineage of the iteration
         shift = merged.agg(F.max("_shift")).first()[0] or 0.0
         centres = merged.drop("_shift")
         if shift <= tol:
