@@ -335,3 +335,17 @@ def test_sample_fraction_rounds_half_to_even(spark):
     per = SP.sample_fraction(df, 0.5, "example_id", 1, keys=["g"]).groupBy("g").count().collect()
     assert {r["count"] for r in per} == {round(2.5)}
     assert SP.sample_fraction(df, 0.5, "example_id", 1).count() == round(7.5)
+
+
+def test_category_steps_plan(spark):
+    from protolens.plans.categories import category_steps_report
+
+    tr, te = train_test(spark, SF_CHECK)
+    rec = category_steps_report(tr, te, max_step=3).collect()
+    assert {r.step for r in rec} == {1, 2, 3} and {r.method for r in rec} == {"gda", "nmc", "mahalanobis"}
+    assert len(rec) == 3 * 3 * 3 * 3  # steps x layers x methods x datasets
+    # GDA and Mahalanobis with a shared precision and uniform prior give the same argmax
+    by = {(r.step, r.layer, r.method, r.dataset): r for r in rec}
+    for (step, layer, method, ds), r in by.items():
+        if method == "gda":
+            assert r.accuracy == by[(step, layer, "mahalanobis", ds)].accuracy
