@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from protolens.functions import templates as TPL
@@ -274,8 +275,7 @@ def q_suffix_expansion(spark, sf):
     pairs = t0.join(t1, "conv_id")
     b = fx.table(spark, sf, "benchmark")
     sfx = b.select(F.concat(F.lit(" "), F.element_at(F.split("text", " "), 1)).alias("suffix")).distinct()
-    sfx = sfx.withColumn("suffix_idx", (F.dense_rank().over(
-        __import__("pyspark.sql.window", fromlist=["Window"]).Window.orderBy("suffix")) - 1).cast("int"))
+    sfx = sfx.withColumn("suffix_idx", (F.dense_rank().over(Window.orderBy("suffix")) - 1).cast("int"))
     return TX.suffix_expansion(pairs, sfx, "conv_id", "suffix_idx")
 
 

@@ -171,8 +171,9 @@ def test_evaluate_from_reference_layout_matches_flagship(spark):
     from protolens.plans import flagship
     from protolens.plans.common import layer_vectors
 
-    v = layer_vectors(spark, SF_CHECK).union(
-        __import__("protolens.sources.fixtures", fromlist=["vectors"]).vectors(spark, SF_CHECK).where("layer = 0"))
+    from protolens.sources.fixtures import vectors
+
+    v = layer_vectors(spark, SF_CHECK).union(vectors(spark, SF_CHECK).where("layer = 0"))
 
     def write(df, path, by):
         out = df.select(*by, F.concat(F.lit("layer_"), F.col("layer").cast("string"),
