@@ -53,8 +53,10 @@ def estimated_bytes(params: DataFrame) -> int:
     expr = F.lit(0).cast("long")
     for f in params.schema.fields:
         expr = expr + _cell_bytes(f.dataType, F.col(f.name)).cast("long")
-    # one partition in, one row out: a single job without a shuffle stage
-    row = params.coalesce(1).agg(F.coalesce(F.sum(expr), F.lit(0)).alias("b")).first()
+    # few partitions (a parameter table): one task, one job without a shuffle stage;
+    # many partitions (a large bucket / range table): a parallel partial aggregate
+    src = params.coalesce(1) if params.rdd.getNumPartitions() <= 8 else params
+    row = src.agg(F.coalesce(F.sum(expr), F.lit(0)).alias("b")).first()
     return int(row["b"])
 
 
