@@ -16,6 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     "flagship_multilayer",
+    "condition_vector_flow",
     "pooled_covariance",
     "class_precisions",
     "mahalanobis_class_pred",
@@ -33,7 +34,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    from protolens.plans import catalog, flagship
+    from protolens.plans import catalog, flagship  # noqa: F401
     from protolens.session import local_session
 
     spark = local_session(cpus, "protolens-bench")
@@ -41,6 +42,17 @@ def main() -> None:
     runners = dict(qs)
     runners["flagship_multilayer"] = flagship.multilayer_report
 
+    def condition_flow(spark, sf):
+        # the flow behind BASELINE's condition-vector timing, from pooled vectors on (no model inference):
+        # pairs -> direction per layer -> similarities -> threshold grid -> best point -> predictions
+        from protolens.plans.common import layer_vectors
+        from protolens.plans.condition import condition_search
+
+        v = layer_vectors(spark, sf).select("example_id", "layer", "label", "vector")
+        return condition_search(v, [1, 2, 3], max_layers=2)["predictions"]
+
+    runners["condition_vector_flow"] = condition_flow
+
     def run(name):
         df = runners[name](spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
