@@ -2,10 +2,12 @@
 
 A parameter table is keyed by a few columns (layer, class, dataset...) and its
 size is bounded by the model, not by the data: K x d means, d x d matrices.
-It is broadcast only after its size has been measured against a limit; above
-the limit the rows are salted and joined through a shuffle with the parameter
-table replicated once per salt value, so no single task receives all example
-rows of a hot key.
+It is materialized once (written below ``spark.checkpoint.dir``) and broadcast
+only after its size has been measured against a limit.  Above the limit the
+rows are salted and joined through a shuffle with the parameter table
+replicated once per salt value, so no single task receives all example rows of
+a hot key; keys that are uniform by construction (hash buckets, ranges) use a
+plain shuffle join.
 """
 
 from __future__ import annotations

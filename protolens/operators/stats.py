@@ -11,8 +11,9 @@ Design
 * Rows are centred by their own class mean before the Gram (two passes),
   which avoids the ``G - n mu mu^T`` cancellation for vectors with a large
   common offset.
-* Only parameter-sized tables (K x d means, d x d matrices) reach Python
-  through ``applyInPandas`` (matrix inverse); example rows never do.
+* Example rows reach Python only as Arrow batches inside ``mapInPandas``
+  (partial Grams); ``applyInPandas`` groups are parameter-sized (one d x d
+  matrix for an inverse or eigen-decomposition), never a group of examples.
 * For wide vectors the vector table should be stored partitioned by
   ``layer`` so that one input split holds one layer and a task keeps at most
   (#classes x d^2) doubles of partial state.
