@@ -62,7 +62,7 @@ def contrast_matrix_pairwise(pairs: DataFrame, keys=("layer",)) -> DataFrame:
 def _cov_rows(rows: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
     merged = S.merge_gram(S.gram_partials(rows.select(*keys, vec), keys, vec), keys)
     scat = S._rows_to_scatter(merged, keys)
-    return scat.select(*keys, "i", "n", V.scale("row", 1.0 / (F.col("n") - 1)).alias("row"))
+    return scat.select(*keys, "i", "n", V.scale("row", S._inv_dof("n")).alias("row"))
 
 
 def principal_directions(rows: DataFrame, keys=("layer",), vec: str = "vector", k: int = 1) -> DataFrame:

@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,12 @@ from protolens.functions import vec as V
 from protolens.operators.params import attach_params, materialize
 
 
+def _inv_dof(n) -> Column:
+    """1 / (n - 1), NaN when n <= 1 (a one-row class has no covariance; NaN as in float arithmetic)."""
+    n = F.col(n) if isinstance(n, str) else n
+    return F.when(n > 1, F.lit(1.0) / (n - 1)).otherwise(F.lit(float("nan")))
+
+
 def _keys(keys: Sequence[str] | str | None) -> list[str]:
     if keys is None:
         return []
@@ -172,7 +178,7 @@ def class_covariance(scatter: DataFrame, keys=("layer",), label: str = "label")
     """A4: per-class covariance, divided by n_k - 1: (keys..., label, i, n, row)."""
     keys = _keys(keys)
     return scatter.select(
-        *keys, label, "i", "n", V.scale("row", 1.0 / (F.col("n") - 1)).alias("row")
+        *keys, label, "i", "n", V.scale("row", _inv_dof("n")).alias("row")
     )
 
 
@@ -182,7 +188,7 @@ def pooled_covariance(scatter: DataFrame, keys=("layer",)) -> DataFrame:
     tot = scatter.groupBy(*keys, "i").agg(
         F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector(F.col("row")))).alias("row")
     )
-    return tot.select(*keys, "i", "n", V.scale("row", 1.0 / (F.col("n") - 1)).alias("row"))
+    return tot.select(*keys, "i", "n", V.scale("row", _inv_dof("n")).alias("row"))
 
 
 def diag_norm_scaling(cov: DataFrame, group_cols: Sequence[str]) -> DataFrame:
@@ -215,7 +221,10 @@ def bayes_precision(cov: DataFrame, group_cols: Sequence[str]) -> DataFrame:
         c = np.stack(pdf["row"].to_numpy()).astype(np.float64)
         d = c.shape[0]
         n = int(pdf["n"].iloc[0])
-        p = d * np.linalg.inv((n - 1) * c + np.trace(c) * np.eye(d))
+        try:
+            p = d * np.linalg.inv((n - 1) * c + np.trace(c) * np.eye(d))
+        except np.linalg.LinAlgError:  # singular (e.g. a one-row class): no precision, as NaN
+            p = np.full((d, d), np.nan)
         out = pdf[group_cols + ["i", "n"]].copy()
         out["row"] = list(p)
         return out
@@ -283,7 +292,7 @@ def merge_covariances(cov: DataFrame, group_cols: Sequence[str], over: str) -> D
     tot = w.groupBy(*group_cols, "i").agg(
         F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector(F.col("row")))).alias("row")
     )
-    return tot.select(*group_cols, "i", "n", V.scale("row", 1.0 / (F.col("n") - 1)).alias("row"))
+    return tot.select(*group_cols, "i", "n", V.scale("row", _inv_dof("n")).alias("row"))
 
 
 def merge_means_weighted(means: DataFrame, group_cols: Sequence[str]) -> DataFrame:

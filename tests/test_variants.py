@@ -70,3 +70,18 @@ def test_template_slots_are_not_reinterpreted(spark):
     df = spark.createDataFrame([("{response} and {prompt}",)], "t string")
     out = df.select(TPL.fill("P:{prompt} R:{response}", prompt=F.col("t"), response=F.lit("x")).alias("o")).first().o
     assert out == "P:{response} and {prompt} R:x"
+
+
+def test_one_row_class_gives_nan_not_an_error(spark):
+    """A class with a single row has no covariance: NaN (as float arithmetic gives), the fit still completes."""
+    import pandas as pd
+
+    from protolens.operators import stats as S
+
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"example_id": range(6), "layer": 1, "label": [0, 0, 0, 0, 0, 1],
+                        "vector": list(rng.random((6, 3)))})
+    fit = S.fit_gda(spark.createDataFrame(pdf), ["layer"], "label", per_class=True)
+    one = fit["class_cov"].where("label = 1").collect()
+    assert len(one) == 3 and all(np.isnan(v) for r in one for v in r.row)
+    assert fit["params"].count() == 2  # the pooled fit is defined
