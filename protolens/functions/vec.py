@@ -17,6 +17,18 @@ def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def fdiv(a: ColumnOrName | float, b: ColumnOrName | float) -> Column:
+    """Floating division with IEEE results for a zero divisor (x/0 = +-inf, 0/0 = NaN), as numpy
+    and torch give, instead of an ANSI-mode error."""
+    a = _c(a) if isinstance(a, (str, Column)) else F.lit(float(a))
+    b = _c(b) if isinstance(b, (str, Column)) else F.lit(float(b))
+    a, b = a.cast("double"), b.cast("double")
+    return (F.when(b != 0, a / b)
+            .when(F.isnan(a) | (a == 0), F.lit(float("nan")))
+            .when(a > 0, F.lit(float("inf")))
+            .otherwise(F.lit(float("-inf"))))
+
+
 def to_double(v: ColumnOrName) -> Column:
     return F.transform(_c(v), lambda x: x.cast("double"))
 
@@ -90,7 +102,7 @@ def odd_sum(v: ColumnOrName) -> Column:
 
 
 def cosine(a: ColumnOrName, b: ColumnOrName) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    return fdiv(dot(a, b), norm(a) * norm(b))
 
 
 def round_array(v: ColumnOrName, digits: int = 6) -> Column:

@@ -100,7 +100,7 @@ def project_direction(rows: DataFrame, directions: DataFrame, keys=("layer",), v
     """(x . v) / |v|."""
     keys = list(keys)
     d = directions.select(*keys, F.col("direction").alias("_v"))
-    return attach_params(rows, d, keys).withColumn(out, V.dot(vec, "_v") / V.norm("_v")).drop("_v")
+    return attach_params(rows, d, keys).withColumn(out, V.fdiv(V.dot(vec, "_v"), V.norm("_v"))).drop("_v")
 
 
 def orient_direction(directions: DataFrame, pairs: DataFrame, keys=("layer",)) -> DataFrame:
@@ -108,8 +108,8 @@ def orient_direction(directions: DataFrame, pairs: DataFrame, keys=("layer",)) -
     keys = list(keys)
     d = directions.select(*keys, "direction")
     j = attach_params(pairs, d, keys)
-    pp = V.dot("pos", "direction") / V.norm("direction")
-    pn = V.dot("neg", "direction") / V.norm("direction")
+    pp = V.fdiv(V.dot("pos", "direction"), V.norm("direction"))
+    pn = V.fdiv(V.dot("neg", "direction"), V.norm("direction"))
     votes = j.groupBy(*keys).agg(F.avg((pp < pn).cast("double")).alias("_smaller"),
                                  F.avg((pp > pn).cast("double")).alias("_larger"))
     o = directions.join(votes, keys, "left")
@@ -156,7 +156,7 @@ def condition_similarity(rows: DataFrame, directions: DataFrame, keys=("layer",)
     keys = list(keys)
     d = directions.select(*keys, F.col("direction").alias("_v"))
     j = attach_params(rows, d, keys)
-    coef = V.dot("_v", vec) / V.dot("_v", "_v")
+    coef = V.fdiv(V.dot("_v", vec), V.dot("_v", "_v"))
     proj = F.transform("_v", lambda x: F.tanh(x * coef))
     return j.withColumn(out, V.cosine(vec, proj)).drop("_v")
 
@@ -353,8 +353,8 @@ def norm_preserving_rescale(before: DataFrame, after: DataFrame, seq_keys=("exam
     j = j.withColumn("_n1", V.norm(vec))
     bad = F.isnan(F.col("_n1")) | (F.col("_n1") == float("inf"))
     w = Window.partitionBy(*seq_keys)  # one sequence: bounded by its length
-    trig = (F.max(F.col("_n1") / F.col("_n0")).over(w) > 1) | F.max(bad.cast("int")).over(w).cast("boolean")
-    out = j.withColumn(vec, F.when(trig, V.scale(vec, F.col("_n0") / F.col("_n1"))).otherwise(F.col(vec)))
+    trig = (F.max(V.fdiv("_n1", "_n0")).over(w) > 1) | F.max(bad.cast("int")).over(w).cast("boolean")
+    out = j.withColumn(vec, F.when(trig, V.scale(vec, V.fdiv("_n0", "_n1"))).otherwise(F.col(vec)))
     return out.drop("_n0", "_n1")
 
 

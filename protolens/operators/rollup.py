@@ -75,7 +75,7 @@ def min_max_mean_rows(df: DataFrame, key: str, value: str) -> DataFrame:
 def row_mean(cols: Sequence[str]) -> Column:
     """Mean of the non-null values among ``cols``."""
     arr = F.filter(F.array(*[F.col(c).cast("double") for c in cols]), lambda x: x.isNotNull())
-    return F.aggregate(arr, F.lit(0.0), lambda a, x: a + x) / F.size(arr)
+    return F.when(F.size(arr) > 0, F.aggregate(arr, F.lit(0.0), lambda a, x: a + x) / F.size(arr))
 
 
 def ordered_category_sort(df: DataFrame, col: str, order: Sequence[str], rank: str = "order_rank") -> DataFrame:

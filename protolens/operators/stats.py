@@ -197,7 +197,7 @@ def diag_norm_scaling(cov: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     diag = cov.select(*group_cols, F.element_at("row", F.col("i") + 1).alias("cii"))
     nrm = diag.groupBy(*group_cols).agg(F.sqrt(F.sum(F.col("cii") * F.col("cii"))).alias("dnorm"))
     j = attach_params(cov, nrm, group_cols)
-    return j.select(*group_cols, "i", "n", V.scale("row", 1.0 / F.col("dnorm")).alias("row"))
+    return j.select(*group_cols, "i", "n", V.scale("row", V.fdiv(1.0, "dnorm")).alias("row"))
 
 
 # ---------------------------------------------------------------- A6, A7
