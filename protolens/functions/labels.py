@@ -93,7 +93,7 @@ def top_scored_category(json_pairs, threshold: float = 0.5) -> Column:
     text = F.translate(_c(json_pairs), "'()", '"[]')
     parsed = F.from_json(text, "array<array<string>>")
     items = F.transform(parsed, lambda p: F.struct(p[0].alias("name"), p[1].cast("double").alias("score")))
-    first = F.element_at(items, 1)
+    first = F.try_element_at(items, F.lit(1))
     best = F.aggregate(F.slice(items, 2, 1 << 20), first,
                        lambda acc, x: F.when(x["score"] > acc["score"], x).otherwise(acc))
     return F.when(best["score"] < threshold, F.lit(LOW_CONFIDENCE)).otherwise(best["name"])
@@ -149,14 +149,14 @@ def correct_answer_normalise(error_type, answer, correct_answer) -> Column:
     """
     letters = F.array(*[F.lit(x) for x in ANSWER_LETTERS])
     ca = _c(correct_answer).cast("string")
-    ok = F.element_at(letters, _c(answer).cast("int") + 1)
-    wrong = F.when(ca.isin("0", "1", "2", "3"), F.element_at(letters, ca.cast("int") + 1))
+    ok = F.try_element_at(letters, _c(answer).cast("int") + 1)  # out-of-range answers: NULL (row dropped)
+    wrong = F.when(ca.isin("0", "1", "2", "3"), F.try_element_at(letters, ca.cast("int") + 1))
     return F.when(_c(error_type) == "ok", ok).when(_c(error_type) == "wrong_groundtruth", wrong)
 
 
 def gsm_answer(text) -> tuple[Column, Column]:
     """Text after '####', stripped, digit-grouping commas removed; plus a numeric check (0 accepted)."""
-    raw = F.element_at(F.split(_c(text), "####"), 2)
+    raw = F.try_element_at(F.split(_c(text), "####"), F.lit(2))  # no '####': NULL, not numeric
     ans = F.regexp_replace(py_strip(raw), r"(\d),(\d)", "$1$2")
     return ans, ans.try_cast("double").isNotNull()
 

@@ -56,7 +56,7 @@ def append_response_turn(messages, response) -> Column:
 
 def first_turn_instruction(turns) -> Column:
     """Stripped first turn."""
-    return py_strip(F.element_at(_c(turns), 1))
+    return py_strip(F.try_element_at(_c(turns), F.lit(1)))
 
 
 def messages_from_turns(turns: DataFrame, key: str, order: str = "turn", role: str = "role",
@@ -100,8 +100,10 @@ def render_policy_prompt(messages, categories_text: str) -> Column:
 def render_task_template(question, choices, prompt_template: str | None = None) -> Column:
     """Multiple-choice prompt from a question and four choices (optionally wrapped)."""
     ch = _c(choices)
-    body = TPL.fill(TPL.MMLU_TEMPLATE, question=_c(question), a=F.element_at(ch, 1), b=F.element_at(ch, 2),
-                    c=F.element_at(ch, 3), d=F.element_at(ch, 4))
+    def choice(i):  # a missing choice renders empty instead of failing the job
+        return F.coalesce(F.try_element_at(ch, F.lit(i)), F.lit(""))
+
+    body = TPL.fill(TPL.MMLU_TEMPLATE, question=_c(question), a=choice(1), b=choice(2), c=choice(3), d=choice(4))
     return body if prompt_template is None else TPL.fill(prompt_template, prompt=body)
 
 

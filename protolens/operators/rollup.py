@@ -13,10 +13,10 @@ def path_field(col, kind: str) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     parts = F.split(c, "_")
     if kind == "samples":
-        return F.element_at(parts, 1).cast("int")
+        return F.try_element_at(parts, F.lit(1)).try_cast("int")
     if kind == "C":
-        return F.element_at(parts, 2).cast("double")
-    return F.element_at(parts, -1).cast("int")
+        return F.try_element_at(parts, F.lit(2)).try_cast("double")
+    return F.try_element_at(parts, F.lit(-1)).try_cast("int")
 
 
 def headline_score(dataset_type: str = "dataset_type", f1: str = "f1", accuracy: str = "accuracy") -> Column:

@@ -85,3 +85,13 @@ def test_one_row_class_gives_nan_not_an_error(spark):
     one = fit["class_cov"].where("label = 1").collect()
     assert len(one) == 3 and all(np.isnan(v) for r in one for v in r.row)
     assert fit["params"].count() == 2  # the pooled fit is defined
+
+
+def test_degenerate_texts_do_not_fail_the_job(spark):
+    from protolens.functions import labels as L
+
+    df = spark.createDataFrame([("no marker here", "two words", "[]")], "t string, q string, j string")
+    ans, ok = L.gsm_answer(F.col("t"))
+    r = df.select(ans.alias("a"), ok.alias("ok"), TX.render_task_template(F.col("q"), F.split("q", " ")).alias("p"),
+                  L.top_scored_category(F.col("j")).alias("c")).first()
+    assert r.a is None and r.ok is False and "A) two" in r.p and "D) " in r.p and r.c is None
