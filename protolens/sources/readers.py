@@ -33,7 +33,7 @@ def read_layer_vectors(spark: SparkSession, path: str) -> DataFrame:
     src = F.col("_metadata.file_path")
     extra = [] if "example_id" in raw.columns else [F.col("_metadata.row_index").alias("example_id")]
     return raw.select(
-        F.regexp_extract(src, LAYER_FILE_PATTERN, 1).cast("int").alias("layer"),
+        F.regexp_extract(src, LAYER_FILE_PATTERN, 1).try_cast("int").alias("layer"),  # non-layer files: NULL
         F.when(F.regexp_extract(src, LAYER_FILE_PATTERN, 2) == "mean", "mean").otherwise("last").alias("pooling"),
         *extra,
         *raw.columns,
