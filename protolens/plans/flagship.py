@@ -76,9 +76,10 @@ def stack_evaluate(train: DataFrame, bench: DataFrame, C: float = 1.0, use_logit
     ensure_checkpoint_dir(spark)
     bench_keys = list(bench_keys)
     train = sample_training_ids(train, num_samples_per_class, num_frac_data, seed)
-    layers = sorted(r[0] for r in train.select("layer").distinct().collect())  # layer ids: a parameter
     fit = fit_layers(train)
     params = fit["params"]
+    # layer ids (a parameter) from the small fitted table, not from another scan of the vectors
+    layers = sorted(r[0] for r in params.select("layer").distinct().collect())
 
     tr_feat, cols = features(layer_probabilities(train, params, use_logits=use_logits), layers)
     labels_tr = train.select("example_id", "label").distinct()

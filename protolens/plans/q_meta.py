@@ -20,8 +20,8 @@ from protolens.plans.flagship import RECORD_COLS, features, fit_layers, layer_pr
 
 def _train_features(spark: SparkSession, sf: str):
     tr, te = train_test(spark, sf)
-    layers = sorted(r[0] for r in tr.select("layer").distinct().collect())
     fit = fit_layers(tr)
+    layers = sorted(r[0] for r in fit["params"].select("layer").distinct().collect())
     feat, cols = features(layer_probabilities(tr, fit["params"]), layers)
     feat = feat.join(tr.select("example_id", "label").distinct(), "example_id")
     return tr, te, layers, fit, feat, cols
@@ -74,8 +74,9 @@ def q_reuse_first_meta(spark, sf):
     """Category steps 1..9 fitted in one (step, layer)-keyed job; the L1 stack (C = 0.01) is
     fitted on step 1 and reused for the later steps (finetune=False)."""
     tr, te = train_test(spark, sf)
-    layers = sorted(r[0] for r in tr.select("layer").distinct().collect())
-    max_step = int(tr.agg(F.max("category")).first()[0])
+    cats = S.materialize(S.class_counts(tr, ["layer"], "category"))  # small: layers x categories
+    layers = sorted(r[0] for r in cats.select("layer").distinct().collect())
+    max_step = int(cats.agg(F.max("category")).first()[0])
     fit = S.fit_gda_steps(tr, ["layer"], "category", max_step)
 
     def harm(rows):
