@@ -29,10 +29,10 @@ def combo_prototype_scores(train: DataFrame, bench: DataFrame, datasets=None, be
     """
     spark = train.sparkSession
     bench_keys = list(bench_keys)
-    if datasets is None:
-        datasets = sorted(r[0] for r in train.select("dataset").distinct().collect())  # dataset names: a parameter
-    combos = S.dataset_combinations(spark, datasets)
     means = materialize(S.class_means(train, ["layer", "dataset"], "label"))
+    if datasets is None:  # dataset names (a parameter) from the small means table
+        datasets = sorted(r[0] for r in means.select("dataset").distinct().collect())
+    combos = S.dataset_combinations(spark, datasets)
     scatter = S.class_scatter(train, ["layer", "dataset"], "label", means=means, means_materialized=True)
     per_ds = materialize(S.pooled_covariance(scatter, ["layer", "dataset"]))
     cmap = F.broadcast(combos.select("dataset", "combo"))  # 2^k - 1 combinations, built on the driver
@@ -62,11 +62,12 @@ def combo_multilayer_stack(train: DataFrame, bench: DataFrame, datasets=None, C:
     from protolens.plans.flagship import RECORD_COLS
 
     bench_keys = list(bench_keys)
-    if datasets is None:
-        datasets = sorted(r[0] for r in train.select("dataset").distinct().collect())
-    layers = sorted(r[0] for r in train.select("layer").distinct().collect())
     fit = S.fit_gda(train, ["layer", "dataset"], "label")
     params = fit["params"].withColumnRenamed("dataset", "model")
+    keys = params.select("layer", "model").distinct().collect()  # small fitted table, not another scan
+    layers = sorted({r.layer for r in keys})
+    if datasets is None:
+        datasets = sorted({r.model for r in keys})
 
     def features(rows, id_cols):
         r = rows.withColumn("model", F.explode(F.array(*[F.lit(d) for d in datasets])))
