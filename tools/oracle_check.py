@@ -71,9 +71,27 @@ def duck_connection(sf_dir: str):
     return con
 
 
+FORBIDDEN_PLAN_NODES = ("CartesianProduct", "BroadcastNestedLoopJoin")
+
+
+def plan_violations(df) -> list:
+    """Physical-plan nodes that must not appear (all pairs of rows): read from ``explain('formatted')``."""
+    import contextlib
+    import io
+
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode="formatted")
+    text = buf.getvalue()
+    return [n for n in FORBIDDEN_PLAN_NODES if n in text]
+
+
 def check(spark, con, name, fn, sql, sf_dir, verbose=False):
     t0 = time.time()
     df = fn(spark, sf_dir)
+    bad_plan = plan_violations(df)
+    if bad_plan:
+        return dict(name=name, status="PLAN", plan=bad_plan)
     srows = [tuple(r) for r in df.collect()]
     scols = df.columns
     t1 = time.time()
@@ -122,7 +140,7 @@ def main(argv):
             r = dict(name=n, status="ERROR", error=f"{type(e).__name__}: {str(e)[:400]}")
             if names:
                 traceback.print_exc()
-        if r["status"] in ("MISMATCH", "ERROR", "TYPES"):
+        if r["status"] in ("MISMATCH", "ERROR", "TYPES", "PLAN"):
             bad += 1
         print(r, flush=True)
     print(f"SUMMARY {len(sel) - bad}/{len(sel)} ok-or-rows-only; {len([n for n in sel if n in sqls])} with oracle")
