@@ -95,3 +95,15 @@ def test_degenerate_texts_do_not_fail_the_job(spark):
     r = df.select(ans.alias("a"), ok.alias("ok"), TX.render_task_template(F.col("q"), F.split("q", " ")).alias("p"),
                   L.top_scored_category(F.col("j")).alias("c")).first()
     assert r.a is None and r.ok is False and "A) two" in r.p and "D) " in r.p and r.c is None
+
+
+def test_scale_conf_sizes_splits_and_batches():
+    from protolens.session import scale_conf
+
+    wide = scale_conf(100 * 2**40, vector_dim=4096, cores=8000)
+    narrow = scale_conf(100 * 2**40, vector_dim=64, cores=8000)
+    # the partial-Gram state of a split (2 x d^2 doubles) is at most 1/16 of the split
+    assert int(wide["spark.sql.files.maxPartitionBytes"]) >= 16 * 2 * 4096 * 4096 * 8
+    assert int(narrow["spark.sql.files.maxPartitionBytes"]) == 256 * 1024 * 1024
+    assert int(wide["spark.sql.execution.arrow.maxRecordsPerBatch"]) * 4096 * 8 <= 64 * 1024 * 1024
+    assert wide["spark.sql.adaptive.skewJoin.enabled"] == "true"
