@@ -67,11 +67,20 @@ def regularisation_path(features: DataFrame, feature_cols: Sequence[str], label:
     return list(zip(cs, models))
 
 
-def meta_coefficients(spark, model, layers: Sequence[int], C: float | None = None) -> DataFrame:
-    """Layer -> weight (numeric layer order, see Q11); a parameter-sized table."""
-    coefs = model.coefficients.toArray().tolist()
-    rows = [(int(layer), float(w)) for layer, w in zip(layers, coefs)]
-    df = spark.createDataFrame(rows, "layer int, coefficient double")
+def meta_coefficients(spark, model, layers: Sequence[int], C: float | None = None,
+                      layer_source: DataFrame | None = None) -> DataFrame:
+    """Layer -> weight (numeric layer order, see Q11); a parameter-sized table.
+
+    With ``layer_source`` (a table with a ``layer`` column, e.g. the fitted
+    parameters) the rows are that table's layers with their weight looked up.
+    """
+    coefs = [float(w) for w in model.coefficients.toArray().tolist()]
+    if layer_source is None:
+        df = spark.createDataFrame([(int(layer), w) for layer, w in zip(layers, coefs)], "layer int, coefficient double")
+    else:
+        lookup = F.create_map(*[x for layer, w in zip(layers, coefs) for x in (F.lit(int(layer)), F.lit(w))])
+        df = layer_source.select(F.col("layer").cast("int").alias("layer")).distinct() \
+            .select("layer", lookup[F.col("layer")].alias("coefficient"))
     return df if C is None else df.withColumn("C", F.lit(float(C)))
 
 

@@ -30,13 +30,14 @@ def _train_features(spark: SparkSession, sf: str):
 @register("meta_fit")
 def q_meta_fit(spark, sf):
     """Stacked L1 models for C = 1, 0.1, 0.01 -> (C, layer, coefficient) plus intercept rows."""
-    _, _, layers, _, feat, cols = _train_features(spark, sf)
+    _, _, layers, fit, feat, cols = _train_features(spark, sf)
     out = None
     for c in (1.0, 0.1, 0.01):
         model = ME.meta_fit(feat, cols, "label", c)
-        co = ME.meta_coefficients(spark, model, layers, c)
-        co = co.unionByName(spark.createDataFrame([(-1, float(model.intercept), c)],
-                                                  "layer int, coefficient double, C double"))
+        co = ME.meta_coefficients(spark, model, layers, c, layer_source=fit["params"])
+        intercept = fit["params"].select(F.lit(-1).alias("layer"), F.lit(float(model.intercept)).alias("coefficient"),
+                                         F.lit(float(c)).alias("C")).limit(1)  # one row, from the fitted table
+        co = co.unionByName(intercept)
         out = co if out is None else out.unionByName(co)
     return out
 
@@ -53,10 +54,10 @@ def q_meta_predict(spark, sf):
 @register("regularisation_path")
 def q_regularisation_path(spark, sf):
     """Eight C values from one persisted feature table -> (C, layer, coefficient, layers_used)."""
-    _, _, layers, _, feat, cols = _train_features(spark, sf)
+    _, _, layers, fit, feat, cols = _train_features(spark, sf)
     out = None
     for c, model in ME.regularisation_path(feat, cols, "label"):
-        co = ME.meta_coefficients(spark, model, layers, c)
+        co = ME.meta_coefficients(spark, model, layers, c, layer_source=fit["params"])
         out = co if out is None else out.unionByName(co)
     used = out.groupBy("C").agg(F.sum((F.abs("coefficient") > 1e-5).cast("int")).alias("layers_used"))
     return out.join(used, "C")
@@ -65,8 +66,8 @@ def q_regularisation_path(spark, sf):
 @register("meta_coefficients")
 def q_meta_coefficients(spark, sf):
     """Layer -> weight of the C = 1 stack."""
-    _, _, layers, _, feat, cols = _train_features(spark, sf)
-    return ME.meta_coefficients(spark, ME.meta_fit(feat, cols, "label", 1.0), layers)
+    _, _, layers, fit, feat, cols = _train_features(spark, sf)
+    return ME.meta_coefficients(spark, ME.meta_fit(feat, cols, "label", 1.0), layers, layer_source=fit["params"])
 
 
 @register("reuse_first_meta")

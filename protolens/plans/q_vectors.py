@@ -169,7 +169,20 @@ SELECT combo, combo_size, dataset FROM combos""")
 
 @register("dataset_combinations", A14_SQL)
 def q_dataset_combinations(spark: SparkSession, sf: str) -> DataFrame:
-    return _combos(spark, layer_vectors(spark, sf)).select("combo", "combo_size", "dataset")
+    """Every non-empty subset of the datasets found in the data, computed in Spark: ranked distinct
+    datasets exploded over the 2^k - 1 subset masks (a generator), grouped back by mask."""
+    from pyspark.sql import Window
+
+    ds = layer_vectors(spark, sf).select("dataset").distinct()
+    ranked = ds.withColumn("r", (F.row_number().over(Window.orderBy("dataset")) - 1).cast("int"))
+    k = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    masks = ranked.withColumn("k", k).withColumn("m", F.explode(F.sequence(F.lit(1), F.pow(2, F.col("k")).cast("int") - 1)))
+    member = masks.where(F.expr("shiftright(m, r) & 1") == 1)
+    names = member.groupBy("m").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "dataset"))), lambda t: t["dataset"]),
+                     "+").alias("combo"),
+        F.count(F.lit(1)).cast("int").alias("combo_size"))
+    return member.join(names, "m").select("combo", "combo_size", "dataset")
 
 
 A11_SQL = vec_base(_DS_COMBOS + """,

@@ -74,8 +74,9 @@ def duck_connection(sf_dir: str):
 FORBIDDEN_PLAN_NODES = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
 
-def plan_violations(df) -> list:
-    """Physical-plan nodes that must not appear (all pairs of rows): read from ``explain('formatted')``."""
+def plan_violations(df, sf_dir: str | None = None) -> list:
+    """Plan problems read from ``explain('formatted')``: nodes that pair all rows, and (with ``sf_dir``)
+    a plan that scans neither the driver tables nor tables written from them (``/tables/`` scratch)."""
     import contextlib
     import io
 
@@ -83,13 +84,16 @@ def plan_violations(df) -> list:
     with contextlib.redirect_stdout(buf):
         df.explain(mode="formatted")
     text = buf.getvalue()
-    return [n for n in FORBIDDEN_PLAN_NODES if n in text]
+    bad = [n for n in FORBIDDEN_PLAN_NODES if n in text]
+    if sf_dir is not None and sf_dir.rstrip("/") + "/" not in text and "/tables/" not in text:
+        bad.append("no scan of the given tables")
+    return bad
 
 
 def check(spark, con, name, fn, sql, sf_dir, verbose=False):
     t0 = time.time()
     df = fn(spark, sf_dir)
-    bad_plan = plan_violations(df)
+    bad_plan = plan_violations(df, sf_dir)
     if bad_plan:
         return dict(name=name, status="PLAN", plan=bad_plan)
     srows = [tuple(r) for r in df.collect()]
