@@ -35,3 +35,32 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from protolens.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), max_tokens=2048)
+
+
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from protolens.llm.secret_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from protolens.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from protolens.llm.language_id import predict_languages
+
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from protolens.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
