@@ -64,3 +64,10 @@ def op8_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from protolens.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
