@@ -71,3 +71,10 @@ def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from protolens.llm.decontaminate import find_leaks
 
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from protolens.llm.jaccard_join import link_components
+
+    return link_components(table(spark, sf_dir, "documents"))
