@@ -78,3 +78,10 @@ def op9_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from protolens.llm.jaccard_join import link_components
 
     return link_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from protolens.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
