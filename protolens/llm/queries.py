@@ -85,3 +85,10 @@ def op3_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from protolens.llm.substring_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from protolens.llm.ann_forest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
