@@ -31,8 +31,8 @@ FEATURES = 1 << BITS
 #: bound of the training sample, in documents
 TRAIN_DOCS = 8000
 ROUNDS = 300
-#: features that get a weight, and documents that must hold one
-CHOSEN, SEEN = 4096, 4
+#: features that get a weight at most, documents that must hold one, and its least chi-square (chance in some 1e6 features)
+CHOSEN, SEEN, WORTH = 4096, 4, 24.0
 THRESHOLD = 0.7
 #: words are runs of letters, digits and bytes over 127 (lower-cased A-Z)
 WORD = np.zeros(256, dtype=bool)
@@ -72,77 +72,111 @@ def noisy_or(z: np.ndarray, first: np.ndarray) -> np.ndarray:
     return -np.expm1(-(keep[first[1:]] - keep[first[:-1]]))
 
 
-def fit(rows: list[tuple[str, int]], rounds: int = ROUNDS, rate: float = 0.5, penalty: float = 1e-6) -> np.ndarray:
-    """Weights (the last one is the bias) by full-batch AdaGrad on the document log loss.
+def _counts(batches):
+    """(feature, documents with label 0, with label 1) of a batch of (text, y)."""
+    for b in batches:
+        y = np.asarray(b.column(1)).astype(np.int64)
+        buf, offs = K.string_buffers(b.column(0))
+        for lo, hi, part, o in K.chunks(buf, offs):
+            f, s, first = features(part, o)
+            doc = np.repeat(np.arange(hi - lo), np.diff(first))[s]
+            once = np.unique(doc * np.int64(FEATURES) + f)
+            own, f = y[lo:hi][once // FEATURES], once % FEATURES
+            name, back = np.unique(f, return_inverse=True)
+            n = np.bincount(back * 2 + own, minlength=2 * len(name)).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(n[:, 0]), pa.array(n[:, 1])], ["f", "n0", "n1"])
+
+
+def _bags(chosen: np.ndarray):
+    """Per document: label, sentences without a chosen feature, and (sentence, feature) of the others."""
+
+    def run(batches):
+        for b in batches:
+            buf, offs = K.string_buffers(b.column(0))
+            for lo, hi, part, o in K.chunks(buf, offs):
+                f, s, first = features(part, o)
+                at = np.minimum(np.searchsorted(chosen, f), max(len(chosen) - 1, 0))
+                use = chosen[at] == f if len(chosen) else np.zeros(len(f), bool)
+                key = np.unique(s[use] * np.int64(max(len(chosen), 1)) + at[use])  # a feature counts once a sentence
+                s, f = key // max(len(chosen), 1), key % max(len(chosen), 1)
+                cut = np.searchsorted(s, first)
+                rows = [(s[i:j] - first[k], f[i:j]) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:]))]
+                plain = [int(n) - len(np.unique(r[0])) for n, r in zip(np.diff(first), rows)]
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), pa.array(plain, pa.int64()),
+                                                  pa.array([r[0].astype(np.int32).tobytes() for r in rows], pa.binary()),
+                                                  pa.array([r[1].astype(np.int32).tobytes() for r in rows], pa.binary())], ["y", "plain", "sentence", "feature"])
+
+    return run
 
-    Only the ``CHOSEN`` features whose document frequencies differ most between the labels
-    (chi-square, in at least ``SEEN`` documents) get a weight."""
-    y = np.array([r[1] for r in rows], dtype=bool)
+
+def fit(bags: pa.Table, chosen: np.ndarray, rounds: int = ROUNDS, rate: float = 0.5, penalty: float = 1e-6) -> np.ndarray:
+    """Weights (the last one is the bias) by full-batch AdaGrad on the document log loss."""
+    y = np.asarray(bags.column("y").combine_chunks()).astype(bool) if len(bags) else np.zeros(0, bool)
     weights = np.zeros(FEATURES + 1)
     if not y.any() or y.all():
         weights[-1] = -50.0
         return weights
-    fs, ss, firsts, n = [], [], [], 0
-    buf, offs = K.string_buffers(pa.array([r[0] or "" for r in rows], pa.large_string()))
-    frequency = np.zeros((2, FEATURES))
-    for lo, hi, part, o in K.chunks(buf, offs):
-        f, s, first = features(part, o)
-        key = np.unique(s * np.int64(FEATURES) + f)  # a feature counts once a sentence
-        f, s = (key % FEATURES).astype(np.int32), key // FEATURES
-        doc = np.repeat(np.arange(hi - lo), np.diff(first))[s]
-        once = np.unique(doc * np.int64(FEATURES) + f)
-        for label in (0, 1):
-            frequency[label] += np.bincount((once % FEATURES)[y[lo:hi][once // FEATURES] == label], minlength=FEATURES)
-        fs.append(f)
+    plain = np.asarray(bags.column("plain").combine_chunks()).astype(float)
+    ss, ff, dd, n = [], [], [], 0
+    for k, (s, f) in enumerate(zip(bags.column("sentence").to_pylist(), bags.column("feature").to_pylist())):
+        name, s = np.unique(np.frombuffer(s, np.int32), return_inverse=True)
         ss.append(s + n)
-        firsts.append(first[:-1] + n)
-        n += int(first[-1])
-    f, s, first = np.concatenate(fs), np.concatenate(ss), np.append(np.concatenate(firsts), n)
-    both, total = frequency.sum(0), np.array([(~y).sum(), y.sum()], dtype=float)
-    expected = np.outer(total / total.sum(), np.maximum(both, 1e-9))
-    worth = ((frequency - expected) ** 2 / expected).sum(0)
-    worth[both < SEEN] = 0.0
-    on = np.zeros(FEATURES, bool)
-    on[np.argsort(-worth, kind="stable")[:CHOSEN]] = True
-    on &= worth > 0
-    names = np.flatnonzero(on)
-    f, s = np.searchsorted(names, f[on[f]]), s[on[f]]
-    doc = np.repeat(np.arange(len(y)), np.diff(first))
-    own = np.zeros(len(names) + 1)
+        ff.append(np.frombuffer(f, np.int32))
+        dd.append(np.full(len(name), k))
+        n += len(name)
+    s, f, doc = np.concatenate(ss), np.concatenate(ff), np.concatenate(dd)
+    own = np.zeros(len(chosen) + 1)
     own[-1] = -6.0
     seen = np.full(len(own), 1e-10)
-    balance = np.where(y, 0.5 / total[1], 0.5 / total[0])
+    balance = np.where(y, 0.2 / y.sum(), 0.8 / (~y).sum())  # a clean document flagged costs more
     for _ in range(rounds):
         z = sentence_logits(own, f, s, n)
-        p = 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
-        big = np.clip(noisy_or(z, first), 1e-9, 1 - 1e-12)
-        # d loss / d z: p for a negative document, -(1 - P) / P * p for a positive one
-        g = np.where(y, -(1 - big) / big, 1.0)
-        g = (g * balance)[doc] * p
+        none = -np.logaddexp(0.0, own[-1]) * plain - np.bincount(doc, weights=np.logaddexp(0.0, z), minlength=len(y))
+        big = np.clip(-np.expm1(none), 1e-9, 1 - 1e-12)
+        # d loss / d z of a sentence: p in a negative document, -(1 - P) / P * p in a positive one
+        share = balance * np.where(y, -(1 - big) / big, 1.0)
+        g = share[doc] / (1.0 + np.exp(-np.clip(z, -40, 40)))
         grad = np.empty(len(own))
-        grad[:-1] = np.bincount(f, weights=g[s], minlength=len(names)) + penalty * own[:-1]
-        grad[-1] = g.sum()
+        grad[:-1] = np.bincount(f, weights=g[s], minlength=len(chosen)) + penalty * own[:-1]
+        grad[-1] = g.sum() + (share * plain).sum() / (1.0 + np.exp(-own[-1]))
         seen += grad * grad
         own -= rate * grad / np.sqrt(seen)
-    weights[names], weights[-1] = own[:-1], own[-1]
+    weights[chosen], weights[-1] = own[:-1], own[-1]
     return weights
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int = TRAIN_DOCS) -> list[tuple[str, int]]:
-    """At most ``most`` labelled documents of the training folds, positives first up to half.
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int = TRAIN_DOCS) -> DataFrame:
+    """(text, y) of at most ``most`` labelled documents of the training folds, positives first up to half.
 
     Drawn by the hash order of doc_id.  Folds: crc32(doc_id as text) mod 3 other than 1."""
     marks = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
              .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
              .where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
              .groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top"))
+    marks = marks.join(texts(docs).select("doc_id").distinct(), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = (marks.where("y = 1").orderBy(*order).limit(most // 2)
               .unionByName(marks.where("y = 0").orderBy(*order).limit(most // 2)).select("doc_id", "y"))
-    chosen = written(chosen, "toxic-sample")
-    # at most ``most`` ids: a proven bound for the broadcast
-    got = texts(docs).join(F.broadcast(chosen), "doc_id").orderBy(*order, "text").select("text", "y").limit(most).toArrow()
-    return list(zip(got.column("text").to_pylist(), got.column("y").to_pylist()))
+    chosen = written(chosen, "toxic-ids")
+    # at most ``most`` ids: a proven bound for the broadcast; a repeated doc_id gives its first text
+    found = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return written(found.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y"), "toxic-sample")
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> np.ndarray:
+    """Features are chosen by chi-square of their document frequencies; only those and the bags of the sample reach the driver."""
+    prepare(docs.sparkSession)
+    rows = training_rows(docs, labels, label_col)
+    total = rows.agg(F.sum(F.lit(1) - F.col("y")).alias("n0"), F.sum("y").alias("n1")).first()
+    if not total["n0"] or not total["n1"]:
+        return fit(pa.table({"y": pa.array([], pa.int32())}), np.zeros(0, np.int64)).astype(np.float32)
+    both, share = F.col("n0") + F.col("n1"), total["n1"] / (total["n0"] + total["n1"])
+    worth = F.pow(F.col("n1") - both * share, 2) / (both * share) + F.pow(F.col("n0") - both * (1 - share), 2) / (both * (1 - share))
+    top = (rows.select("text", "y").mapInArrow(_counts, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+           .where(both >= SEEN).withColumn("worth", worth).where(F.col("worth") >= WORTH).orderBy(F.desc("worth"), "f").limit(CHOSEN).select("f").collect())
+    chosen = np.sort(np.array([r["f"] for r in top], dtype=np.int64))
+    bags = rows.select("text", "y", "doc_id").mapInArrow(_bags(chosen), "y int, plain long, sentence binary, feature binary")
+    return fit(bags.toArrow(), chosen).astype(np.float32)
 
 
 def scorer(weights: np.ndarray):
@@ -162,11 +196,6 @@ def scorer(weights: np.ndarray):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> np.ndarray:
-    prepare(docs.sparkSession)
-    return fit(training_rows(docs, labels, label_col)).astype(np.float32)
-
-
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     prepare(docs.sparkSession)
