@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from protolens.llm import kernel as K
@@ -419,3 +419,21 @@ def link_components(docs: DataFrame, percent: int = PERCENT, short: int = SHORT,
     out = sets.select("doc_id", "n", "sid").join(reps.select("sid", "rep"), "sid", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"),
                       F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, that of its smallest doc_id, all columns unchanged.
+
+    Of rows that share this doc_id the one with the smallest text stays; rows with a null doc_id, which no
+    component can name, stay."""
+    found = link_components(docs, percent)
+    drop = written(found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "jaccard-dropped")
+    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    out = docs.join(drop.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    if twice.isEmpty():
+        return out
+    order = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in ("text", *[c for c, t in docs.dtypes if c not in ("doc_id", "text") and not t.startswith("map")])])
+    again = written(twice.select(F.col("doc_id").alias("again")), "jaccard-repeated")
+    place = "place_" + "_".join(sorted(docs.columns))  # a name that no column has
+    some = out.join(again, F.col("doc_id") == F.col("again"), "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+    return out.join(again, F.col("doc_id") == F.col("again"), "left_anti").unionByName(some)

@@ -159,17 +159,24 @@ def masked(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
     return "".join(out) + text[at:]
 
 
-def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", threshold: float = NOVELTY) -> DataFrame:
-    """The same rows and columns with every found span replaced by ``mask``; a null text stays null."""
+def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", threshold: float = NOVELTY, length_col: str | None = None) -> DataFrame:
+    """The same rows and columns with every found span replaced by ``mask``; a null text stays null.
+
+    ``length_col`` (if the table has it) changes by as many code points as its row's text."""
     prepare(docs.sparkSession)
     words = identifier_dictionary(docs.select(F.col(text_col).cast("string").alias("text")))
     at = docs.columns.index(text_col)
+    size_at = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches):
         novelty = Novelty(words)
         for batch in batches:
             text = batch.column(at).to_pylist()
             new = [t if not (spans := all_spans(t, novelty, threshold)) else masked(t, spans, mask) for t in text]
+            if size_at is not None:
+                size = batch.column(size_at).to_pylist()
+                size = [n if n is None or t is None else n + len(m) - len(t) for n, t, m in zip(size, text, new)]
+                batch = batch.set_column(size_at, batch.schema.field(size_at), pa.array(size, batch.schema.field(size_at).type))
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
     return docs.mapInArrow(run, docs.schema)
