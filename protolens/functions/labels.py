@@ -94,7 +94,7 @@ def top_scored_category(json_pairs, threshold: float = 0.5) -> Column:
     parsed = F.from_json(text, "array<array<string>>")
     items = F.transform(parsed, lambda p: F.struct(p[0].alias("name"), p[1].cast("double").alias("score")))
     first = F.try_element_at(items, F.lit(1))
-    best = F.aggregate(F.slice(items, 2, 1 << 20), first,
+    best = F.aggregate(F.slice(items, 2, F.greatest(F.size(items), F.lit(0))), first,
                        lambda acc, x: F.when(x["score"] > acc["score"], x).otherwise(acc))
     return F.when(best["score"] < threshold, F.lit(LOW_CONFIDENCE)).otherwise(best["name"])
 

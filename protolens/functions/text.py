@@ -7,6 +7,8 @@ key join or a grouped turn table is needed.
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -88,13 +90,12 @@ def render_classifier_prompt(messages, bos_token: str = "") -> Column:
     return F.concat(head, block, F.lit(TPL.JUDGE_TAIL))
 
 
-def render_policy_prompt(messages, categories_text: str) -> Column:
-    """Same extraction, taxonomy prompt; the category body is a parameter."""
+def render_policy_prompt(messages) -> Column:
+    """Same extraction, policy prompt."""
     user = _last_content(messages, "user")
     asst = _last_content(messages, "assistant")
     block = F.when(asst != "", TPL.fill(TPL.POLICY_ASSISTANT_BLOCK, assistant=asst)).otherwise(F.lit(""))
-    return F.concat(F.lit(TPL.POLICY_HEAD + categories_text), TPL.fill(TPL.POLICY_MID, user=user), block,
-                    F.lit(TPL.POLICY_TAIL))
+    return F.concat(TPL.fill(TPL.POLICY_HEAD, user=user), block, F.lit(TPL.POLICY_TAIL))
 
 
 def render_task_template(question, choices, prompt_template: str | None = None) -> Column:
@@ -113,7 +114,7 @@ def wrap_classification_prompt(messages, template: str, prompt_only_mode: bool =
     first = F.element_at(m, 1)
     if prompt_only_mode:
         content = TPL.fill(template, prompt=first["content"])
-        return F.concat(F.array(F.struct(first["role"].alias("role"), content.alias("content"))), F.slice(m, 2, 1 << 20))
+        return F.concat(F.array(F.struct(first["role"].alias("role"), content.alias("content"))), F.slice(m, 2, F.size(m)))
     content = TPL.fill(template, prompt=first["content"], response=F.element_at(m, 2)["content"])
     return F.array(F.struct(first["role"].alias("role"), content.alias("content")))
 
@@ -151,22 +152,18 @@ def cut_after_think(text, tag: str = "</think>") -> Column:
     return F.concat(F.substring_index(_c(text), tag, 1), F.lit(tag))
 
 
-def vline(token: str) -> str:
-    """Neutralised form of a special token: 'a|mid|z' (length < 2 -> ' ')."""
-    if len(token) < 2:
-        return " "
-    if len(token) == 2:
-        return f"{token[0]}|{token[1]}"
-    return f"{token[:1]}|{token[1:-1]}|{token[-1:]}"
+#: places of a bar in a neutralised token: after its first character and before its last
+_BARS = re.compile(r"(?<=\A.)(?=.)|(?<=.)(?=.\Z)", re.DOTALL)
+
+
+def neutral_form(token: str) -> str:
+    """A token that no longer reads as special: bars at ``_BARS``; one character becomes a space."""
+    return _BARS.sub("|", token) if len(token) > 1 else " "
 
 
 def neutralise_special_tokens(text, tokens: Sequence[str]) -> Column:
-    """Replace each special token (in the given order) by its neutralised form."""
-    out = _c(text)
-    for t in tokens:
-        if t:
-            out = F.replace(out, F.lit(t), F.lit(vline(t)))
-    return out
+    """Replace each special token (in the given order) by its neutral form."""
+    return functools.reduce(lambda c, t: F.replace(c, F.lit(t), F.lit(neutral_form(t))), filter(None, tokens), _c(text))
 
 
 def suffix_expansion(pairs: DataFrame, suffixes: DataFrame, pair_order: str, suffix_order: str,

@@ -266,42 +266,39 @@ def condition_predictions(sims: DataFrame, best: DataFrame, id_col: str = "examp
 
 
 # ---------------------------------------------------------------- C12-C16
-def parse_rules(spark, rules: Sequence[str]) -> DataFrame:
-    """C12 rule table: (rule_idx, behavior_idx, mode, conditions ARRAY<INT>), parsed once on the driver.
+_INTEGER = r"^\s*([+-]?[0-9]+)\s*$"
+
+
+def _whole(text: Column) -> Column:
+    """A column of text as a zero-based number: the integer less one, -1 where it is none."""
+    return F.coalesce(F.regexp_extract(text, _INTEGER, 1).try_cast("int") - 1, F.lit(-1))
+
+
+def rule_columns(rule: Column) -> dict[str, Column]:
+    """C12 grammar over a column of rules ``if <conditions> then B<n>``.
 
-    Semantics kept from the reference (Q24): conditions are lower-cased words of
-    the text before 'then' with 'if' removed; any 'or' makes the rule an OR, else
-    any 'and' an AND, else the first word alone; 'cN' means condition N-1 and any
-    other word is false; the behaviour is the number after the first 'B'.
+    conditions := words between "if" and the only "then", lower-cased; cN names condition N - 1.
+    mode       := any, when the word "or" is there or no connective is (then the first word counts);
+                  all, when only "and" is; never, when the rule has no or several "then".
+    behaviour  := the number that follows the first B.
     """
-    rows = []
-    for k, rule in enumerate(rules):
-        parts = rule.split("then")
-        try:
-            behavior = int(rule.split("B")[1]) - 1
-        except (ValueError, IndexError):
-            behavior = -1
-        if len(parts) != 2:
-            rows.append((k, behavior, "never", []))
-            continue
-        words = parts[0].strip().lower().replace("if", "").strip().split()
-        if "or" in words:
-            mode, conds = "any", [w for w in words if w not in ("or", "and")]
-        elif "and" in words:
-            mode, conds = "all", [w for w in words if w not in ("or", "and")]
-        else:
-            mode, conds = "any", words[:1]
-        ids = []
-        for w in conds:
-            idx = -1
-            if w.startswith("c"):
-                try:
-                    idx = int(w[1:]) - 1
-                except ValueError:
-                    idx = -1
-            ids.append(idx)
-        rows.append((k, behavior, mode, ids))
-    return spark.createDataFrame(rows, "rule_idx int, behavior_idx int, mode string, conditions array<int>")
+    halves = F.split(rule, "then", -1)
+    words = F.filter(F.split(F.replace(F.lower(halves[0]), F.lit("if"), F.lit("")), r"\s+"), lambda w: w != "")
+    any_, all_ = F.array_contains(words, "or"), F.array_contains(words, "and")
+    named = F.when(any_ | all_, F.filter(words, lambda w: ~w.isin("or", "and"))).otherwise(F.slice(words, 1, 1))
+    number = F.transform(named, lambda w: F.when(w.startswith("c"), _whole(F.substr(w, F.lit(2)))).otherwise(F.lit(-1)))
+    well = F.size(halves) == 2
+    return {
+        "behavior_idx": F.coalesce(_whole(F.try_element_at(F.split(rule, "B", -1), F.lit(2))), F.lit(-1)),
+        "mode": F.when(~well, "never").when(all_ & ~any_, "all").otherwise("any"),
+        "conditions": F.when(well, number).otherwise(F.array().cast("array<int>")),
+    }
+
+
+def parse_rules(spark, rules: Sequence[str]) -> DataFrame:
+    """C12 rule table: (rule_idx, behavior_idx, mode, conditions ARRAY<INT>)."""
+    table = spark.createDataFrame(list(enumerate(rules)), "rule_idx int, rule string")
+    return table.select("rule_idx", *[c.alias(n) for n, c in rule_columns(F.col("rule")).items()])
 
 
 def evaluate_rules(flags: DataFrame, rules: DataFrame, id_col: str = "example_id", flags_col: str = "flags") -> DataFrame:

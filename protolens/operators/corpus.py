@@ -120,7 +120,7 @@ def display_name_map(df: DataFrame, mapping: Mapping[str, tuple[str, int]], col:
 def contrastive_zip(df: DataFrame, id_col: str, label: str = "label", seed: int = 42) -> DataFrame:
     """I-th positive with i-th negative in seeded hash order (rank by bucketed windows, join on rank)."""
     h = df.withColumn("_h", hash_order(id_col, seed))
-    ranked = rank_cut(h, [label], "_h", id_col, 2 ** 31 - 1, "rank")  # every row ranked, no cut
+    ranked = rank_cut(h, [label], "_h", id_col, None, "rank")  # every row ranked, no cut
     pos = ranked.where(F.col(label) == 1).select("rank", F.col(id_col).alias("pos_id"))
     neg = ranked.where(F.col(label) == 0).select("rank", F.col(id_col).alias("neg_id"))
     return pos.join(neg, "rank")

@@ -22,7 +22,13 @@ from pyspark.sql import functions as F
 
 
 def assemble(df: DataFrame, feature_cols: Sequence[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(feature_cols), outputCol=out, handleInvalid="keep").transform(df)
+    """Layer features followed by a constant 1, whose weight is the intercept (penalised like the others)."""
+    one = "one_" + "_".join(feature_cols)
+    return VectorAssembler(inputCols=[*feature_cols, one], outputCol=out, handleInvalid="keep").transform(df.withColumn(one, F.lit(1.0))).drop(one)
+
+
+def intercept(model) -> float:
+    return float(model.coefficients[len(model.coefficients) - 1])
 
 
 def _n(df: DataFrame) -> int:
@@ -35,7 +41,7 @@ def meta_fit(features: DataFrame, feature_cols: Sequence[str], label: str = "lab
     data = assemble(features, feature_cols).select("features", F.col(label).cast("double").alias("label"))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     n = n or _n(data)
-    lr = LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (C * n), standardization=False, maxIter=200,
+    lr = LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (C * n), standardization=False, fitIntercept=False, maxIter=200,
                             tol=1e-6, family="binomial")
     model = lr.fit(data)
     data.unpersist()
@@ -60,7 +66,8 @@ def regularisation_path(features: DataFrame, feature_cols: Sequence[str], label:
     data = assemble(features, feature_cols).select("features", F.col(label).cast("double").alias("label"))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     n = data.count()
-    lr = LogisticRegression(elasticNetParam=1.0, standardization=False, maxIter=200, tol=1e-6, family="binomial")
+    lr = LogisticRegression(elasticNetParam=1.0, standardization=False, fitIntercept=False, maxIter=200, tol=1e-6,
+                            family="binomial")
     maps = [{lr.regParam: 1.0 / (c * n)} for c in cs]
     models = lr.fit(data, maps)
     data.unpersist()
@@ -74,7 +81,7 @@ def meta_coefficients(spark, model, layers: Sequence[int], C: float | None = Non
     With ``layer_source`` (a table with a ``layer`` column, e.g. the fitted
     parameters) the rows are that table's layers with their weight looked up.
     """
-    coefs = [float(w) for w in model.coefficients.toArray().tolist()]
+    coefs = [float(w) for w in model.coefficients.toArray().tolist()[:-1]]  # the last one is the intercept
     if layer_source is None:
         df = spark.createDataFrame([(int(layer), w) for layer, w in zip(layers, coefs)], "layer int, coefficient double")
     else:

@@ -116,7 +116,9 @@ def prefix_sums(df: DataFrame, keys, order: str, cols: Sequence[str], buckets: i
     o = F.col(order).desc() if descending else F.col(order).asc()
     ranged = df.repartitionByRange(int(buckets), *[F.col(k) for k in keys], o) \
         .sortWithinPartitions(*[F.col(k) for k in keys], o).withColumn("_range", F.spark_partition_id())
-    out_schema = T.StructType(ranged.schema.fields + [T.StructField(c + "_loc", ranged.schema[c].dataType) for c in cols])
+    # sums of whole numbers are 64-bit whatever the input's width
+    kind = {c: T.DoubleType() if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else T.LongType() for c in cols}
+    out_schema = T.StructType(ranged.schema.fields + [T.StructField(c + "_loc", kind[c]) for c in cols])
 
     def cumulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carry: dict = {}  # running sums per group across the batches of one sorted range
@@ -125,16 +127,18 @@ def prefix_sums(df: DataFrame, keys, order: str, cols: Sequence[str], buckets: i
                 yield pdf.assign(**{c + "_loc": pdf[c] for c in cols})
                 continue
             g = pdf.groupby(keys, sort=False, dropna=False)
-            loc = g[cols].cumsum()
-            if carry:
-                base = pd.DataFrame([carry.get(k if isinstance(k, tuple) else (k,), [0] * len(cols))
-                                     for k in pdf[keys].itertuples(index=False, name=None)],
-                                    columns=cols, index=pdf.index)
-                loc = loc + base
+            loc = pdf[cols].astype({c: "float64" if isinstance(kind[c], T.DoubleType) else "int64" for c in cols})
+            loc = loc.groupby([pdf[k] for k in keys], sort=False, dropna=False).cumsum()
+            if carry:  # only a batch's first group can have begun before it; the batch is sorted by group
+                first = tuple(pdf[keys].iloc[0])
+                if first in carry:
+                    rows = g.ngroup() == g.ngroup().iloc[0]
+                    loc.loc[rows] = loc.loc[rows] + carry[first]
+                carry = {}
             last = pdf[keys].assign(**{c: loc[c] for c in cols}).groupby(keys, sort=False, dropna=False).last()
             for k, row in last.iterrows():
                 carry[k if isinstance(k, tuple) else (k,)] = [row[c] for c in cols]
-            yield pdf.assign(**{c + "_loc": loc[c].astype(pdf[c].dtype) for c in cols})
+            yield pdf.assign(**{c + "_loc": loc[c] for c in cols})
 
     local = materialize(ranged.mapInPandas(cumulate, out_schema))
     totals = local.groupBy(*keys, "_range").agg(*[F.sum(c).alias(c + "_rt") for c in cols])
@@ -143,7 +147,7 @@ def prefix_sums(df: DataFrame, keys, order: str, cols: Sequence[str], buckets: i
                             *[F.coalesce(F.sum(c + "_rt").over(wr), F.lit(0)).alias(c + "_off") for c in cols])
     j = attach_params(local, offsets, keys + ["_range"], uniform_keys=True)  # one row per (group, range)
     out = j.select(*[F.col(c) for c in df.columns],
-                   *[(F.col(c + "_loc") + F.col(c + "_off")).cast(df.schema[c].dataType).alias(c + suffix)
+                   *[(F.col(c + "_loc") + F.col(c + "_off")).cast(kind[c]).alias(c + suffix)
                      for c in cols])
     return out.drop("_pk_all") if "_pk_all" in out.columns else out
 
@@ -169,8 +173,8 @@ def ranking_metrics(table: DataFrame, keys, buckets: int = DEFAULT_BUCKETS) -> D
     """
     keys = _k(keys)
     c = prefix_sums(table, keys, "score", ["pos", "neg"], buckets)
-    w_tot = c.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    j = c.join(w_tot, keys)
+    w_tot = table.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    j = attach_params(c, w_tot, keys)  # one row a group: broadcast when measured small, salted otherwise
     pos_below = F.col("pos_cum") - F.col("pos")
     neg_below = F.col("neg_cum") - F.col("neg")
     tp_ge = F.col("_p") - pos_below

@@ -109,17 +109,24 @@ def attach_params(
         return rows.join(params, on, how)
     # Salted shuffle join: spread each key's rows over ``salt_buckets`` tasks.
     if salt_col is not None:
-        salt = F.pmod(F.xxhash64(F.col(salt_col)), F.lit(salt_buckets))
+        if salt_col in on:
+            raise ValueError("salt_col must not be a join key: a hot key would stay in one task")
+        salt = F.pmod(F.xxhash64(F.col(salt_col)), F.lit(salt_buckets)).cast("int")
     else:
-        # hash the scalar columns only (cheap, and stable across task retries); vectors are skipped
-        scalar = [f.name for f in rows.schema.fields
-                  if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in (scalar or rows.columns)]), F.lit(salt_buckets))
-    salted_rows = rows.withColumn("_salt", salt.cast("int"))
+        salt = row_salt(rows, on, F.lit(salt_buckets))
+    salted_rows = rows.withColumn("_salt", salt)
     salted_params = params.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
     return salted_rows.join(salted_params, on + ["_salt"], how).drop("_salt")
 
 
+def row_salt(rows: DataFrame, keys: Sequence[str], buckets: Column) -> Column:
+    """Salt in 0 .. buckets - 1 from the columns that are not keys (vectors too), the same on every retry."""
+    other = [f.name for f in rows.schema.fields if f.name not in set(keys) and not isinstance(f.dataType, T.MapType)]
+    if not other:
+        raise ValueError("rows hold only key columns: there is nothing to salt by")
+    return F.pmod(F.xxhash64(*[F.col(c) for c in other]), buckets).cast("int")
+
+
 def pack_params(params: DataFrame, keys: Sequence[str], order: str, fields: Sequence[str], name: str) -> DataFrame:
     """Collapse per-class parameter rows into one sorted array of structs per key.
 

@@ -96,7 +96,7 @@ def percent_and_rename(value, name, prefix: str = "Majority Vote ") -> tuple[Col
     """x100 and strip a name prefix."""
     v = F.col(value) if isinstance(value, str) else value
     n = F.col(name) if isinstance(name, str) else name
-    return v * 100, F.when(n.startswith(prefix), F.substring(n, len(prefix) + 1, 1 << 20)).otherwise(n)
+    return v * 100, F.when(n.startswith(prefix), F.substr(n, F.lit(len(prefix) + 1))).otherwise(n)
 
 
 def response_detection_rates(df: DataFrame, model: str, harmful_q: str, flagged: str, harmful_resp: str) -> DataFrame:

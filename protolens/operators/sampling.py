@@ -42,19 +42,19 @@ def hash_order(id_col: str, seed: int | str | Column) -> Column:
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(":"), s))
 
 
-def rank_cut(df: DataFrame, keys, order: str, tie: str, k: int | str, rank_col: str = "rank",
+def rank_cut(df: DataFrame, keys, order: str, tie: str, k: int | str | None, rank_col: str = "rank",
              digits: int | None = None) -> DataFrame:
     """Rows whose 1-based rank within ``keys`` by (order, tie) is <= k, with their rank.
 
-    ``order`` is a hex string column; ``k`` an int or a column name holding a
-    per-row limit (constant within a group).
+    ``order`` is a hex string column; ``k`` an int, a column name holding a
+    per-row limit (constant within a group), or None for all rows.
     """
     keys = _k(keys)
     if digits is None:
         counts = df.groupBy(*keys).count() if keys else df.groupBy().count()
         largest = counts.agg(F.max("count")).first()[0] or 0
         digits = max(1, min(8, math.ceil(math.log(max(largest, 2) / TARGET_BUCKET_ROWS, 16)) if largest > TARGET_BUCKET_ROWS else 1))
-    kcol = F.lit(int(k)) if isinstance(k, int) else F.col(k)
+    kcol = F.lit((1 << 63) - 1 if k is None else k) if k is None or isinstance(k, int) else F.col(k)
     b = df.withColumn("_bkt", F.substring(F.col(order), 1, digits)).withColumn("_k", kcol)
     sizes = b.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_bn"), F.max("_k").alias("_kmax"))
     wb = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1) if keys else \
@@ -64,7 +64,9 @@ def rank_cut(df: DataFrame, keys, order: str, tie: str, k: int | str, rank_col:
     # (group, hash bucket) keys are uniform by construction: no salting needed above the broadcast limit
     kept = attach_params(b, live, keys + ["_bkt"], uniform_keys=True)
     w = Window.partitionBy(*keys, "_bkt").orderBy(F.col(order), F.col(tie))
-    ranked = kept.withColumn(rank_col, (F.col("_before") + F.row_number().over(w)).cast("int"))
+    ranked = kept.withColumn(rank_col, F.col("_before") + F.row_number().over(w))
+    if k is None:
+        return ranked.drop("_bkt", "_before", "_k")
     return ranked.where(F.col(rank_col) <= F.col("_k")).drop("_bkt", "_before", "_k")
 
 
@@ -94,7 +96,7 @@ def sample_fraction(df: DataFrame, frac: float, id_col: str = "example_id", seed
     if keys:
         cnt = h.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         # round half to even, as Python round(frac * n)
-        h = attach_params(h, cnt, keys).withColumn("_kk", F.bround(F.col("_n") * F.lit(frac), 0).cast("int"))
+        h = attach_params(h, cnt, keys).withColumn("_kk", F.bround(F.col("_n") * F.lit(frac), 0).cast("long"))
         return rank_cut(h, keys, "_h", id_col, "_kk", "_rank").drop("_h", "_n", "_kk", "_rank")
     total = h.count()
     k = int(round(frac * total))
@@ -102,9 +104,9 @@ def sample_fraction(df: DataFrame, frac: float, id_col: str = "example_id", seed
 
 
 def shuffle_take(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
-    """SP3: first ``n`` rows of the seeded order (a top-k, not a full sort)."""
-    h = hash_order(id_col, seed)
-    return df.withColumn("_h", h).orderBy("_h", id_col).limit(n).drop("_h")
+    """SP3: first ``n`` rows of the seeded order: hash buckets past the cut are dropped, no task merges full rows."""
+    keyed = df.withColumn("_h", hash_order(id_col, seed))
+    return rank_cut(keyed, [], "_h", id_col, n, "_rank").drop("_h", "_rank")
 
 
 def paired_sample(left: DataFrame, right: DataFrame, key: str, n: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:

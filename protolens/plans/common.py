@@ -18,10 +18,8 @@ def layer_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return select_layers(fx.vectors(spark, sf), exclude=(0,), pooling=None)
 
 
-def train_test(spark: SparkSession, sf: str, two_dim: bool = False) -> tuple[DataFrame, DataFrame]:
+def train_test(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     v = layer_vectors(spark, sf)
-    if two_dim:
-        v = v.withColumn("vector", F.slice("vector", 1, 2))
     return v.where(F.col("split") == "train"), v.where(F.col("split") == "test")
 
 

@@ -24,15 +24,12 @@ from protolens.sources.fixtures import with_views
 THRESHOLD = 0.2
 
 
-def _vecs(spark, sf, two_dim=False) -> DataFrame:
-    v = layer_vectors(spark, sf)
-    if two_dim:
-        v = v.withColumn("vector", F.slice("vector", 1, 2))
-    return v
+def _vecs(spark, sf) -> DataFrame:
+    return layer_vectors(spark, sf)
 
 
-def _pairs(spark, sf, two_dim=False) -> DataFrame:
-    v = _vecs(spark, sf, two_dim)
+def _pairs(spark, sf) -> DataFrame:
+    v = _vecs(spark, sf)
     ids = contrastive_zip(v.where("layer = 1").select("example_id", "label"), "example_id", "label")
     return CT.pair_vectors(v, ids, ["layer"])
 
@@ -54,7 +51,7 @@ def _sims(spark, sf) -> DataFrame:
 
 
 _BASE = """
-vv AS (SELECT example_id, layer, label, {vec} AS vector FROM vectors WHERE layer <> 0),
+vv AS (SELECT example_id, layer, label, vector FROM vectors WHERE layer <> 0),
 r AS (SELECT example_id, label, row_number() OVER (PARTITION BY label
         ORDER BY md5(concat(CAST(example_id AS VARCHAR), ':42')), example_id) AS rk FROM vectors WHERE layer = 1),
 pairs AS (SELECT p.rk AS rank, p.example_id AS pos_id, n.example_id AS neg_id FROM r p JOIN r n
@@ -64,8 +61,9 @@ pv AS (SELECT pairs.rank, pairs.pos_id, pairs.neg_id, a.layer, a.vector AS pos,
 pe AS (SELECT layer, rank, pos_id, neg_id, CAST(unnest(range(len(pos))) AS INTEGER) AS i, unnest(pos) AS a, unnest(neg) AS b FROM pv)"""
 
 
-def _sql(body: str, two_dim: bool = False) -> str:
-    return with_views("WITH " + _BASE.format(vec="vector[1:2]" if two_dim else "vector") + ",\n" + body, "vectors")
+def _sql(body: str) -> str:
+    sql = with_views("WITH " + _BASE + ",\n" + body, "vectors")
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1) if "pw_" in body else sql
 
 
 # C1 ---------------------------------------------------------------------------
@@ -100,81 +98,98 @@ def q_contrast_matrix_pairwise(spark, sf):
     return long_array(c, ["layer", "rank", "side"], "vector")
 
 
-# C4-C6, C16 (2-dim closed form) -------------------------------------------------
-_PCA2 = """
-tr AS (SELECT layer, (pos[1] - neg[1]) / 2 AS x0, (pos[2] - neg[2]) / 2 AS x1 FROM pv
-       UNION ALL SELECT layer, (neg[1] - pos[1]) / 2, (neg[2] - pos[2]) / 2 FROM pv),
-cv AS (SELECT layer, var_samp(x0) AS a, covar_samp(x0, x1) AS b, var_samp(x1) AS c FROM tr GROUP BY layer),
-ev AS (SELECT layer, a, b, c, (a + c) / 2 + sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) AS l1 FROM cv),
-raw AS (SELECT layer, CASE WHEN a >= c THEN l1 - c ELSE b END AS v0, CASE WHEN a >= c THEN b ELSE l1 - a END AS v1,
-               l1 / (a + c) AS evr FROM ev),
-nrm AS (SELECT layer, v0 / sqrt(v0 * v0 + v1 * v1) AS v0, v1 / sqrt(v0 * v0 + v1 * v1) AS v1, evr FROM raw),
-dirs AS (SELECT layer, CASE WHEN (CASE WHEN abs(v0) >= abs(v1) THEN v0 ELSE v1 END) < 0 THEN -v0 ELSE v0 END AS d0,
-                CASE WHEN (CASE WHEN abs(v0) >= abs(v1) THEN v0 ELSE v1 END) < 0 THEN -v1 ELSE v1 END AS d1, evr FROM nrm),
+# C4-C6, C16 -------------------------------------------------------------------
+def _axis(source: str, name: str) -> str:
+    """Largest axis of the matrices ``source`` (layer, m[][]): ``name`` (layer, v[], l).
+
+    Repeated squaring, scaled by the trace, tends to v v^T; the entry of largest size is made positive."""
+    return f"""
+pw_{name} AS (SELECT layer, 0 AS k, m FROM {source}
+  UNION ALL
+  SELECT layer, k + 1, list_transform(q, lambda r: list_transform(r, lambda x: x / t))
+  FROM (SELECT layer, k, q, list_sum(list_transform(range(1, len(q) + 1), lambda c: q[c][c])) AS t
+        FROM (SELECT layer, k, list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b))) AS q
+              FROM pw_{name} WHERE k < 40))),
+top_{name} AS (SELECT layer, m, list_transform(range(1, len(m) + 1), lambda c: m[c][c]) AS g FROM pw_{name} WHERE k = 40),
+unit_{name} AS (SELECT layer, list_transform(m[list_position(g, list_max(g))], lambda x: x / sqrt(list_max(g))) AS v FROM top_{name}),
+{name} AS (SELECT layer, v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l
+           FROM unit_{name} JOIN {source} USING (layer))"""
+
+
+_PCA = """
+tr AS (SELECT layer, rank, 0 AS side, list_transform(range(1, len(pos) + 1), lambda c: (pos[c] - neg[c]) / 2) AS x FROM pv
+       UNION ALL SELECT layer, rank, 1, list_transform(range(1, len(pos) + 1), lambda c: (neg[c] - pos[c]) / 2) FROM pv),
+te AS (SELECT layer, rank, side, unnest(range(len(x))) AS i, unnest(x) AS x FROM tr),
+mu AS (SELECT layer, i, avg(x) AS m FROM te GROUP BY ALL),
+tc AS (SELECT te.layer, rank, side, te.i, x - m AS x FROM te JOIN mu ON te.layer = mu.layer AND te.i = mu.i),
+ce AS (SELECT a.layer, a.i, b.i AS j, sum(a.x * b.x) / (count(*) - 1) AS c
+       FROM tc a JOIN tc b ON a.layer = b.layer AND a.rank = b.rank AND a.side = b.side GROUP BY a.layer, a.i, b.i),
+cr AS (SELECT layer, i, list(c ORDER BY j) AS r FROM ce GROUP BY layer, i),
+cm AS (SELECT layer, list(r ORDER BY i) AS m FROM cr GROUP BY layer),
+tt AS (SELECT layer, sum(c) AS t FROM ce WHERE i = j GROUP BY layer),""" + _axis("cm", "ax") + """,
+dirs AS (SELECT layer, v AS d, l / t AS evr FROM ax JOIN tt USING (layer)),
 votes AS (SELECT pv.layer,
-                 avg(CAST((pos[1] * d0 + pos[2] * d1) < (neg[1] * d0 + neg[2] * d1) AS DOUBLE)) AS sm,
-                 avg(CAST((pos[1] * d0 + pos[2] * d1) > (neg[1] * d0 + neg[2] * d1) AS DOUBLE)) AS lg
+                 avg(CAST(list_dot_product(pos, d) < list_dot_product(neg, d) AS DOUBLE)) AS sm,
+                 avg(CAST(list_dot_product(pos, d) > list_dot_product(neg, d) AS DOUBLE)) AS lg
           FROM pv JOIN dirs USING (layer) GROUP BY pv.layer),
-od AS (SELECT layer, CASE WHEN sm > lg THEN -d0 ELSE d0 END AS d0, CASE WHEN sm > lg THEN -d1 ELSE d1 END AS d1, evr
-       FROM dirs JOIN votes USING (layer))"""
+od AS (SELECT layer, CASE WHEN sm > lg THEN list_transform(d, lambda x: -x) ELSE d END AS d, evr FROM dirs JOIN votes USING (layer))"""
+
+_OD = _PCA + """
+SELECT layer, CAST(unnest(range(len(d))) AS INTEGER) AS i, round(unnest(d), 6) AS value FROM od"""
 
 
-def _directions2(spark, sf, oriented=True):
-    p = _pairs(spark, sf, two_dim=True)
+def _directions(spark, sf, oriented=True):
+    p = _pairs(spark, sf)
     if oriented:
         return CT.read_directions(p, ["layer"]), p
     train = CT.contrast_matrix_pairwise(p)
     return CT.principal_directions(train, ["layer"], "vector", 1), p
 
 
-@register("first_direction", _sql(_PCA2 + """
-SELECT layer, 0 AS i, round(d0, 6) AS value, round(evr, 6) AS evr FROM dirs
-UNION ALL SELECT layer, 1, round(d1, 6), round(evr, 6) FROM dirs""", two_dim=True))
+@register("first_direction", _sql(_PCA + """
+SELECT layer, CAST(unnest(range(len(d))) AS INTEGER) AS i, round(unnest(d), 6) AS value, round(evr, 6) AS evr FROM dirs"""))
 def q_first_direction(spark, sf):
-    d, _ = _directions2(spark, sf, oriented=False)
+    d, _ = _directions(spark, sf, oriented=False)
     return long_array(d.withColumn("evr", rnd("evr")), ["layer", "evr"], "direction")
 
 
-@register("orient_direction", _sql(_PCA2 + """
-SELECT layer, 0 AS i, round(d0, 6) AS value FROM od UNION ALL SELECT layer, 1, round(d1, 6) FROM od""", two_dim=True))
+@register("orient_direction", _sql(_OD))
 def q_orient_direction(spark, sf):
-    d, _ = _directions2(spark, sf)
+    d, _ = _directions(spark, sf)
     return long_array(d, ["layer"], "direction")
 
 
-@register("project_direction", _sql(_PCA2 + """,
+@register("project_direction", _sql(_PCA + """,
 mem AS (SELECT layer, pos_id AS example_id, pos AS v FROM pv UNION ALL SELECT layer, neg_id, neg FROM pv)
-SELECT mem.layer, mem.example_id, round((v[1] * d0 + v[2] * d1) / sqrt(d0 * d0 + d1 * d1), 6) AS projection
-FROM mem JOIN od USING (layer)""", two_dim=True))
+SELECT mem.layer, mem.example_id, round(list_dot_product(v, d) / sqrt(list_dot_product(d, d)), 6) AS projection
+FROM mem JOIN od USING (layer)"""))
 def q_project_direction(spark, sf):
-    d, p = _directions2(spark, sf)
+    d, p = _directions(spark, sf)
     mem = p.select("layer", F.col("pos_id").alias("example_id"), F.col("pos").alias("vector")).unionByName(
         p.select("layer", F.col("neg_id").alias("example_id"), F.col("neg").alias("vector")))
     pr = CT.project_direction(mem, d, ["layer"])
     return pr.select("layer", "example_id", rnd("projection").alias("projection"))
 
 
-@register("explained_variance_scaling", _sql(_PCA2 + """
-SELECT layer, 0 AS i, round(d0 * evr, 6) AS value FROM od UNION ALL SELECT layer, 1, round(d1 * evr, 6) FROM od""",
-                                             two_dim=True))
+@register("explained_variance_scaling", _sql(_PCA + """
+SELECT layer, CAST(unnest(range(len(d))) AS INTEGER) AS i, round(unnest(list_transform(d, lambda x: x * evr)), 6) AS value FROM od"""))
 def q_explained_variance_scaling(spark, sf):
-    d, _ = _directions2(spark, sf)
+    d, _ = _directions(spark, sf)
     return long_array(CT.explained_variance_scaling(d), ["layer"], "direction")
 
 
-# C7 (2-dim closed form: the second axis is the perpendicular of the first) ------
-@register("two_component_projection", _sql(_PCA2 + """,
-e AS (SELECT layer, -d1 AS e0, d0 AS e1, d0, d1, evr FROM dirs),
-ef AS (SELECT layer, d0, d1, evr,
-              CASE WHEN (CASE WHEN abs(e0) >= abs(e1) THEN e0 ELSE e1 END) < 0 THEN -e0 ELSE e0 END AS e0,
-              CASE WHEN (CASE WHEN abs(e0) >= abs(e1) THEN e0 ELSE e1 END) < 0 THEN -e1 ELSE e1 END AS e1 FROM e),
-mu AS (SELECT layer, avg(x0) AS m0, avg(x1) AS m1 FROM tr GROUP BY layer),
-mem AS (SELECT layer, pos_id AS example_id, pos AS v FROM pv UNION ALL SELECT layer, neg_id, neg FROM pv)
-SELECT mem.layer, mem.example_id, round((v[1] - m0) * d0 + (v[2] - m1) * d1, 6) AS pc1,
-       round((v[1] - m0) * e0 + (v[2] - m1) * e1, 6) AS pc2, round(evr, 6) AS pc1_evr
-FROM mem JOIN ef USING (layer) JOIN mu USING (layer)""", two_dim=True))
+# The second axis is the largest one of the matrix less its first ------------
+@register("two_component_projection", _sql(_PCA + """,
+cm2 AS (SELECT layer, list_transform(m, lambda r, a: list_transform(r, lambda x, b: x - l * v[a] * v[b])) AS m
+        FROM cm JOIN ax USING (layer)),""" + _axis("cm2", "ay") + """,
+mm AS (SELECT layer, list(m ORDER BY i) AS mu FROM mu GROUP BY layer),
+mem AS (SELECT layer, pos_id AS example_id, pos AS x FROM pv UNION ALL SELECT layer, neg_id, neg FROM pv),
+zz AS (SELECT layer, example_id, list_transform(x, lambda q, c: q - mu[c]) AS z FROM mem JOIN mm USING (layer))
+SELECT zz.layer, zz.example_id, round(list_dot_product(z, d), 6) AS pc1, round(list_dot_product(z, v), 6) AS pc2,
+       round(evr, 6) AS pc1_evr
+FROM zz JOIN dirs ON zz.layer = dirs.layer JOIN ay ON zz.layer = ay.layer"""))
 def q_two_component_projection(spark, sf):
-    p = _pairs(spark, sf, two_dim=True)
+    p = _pairs(spark, sf)
     train = CT.contrast_matrix_pairwise(p)
     mem = p.select("layer", F.col("pos_id").alias("example_id"), F.col("pos").alias("vector")).unionByName(
         p.select("layer", F.col("neg_id").alias("example_id"), F.col("neg").alias("vector")))

@@ -260,6 +260,6 @@ SELECT doc_id, concat('documents-', lang, '-#', CAST(row_number() OVER (PARTITIO
 FROM documents""")
 def q_row_id(spark, sf):
     """Index within the subset by a bucketed running count (no window over a whole subset)."""
-    d = fx.table(spark, sf, "documents").select("doc_id", "lang", F.lit(1).alias("one"))
-    c = prefix_sums(d, ["lang"], "doc_id", ["one"], buckets=4)
+    d = fx.table(spark, sf, "documents").select("doc_id", "lang", F.lit(1).cast("long").alias("one"))
+    c = prefix_sums(d, ["lang"], "doc_id", ["one"])
     return c.select("doc_id", L.row_id("documents", F.col("lang"), F.col("one_cum") - 1).alias("id"))

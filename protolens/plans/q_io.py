@@ -204,18 +204,17 @@ def q_write_meta_coefficients(spark, sf):
 
 # K5 ---------------------------------------------------------------------------
 def _k5_sql():
-    from protolens.plans.q_contrast import _PCA2, _sql
+    from protolens.plans.q_contrast import _OD, _sql
 
-    return _sql(_PCA2 + """
-SELECT layer, 0 AS i, round(d0, 6) AS value FROM od UNION ALL SELECT layer, 1, round(d1, 6) FROM od""", two_dim=True)
+    return _sql(_OD)
 
 
 @register("load_directions", _k5_sql())
 def q_load_directions(spark, sf):
     """K5 read side: directions written by ``save_directions`` and loaded for the requested layers."""
-    from protolens.plans.q_contrast import _directions2
+    from protolens.plans.q_contrast import _directions
 
-    d, _ = _directions2(spark, sf)
+    d, _ = _directions(spark, sf)
     path = scratch_path(spark, "directions_load")
     SK.save_directions(d, path)
     return long_array(SK.load_directions(spark, path, layers=[1, 2, 3]), ["layer"], "direction")
@@ -224,9 +223,9 @@ def q_load_directions(spark, sf):
 @register("save_directions", _k5_sql())
 def q_save_directions(spark, sf):
     """Directions written as Parquet and read back; requesting a missing layer raises."""
-    from protolens.plans.q_contrast import _directions2
+    from protolens.plans.q_contrast import _directions
 
-    d, _ = _directions2(spark, sf)
+    d, _ = _directions(spark, sf)
     path = scratch_path(spark, "directions")
     SK.save_directions(d, path)
     back = SK.load_directions(spark, path, layers=[1, 2, 3])

@@ -35,7 +35,7 @@ def q_meta_fit(spark, sf):
     for c in (1.0, 0.1, 0.01):
         model = ME.meta_fit(feat, cols, "label", c)
         co = ME.meta_coefficients(spark, model, layers, c, layer_source=fit["params"])
-        intercept = fit["params"].select(F.lit(-1).alias("layer"), F.lit(float(model.intercept)).alias("coefficient"),
+        intercept = fit["params"].select(F.lit(-1).alias("layer"), F.lit(ME.intercept(model)).alias("coefficient"),
                                          F.lit(float(c)).alias("C")).limit(1)  # one row, from the fitted table
         co = co.unionByName(intercept)
         out = co if out is None else out.unionByName(co)

@@ -13,7 +13,6 @@ from protolens.plans.common import rnd, train_test
 from protolens.plans.sqlparts import nmc_ctes, vec_base
 
 KEYS = ["layer", "dataset"]
-BUCKETS = 4  # small on purpose: exercises the bucketed prefix sums on test data
 
 
 def scored(spark: SparkSession, sf: str, label: str = "label") -> DataFrame:
@@ -116,7 +115,7 @@ SELECT layer, dataset, round(roc_auc, 6) AS roc_auc FROM rk""")
 
 @register("roc_auc", M7_SQL)
 def q_roc_auc(spark, sf):
-    a = M.roc_auc(scored(spark, sf), KEYS, "score", "label", BUCKETS)
+    a = M.roc_auc(scored(spark, sf), KEYS, "score", "label")
     return a.select(*KEYS, rnd("roc_auc").alias("roc_auc"))
 
 
@@ -126,7 +125,7 @@ SELECT layer, dataset, round(average_precision, 6) AS average_precision FROM rk"
 
 @register("average_precision", M8_SQL)
 def q_average_precision(spark, sf):
-    a = M.average_precision(scored(spark, sf), KEYS, "score", "label", BUCKETS)
+    a = M.average_precision(scored(spark, sf), KEYS, "score", "label")
     return a.select(*KEYS, rnd("average_precision").alias("average_precision"))
 
 
@@ -164,7 +163,7 @@ SELECT layer, dataset, round(avg(auc), 6) AS ovr_auc FROM rk GROUP BY layer, dat
 @register("ovr_auc", M10_SQL)
 def q_ovr_auc(spark, sf):
     s = scored(spark, sf, "category")
-    return M.ovr_auc(s, KEYS, "probs", "category", BUCKETS).select(*KEYS, rnd("ovr_auc").alias("ovr_auc"))
+    return M.ovr_auc(s, KEYS, "probs", "category").select(*KEYS, rnd("ovr_auc").alias("ovr_auc"))
 
 
 M11_SQL = vec_base(_OVR + """
@@ -174,7 +173,7 @@ SELECT layer, dataset, round(avg(ap), 6) AS multiclass_ap FROM rk GROUP BY layer
 @register("multiclass_ap", M11_SQL)
 def q_multiclass_ap(spark, sf):
     s = scored(spark, sf, "category")
-    return M.multiclass_ap(s, KEYS, "probs", "category", BUCKETS).select(*KEYS, rnd("multiclass_ap").alias("multiclass_ap"))
+    return M.multiclass_ap(s, KEYS, "probs", "category").select(*KEYS, rnd("multiclass_ap").alias("multiclass_ap"))
 
 
 M12_SQL = vec_base(nmc_ctes(label="category") + """
@@ -234,5 +233,5 @@ def round_record(df: DataFrame, keys) -> DataFrame:
 @register("score_record", M15_SQL)
 def q_score_record(spark, sf):
     s = scored(spark, sf).withColumn("method", F.concat(F.lit("nmc_layer"), F.col("layer").cast("string")))
-    rec = M.binary_scores(s, ["dataset", "method"], "score", "label", buckets=BUCKETS)
+    rec = M.binary_scores(s, ["dataset", "method"], "score", "label")
     return round_record(rec, ["dataset", "method"])

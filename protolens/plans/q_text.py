@@ -125,17 +125,15 @@ def q_render_classifier_prompt(spark, sf):
     return _conv_messages(spark, sf).select("conv_id", TX.render_classifier_prompt("messages").alias("prompt"))
 
 
-POLICY_CATEGORIES = "\n".join(TPL.POLICY_CATEGORY_TITLES) + "\n"
-_T9_EXPR = ("concat(" + lit(TPL.POLICY_HEAD + POLICY_CATEGORIES) + ", " + fill_sql(TPL.POLICY_MID, user="u")
-            + ", CASE WHEN a <> '' THEN " + fill_sql(TPL.POLICY_ASSISTANT_BLOCK, assistant="a") + " ELSE '' END, "
-            + lit(TPL.POLICY_TAIL) + ")")
+_T9_EXPR = ("concat(" + fill_sql(TPL.POLICY_HEAD, user="u") + ", CASE WHEN a <> '' THEN "
+            + fill_sql(TPL.POLICY_ASSISTANT_BLOCK, assistant="a") + " ELSE '' END, " + lit(TPL.POLICY_TAIL) + ")")
 
 
 @register("render_policy_prompt", _LAST + f"""
 SELECT conv_id, {_T9_EXPR} AS prompt FROM lu""")
 def q_render_policy_prompt(spark, sf):
     return _conv_messages(spark, sf).select(
-        "conv_id", TX.render_policy_prompt("messages", POLICY_CATEGORIES).alias("prompt"))
+        "conv_id", TX.render_policy_prompt("messages").alias("prompt"))
 
 
 # T10 --------------------------------------------------------------------------
@@ -247,7 +245,7 @@ def q_cut_after_think(spark, sf):
 def _t16_sql():
     e = "concat('<s>', text, '</s>', CASE WHEN doc_id % 3 = 0 THEN '<pad><pad>' ELSE '' END, '<unk>')"
     for t in SPECIAL_TOKENS:
-        e = f"replace({e}, '{t}', '{TX.vline(t)}')"
+        e = f"replace({e}, '{t}', '{TX.neutral_form(t)}')"
     return e
 
 

@@ -13,7 +13,7 @@ from protolens.operators import stats as S
 from protolens.operators.params import attach_params
 from protolens.plans.catalog import register
 from protolens.plans.common import layer_vectors, long_array, long_matrix, rnd, train_test
-from protolens.plans.sqlparts import gda2_ctes, nmc_ctes, vec_base
+from protolens.plans.sqlparts import gda_ctes, nmc_ctes, precision_ctes, scatter_ctes, vec_base
 from protolens.sources import fixtures as fx
 
 # ------------------------------------------------------------------ A1, A2
@@ -84,62 +84,59 @@ def q_diag_norm_scaling(spark: SparkSession, sf: str) -> DataFrame:
     return long_matrix(S.diag_norm_scaling(cc, ["layer", "label"]), ["layer", "label"])
 
 
-# ------------------------------------------------------------------ A6, A7, A8 (2-dim closed form)
+# ------------------------------------------------------------------ A6, A7, A8
 
 
-def _fit2(spark, sf, per_class=False):
-    tr, te = train_test(spark, sf, two_dim=True)
+def _fit(spark, sf, per_class=False):
+    tr, te = train_test(spark, sf)
     return S.fit_gda(tr, ["layer"], "label", per_class=per_class), tr, te
 
 
-A6_SQL = vec_base(gda2_ctes() + """
-SELECT layer, i, j, round(CASE WHEN i = 0 AND j = 0 THEN p00 WHEN i = 1 AND j = 1 THEN p11 ELSE p01 END, 6) AS value
-FROM g_prec, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)""", two_dim=True)
+_LONG_P = """
+pl AS (SELECT *, CAST(unnest(range(len(p))) AS INTEGER) AS i, unnest(p) AS r FROM {src}),
+pe AS (SELECT * EXCLUDE (p, r), CAST(unnest(range(len(r))) AS INTEGER) AS j, unnest(r) AS value FROM pl)"""
+
+A6_SQL = vec_base(gda_ctes() + "," + _LONG_P.format(src="g_prec") + """
+SELECT layer, i, j, round(value, 6) AS value FROM pe""")
 
 
 @register("bayes_precision", A6_SQL)
 def q_bayes_precision(spark: SparkSession, sf: str) -> DataFrame:
-    fit, _, _ = _fit2(spark, sf)
+    fit, _, _ = _fit(spark, sf)
     return long_matrix(fit["precision"], ["layer"])
 
 
-A7_SQL = vec_base("""
-g2 AS (SELECT layer, label AS cls, vector[1] AS x0, vector[2] AS x1 FROM tr),
-g_mu AS (SELECT layer, cls, avg(x0) AS m0, avg(x1) AS m1, count(*) AS n FROM g2 GROUP BY ALL),
-g_sc AS (SELECT layer, cls, any_value(n) AS n, sum((x0 - m0) * (x0 - m0)) / (any_value(n) - 1) AS c00,
-                sum((x0 - m0) * (x1 - m1)) / (any_value(n) - 1) AS c01, sum((x1 - m1) * (x1 - m1)) / (any_value(n) - 1) AS c11
-         FROM g2 JOIN g_mu USING (layer, cls) GROUP BY layer, cls),
-g_m AS (SELECT layer, cls, (n - 1) * c00 + (c00 + c11) AS a, (n - 1) * c01 AS b, (n - 1) * c11 + (c00 + c11) AS c FROM g_sc)
-SELECT layer, cls AS label, i, j,
-       round(CASE WHEN i = 0 AND j = 0 THEN 2 * c / (a * c - b * b) WHEN i = 1 AND j = 1 THEN 2 * a / (a * c - b * b)
-                  ELSE -2 * b / (a * c - b * b) END, 6) AS value
-FROM g_m, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)""", two_dim=True)
+_CLASS_PRECISION = scatter_ctes() + """,
+g_s AS (SELECT layer, cls, u.n AS nn, i, j, s FROM g_se JOIN (SELECT layer, cls, n FROM g_mu) u USING (layer, cls)),
+""" + precision_ctes("layer, cls", "g_s", "g_cp").lstrip()
+
+A7_SQL = vec_base(_CLASS_PRECISION + "," + _LONG_P.format(src="g_cp") + """
+SELECT layer, cls AS label, i, j, round(value, 6) AS value FROM pe""")
 
 
 @register("class_precisions", A7_SQL)
 def q_class_precisions(spark: SparkSession, sf: str) -> DataFrame:
-    fit, _, _ = _fit2(spark, sf, per_class=True)
+    fit, _, _ = _fit(spark, sf, per_class=True)
     return long_matrix(fit["class_precision"], ["layer", "label"])
 
 
-A8_SQL = vec_base(gda2_ctes() + """
-SELECT layer, cls AS label, p.param, round(p.value, 6) AS value
-FROM g_params, LATERAL (SELECT unnest(['w0', 'w1', 'b']) AS param, unnest([w0, w1, b]) AS value) p""", two_dim=True)
+A8_SQL = vec_base(gda_ctes() + """
+SELECT layer, cls AS label, concat('w', CAST(q AS VARCHAR)) AS param, round(value, 6) AS value
+FROM (SELECT layer, cls, unnest(range(len(w))) AS q, unnest(w) AS value FROM g_params)
+UNION ALL
+SELECT layer, cls AS label, 'b' AS param, round(b, 6) AS value FROM g_params""")
 
 
 def _params_long(params: DataFrame, keys) -> DataFrame:
     keys = list(keys)
-    arr = F.array(
-        F.struct(F.lit("w0").alias("param"), F.element_at("w", 1).alias("value")),
-        F.struct(F.lit("w1").alias("param"), F.element_at("w", 2).alias("value")),
-        F.struct(F.lit("b").alias("param"), F.col("b").alias("value")),
-    )
-    return params.select(*keys, F.inline(arr)).select(*keys, "param", rnd("value").alias("value"))
+    weights = params.select(*keys, F.posexplode("w").alias("q", "value")).select(
+        *keys, F.concat(F.lit("w"), F.col("q").cast("string")).alias("param"), rnd("value").alias("value"))
+    return weights.unionByName(params.select(*keys, F.lit("b").alias("param"), rnd("b").alias("value")))
 
 
 @register("gda_params", A8_SQL)
 def q_gda_params(spark: SparkSession, sf: str) -> DataFrame:
-    fit, _, _ = _fit2(spark, sf)
+    fit, _, _ = _fit(spark, sf)
     return _params_long(fit["params"], ["layer", "label"])
 
 
@@ -245,7 +242,7 @@ c AS (SELECT t.example_id, t.layer, t.category, t.i, t.x - mu.m AS xc FROM tre t
 sc AS (SELECT a.layer, a.category, a.i, b.i AS j, sum(a.xc * b.xc) AS s FROM c a JOIN c b USING (example_id, layer, category)
        GROUP BY ALL),
 cnt AS (SELECT layer, category, count(*) AS n FROM tr GROUP BY ALL),
-steps AS (SELECT unnest(range(1, 10)) AS step),
+steps AS (SELECT unnest(range(1, (SELECT max(category) FROM tr) + 1)) AS step),
 sc2 AS (SELECT step, layer, i, j, sum(s) AS s FROM sc, steps WHERE category <= step GROUP BY ALL),
 n2 AS (SELECT step, layer, sum(n) AS n FROM cnt, steps WHERE category <= step GROUP BY ALL)
 SELECT CAST(step AS INTEGER) AS step, layer, i, j, round(s / (n - 1), 6) AS value FROM sc2 JOIN n2 USING (step, layer)""")
@@ -253,10 +250,11 @@ SELECT CAST(step AS INTEGER) AS step, layer, i, j, round(s / (n - 1), 6) AS valu
 
 @register("incremental_categories", A15_SQL)
 def q_incremental_categories(spark: SparkSession, sf: str) -> DataFrame:
-    """Pooled covariance for category steps 1..9 from per-category partials (one scan)."""
+    """Pooled covariance for every category step from per-category partials (one scan)."""
     tr, _ = train_test(spark, sf)
     per_cat = S.class_scatter(tr, ["layer"], "category")  # additive per category
-    stepped = S.incremental_steps(per_cat, "category", max_step=9)
+    top = int(tr.agg(F.max("category")).first()[0] or 0)
+    stepped = S.incremental_steps(per_cat, "category", max_step=top)
     pooled = S.pooled_covariance(stepped.drop("category"), ["step", "layer"])
     return long_matrix(pooled, ["step", "layer"])
 
@@ -268,14 +266,14 @@ def _probs_long(df: DataFrame, keys, arr: str = "probs") -> DataFrame:
     return long_array(df, keys, arr, idx="cls", val="value")
 
 
-G1_SQL = vec_base(gda2_ctes() + """
-SELECT te.example_id, te.layer, CAST(p.cls AS INTEGER) AS cls, round(te.vector[1] * p.w0 + te.vector[2] * p.w1 + p.b, 6) AS value
-FROM te JOIN g_params p USING (layer)""", two_dim=True)
+G1_SQL = vec_base(gda_ctes() + """
+SELECT te.example_id, te.layer, CAST(p.cls AS INTEGER) AS cls, round(list_dot_product(te.vector, p.w) + p.b, 6) AS value
+FROM te JOIN g_params p USING (layer)""")
 
 
 @register("gda_logits", G1_SQL)
 def q_gda_logits(spark: SparkSession, sf: str) -> DataFrame:
-    fit, _, te = _fit2(spark, sf)
+    fit, _, te = _fit(spark, sf)
     return _probs_long(SC.gda_logits(te, fit["params"], ["layer"]), ["example_id", "layer"], "logits")
 
 
@@ -313,61 +311,53 @@ def q_nmc_pred(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("example_id", "layer", "pred", rnd(F.element_at("probs", 2)).alias("score"))
 
 
-G4_SQL = vec_base(gda2_ctes() + """
-SELECT te.example_id, te.layer, CAST(p.cls AS INTEGER) AS cls,
-       round((te.vector[1] - p.m0) * (te.vector[1] - p.m0) * q.p00 + 2 * (te.vector[1] - p.m0) * (te.vector[2] - p.m1) * q.p01
-             + (te.vector[2] - p.m1) * (te.vector[2] - p.m1) * q.p11, 6) AS value
-FROM te JOIN g_params p USING (layer) JOIN g_prec q USING (layer)""", two_dim=True)
+_DISTANCE = "list_sum(list_transform(range(1, len(z) + 1), lambda q: z[q] * list_dot_product(p[q], z)))"
+
+G4_SQL = vec_base(gda_ctes() + f""",
+z AS (SELECT te.example_id, te.layer, g.cls, q.p, list_transform(te.vector, lambda x, c: x - g.m[c]) AS z
+      FROM te JOIN g_params g USING (layer) JOIN g_prec q USING (layer))
+SELECT example_id, layer, CAST(cls AS INTEGER) AS cls, round({_DISTANCE}, 6) AS value FROM z""")
 
 
 @register("mahalanobis_sq", G4_SQL)
 def q_mahalanobis_sq(spark: SparkSession, sf: str) -> DataFrame:
-    fit, _, te = _fit2(spark, sf)
+    fit, _, te = _fit(spark, sf)
     s = SC.mahalanobis_sq(te, fit["means"], fit["precision"], ["layer"])
     return _probs_long(s, ["example_id", "layer"], "maha")
 
 
-G5_SQL = vec_base("""
-g2 AS (SELECT layer, label AS cls, vector[1] AS x0, vector[2] AS x1 FROM tr),
-g_mu AS (SELECT layer, cls, avg(x0) AS m0, avg(x1) AS m1, count(*) AS n FROM g2 GROUP BY ALL),
-g_sc AS (SELECT layer, cls, any_value(n) AS n, any_value(m0) AS m0, any_value(m1) AS m1,
-                sum((x0 - m0) * (x0 - m0)) / (any_value(n) - 1) AS c00,
-                sum((x0 - m0) * (x1 - m1)) / (any_value(n) - 1) AS c01, sum((x1 - m1) * (x1 - m1)) / (any_value(n) - 1) AS c11
-         FROM g2 JOIN g_mu USING (layer, cls) GROUP BY layer, cls),
-g_m AS (SELECT layer, cls, m0, m1, (n - 1) * c00 + (c00 + c11) AS a, (n - 1) * c01 AS b, (n - 1) * c11 + (c00 + c11) AS c FROM g_sc),
-g_p AS (SELECT layer, cls, m0, m1, 2 * c / (a * c - b * b) AS p00, -2 * b / (a * c - b * b) AS p01, 2 * a / (a * c - b * b) AS p11 FROM g_m),
-d AS (SELECT te.example_id, te.layer, g.cls,
-             -((te.vector[1] - g.m0) * (te.vector[1] - g.m0) * g.p00 + 2 * (te.vector[1] - g.m0) * (te.vector[2] - g.m1) * g.p01
-               + (te.vector[2] - g.m1) * (te.vector[2] - g.m1) * g.p11) AS s
-      FROM te JOIN g_p g USING (layer)),
+G5_SQL = vec_base(_CLASS_PRECISION + f""",
+z AS (SELECT te.example_id, te.layer, g.cls, q.p, list_transform(te.vector, lambda x, c: x - g.m[c]) AS z
+      FROM te JOIN g_mu g USING (layer) JOIN g_cp q ON q.layer = g.layer AND q.cls = g.cls),
+d AS (SELECT example_id, layer, cls, -({_DISTANCE}) AS s FROM z),
 mx AS (SELECT example_id, layer, max(s) AS ms FROM d GROUP BY ALL),
 pr AS (SELECT d.*, mx.ms, exp(d.s - mx.ms) / sum(exp(d.s - mx.ms)) OVER (PARTITION BY d.example_id, d.layer) AS prob
        FROM d JOIN mx USING (example_id, layer))
 SELECT example_id, layer, CAST(min(cls) FILTER (WHERE s = ms) AS INTEGER) AS pred,
        round(max(prob) FILTER (WHERE cls = 1), 6) AS score
-FROM pr GROUP BY example_id, layer""", two_dim=True)
+FROM pr GROUP BY example_id, layer""")
 
 
 @register("mahalanobis_class_pred", G5_SQL)
 def q_mahalanobis_class_pred(spark: SparkSession, sf: str) -> DataFrame:
-    fit, _, te = _fit2(spark, sf, per_class=True)
+    fit, _, te = _fit(spark, sf, per_class=True)
     s = SC.mahalanobis_pred(SC.mahalanobis_class_sq(te, fit["means"], fit["class_precision"], ["layer"]))
     return s.select("example_id", "layer", "pred", rnd(F.element_at("probs", 2)).alias("score"))
 
 
-_GDA_PROBS2 = """,
+_GDA_PROBS = """,
 lg AS (SELECT te.example_id, te.layer, te.dataset, te.dataset_type, te.label, p.cls,
-              te.vector[1] * p.w0 + te.vector[2] * p.w1 + p.b AS s FROM te JOIN g_params p USING (layer)),
+              list_dot_product(te.vector, p.w) + p.b AS s FROM te JOIN g_params p USING (layer)),
 lmx AS (SELECT example_id, layer, max(s) AS ms FROM lg GROUP BY ALL),
 gp AS (SELECT lg.*, lmx.ms, exp(lg.s - lmx.ms) / sum(exp(lg.s - lmx.ms)) OVER (PARTITION BY lg.example_id, lg.layer) AS prob
        FROM lg JOIN lmx USING (example_id, layer))"""
 
-G7_SQL = vec_base(gda2_ctes() + _GDA_PROBS2 + """
-SELECT example_id, layer, round(prob, 6) AS score FROM gp WHERE cls = 1""", two_dim=True)
+G7_SQL = vec_base(gda_ctes() + _GDA_PROBS + """
+SELECT example_id, layer, round(prob, 6) AS score FROM gp WHERE cls = 1""")
 
 
 def _gda_scored(spark, sf, label="label"):
-    tr, te = train_test(spark, sf, two_dim=True)
+    tr, te = train_test(spark, sf)
     fit = S.fit_gda(tr, ["layer"], label)
     return SC.softmax_probs(SC.gda_logits(te, fit["params"], ["layer"], label))
 
@@ -378,15 +368,15 @@ def q_layer_scores(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("example_id", "layer", rnd(SC.positive_score("probs")).alias("score"))
 
 
-G8_SQL = vec_base(gda2_ctes(label="category") + _GDA_PROBS2 + """
+G8_SQL = vec_base(gda_ctes(label="category") + _GDA_PROBS + """
 SELECT example_id, concat('layer', CAST(layer AS VARCHAR), '_', CAST(cls AS VARCHAR)) AS feature, round(prob, 6) AS value
-FROM gp WHERE cls >= 1""", two_dim=True)
+FROM gp WHERE cls >= 1""")
 
 
 @register("layer_class_features", G8_SQL)
 def q_layer_class_features(spark: SparkSession, sf: str) -> DataFrame:
     s = _gda_scored(spark, sf, label="category")
-    feats = s.select("example_id", "layer", F.posexplode(F.slice("probs", 2, 1000)).alias("k", "value"))
+    feats = s.select("example_id", "layer", F.posexplode(F.slice("probs", 2, F.size("probs"))).alias("k", "value"))
     return feats.select(
         "example_id",
         F.concat(F.lit("layer"), F.col("layer").cast("string"), F.lit("_"), (F.col("k") + 1).cast("string")).alias(
@@ -395,18 +385,18 @@ def q_layer_class_features(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-G9_SQL = vec_base(gda2_ctes(keys="layer, dataset") + """,
-lg AS (SELECT te.example_id, te.layer, p.dataset AS model, p.cls, te.vector[1] * p.w0 + te.vector[2] * p.w1 + p.b AS s
+G9_SQL = vec_base(gda_ctes(keys="layer, dataset") + """,
+lg AS (SELECT te.example_id, te.layer, p.dataset AS model, p.cls, list_dot_product(te.vector, p.w) + p.b AS s
        FROM te JOIN g_params p ON te.layer = p.layer),
 lmx AS (SELECT example_id, layer, model, max(s) AS ms FROM lg GROUP BY ALL),
 gp AS (SELECT lg.*, exp(lg.s - lmx.ms) / sum(exp(lg.s - lmx.ms)) OVER (PARTITION BY lg.example_id, lg.layer, lg.model) AS prob
        FROM lg JOIN lmx USING (example_id, layer, model))
-SELECT example_id, layer, model, round(prob, 6) AS score FROM gp WHERE cls = 1""", two_dim=True)
+SELECT example_id, layer, model, round(prob, 6) AS score FROM gp WHERE cls = 1""")
 
 
 @register("layer_dataset_features", G9_SQL)
 def q_layer_dataset_features(spark: SparkSession, sf: str) -> DataFrame:
-    tr, te = train_test(spark, sf, two_dim=True)
+    tr, te = train_test(spark, sf)
     fit = S.fit_gda(tr, ["layer", "dataset"], "label")
     params = fit["params"].withColumnRenamed("dataset", "model")
     # every test row against every dataset's model of the same layer
@@ -434,8 +424,8 @@ rk AS (SELECT tr.*, seed, row_number() OVER (PARTITION BY seed, layer, label
                  ORDER BY md5(concat(CAST(example_id AS VARCHAR), ':', CAST(seed AS VARCHAR))), example_id) AS rn
        FROM tr, seeds),
 smp AS (SELECT * FROM rk WHERE rn <= 100),
-""" + gda2_ctes(keys="seed, layer", src="smp")[1:] + """,
-lg AS (SELECT p.seed, te.example_id, te.layer, te.label, p.cls, te.vector[1] * p.w0 + te.vector[2] * p.w1 + p.b AS s
+""" + gda_ctes(keys="seed, layer", src="smp").lstrip() + """,
+lg AS (SELECT p.seed, te.example_id, te.layer, te.label, p.cls, list_dot_product(te.vector, p.w) + p.b AS s
        FROM te JOIN g_params p ON te.layer = p.layer),
 lmx AS (SELECT seed, example_id, layer, max(s) AS ms FROM lg GROUP BY ALL),
 gp AS (SELECT lg.*, exp(lg.s - lmx.ms) / sum(exp(lg.s - lmx.ms)) OVER (PARTITION BY lg.seed, lg.example_id, lg.layer) AS prob
@@ -446,13 +436,13 @@ SELECT CAST(seed AS INTEGER) AS seed, layer, round(avg(CAST(pred = label AS DOUB
        round(CASE WHEN 2 * sum(pred * label) + sum(pred * (1 - label)) + sum((1 - pred) * label) > 0
              THEN 2.0 * sum(pred * label) / (2 * sum(pred * label) + sum(pred * (1 - label)) + sum((1 - pred) * label))
              ELSE 0 END, 6) AS f1
-FROM pr GROUP BY seed, layer""", two_dim=True)
+FROM pr GROUP BY seed, layer""")
 
 
 @register("layer_sweep", G19_SQL)
 def q_layer_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Single-layer evaluation for every (seed, layer) as one grouped job."""
-    tr, te = train_test(spark, sf, two_dim=True)
+    tr, te = train_test(spark, sf)
     seeds = F.explode(F.array(*[F.lit(i) for i in range(3)]))
     smp = SP.sample_per_class(tr.withColumn("seed", seeds), n=100, keys=["seed", "layer"], label="label",
                               id_col="example_id", seed_col="seed")

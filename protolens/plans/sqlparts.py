@@ -5,11 +5,10 @@ from __future__ import annotations
 from protolens.sources.fixtures import with_views
 
 
-def vec_base(extra: str, two_dim: bool = False) -> str:
+def vec_base(extra: str) -> str:
     """CTEs v (layers 1-3), tr (train), te (test), tre/tee (exploded) then ``extra``."""
-    vexpr = "vector[1:2]" if two_dim else "vector"
     body = f"""
-WITH v AS (SELECT example_id, layer, label, category, split, dataset, dataset_type, {vexpr} AS vector
+WITH v AS (SELECT example_id, layer, label, category, split, dataset, dataset_type, vector
            FROM vectors WHERE layer <> 0),
 tr AS (SELECT * FROM v WHERE split = 'train'),
 te AS (SELECT * FROM v WHERE split = 'test'),
@@ -18,7 +17,8 @@ tre AS (SELECT example_id, layer, label, category, dataset, CAST(unnest(range(le
 tee AS (SELECT example_id, layer, label, category, dataset, dataset_type, CAST(unnest(range(len(vector))) AS INTEGER) AS i,
                unnest(vector) AS x FROM te),
 {extra}"""
-    return with_views(body, "vectors")
+    sql = with_views(body, "vectors")
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1) if "gj_" in extra else sql
 
 
 def nmc_ctes(label: str = "label") -> str:
@@ -39,23 +39,51 @@ preds AS (SELECT example_id, layer, any_value(dataset) AS dataset, any_value(dat
           FROM probs GROUP BY example_id, layer)"""
 
 
-def gda2_ctes(label: str = "label", keys: str = "layer", src: str = "tr") -> str:
-    """Closed-form 2-dim GDA fit on ``src``: tables g_mu, g_prec, g_params (per ``keys``)."""
-    k = [x.strip() for x in keys.split(",")]
-    kj = ", ".join(k)
+def scatter_ctes(label: str = "label", keys: str = "layer", src: str = "tr") -> str:
+    """Class means and scatter of ``src``: g_x (rows), g_xe (entries), g_mue, g_mu (cls, n, m[]), g_se (keys, cls, i, j, s)."""
+    kj = ", ".join(x.strip() for x in keys.split(","))
     return f"""
-g2 AS (SELECT {kj}, {label} AS cls, vector[1] AS x0, vector[2] AS x1 FROM {src}),
-g_mu AS (SELECT {kj}, cls, avg(x0) AS m0, avg(x1) AS m1, count(*) AS n FROM g2 GROUP BY ALL),
-g_sc AS (SELECT {", ".join("g2." + c for c in k)}, sum((x0 - m0) * (x0 - m0)) AS s00, sum((x0 - m0) * (x1 - m1)) AS s01,
-                sum((x1 - m1) * (x1 - m1)) AS s11, count(*) AS nn
-         FROM g2 JOIN g_mu USING ({kj}, cls) GROUP BY {", ".join("g2." + c for c in k)}),
-g_m AS (SELECT {kj}, nn, s00 + (s00 + s11) / (nn - 1) AS a, s01 AS b, s11 + (s00 + s11) / (nn - 1) AS c FROM g_sc),
-g_prec AS (SELECT {kj}, nn, 2 * c / (a * c - b * b) AS p00, -2 * b / (a * c - b * b) AS p01,
-                  2 * a / (a * c - b * b) AS p11 FROM g_m),
+g_x AS (SELECT row_number() OVER () AS rid, {kj}, {label} AS cls, vector FROM {src}),
+g_xe AS (SELECT rid, {kj}, cls, unnest(range(len(vector))) AS i, unnest(vector) AS x FROM g_x),
+g_mue AS (SELECT {kj}, cls, i, avg(x) AS m, count(*) AS n FROM g_xe GROUP BY ALL),
+g_mu AS (SELECT {kj}, cls, any_value(n) AS n, list(m ORDER BY i) AS m FROM g_mue GROUP BY {kj}, cls),
+g_c AS (SELECT e.rid, {", ".join("e." + k for k in kj.split(", "))}, e.cls, e.i, e.x - u.m AS xc
+        FROM g_xe e JOIN g_mue u USING ({kj}, cls, i)),
+g_se AS (SELECT {", ".join("a." + k for k in kj.split(", "))}, a.cls, a.i, b.i AS j, sum(a.xc * b.xc) AS s
+         FROM g_c a JOIN g_c b ON a.rid = b.rid GROUP BY ALL)"""
+
+
+def precision_ctes(keys: str, scatter: str, name: str) -> str:
+    """Precision d ((n - 1) C + tr(C) I)^-1 = d (S + tr(S) / (n - 1) I)^-1 per ``keys`` by Gauss-Jordan elimination.
+
+    ``scatter``: a table (keys, nn, i, j, s).  Makes ``name`` (keys, nn, p[][]).  The matrices are positive
+    definite, so the diagonal pivots need no exchange."""
+    kj = ", ".join(x.strip() for x in keys.split(","))
+    return f"""
+gj_tr_{name} AS (SELECT {kj}, any_value(nn) AS nn, sum(s) FILTER (WHERE i = j) / (any_value(nn) - 1) AS t, max(i) + 1 AS d
+          FROM {scatter} GROUP BY {kj}),
+gj_row_{name} AS (SELECT {kj}, nn, d, i, list_concat(list(s + CASE WHEN i = j THEN t ELSE 0 END ORDER BY j),
+                 list_transform(range(d), lambda q: CASE WHEN q = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS r
+           FROM {scatter} JOIN (SELECT {kj}, t, d FROM gj_tr_{name}) USING ({kj}) GROUP BY {kj}, nn, d, i),
+gj_{name} AS (SELECT {kj}, nn, d, 1 AS k, list(r ORDER BY i) AS m FROM gj_row_{name} GROUP BY {kj}, nn, d
+       UNION ALL
+       SELECT {kj}, nn, d, k + 1, list_transform(m, lambda r, q: CASE WHEN q = k THEN list_transform(r, lambda x: x / m[k][k])
+              ELSE list_transform(r, lambda x, c: x - r[k] * m[k][c] / m[k][k]) END) FROM gj_{name} WHERE k <= d),
+{name} AS (SELECT {kj}, nn, list_transform(m, lambda r: list_transform(r[d + 1:2 * d], lambda x: x * d)) AS p
+       FROM gj_{name} WHERE k = d + 1)"""
+
+
+def gda_ctes(label: str = "label", keys: str = "layer", src: str = "tr") -> str:
+    """GDA fit on ``src`` at full width: g_prec (keys, nn, p[][]), g_params (keys, cls, m[], w[], b)."""
+    kj = ", ".join(x.strip() for x in keys.split(","))
+    return scatter_ctes(label, keys, src) + f""",
+g_n AS (SELECT {kj}, count(*) AS nn FROM g_x GROUP BY ALL),
+g_s AS (SELECT {kj}, nn, i, j, sum(s) AS s FROM g_se JOIN g_n USING ({kj}) GROUP BY {kj}, nn, i, j),
+""" + precision_ctes(keys, "g_s", "g_prec").lstrip() + f""",
 g_k AS (SELECT {kj}, count(*) AS kk FROM g_mu GROUP BY ALL),
-g_params AS (SELECT {kj}, cls, m0, m1, m0 * p00 + m1 * p01 AS w0, m0 * p01 + m1 * p11 AS w1,
-                    ln(1.0 / kk) - 0.5 * ((m0 * p00 + m1 * p01) * m0 + (m0 * p01 + m1 * p11) * m1) AS b
-             FROM g_mu JOIN g_prec USING ({kj}) JOIN g_k USING ({kj}))"""
+g_w AS (SELECT {kj}, cls, m, kk, list_transform(p, lambda r: list_dot_product(r, m)) AS w
+        FROM g_mu JOIN g_prec USING ({kj}) JOIN g_k USING ({kj})),
+g_params AS (SELECT {kj}, cls, m, w, ln(1.0 / kk) - 0.5 * list_dot_product(w, m) AS b FROM g_w)"""
 
 
 def lit(s: str) -> str:
