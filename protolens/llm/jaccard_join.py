@@ -15,8 +15,8 @@ link when ``100 * overlap >= 85 * union``, that is when their overlap reaches T(
 4. Prune.  The parity sketch of a set has bit h mod B flipped by every shingle h, so the popcount of two
    sketches' XOR is a lower bound of their symmetric difference: pairs it rules out cannot link.
 5. Probe.  Candidates that are left are verified on whole sets by binary search of one in the other.
-   In long lists each set is first tried with its nearest and its smallest candidate; components of those
-   links are then contracted, and only candidates between different components are verified after that.
+   Each set is first tried with its nearest and its smallest candidate; components of those links are
+   then contracted, and only candidates between different components are verified after that.
    Pairs inside a component cannot change it, so components are exact with few pairs.
 
 Nothing is capped or sampled away: sample, block and list sizes decide speed only.
@@ -242,17 +242,32 @@ def _popcounts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(np.ascontiguousarray(a ^ b).view(np.uint64)).sum(-1, dtype=np.int64)
 
 
-def _coarse_filter(rule: Rule):
-    """Keep the pairs (x, y, nx, ny, sx, sy) that the coarse sketches do not rule out."""
+def _close(rule: Rule):
+    """(x, y, d) of the pairs (x, y, nx, ny, sx, sy) that their sketches do not rule out; d is their distance there."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            sx, sy = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sx", "sy"))
             total = np.asarray(b.column("nx")).astype(np.int64) + np.asarray(b.column("ny"))
-            ok = ~rule.differs(total, _popcounts(sx, sy))
-            yield b.select(["x", "y"]).filter(pa.array(ok))
+            (bx, ox), (by, oy) = K.string_buffers(b.column("sx")), K.string_buffers(b.column("sy"))
+            wide = np.minimum(np.diff(ox), np.diff(oy))
+            d = np.zeros(len(total), np.int64)
+            for w in np.unique(wide):
+                at = np.flatnonzero(wide == w)
+                for k in range(0, len(at), 4096):
+                    some = at[k:k + 4096]
+                    sides = []
+                    for buf, o in ((bx, ox), (by, oy)):
+                        size = o[some + 1] - o[some]
+                        out = np.zeros((len(some), int(w)), np.uint8)
+                        for own in np.unique(size):
+                            i = np.flatnonzero(size == own)
+                            out[i] = fold(buf[o[some[i]][:, None] + np.arange(own)], int(w))
+                        sides.append(out)
+                    d[some] = _popcounts(*sides)
+            ok = pa.array(~rule.differs(total, d))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).filter(ok) for c in ("x", "y", "nx", "ny")), pa.array(d).filter(ok)], ["x", "y", "nx", "ny", "d"])
 
     return run
 
@@ -362,10 +377,16 @@ def link_components(docs: DataFrame, percent: int = PERCENT, short: int = SHORT,
     lists = written(lists, "jaccard-lists")
     release(spark)
 
-    coarse = reps.select("sid", "coarse")
-    pairs = (lists.where("kind = 0").select("x", "y", "nx", "ny").distinct()
-             .join(coarse.toDF("x", "sx"), "x").join(coarse.toDF("y", "sy"), "y"))
-    pairs = pairs.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(_coarse_filter(rule), "x long, y long")
+    pairs = lists.where("kind = 0").select("x", "y", "nx", "ny").distinct()
+    for sketch in ("coarse", "fine"):  # the fine ones are larger and tell long sets apart
+        of = reps.select("sid", sketch)
+        pairs = (pairs.join(of.toDF("x", "sx"), "x").join(of.toDF("y", "sy"), "y").select("x", "y", "nx", "ny", "sx", "sy")
+                 .mapInArrow(_close(rule), "x long, y long, nx int, ny int, d long"))
+        pairs = written(pairs, f"jaccard-{sketch}").drop(*(["d"] if sketch == "coarse" else []))
+        release(spark)
+    sides = pairs.select("x", "y", "d").unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "d"))
+    best = sides.groupBy("x").agg(F.min(F.struct("d", "y")).alias("near"), F.min("y").alias("least"))
+    best = best.select("x", F.explode(F.array("near.y", "least")).alias("y"))
 
     long = lists.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("sid"), F.col("ny").alias("n"))
     blocks = long.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
@@ -378,10 +399,11 @@ def link_components(docs: DataFrame, percent: int = PERCENT, short: int = SHORT,
 
     fine = reps.select("sid", "fine", "rep")
     tried = dealt(long.join(fine, "sid")).groupBy("token", "i", "j").applyInArrow(_block_pairs(rule, False), "x long, y long")
-    tried = written(pairs.unionByName(tried).distinct(), "jaccard-candidates")
+    tried = best.unionByName(tried).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    tried = written(tried, "jaccard-candidates")
     release(spark)
 
-    # whole sets of the documents in any candidate: in long lists each set with a candidate is in one already
+    # whole sets of the documents in any candidate: each set that has one has its nearest
     nodes = tried.select(F.col("x").alias("sid")).unionByName(tried.select(F.col("y").alias("sid"))).distinct()
     wanted = nodes.join(reps.select("sid", "rep"), "sid").where("rep is not null")
 
@@ -404,10 +426,17 @@ def link_components(docs: DataFrame, percent: int = PERCENT, short: int = SHORT,
         return both.select("a", "b", "gx", "gy").mapInArrow(_verify(rule), "a long, b long")
 
     first = components(written(verified(tried), "jaccard-links"))
+    release(spark)
     labels = long.join(fine, "sid").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = labels.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     across = dealt(labels.join(mixed, "token")).groupBy("token", "i", "j").applyInArrow(_block_pairs(rule, True), "x long, y long")
-    more = written(verified(across.distinct().join(tried, ["x", "y"], "left_anti")), "jaccard-across")
+    named = reps.select("sid", "rep").join(first.withColumnRenamed("node", "rep"), "rep").select("sid", "component")
+    apart = (pairs.select("x", "y").join(named.toDF("x", "cx"), "x", "left").join(named.toDF("y", "cy"), "y", "left")
+             .where("cx is null or cy is null or cx <> cy"))
+    rest = across.unionByName(apart.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))).distinct().join(tried, ["x", "y"], "left_anti")
+    rest = written(rest, "jaccard-rest")
+    release(spark)
+    more = written(verified(rest), "jaccard-across")
     # the second links join whole components
     named = first.toDF("node", "component")
     second = components(more.join(named.toDF("a", "ca"), "a", "left").join(named.toDF("b", "cb"), "b", "left")
