@@ -8,9 +8,9 @@ in a document with a smaller doc_id.
    documents share a whole window, some offset below ``PERIOD`` puts both positions on the cover, so they
    share an anchor inside it.  Anchors seen in one document only are done with: most of the text.
 2. Extension.  In documents with shared anchors the windows that contain one are hashed in full (128
-   bits).  Each task settles what it can see (all but the smallest document of a window are repeats), so
-   a passage that a third of all documents hold leaves one row a run of documents; the rest meet in one
-   shuffle sorted by hash, streamed with the memory of one batch.
+   bits).  Each task settles what it can see (all but the smallest document of a window are repeats; windows
+   found in several documents are remembered), so a passage that a third of all documents hold leaves
+   about one row a task; the rest meet in one shuffle sorted by hash, streamed with the memory of one batch.
 3. Removal.  The repeated windows of each document are joined to its text and their words dropped.
 
 Edge cases: null texts have no words; windows are judged on the input; repeats inside one document stay;
@@ -33,6 +33,8 @@ from protolens.llm.common import partitions, prepare, release, texts, written
 
 LENGTH = 50
 PERIOD = 31
+#: windows of several documents that a task remembers; past it the memory starts anew (it decides rows shuffled, not results)
+REMEMBERED = 1 << 20
 
 
 def difference_cover(period: int) -> tuple[int, ...]:
@@ -93,10 +95,39 @@ def _variant(raw: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=4).digest(), "little", signed=True)
 
 
+class Seen:
+    """Smallest document so far of the windows that a task met in several documents."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.pool, self.y, self.low = K.HashPool(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def settle(self, x: np.ndarray, y: np.ndarray, low: np.ndarray, several: np.ndarray) -> np.ndarray:
+        """Smallest documents of distinct windows, what earlier calls saw included; ``several`` marks those to remember."""
+        row = self.pool.find(x)
+        known = row >= 0
+        known[known] = self.y[row[known]] == y[known]  # another window with the same first hash is left alone
+        out = low.copy()
+        out[known] = np.minimum(low[known], self.low[row[known]])
+        self.low[row[known]] = out[known]
+        new = np.flatnonzero(several & (row < 0))
+        new = new[np.unique(x[new], return_index=True)[1]]
+        if len(new):
+            if self.pool.size > REMEMBERED:
+                self.clear()
+            at = np.arange(len(self.low), len(self.low) + len(new), dtype=np.int32)
+            self.pool.add(x[new], at)
+            self.y, self.low = np.concatenate([self.y, y[new]]), np.concatenate([self.low, out[new]])
+        return out
+
+
 def _window_rows(layout: Layout, tell_apart: bool):
     """Of documents with shared anchors (doc_id, text, anchors): open windows (kind 0) and settled repeats (kind 1)."""
 
     def run(batches):
+        seen = Seen()
         for b in batches:
             ids = np.asarray(b.column(0))
             buf, offs = K.string_buffers(b.column(1))
@@ -133,8 +164,10 @@ def _window_rows(layout: Layout, tell_apart: bool):
                 order = np.lexsort((who, y, x))
                 at, doc, x, y, who = at[order], doc[order], x[order], y[order], who[order]
                 new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-                low = who[np.flatnonzero(new)][np.cumsum(new) - 1]
-                kind = (who != low).astype(np.int32)
+                each, of = np.flatnonzero(new), np.cumsum(new) - 1
+                last = np.append(each[1:], len(new)) - 1
+                low = seen.settle(x[each], y[each], who[each], who[last] != who[each])[of]
+                kind = (who > low).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(kind), pa.array(K.signed(x)), pa.array(K.signed(y)), pa.array(who), pa.array(variant[doc]), pa.array((at - first[doc]).astype(np.int32))],
                     ["kind", "x", "y", "doc_id", "variant", "pos"])
