@@ -168,15 +168,20 @@ def neutralise_special_tokens(text, tokens: Sequence[str]) -> Column:
 
 def suffix_expansion(pairs: DataFrame, suffixes: DataFrame, pair_order: str, suffix_order: str,
                      positive: str = "positive", negative: str = "negative") -> DataFrame:
-    """Suffix x pair product, suffix-major.  ``suffixes`` has ``suffix`` or
-    (``pos_suffix``, ``neg_suffix``) columns and is a bounded parameter table (broadcast)."""
-    cols = set(suffixes.columns)
-    tup = "pos_suffix" in cols
-    rows = suffixes.collect()  # bounded parameter list, inlined as a literal array
-    arr = F.array(*[F.struct(F.lit(r[suffix_order]).alias(suffix_order),
-                             F.lit(r["pos_suffix"] if tup else r["suffix"]).alias("_ps"),
-                             F.lit(r["neg_suffix"] if tup else r["suffix"]).alias("_ns")) for r in rows])
-    j = pairs.select("*", F.inline(arr))
+    """Every pair with every suffix, suffix-major.  ``suffixes`` has ``suffix`` or (``pos_suffix``,
+    ``neg_suffix``) columns and ``suffix_order`` = 0 .. n - 1.
+
+    A generator gives each pair the n suffix numbers; the texts join on the number, broadcast when the
+    suffix table is measured small and through a salted shuffle otherwise."""
+    from protolens.operators.params import attach_params
+
+    tup = "pos_suffix" in suffixes.columns
+    table = suffixes.select(F.col(suffix_order), F.col("pos_suffix" if tup else "suffix").alias("_ps"),
+                            F.col("neg_suffix" if tup else "suffix").alias("_ns"))
+    n = suffixes.count()
+    numbers = F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>")
+    each = pairs.select("*", F.explode(numbers).cast(suffixes.schema[suffix_order].dataType).alias(suffix_order))
+    j = attach_params(each, table, [suffix_order])
     return j.select(F.col(suffix_order), F.col(pair_order), F.concat(F.col(positive), F.col("_ps")).alias("positive"),
                     F.concat(F.col(negative), F.col("_ns")).alias("negative"))
 

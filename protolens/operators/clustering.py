@@ -9,6 +9,8 @@ centre table (groups x k x d) is ever attached to rows.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -21,8 +23,11 @@ from protolens.operators.sampling import sample_per_class
 
 
 def grouped_kmeans(df: DataFrame, keys=("layer",), label: str = "label", vec: str = "vector", k: int = 2,
-                   iters: int = 20, seed: int = 42, id_col: str = "example_id", tol: float = 1e-9):
-    """Returns (centres(keys..., label, cluster, center), assignments(df + cluster))."""
+                   iters: int = 300, seed: int = 42, id_col: str = "example_id", tol: float = 1e-9):
+    """Returns (centres(keys..., label, cluster, center), assignments(df + cluster)).
+
+    Runs until no centre moves; a warning tells when ``iters`` rounds were not enough.
+    """
     keys = list(keys)
     g = keys + [label]
     init = sample_per_class(df, k, keys, label, id_col, seed, rank_col="_r")
@@ -36,6 +41,7 @@ def grouped_kmeans(df: DataFrame, keys=("layer",), label: str = "label", vec: st
         best = F.element_at("_cs", F.array_position(d, F.array_min(d)).cast("int"))["cluster"]
         return j.withColumn("cluster", best.cast("int")).drop("_cs")
 
+    shift = 0.0
     for _ in range(iters):
         a = assign(centres)
         new = a.groupBy(*g, "cluster").agg(
@@ -48,22 +54,28 @@ def grouped_kmeans(df: DataFrame, keys=("layer",), label: str = "label", vec: st
         centres = merged.drop("_shift")
         if shift <= tol:
             break
+    else:
+        warnings.warn(f"k-means: centres still moved by {shift:g} after {iters} rounds", RuntimeWarning, stacklevel=2)
     return centres, assign(centres)
 
 
 def cluster_prototypes(df: DataFrame, keys=("layer",), label: str = "label", vec: str = "vector",
-                       n_clusters_per_class: int = 2, iters: int = 20, seed: int = 42, id_col: str = "example_id"):
+                       n_clusters_per_class: int = 2, iters: int = 300, seed: int = 42, id_col: str = "example_id",
+                       scale_covariances: bool = False):
     """Cluster ids offset by class (class * k + c); per-cluster and pooled covariance keyed by example."""
     keys = list(keys)
     centres, assigned = grouped_kmeans(df, keys, label, vec, n_clusters_per_class, iters, seed, id_col)
     assigned = assigned.withColumn("cluster_id", (F.col(label) * n_clusters_per_class + F.col("cluster")).cast("int"))
     means = S.class_means(assigned, keys, "cluster_id", vec)
     scatter = S.class_scatter(assigned, keys, "cluster_id", vec, means)
+    cluster_cov = S.class_covariance(scatter, keys, "cluster_id")
+    if scale_covariances:
+        cluster_cov = S.diag_norm_scaling(cluster_cov, keys + ["cluster_id"])
     return {
         "centres": centres.withColumn("cluster_id", (F.col(label) * n_clusters_per_class + F.col("cluster")).cast("int")),
         "assigned": assigned,
         "means": means,
-        "cluster_cov": S.class_covariance(scatter, keys, "cluster_id"),
+        "cluster_cov": cluster_cov,
         "pooled": S.pooled_covariance(scatter, keys),
     }
 

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from protolens.functions import vec as V
 from protolens.operators import stats as S
-from protolens.operators.params import attach_params
+from protolens.operators.params import attach_params, materialize
 
 DIRECTIONS = ("larger", "smaller")  # iteration order of the grid search
 
@@ -216,6 +216,7 @@ def grid_f1(sims: DataFrame, labels: DataFrame, layers: Sequence[int], max_layer
     per = per.join(labels.select(id_col, F.col("label").cast("int").alias("y")), id_col)
     nbin = lambda c: F.size(F.filter(tarr, lambda t: t < F.col(c)))
     binned = per.select("combo_idx", "y", nbin("smax").alias("bmax"), nbin("smin").alias("bmin"))
+    binned = materialize(binned.groupBy("combo_idx", "y", "bmax", "bmin").agg(F.count(F.lit(1)).alias("n")))  # examples counted once
     nt = len(ts)
     # dense (combo, y, bin) frame from generators; counts joined on equal keys; running sums over bins
     dense = combos.select("combo_idx", F.explode(F.sequence(F.lit(0), F.lit(nt))).alias("bin")) \
@@ -223,7 +224,7 @@ def grid_f1(sims: DataFrame, labels: DataFrame, layers: Sequence[int], max_layer
     w = Window.partitionBy("combo_idx", "y").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
 
     def cum(col):
-        c = binned.groupBy("combo_idx", "y", F.col(col).alias("bin")).count()
+        c = binned.groupBy("combo_idx", "y", F.col(col).alias("bin")).agg(F.sum("n").alias("count"))
         d = dense.join(c, ["combo_idx", "y", "bin"], "left").fillna(0, ["count"])
         d = d.select("combo_idx", "y", "bin", F.sum("count").over(w).alias("le"),
                      F.sum("count").over(Window.partitionBy("combo_idx", "y")).alias("tot"))
@@ -236,7 +237,7 @@ def grid_f1(sims: DataFrame, labels: DataFrame, layers: Sequence[int], max_layer
     cmax = cum("bmax").select("combo_idx", F.col("bin").alias("j"), F.lit("smaller").alias("direction"),
                               (F.col("tot1") - F.col("le1")).alias("tp"),
                               (F.col("le1") + 0 * F.col("le0")).alias("fn"), "le0", "tot1")
-    cmax = cmax.join(binned.groupBy("combo_idx").agg(F.sum(1 - F.col("y")).alias("tot0")), "combo_idx") \
+    cmax = cmax.join(binned.groupBy("combo_idx").agg(F.sum((1 - F.col("y")) * F.col("n")).alias("tot0")), "combo_idx") \
         .withColumn("fp", F.col("tot0") - F.col("le0")).select("combo_idx", "j", "direction", "tp", "fp", "fn")
     cmin = cum("bmin").select("combo_idx", F.col("bin").alias("j"), F.lit("larger").alias("direction"),
                               F.col("le1").alias("tp"), F.col("le0").alias("fp"),
@@ -322,6 +323,20 @@ def evaluate_rules(flags: DataFrame, rules: DataFrame, id_col: str = "example_id
     return j.select(id_col, "rule_idx", "behavior_idx", ok.alias("satisfied"))
 
 
+def rule_behaviors(rows: DataFrame, flags: DataFrame, rules: DataFrame, directions: DataFrame, behaviors: Sequence[tuple],
+                   keys=("layer",), id_col: str = "example_id", vec: str = "vector") -> DataFrame:
+    """Rules over condition flags switch behaviours on; each is added on its own layers, in the given order.
+
+    ``behaviors``: (behavior_idx, layers, strength) in rule order."""
+    fired = evaluate_rules(flags, rules, id_col).where("satisfied").groupBy(id_col).agg(F.collect_set("behavior_idx").alias("_fired"))
+    switched = flags.select(id_col).distinct().join(fired, id_col, "left")
+    for idx, layers, strength in behaviors:
+        on = F.coalesce(F.array_contains("_fired", F.lit(idx)), F.lit(False))
+        of_layers = directions.where(F.col(keys[0]).isin(list(layers)))
+        rows = add_behavior(rows, of_layers, switched.select(id_col, on.alias("condition_met")), keys, id_col, vec, strength)
+    return rows
+
+
 def add_behavior(rows: DataFrame, behavior: DataFrame, condition: DataFrame | None, keys=("layer",),
                  id_col: str = "example_id", vec: str = "vector", strength: float = 1.0,
                  combine: Callable[[Column, Column], Column] | None = None) -> DataFrame:

@@ -127,6 +127,20 @@ def row_salt(rows: DataFrame, keys: Sequence[str], buckets: Column) -> Column:
     return F.pmod(F.xxhash64(*[F.col(c) for c in other]), buckets).cast("int")
 
 
+def require_dense_ids(packed: DataFrame, keys: Sequence[str], name: str) -> None:
+    """Raise when a key's whole-number class ids are not 0 .. K - 1: scores are arrays by position, so a gap
+    would shift every prediction after it.  One aggregate over a parameter table."""
+    kind = packed.schema[name].dataType.elementType["_o"].dataType
+    if not isinstance(kind, T.IntegralType):
+        return
+    ids = F.transform(name, lambda x: x["_o"])
+    gap = packed.where((F.size(name) > 0) & ((F.array_min(ids) != 0) | (F.array_max(ids) != F.size(name) - 1)
+                                             | (F.size(F.array_distinct(ids)) != F.size(name))))
+    first = gap.select(*keys, ids.alias("ids")).limit(1).collect()
+    if first:
+        raise ValueError(f"class ids must be 0 .. K - 1 without gaps; found {first[0].asDict()}")
+
+
 def pack_params(params: DataFrame, keys: Sequence[str], order: str, fields: Sequence[str], name: str) -> DataFrame:
     """Collapse per-class parameter rows into one sorted array of structs per key.
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from protolens.functions import vec as V
-from protolens.operators.params import DEFAULT_MAX_BROADCAST_BYTES, attach_params, materialize, pack_params
+from protolens.operators.params import DEFAULT_MAX_BROADCAST_BYTES, attach_params, materialize, pack_params, require_dense_ids
 
 # Engine choice in 'auto' mode, from tools/engine_bench.py (local[8], 20k rows): the d^2-per-row Mahalanobis
 # distance as higher-order functions is 4x slower than numpy at d = 16 and ~100x at d = 256, so it always runs
@@ -41,6 +41,7 @@ def gda_logits(df: DataFrame, params: DataFrame, keys=("layer",), label: str = "
     """
     keys = _k(keys)
     packed = materialize(pack_params(params, keys, label, ["w", "b"], "_gda"))
+    require_dense_ids(packed, keys, "_gda")
     if engine == "auto":
         width = packed.select(F.max(F.size(F.element_at("_gda", 1)["w"]))).first()[0] or 0
         engine = "hof" if width <= HOF_MAX_DIM else "arrow"
@@ -230,6 +231,7 @@ class _ParamSource:
         cols = keys + ([label] if per_class else [])
         self.matrices = materialize(matrices.select(*cols, "i", "row"))
         self.keys, self.label, self.per_class = keys, label, per_class
+        require_dense_ids(pack_params(self.means.select(*keys, label), keys, label, [], "_ids"), keys, "_ids")
         info = self.means.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.max(F.size("mean")).alias("d"))
         self.shape = {tuple(r[c] for c in keys): (int(r["k"]), int(r["d"])) for r in info.collect()}
 
@@ -380,6 +382,7 @@ def nmc_neg_distance(df: DataFrame, means: DataFrame, keys=("layer",), label: st
     """G6 input: minus the Euclidean distance to every class mean (engines as in G1)."""
     keys = _k(keys)
     packed = materialize(pack_params(means, keys, label, ["mean"], "_mu"))
+    require_dense_ids(packed, keys, "_mu")
     if engine == "auto":
         width = packed.select(F.max(F.size(F.element_at("_mu", 1)["mean"]))).first()[0] or 0
         engine = "hof" if width <= HOF_MAX_DIM else "arrow"

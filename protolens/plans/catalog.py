@@ -28,6 +28,7 @@ _MODULES = (
     "protolens.plans.q_contrast",
     "protolens.plans.q_rollup",
     "protolens.plans.q_io",
+    "protolens.plans.q_flows",
 )
 _loaded = False
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from protolens.operators import contrast as CT
 from protolens.operators.corpus import contrastive_zip
+from protolens.operators.params import materialize
 from protolens.operators.pooling import pool_masked_mean
 
 
@@ -34,6 +35,7 @@ def condition_search(vectors: DataFrame, layers: Sequence[int], label: str = "la
     if directions_path:
         SK.save_directions(directions, directions_path)
     sims = CT.condition_similarity(vectors.where(F.col("layer").isin([int(x) for x in layers])), directions, ["layer"])
+    sims = materialize(sims.select(id_col, "layer", label, "similarity"))  # slim, and read by the grid and the predictions
     grid = CT.grid_f1(sims, first, layers, max_layers, threshold_range, threshold_step, id_col)
     best = CT.best_condition_point(grid)
     preds = CT.condition_predictions(sims, best, id_col)

@@ -69,10 +69,10 @@ def _sql(body: str) -> str:
 # C1 ---------------------------------------------------------------------------
 @register("contrast_matrix_diff", _sql("""
 x AS (SELECT 1)
-SELECT layer, CAST(rank AS INTEGER) AS rank, i, round(a - b, 6) AS value FROM pe"""))
+SELECT layer, CAST(rank AS BIGINT) AS rank, i, round(a - b, 6) AS value FROM pe"""))
 def q_contrast_matrix_diff(spark, sf):
     d = CT.contrast_matrix_diff(_pairs(spark, sf))
-    return long_array(d.withColumn("rank", F.col("rank").cast("int")), ["layer", "rank"], "vector")
+    return long_array(d, ["layer", "rank"], "vector")
 
 
 # C2 ---------------------------------------------------------------------------
@@ -91,10 +91,10 @@ def q_contrast_matrix_center(spark, sf):
 # C3 ---------------------------------------------------------------------------
 @register("contrast_matrix_pairwise", _sql("""
 x AS (SELECT 1)
-SELECT layer, CAST(rank AS INTEGER) AS rank, 0 AS side, i, round(a - (a + b) / 2, 6) AS value FROM pe
-UNION ALL SELECT layer, CAST(rank AS INTEGER), 1, i, round(b - (a + b) / 2, 6) FROM pe"""))
+SELECT layer, CAST(rank AS BIGINT) AS rank, 0 AS side, i, round(a - (a + b) / 2, 6) AS value FROM pe
+UNION ALL SELECT layer, CAST(rank AS BIGINT), 1, i, round(b - (a + b) / 2, 6) FROM pe"""))
 def q_contrast_matrix_pairwise(spark, sf):
-    c = CT.contrast_matrix_pairwise(_pairs(spark, sf)).withColumn("rank", F.col("rank").cast("int"))
+    c = CT.contrast_matrix_pairwise(_pairs(spark, sf))
     return long_array(c, ["layer", "rank", "side"], "vector")
 
 
@@ -356,14 +356,6 @@ def q_multi_condition_behaviors(spark, sf):
                                         .alias("c1"))
     c2 = sims.where("layer = 3").select("example_id", CT.condition_flag(F.col("similarity"), 0.15, "larger").alias("c2"))
     flags = c1.join(c2, "example_id").select("example_id", F.array("c1", "c2").alias("flags"))
-    ev = CT.evaluate_rules(flags, CT.parse_rules(spark, MULTI_RULES))
-    on = ev.groupBy("example_id").agg(
-        F.max(F.when((F.col("behavior_idx") == 0) & F.col("satisfied"), 1).otherwise(0)).alias("b1"),
-        F.max(F.when((F.col("behavior_idx") == 1) & F.col("satisfied"), 1).otherwise(0)).alias("b2"))
-    behaviours = [(1, [1], 1.0), (2, [2, 3], -0.5)]  # (behaviour, layers, strength) in rule order
-    rows = v.select("example_id", "layer", "vector").join(on, "example_id")
-    for b, layers, strength in behaviours:
-        bd = dirs.where(F.col("layer").isin(layers))
-        cond = rows.select("example_id", (F.col(f"b{b}") == 1).alias("condition_met")).distinct()
-        rows = CT.add_behavior(rows, bd, cond, ["layer"], strength=strength)
+    behaviors = [(0, [1], 1.0), (1, [2, 3], -0.5)]  # (behaviour, layers, strength) in rule order
+    rows = CT.rule_behaviors(v.select("example_id", "layer", "vector"), flags, CT.parse_rules(spark, MULTI_RULES), dirs, behaviors)
     return long_array(rows, ["example_id", "layer"], "vector")

@@ -128,7 +128,7 @@ def q_supervised_gbt(spark, sf):
 def q_cluster_prototypes(spark, sf):
     """Two k-means prototypes per class and layer -> (layer, cluster_id, n, i, value)."""
     tr, _ = train_test(spark, sf)
-    p = CL.cluster_prototypes(tr, ["layer"], "label", n_clusters_per_class=2, iters=10)
+    p = CL.cluster_prototypes(tr, ["layer"], "label", n_clusters_per_class=2)
     return long_array(p["means"], ["layer", "cluster_id", "n"], "mean")
 
 
@@ -136,5 +136,5 @@ def q_cluster_prototypes(spark, sf):
 def q_cluster_precisions(spark, sf):
     """A10: Bayes precision of every cluster covariance -> (layer, cluster_id, i, j, value)."""
     tr, _ = train_test(spark, sf)
-    p = CL.cluster_prototypes(tr, ["layer"], "label", n_clusters_per_class=2, iters=10)
+    p = CL.cluster_prototypes(tr, ["layer"], "label", n_clusters_per_class=2)
     return long_matrix(CL.cluster_precisions(p)["cluster_precision"], ["layer", "cluster_id"])

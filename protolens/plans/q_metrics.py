@@ -10,7 +10,7 @@ from protolens.operators import scoring as SC
 from protolens.operators import stats as S
 from protolens.plans.catalog import register
 from protolens.plans.common import rnd, train_test
-from protolens.plans.sqlparts import nmc_ctes, vec_base
+from protolens.plans.sqlparts import DISTANCE, gda_ctes, nmc_ctes, vec_base
 
 KEYS = ["layer", "dataset"]
 
@@ -235,3 +235,39 @@ def q_score_record(spark, sf):
     s = scored(spark, sf).withColumn("method", F.concat(F.lit("nmc_layer"), F.col("layer").cast("string")))
     rec = M.binary_scores(s, ["dataset", "method"], "score", "label")
     return round_record(rec, ["dataset", "method"])
+
+
+# Single-layer evaluation: the full record of all three methods per (layer, benchmark) ----------------------
+SINGLE_SQL = vec_base(nmc_ctes().replace("preds AS (", "nmc AS (") + "," + gda_ctes() + f""",
+lg AS (SELECT te.example_id, te.layer, te.dataset, te.label, p.cls, list_dot_product(te.vector, p.w) + p.b AS s
+       FROM te JOIN g_params p USING (layer)),
+zz AS (SELECT te.example_id, te.layer, te.dataset, te.label, g.cls, q.p, list_transform(te.vector, lambda x, c: x - g.m[c]) AS z
+      FROM te JOIN g_params g USING (layer) JOIN g_prec q USING (layer)),
+md AS (SELECT example_id, layer, dataset, label, cls, -({DISTANCE}) AS s FROM zz),
+two AS (SELECT 'gda' AS kind, * FROM lg UNION ALL SELECT 'mahalanobis', * FROM md),
+soft AS (SELECT *, exp(s - max(s) OVER w) AS e FROM two WINDOW w AS (PARTITION BY kind, example_id, layer)),
+ps AS (SELECT kind, example_id, layer, dataset, label, cls, e / sum(e) OVER (PARTITION BY kind, example_id, layer) AS prob FROM soft),
+allp AS (SELECT 'nmc' AS kind, layer AS l, dataset AS ds, label, score FROM nmc
+         UNION ALL SELECT kind, layer, dataset, label, prob FROM ps WHERE cls = 1),
+preds AS (SELECT concat(kind, '_layer', CAST(l AS VARCHAR)) AS layer, ds AS dataset, label, score FROM allp)""" + _CONF[len(nmc_ctes()):] + _RANK + """
+SELECT dataset, layer AS method, round(accuracy, 6) AS accuracy,
+       round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1,
+       round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS true_positive_rate,
+       round(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0 END, 6) AS true_negative_rate,
+       tn + fp AS negative_support, tp + fn AS positive_support,
+       round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision
+FROM cf JOIN rk USING (layer, dataset)""")
+
+
+@register("single_layer_evaluation", SINGLE_SQL)
+def q_single_layer_evaluation(spark, sf):
+    """GDA, nearest-mean and Mahalanobis predictions of every layer, one score record per benchmark and method."""
+    tr, te = train_test(spark, sf)
+    fit = S.fit_gda(tr, ["layer"], "label")
+    by = {"gda": SC.softmax_probs(SC.gda_logits(te, fit["params"], ["layer"])),
+          "nmc": SC.nmc_pred(te, fit["means"], ["layer"]),
+          "mahalanobis": SC.mahalanobis_pred(SC.mahalanobis_sq(te, fit["means"], fit["precision"], ["layer"]))}
+    parts = [s.select("dataset", F.concat(F.lit(f"{k}_layer"), F.col("layer").cast("string")).alias("method"), "label",
+                      SC.positive_score("probs").alias("score")) for k, s in by.items()]
+    rec = M.binary_scores(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["dataset", "method"], "score", "label")
+    return round_record(rec, ["dataset", "method"])

@@ -192,7 +192,7 @@ def q_display_name_map(spark, sf):
 @register("contrastive_zip", with_views("""
 WITH r AS (SELECT example_id, label, row_number() OVER (PARTITION BY label
              ORDER BY md5(concat(CAST(example_id AS VARCHAR), ':42')), example_id) AS rk FROM doc_vectors)
-SELECT CAST(p.rk AS INTEGER) AS rank, p.example_id AS pos_id, n.example_id AS neg_id
+SELECT CAST(p.rk AS BIGINT) AS rank, p.example_id AS pos_id, n.example_id AS neg_id
 FROM r p JOIN r n ON p.rk = n.rk AND p.label = 1 AND n.label = 0""", "doc_vectors"))
 def q_contrastive_zip(spark, sf):
     return C.contrastive_zip(fx.doc_vectors(spark, sf), "example_id", "label")

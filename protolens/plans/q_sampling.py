@@ -35,7 +35,7 @@ def q_sample_fraction(spark, sf):
 @register("sample_per_class", with_views(f"""
 WITH r AS (SELECT example_id, label, row_number() OVER (PARTITION BY label ORDER BY {_h()}, example_id) AS rn
            FROM vectors WHERE layer = 1 AND split = 'train')
-SELECT example_id, label, CAST(rn AS INTEGER) AS rank FROM r WHERE rn <= 30""", "vectors"))
+SELECT example_id, label, CAST(rn AS BIGINT) AS rank FROM r WHERE rn <= 30""", "vectors"))
 def q_sample_per_class(spark, sf):
     tr = _layer1(spark, sf).where("split = 'train'")
     s = SP.sample_per_class(tr, 30, [], "label", "example_id", 42, rank_col="rank")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from protolens.functions import templates as TPL
 from protolens.functions import text as TX
 from protolens.functions.labels import py_strip
+from protolens.operators.metrics import prefix_sums
 from protolens.operators.sampling import hash_order
 from protolens.plans.catalog import register
 from protolens.plans.q_corpus import _P11_SRC, _p11
@@ -273,7 +273,8 @@ def q_suffix_expansion(spark, sf):
     pairs = t0.join(t1, "conv_id")
     b = fx.table(spark, sf, "benchmark")
     sfx = b.select(F.concat(F.lit(" "), F.element_at(F.split("text", " "), 1)).alias("suffix")).distinct()
-    sfx = sfx.withColumn("suffix_idx", (F.dense_rank().over(Window.orderBy("suffix")) - 1).cast("int"))
+    ranked = prefix_sums(sfx.withColumn("one", F.lit(1).cast("long")), [], "suffix", ["one"])  # place in order, no global window
+    sfx = ranked.select("suffix", (F.col("one_cum") - 1).cast("int").alias("suffix_idx"))
     return TX.suffix_expansion(pairs, sfx, "conv_id", "suffix_idx")
 
 

@@ -13,7 +13,7 @@ from protolens.operators import stats as S
 from protolens.operators.params import attach_params
 from protolens.plans.catalog import register
 from protolens.plans.common import layer_vectors, long_array, long_matrix, rnd, train_test
-from protolens.plans.sqlparts import gda_ctes, nmc_ctes, precision_ctes, scatter_ctes, vec_base
+from protolens.plans.sqlparts import DISTANCE, gda_ctes, nmc_ctes, precision_ctes, scatter_ctes, vec_base
 from protolens.sources import fixtures as fx
 
 # ------------------------------------------------------------------ A1, A2
@@ -311,12 +311,10 @@ def q_nmc_pred(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("example_id", "layer", "pred", rnd(F.element_at("probs", 2)).alias("score"))
 
 
-_DISTANCE = "list_sum(list_transform(range(1, len(z) + 1), lambda q: z[q] * list_dot_product(p[q], z)))"
-
 G4_SQL = vec_base(gda_ctes() + f""",
 z AS (SELECT te.example_id, te.layer, g.cls, q.p, list_transform(te.vector, lambda x, c: x - g.m[c]) AS z
       FROM te JOIN g_params g USING (layer) JOIN g_prec q USING (layer))
-SELECT example_id, layer, CAST(cls AS INTEGER) AS cls, round({_DISTANCE}, 6) AS value FROM z""")
+SELECT example_id, layer, CAST(cls AS INTEGER) AS cls, round({DISTANCE}, 6) AS value FROM z""")
 
 
 @register("mahalanobis_sq", G4_SQL)
@@ -329,7 +327,7 @@ def q_mahalanobis_sq(spark: SparkSession, sf: str) -> DataFrame:
 G5_SQL = vec_base(_CLASS_PRECISION + f""",
 z AS (SELECT te.example_id, te.layer, g.cls, q.p, list_transform(te.vector, lambda x, c: x - g.m[c]) AS z
       FROM te JOIN g_mu g USING (layer) JOIN g_cp q ON q.layer = g.layer AND q.cls = g.cls),
-d AS (SELECT example_id, layer, cls, -({_DISTANCE}) AS s FROM z),
+d AS (SELECT example_id, layer, cls, -({DISTANCE}) AS s FROM z),
 mx AS (SELECT example_id, layer, max(s) AS ms FROM d GROUP BY ALL),
 pr AS (SELECT d.*, mx.ms, exp(d.s - mx.ms) / sum(exp(d.s - mx.ms)) OVER (PARTITION BY d.example_id, d.layer) AS prob
        FROM d JOIN mx USING (example_id, layer))

@@ -86,6 +86,10 @@ g_w AS (SELECT {kj}, cls, m, kk, list_transform(p, lambda r: list_dot_product(r,
 g_params AS (SELECT {kj}, cls, m, w, ln(1.0 / kk) - 0.5 * list_dot_product(w, m) AS b FROM g_w)"""
 
 
+#: squared Mahalanobis distance of the difference z[] under the matrix p[][]
+DISTANCE = "list_sum(list_transform(range(1, len(z) + 1), lambda q: z[q] * list_dot_product(p[q], z)))"
+
+
 def lit(s: str) -> str:
     """A Python string as a DuckDB string expression (newlines via chr(10))."""
     parts = ["'" + p.replace("'", "''") + "'" for p in s.split("\n")]

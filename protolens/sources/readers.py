@@ -139,9 +139,15 @@ def read_two_row_header_csv(spark: SparkSession, path: str, id_cols: int = 1) ->
     h0, h1 = (next(csv.reader([x])) for x in head)
     body = spark.read.option("header", "false").csv(path)
     cols = body.columns
-    # drop the two header lines: they are the rows whose cells equal the header text
-    body = body.where(~((F.col(cols[id_cols]) == h0[id_cols]) | (F.col(cols[id_cols]) == h1[id_cols]))
-                      | F.col(cols[id_cols]).isNull())
+    # the two header lines: rows whose every cell equals theirs (one equal cell is no header)
+
+    def is_line(header):
+        same = F.lit(True)
+        for i, c in enumerate(cols):
+            same = same & (F.coalesce(F.col(c), F.lit("")) == F.lit(header[i] if i < len(header) else ""))
+        return same
+
+    body = body.where(~is_line(h0) & ~is_line(h1))
     cells = F.array(*[F.struct(F.lit(h0[i]).alias("dataset_type"), F.lit(h1[i]).alias("dataset"),
                                F.col(cols[i]).alias("value")) for i in range(id_cols, len(cols))])
     return body.select(*[F.col(cols[i]).alias(f"id{i}") for i in range(id_cols)], F.inline(cells))

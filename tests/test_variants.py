@@ -1,6 +1,7 @@
 """Option variants of operators that the registered queries exercise in one form only."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from protolens.functions import templates as TPL
@@ -107,3 +108,57 @@ def test_scale_conf_sizes_splits_and_batches():
     assert int(narrow["spark.sql.files.maxPartitionBytes"]) == 256 * 1024 * 1024
     assert int(wide["spark.sql.execution.arrow.maxRecordsPerBatch"]) * 4096 * 8 <= 64 * 1024 * 1024
     assert wide["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def _scored_pairs(spark, n=60):
+    import numpy as np
+
+    from protolens.operators import stats as S
+
+    r = np.random.default_rng(0)
+    rows = [(int(i % 40) if i else 2**60 + 1, int(layer), int(c), [float(v) for v in r.standard_normal(12) + c])
+            for layer in (1, 2) for c in (0, 1) for i in range(n)]  # ids repeat
+    df = spark.createDataFrame(rows, "example_id long, layer int, label int, vector array<double>").repartition(5)
+    return df, S.fit_gda(df, ["layer"], "label", per_class=True)
+
+
+def test_streamed_parameters_give_the_broadcast_scores(spark, monkeypatch):
+    """Keys over the broadcast limit (here 1 byte): same scores, also for repeated ids and several salts."""
+    import numpy as np
+
+    from protolens.operators import scoring as SC
+
+    monkeypatch.setattr(SC, "STREAM_ROWS", 25)
+    df, fit = _scored_pairs(spark)
+    key = lambda x: (x.example_id, x.layer, x.label, tuple(x.vector))
+    for score in (lambda b: SC.mahalanobis_sq(df, fit["means"], fit["precision"], ["layer"], out="s", max_broadcast_bytes=b),
+                  lambda b: SC.mahalanobis_class_sq(df, fit["means"], fit["class_precision"], ["layer"], out="s", max_broadcast_bytes=b),
+                  lambda b: SC.gda_logits(df, fit["params"], ["layer"], out="s", engine="arrow", max_broadcast_bytes=b),
+                  lambda b: SC.nmc_neg_distance(df, fit["means"], ["layer"], out="s", engine="arrow", max_broadcast_bytes=b)):
+        small, large = sorted(score(None).collect(), key=key), sorted(score(1).collect(), key=key)
+        assert len(large) == 240 and [key(x) for x in small] == [key(x) for x in large]
+        assert np.allclose([x.s for x in small], [x.s for x in large])
+
+
+def test_gap_in_class_ids_raises(spark):
+    from protolens.operators import scoring as SC
+
+    df, fit = _scored_pairs(spark, 5)
+    gap = lambda t: t.withColumn("label", F.col("label") * 2)
+    for bad in (lambda: SC.gda_logits(df, gap(fit["params"]), ["layer"]), lambda: SC.nmc_pred(df, gap(fit["means"]), ["layer"]),
+                lambda: SC.mahalanobis_sq(df, gap(fit["means"]), fit["precision"], ["layer"])):
+        with pytest.raises(ValueError, match="without gaps"):
+            bad()
+
+
+def test_salt_spreads_a_hot_key(spark):
+    from protolens.operators.params import attach_params, row_salt
+
+    df, fit = _scored_pairs(spark)
+    hot = df.where("layer = 1 and label = 0").select("layer", "label", "vector")
+    salts = hot.select(row_salt(hot, ["layer", "label"], F.lit(16)).alias("s")).distinct().count()
+    assert salts >= 8
+    with pytest.raises(ValueError):
+        row_salt(hot.select("layer", "label"), ["layer", "label"], F.lit(16))
+    with pytest.raises(ValueError):
+        attach_params(hot, fit["means"], ["layer", "label"], max_broadcast_bytes=1, salt_col="label")
