@@ -3,10 +3,10 @@
 The meta model is fitted on a per-example feature table (one column per
 layer); the table is persisted because the optimizer makes several passes.
 Objective parity with liblinear: it minimises ||w||_1 + C * sum(loss) and
-penalises the intercept; Spark minimises mean(loss) + regParam * ||w||_1 with a
-free intercept, so regParam = 1 / (C * n) matches everything but the
-intercept penalty (results are close, not identical).  The convergence
-tolerance (1e-6) is tighter than liblinear's default (1e-4).
+penalises the intercept; Spark minimises mean(loss) + regParam * ||w||_1, so
+regParam = 1 / (C * n) and a constant feature in place of Spark's free
+intercept give the same objective.  The convergence tolerance (1e-6) is
+tighter than liblinear's default (1e-4).
 """
 
 from __future__ import annotations
@@ -27,6 +27,20 @@ def assemble(df: DataFrame, feature_cols: Sequence[str], out: str = "features")
     return VectorAssembler(inputCols=[*feature_cols, one], outputCol=out, handleInvalid="keep").transform(df.withColumn(one, F.lit(1.0))).drop(one)
 
 
+def _training(features: DataFrame, feature_cols: Sequence[str], label: str) -> DataFrame:
+    """(features, label) for a fit without Spark's own intercept.
+
+    Spark gives a column without variance the weight 0.  The logistic loss of a row is that of its negated
+    features with the other label, so half of the rows (by hash) are turned over: the constant column then
+    varies and the objective stays exactly the same."""
+    turned = F.pmod(F.xxhash64(*[F.col(c) for c in feature_cols], F.col(label)), F.lit(2)) == 1
+    sign, y = F.when(turned, -1.0).otherwise(1.0), F.col(label).cast("double")
+    names = [f"f{i}" for i in range(len(feature_cols) + 1)]
+    rows = features.select(*[(F.col(c).cast("double") * sign).alias(n) for c, n in zip(feature_cols, names)], sign.alias(names[-1]),
+                           F.when(turned, 1.0 - y).otherwise(y).alias("label"))
+    return VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(rows).select("features", "label")
+
+
 def intercept(model) -> float:
     return float(model.coefficients[len(model.coefficients) - 1])
 
@@ -38,7 +52,7 @@ def _n(df: DataFrame) -> int:
 def meta_fit(features: DataFrame, feature_cols: Sequence[str], label: str = "label", C: float = 1.0,
              n: int | None = None):
     """L1 logistic regression over layer features (liblinear-style C)."""
-    data = assemble(features, feature_cols).select("features", F.col(label).cast("double").alias("label"))
+    data = _training(features, feature_cols, label)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     n = n or _n(data)
     lr = LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (C * n), standardization=False, fitIntercept=False, maxIter=200,
@@ -63,7 +77,7 @@ REGULARISATION_CS = (0.0001, 0.001, 0.005, 0.05, 0.01, 0.5, 1, 10)
 def regularisation_path(features: DataFrame, feature_cols: Sequence[str], label: str = "label",
                         cs: Sequence[float] = REGULARISATION_CS):
     """One model per C from a single persisted feature table (``fit`` with param maps)."""
-    data = assemble(features, feature_cols).select("features", F.col(label).cast("double").alias("label"))
+    data = _training(features, feature_cols, label)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     n = data.count()
     lr = LogisticRegression(elasticNetParam=1.0, standardization=False, fitIntercept=False, maxIter=200, tol=1e-6,
