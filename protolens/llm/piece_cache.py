@@ -16,7 +16,7 @@ from protolens.llm import kernel as K
 
 
 class PieceCache:
-    def __init__(self, encode: Callable[[list[bytes]], list], keep_ids: bool, max_pieces: int = 1 << 21, max_ids: int = 1 << 24):
+    def __init__(self, encode: Callable[[list[bytes]], list], keep_ids: bool, max_pieces: int = 1 << 20, max_ids: int = 1 << 23):
         self.encode, self.keep_ids, self.max_pieces, self.max_ids = encode, keep_ids, max_pieces, max_ids
         self.clear()
 
