@@ -3,10 +3,13 @@
 A window is ``LENGTH`` consecutive words of one document.  A word goes when a window over it also starts
 in a document with a smaller doc_id.
 
+Copies of a whole text repeat it in every window, so all but the first are settled by the text's digest and take
+no part in what follows.
+
 1. Anchors.  Shorter windows of ``LENGTH - PERIOD + 1`` words are hashed only where their position modulo
    ``PERIOD`` lies in a difference cover (a set whose differences give every residue; 6 of 31).  Wherever two
    documents share a whole window, some offset below ``PERIOD`` puts both positions on the cover, so they
-   share an anchor inside it.  Anchors seen in one document only are done with: most of the text.
+   share an anchor inside it.  Anchors seen in one text only are done with: most of the words.
 2. Extension.  In documents with shared anchors the windows that contain one are hashed in full (128
    bits).  Each task settles what it can see (all but the smallest document of a window are repeats; windows
    found in several documents are remembered), so a passage that a third of all documents hold leaves
@@ -35,6 +38,8 @@ LENGTH = 50
 PERIOD = 31
 #: windows of several documents that a task remembers; past it the memory starts anew (it decides rows shuffled, not results)
 REMEMBERED = 1 << 20
+#: bytes of text whose windows are settled together before the shuffle
+SETTLED_BYTES = 4 << 20
 
 
 def difference_cover(period: int) -> tuple[int, ...]:
@@ -86,7 +91,8 @@ def _anchor_rows(layout: Layout):
                 new = np.concatenate([[True], (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])]) if len(a) else np.zeros(0, bool)
                 a, doc = a[new], doc[new] + lo
                 a, doc = a[known[doc]], doc[known[doc]]
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(a)), pa.array(ids[doc])], ["h", "doc_id"])
+                whole = K.hash_spans(part, o[:-1], o[1:], seed=29)[doc - lo]  # tells texts apart, not documents
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(a)), pa.array(ids[doc]), pa.array(K.signed(whole))], ["h", "doc_id", "t"])
 
     return run
 
@@ -134,7 +140,7 @@ def _window_rows(layout: Layout, tell_apart: bool):
             shared = b.column(2)
             flat = np.asarray(shared.flatten()).view(np.uint64)
             ends = np.concatenate([[0], np.cumsum(np.asarray(shared.value_lengths()))])
-            for lo, hi, part, o in K.chunks(buf, offs):
+            for lo, hi, part, o in K.chunks(buf, offs, SETTLED_BYTES):
                 _, _, first, h = layout.words(part, o)
                 again = K.hash_spans(part, *K.spans(part, o)[:2], seed=18)
                 a, doc, at = layout.anchors(h, first)
@@ -193,12 +199,12 @@ def _repeats(batches):
 
 
 def _removed(layout: Layout, tell_apart: bool, with_text: bool):
-    """doc_id, n_words, n_removed, kept_sha256 (and the kept words) of (doc_id, text, repeats)."""
+    """doc_id, n_words, n_removed, kept_sha256 (and the kept words) of (doc_id, text, repeats, copy)."""
 
     def run(batches):
         for b in batches:
             buf, offs = K.string_buffers(b.column(1))
-            lists = b.column(2)
+            lists, copy = b.column(2), np.asarray(b.column(3))
             n_words, n_removed, digest, kept_text = [], [], [], []
             for lo, hi, part, o in K.chunks(buf, offs):
                 s, e, first = K.spans(part, o)
@@ -207,14 +213,17 @@ def _removed(layout: Layout, tell_apart: bool, with_text: bool):
                     i, j = int(first[k]), int(first[k + 1])
                     a, z = s[i:j], e[i:j]
                     keep = np.ones(j - i, bool)
+                    if copy[lo + k]:
+                        keep[:] = len(keep) < layout.length
                     found = lists[lo + k].as_py() if lists[lo + k].is_valid else None
                     if found:
                         own = _variant(part[o[k]:o[k + 1]].tobytes()) if tell_apart else 0
                         at = np.array([f["pos"] for f in found if f["variant"] == own], np.int64)
+                        at = at[at + layout.length <= j - i]  # a null text may share its doc_id with another
                         cover = np.zeros(j - i + 1, np.int64)
                         np.add.at(cover, at, 1)
                         np.add.at(cover, at + layout.length, -1)
-                        keep = np.cumsum(cover[:-1]) == 0
+                        keep &= np.cumsum(cover[:-1]) == 0
                     a, z = a[keep], z[keep]
                     # each kept word with the byte after it, that byte made a space
                     size = z - a + 1
@@ -243,13 +252,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
     prepare(spark)
     layout, parts, rows = Layout(length, period), partitions(spark), texts(docs)
 
-    anchors = written(rows.mapInArrow(_anchor_rows(layout), "h long, doc_id long"), "dedup-anchors")
-    several = anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("h")
-    lists = written(anchors.join(several, "h").groupBy("doc_id").agg(F.collect_list("h").alias("shared")), "dedup-shared")
-    release(spark)
     # rows that share a doc_id but not the text are told apart by a text hash; without such rows it is left out
-    twice = rows.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("t")).groupBy("doc_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    digests = rows.where("doc_id is not null and text is not null").select("doc_id", F.md5("text").alias("digest"))
+    digests = written(digests, "dedup-digests")
+    twice = digests.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
     tell_apart = not twice.where("lo <> hi").isEmpty()
+    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
+    copies = written(digests.join(firsts, "digest").where("doc_id <> first").select("doc_id", "digest").distinct(), "dedup-copies")
+
+    anchors = written(rows.mapInArrow(_anchor_rows(layout), "h long, doc_id long, t long"), "dedup-anchors")
+    several = anchors.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("h")
+    lists = anchors.select("h", "doc_id").join(several, "h").groupBy("doc_id").agg(F.collect_list("h").alias("shared"))
+    if not tell_apart:  # else a doc_id may name a copy and another text
+        lists = lists.join(copies.select("doc_id"), "doc_id", "left_anti")
+    lists = written(lists, "dedup-shared")
+    release(spark)
 
     windows = (rows.join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "shared")
                .mapInArrow(_window_rows(layout, tell_apart), "kind int, x long, y long, doc_id long, variant int, pos int"))
@@ -262,5 +279,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
     found = written(found, "dedup-repeats")
     release(spark)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
-    return (rows.join(found.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "repeats")
-            .mapInArrow(_removed(layout, tell_apart, with_text), schema))
+    if tell_apart:  # one row for each text of a doc_id
+        own = rows.join(found.hint("shuffle_hash"), "doc_id", "left").withColumn("digest", F.md5("text"))
+        marks = copies.select(F.col("doc_id").alias("of"), F.col("digest").alias("same"))
+        all_ = own.join(marks, (F.col("doc_id") == F.col("of")) & (F.col("digest") == F.col("same")), "left")
+        all_ = all_.withColumn("copy", F.col("same").isNotNull())
+    else:
+        named = found.join(copies, "doc_id", "full_outer")
+        all_ = rows.join(named.hint("shuffle_hash"), "doc_id", "left").withColumn("copy", F.col("digest").isNotNull())
+    return all_.select("doc_id", "text", "repeats", "copy").mapInArrow(_removed(layout, tell_apart, with_text), schema)
