@@ -179,8 +179,9 @@ def suffix_expansion(pairs: DataFrame, suffixes: DataFrame, pair_order: str, suf
     table = suffixes.select(F.col(suffix_order), F.col("pos_suffix" if tup else "suffix").alias("_ps"),
                             F.col("neg_suffix" if tup else "suffix").alias("_ns"))
     n = suffixes.count()
-    numbers = F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>")
-    each = pairs.select("*", F.explode(numbers).cast(suffixes.schema[suffix_order].dataType).alias(suffix_order))
+    kind = suffixes.schema[suffix_order].dataType.simpleString()
+    numbers = F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array()
+    each = pairs.select("*", F.explode(numbers.cast(f"array<{kind}>")).alias(suffix_order))
     j = attach_params(each, table, [suffix_order])
     return j.select(F.col(suffix_order), F.col(pair_order), F.concat(F.col(positive), F.col("_ps")).alias("positive"),
                     F.concat(F.col(negative), F.col("_ns")).alias("negative"))
