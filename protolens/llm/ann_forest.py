@@ -6,16 +6,20 @@
    sorted array of these strings.  It lies in cells, ranges of common prefix that a bounded sample splits
    until each should hold at most ``cell`` vectors; cells have different depths.  Every vector is in
    every tree.
-3. Descend: a query goes to its cell of each tree and counts there, prefix by prefix, how many entries
-   agree with it on at least that many bits (only strings are shuffled for this).
-4. Ascend: all trees go up together, one bit at a time from the longest prefix, until the entries found in
-   all trees are ``budget`` or more; the prefix length this gives is the query's.
-5. Score: entries that agree on that prefix are scored in their cells, the best of each tree are merged, and
-   these are scored again in double precision on the original vectors.
+3. Probe: some ``PROBES`` queries are compared with every entry.  The smallest budget, ``budget`` or more, with
+   which the ascent meets ``RECALL`` of their true neighbours is the table's; cells grow with it.
+4. Descend: a query goes to its cell of each tree and counts there, prefix by prefix, how many entries
+   agree with it on at least that many bits (only strings are shuffled for this); the sizes of the other
+   cells tell how many agree on prefixes that are shorter than the cell's.
+5. Ascend: all trees go up together, one bit at a time from the longest prefix, to the root if need be, until
+   the entries found in all trees are the budget or more; the prefix length this gives is the query's.
+6. Score: the query goes to every cell that its prefix meets; entries that agree on the prefix are scored
+   there, the best of each cell are merged, and these are scored again in double precision on the
+   original vectors.
 
 Equal vectors are one entry; the ``k + 1`` smallest ids of each stand for it, which no answer can exceed.
 Near-equal vectors that no prefix tells apart are dealt over sub-cells of ``cell`` size, differently in each
-tree, and a query of theirs sees one sub-cell a tree.  Work is queries x trees x cell, memory one cell.
+tree, and a query of theirs sees one sub-cell a tree.  Work is queries x budget, memory one cell.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and null ids, take
 no part; of rows with one id the vector with the smallest digest counts; vectors meet only those of
@@ -35,8 +39,11 @@ from protolens.llm.common import partitions, prepare, written
 BITS = 64
 TREES = 36
 CELL = 2048
-#: entries, over all trees, from which the ascent stops
+#: entries, over all trees, from which the ascent stops at the earliest
 BUDGET = 32_768
+#: share of the probes' true neighbours that the budget must reach, and about how many queries are probes
+RECALL = 0.95
+PROBES = 128
 SAMPLE = 20_000
 #: candidates kept beyond k before the exact scores
 SPARE = 16
@@ -57,6 +64,14 @@ def codes(x: np.ndarray, extra: np.ndarray, planes: np.ndarray, trees: int) -> n
     return out
 
 
+def prefix_range(code: np.ndarray, level) -> tuple[np.ndarray, np.ndarray]:
+    """First and last string that agree with ``code`` on ``level`` bits."""
+    level = np.asarray(level).astype(np.uint64)
+    away = np.minimum(K.U64(BITS) - level, K.U64(BITS - 1))
+    low = np.where(level == 0, K.U64(0), code >> away << away)
+    return low, np.where(level == 0, ~K.U64(0), low | ((K.U64(1) << away) - K.U64(1)))
+
+
 def split_cells(sample: np.ndarray, rows_each: float, cell: int) -> tuple[np.ndarray, np.ndarray]:
     """(first string, sub-cells) of the cells of one tree, from its sorted sample strings."""
     starts, parts = [], []
@@ -74,16 +89,17 @@ def split_cells(sample: np.ndarray, rows_each: float, cell: int) -> tuple[np.nda
                 hi = mid
                 expected = (hi - lo) * rows_each
         starts.append(start)
-        parts.append(max(1, int(np.ceil(expected / cell))) if expected > cell else 1)
+        parts.append(max(1, int(np.ceil(expected / cell))))
     order = np.argsort(np.array(starts, dtype=np.uint64))
     return np.array(starts, dtype=np.uint64)[order], np.array(parts, dtype=np.int64)[order]
 
 
 class Forest:
-    """What the executors need: per vector length the largest norm and the cells of every tree."""
+    """What the executors need: per vector length the largest norm, the budget, and the cells of every tree and
+    how many entries lie before each."""
 
     def __init__(self, trees: int):
-        self.trees, self.norm, self.cells, self._planes = trees, {}, {}, {}
+        self.trees, self.norm, self.budget, self.cells, self.before, self._planes = trees, {}, {}, {}, {}, {}
 
     def planes(self, dim: int) -> np.ndarray:
         if dim not in self._planes:
@@ -93,15 +109,39 @@ class Forest:
     def __getstate__(self):
         return {**self.__dict__, "_planes": {}}
 
-    def place(self, dim: int, x: np.ndarray, ids: np.ndarray, query: bool):
-        """Yield (tree, strings, cell, sub-cell) of the vectors."""
+    def strings(self, dim: int, x: np.ndarray, query: bool) -> np.ndarray:
         square = self.norm[dim] ** 2 - (x.astype(np.float64) ** 2).sum(1)
-        c = codes(x, np.zeros(len(x)) if query else np.sqrt(np.maximum(square, 0.0)), self.planes(dim), self.trees)
+        return codes(x, np.zeros(len(x)) if query else np.sqrt(np.maximum(square, 0.0)), self.planes(dim), self.trees)
+
+    def place(self, dim: int, x: np.ndarray, ids: np.ndarray):
+        """Yield (tree, row, string, cell, sub-cell) of entries, each in one sub-cell of every tree."""
+        c = self.strings(dim, x, False)
         for t in range(self.trees):
             starts, parts = self.cells[dim][t]
             cell = np.searchsorted(starts, c[:, t], side="right") - 1
             salt = K.mix(ids.astype(np.uint64) + K.U64(t * 0x9E3779B9)) % parts[cell].astype(np.uint64)
-            yield t, c[:, t], cell.astype(np.int32), salt.astype(np.int32)
+            yield t, np.arange(len(x)), c[:, t], cell.astype(np.int32), salt.astype(np.int32)
+
+    def seek(self, dim: int, x: np.ndarray, ids: np.ndarray, level):
+        """Yield (tree, row, string, cell, sub-cell) of queries, in a sub-cell of all cells that their prefixes of ``level`` bits meet."""
+        c = self.strings(dim, x, True)
+        for t in range(self.trees):
+            starts, parts = self.cells[dim][t]
+            low, high = prefix_range(c[:, t], level)
+            first = np.searchsorted(starts, low, side="right") - 1
+            width = np.searchsorted(starts, high, side="right") - first
+            row, cell = np.repeat(np.arange(len(x)), width), K.ragged(first, width)
+            salt = K.mix(ids[row].astype(np.uint64) + K.U64(t * 0x9E3779B9)) % parts[cell].astype(np.uint64)
+            yield t, row, c[row, t], cell.astype(np.int32), salt.astype(np.int32)
+
+    def beyond(self, dim: int, tree: int, cell: int, code: np.ndarray) -> np.ndarray:
+        """Entries of the other cells that agree on at least 0, 1, ... BITS bits (cells that lie wholly in the prefix)."""
+        starts, before = self.cells[dim][tree][0], self.before[dim][tree]
+        ends = np.append(starts[1:] - K.U64(1), ~K.U64(0))
+        low, high = prefix_range(code[:, None], np.arange(BITS + 1)[None, :])
+        first, last = np.searchsorted(starts, low, side="left"), np.searchsorted(ends, high, side="right")
+        own = np.where((first <= cell) & (cell < last), before[cell + 1] - before[cell], 0)
+        return np.where(last > first, before[last] - before[first], 0) - own
 
 
 def _vectors(col: pa.Array) -> np.ndarray:
@@ -136,21 +176,21 @@ def packed(embeddings: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min_by("v", "key").alias("v"), F.min("key").alias("key"))
 
 
-def fit(entries: DataFrame, trees: int, cell: int, sample: int = SAMPLE) -> Forest:
-    """Cells from about ``sample`` vectors; norms from all."""
+def fit(entries: DataFrame, trees: int, cell: int, budget: int, k: int, sample: int = SAMPLE) -> Forest:
+    """Cells from about ``sample`` vectors; norms and cell sizes from all; the budget from probes."""
 
     def norms(batches):
         for b in batches:
             for rows, dim in _by_dim(b, 1):
-                x = _vectors(b.column(1).take(pa.array(rows)))
-                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([float(np.sqrt((x * x).sum(1)).max())])], ["dim", "n", "norm"])
+                x, asks = _vectors(b.column(1).take(pa.array(rows))), np.asarray(b.column(2).take(pa.array(rows)))
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([int(asks.sum())], pa.int64()), pa.array([float(np.sqrt((x * x).sum(1)).max())])], ["dim", "n", "asks", "norm"])
 
     forest = Forest(trees)
-    stats = entries.select("rep", "v").mapInArrow(norms, "dim int, n long, norm double").groupBy("dim").agg(F.sum("n").alias("n"), F.max("norm").alias("norm")).collect()  # one row a length
+    stats = entries.select("rep", "v", "asks").mapInArrow(norms, "dim int, n long, asks long, norm double").groupBy("dim").agg(F.sum("n").alias("n"), F.sum("asks").alias("asks"), F.max("norm").alias("norm")).collect()  # one row a length
     total = sum(r["n"] for r in stats)
     share = 1.0 if total <= sample else sample / total
     drawn = entries.where(F.pmod(F.xxhash64("rep", F.lit(41)), F.lit(1 << 30)) < int(share * (1 << 30))).select("rep", "v").toArrow()  # about ``sample`` vectors
-    by_dim = {}
+    by_dim, drawn_codes = {}, {}
     for batch in drawn.to_batches():
         for rows, dim in _by_dim(batch, 1):
             by_dim.setdefault(dim, []).append(_vectors(batch.column(1).take(pa.array(rows))))
@@ -159,23 +199,109 @@ def fit(entries: DataFrame, trees: int, cell: int, sample: int = SAMPLE) -> Fore
         x = np.concatenate(by_dim[dim]).astype(np.float32) if dim in by_dim else np.zeros((0, dim), np.float32)
         square = r["norm"] ** 2 - (x.astype(np.float64) ** 2).sum(1)
         c = np.sort(codes(x, np.sqrt(np.maximum(square, 0.0)), forest.planes(dim), trees), axis=0)
-        forest.cells[dim] = [split_cells(c[:, t], r["n"] / max(len(x), 1), cell) for t in range(trees)]
+        drawn_codes[dim] = c, r["n"] / max(len(x), 1)
+        forest.cells[dim] = [split_cells(c[:, t], drawn_codes[dim][1], cell) for t in range(trees)]
+    sizes, reach = probe(entries, forest, {r["dim"]: r["asks"] for r in stats}, k)
+    for dim, (c, each) in drawn_codes.items():
+        forest.budget[dim] = budget_for(*reach[dim], budget, trees * sum(sizes[dim][0])) if dim in reach else budget
+        wider, forest.before[dim] = max(cell, -(-forest.budget[dim] // trees)), []
+        for t in range(trees):
+            old, forest.cells[dim][t] = forest.cells[dim][t][0], split_cells(c[:, t], each, wider)
+            upto = np.concatenate([[0], np.cumsum(sizes[dim][t])])
+            forest.before[dim].append(np.append(upto[np.searchsorted(old, forest.cells[dim][t][0])], upto[-1]))  # wider cells are unions
     return forest
 
 
-def _descend(key, group):
-    """Per query of a cell, how many entries agree on at least 0, 1, ... BITS bits."""
-    kind = np.asarray(group.column("kind").combine_chunks())
-    code = np.asarray(group.column("code").combine_chunks()).view(np.uint64)
-    entry, ask = np.sort(code[kind == 0]), code[kind == 1]
-    out = np.zeros((len(ask), BITS + 1), np.int32)
-    out[:, 0] = len(entry)
-    for b in range(1, BITS + 1):
-        low = ask >> K.U64(BITS - b) << K.U64(BITS - b)
-        high = low | K.U64((1 << (BITS - b)) - 1)
-        out[:, b] = np.searchsorted(entry, high, side="right") - np.searchsorted(entry, low, side="left")
-    ids = group.column("id").combine_chunks().filter(pa.array(kind == 1))
-    return pa.table({"id": ids, "counts": pa.array([row.tobytes() for row in out], pa.binary())})
+def budget_for(total: np.ndarray, reached: list[np.ndarray], budget: int, most: int) -> int:
+    """The smallest budget that meets ``RECALL`` of the probes' neighbours.
+
+    ``total``: entries by probe and prefix length; ``reached``: the longest prefix shared with each neighbour."""
+    goal = sum(len(r) for r in reached) * RECALL
+    while budget < most:
+        level = np.maximum((total >= budget).sum(1) - 1, 0)  # totals fall with the length
+        if sum(int((r >= b).sum()) for r, b in zip(reached, level)) >= goal:
+            break
+        budget = min(most, int(budget * 1.25) + 1)
+    return budget
+
+
+def probe(entries: DataFrame, forest: Forest, asks: dict[int, int], k: int) -> tuple[dict, dict]:
+    """Cell sizes by length and tree; by length the totals and prefixes that ``budget_for`` takes, of about ``PROBES`` queries."""
+    lot = F.pmod(F.xxhash64("rep", F.lit(43)), F.lit(1 << 30))
+    some = F.lit(False)
+    for dim, n in asks.items():
+        some = some | ((F.octet_length("v") == 8 * dim) & (lot < int(min(1.0, PROBES / max(n, 1)) * (1 << 30))))
+    drawn = entries.where(F.col("asks") == 1).where(some).select("rep", "v").toArrow()  # about PROBES vectors a length
+    probes = {}
+    for batch in drawn.to_batches():
+        for rows, dim in _by_dim(batch, 1):
+            some = pa.array(rows)
+            probes.setdefault(dim, []).append((np.asarray(batch.column(0).take(some)), _vectors(batch.column(1).take(some))))
+    probes = {d: tuple(np.concatenate(x) for x in zip(*parts)) for d, parts in probes.items()}
+    shared = entries.sparkSession.sparkContext.broadcast((forest, probes))
+
+    def run(batches):
+        forest, probes = shared.value
+        size = {d: [np.zeros(len(s), np.int64) for s, _ in cells] for d, cells in forest.cells.items()}
+        code = {d: forest.strings(d, x, True) for d, (_, x) in probes.items()}
+        total = {d: np.zeros((len(x), BITS + 1), np.int64) for d, (_, x) in probes.items()}
+        best = {d: [[] for _ in x] for d, (_, x) in probes.items()}
+        for b in batches:
+            for rows, dim in _by_dim(b, 1):
+                for a in range(0, len(rows), 8192):
+                    part = pa.array(rows[a:a + 8192])
+                    x, ids = _vectors(b.column(1).take(part)), np.asarray(b.column(0).take(part))
+                    c = forest.strings(dim, x, False)
+                    for t in range(forest.trees):
+                        starts = forest.cells[dim][t][0]
+                        size[dim][t] += np.bincount(np.searchsorted(starts, c[:, t], side="right") - 1, minlength=len(starts))
+                        if dim in probes:
+                            low, high = prefix_range(code[dim][:, t, None], np.arange(BITS + 1)[None, :])
+                            line = np.sort(c[:, t])
+                            total[dim] += np.searchsorted(line, high, side="right") - np.searchsorted(line, low, side="left")
+                    for q, s in enumerate(probes[dim][1] @ x.T if dim in probes else []):
+                        top = np.argpartition(-s, min(k, len(s) - 1))[:k + 1]
+                        away = (c[top] ^ code[dim][q]).min(1)  # of the tree that agrees on most bits
+                        now = best[dim][q] + [(-float(s[i]), int(ids[i]), BITS - int(w).bit_length()) for i, w in zip(top, away)]
+                        best[dim][q] = sorted(now)[:k + 1]
+        out = [(d, 0, t, c, int(n), 0.0) for d, by in size.items() for t, x in enumerate(by) for c, n in enumerate(x) if n]
+        out += [(d, 1, q, b, int(n), 0.0) for d, x in total.items() for q, by in enumerate(x) for b, n in enumerate(by) if n]
+        out += [(d, 2, q, b, i, s) for d, by in best.items() for q, x in enumerate(by) for s, i, b in x]
+        if out:
+            kinds = [pa.int32()] * 4 + [pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["dim", "what", "a", "b", "n", "minus"])
+
+    seen = written(entries.select("rep", "v").mapInArrow(run, "dim int, what int, a int, b int, n long, minus double"), "ann-probes")
+    size = {d: [np.zeros(len(s), np.int64) for s, _ in cells] for d, cells in forest.cells.items()}
+    total = {d: np.zeros((len(x), BITS + 1), np.int64) for d, (_, x) in probes.items()}
+    reached = {d: [np.zeros(0, np.int64)] * len(x) for d, (_, x) in probes.items()}
+    for r in seen.where("what < 2").groupBy("dim", "what", "a", "b").agg(F.sum("n").alias("n")).collect():  # one row a cell, PROBES x BITS more
+        if r["what"]:
+            total[r["dim"]][r["a"], r["b"]] = r["n"]
+        else:
+            size[r["dim"]][r["a"]][r["b"]] = r["n"]
+    near = F.slice(F.array_sort(F.collect_list(F.struct("minus", "n", "b"))), 1, k + 1)
+    for r in seen.where("what = 2").groupBy("dim", "a").agg(near.alias("near")).collect():
+        own = probes[r["dim"]][0][r["a"]]
+        reached[r["dim"]][r["a"]] = np.array([x["b"] for x in r["near"] if x["n"] != own][:k], np.int64)
+    return size, {d: (total[d], reached[d]) for d in probes}
+
+
+def _descend(shared):
+    def run(key, group):
+        """Per query of a cell, how many entries agree on at least 0, 1, ... BITS bits; the other cells are added."""
+        dim, tree, cell, salt = (x.as_py() for x in key)
+        kind = np.asarray(group.column("kind").combine_chunks())
+        code = np.asarray(group.column("code").combine_chunks()).view(np.uint64)
+        entry, ask = np.sort(code[kind == 0]), code[kind == 1]
+        low, high = prefix_range(ask[:, None], np.arange(BITS + 1)[None, :])
+        out = (np.searchsorted(entry, high, side="right") - np.searchsorted(entry, low, side="left")).astype(np.int64)
+        if len(ask):
+            out += shared.value.beyond(dim, tree, cell, ask)
+        ids = group.column("id").combine_chunks().filter(pa.array(kind == 1))
+        return pa.table({"id": ids, "dim": pa.array(np.full(len(ask), dim, np.int32)), "counts": pa.array([row.tobytes() for row in out], pa.binary())})
+
+    return run
 
 
 def _score(best: int):
@@ -190,12 +316,7 @@ def _score(best: int):
         e = np.flatnonzero(kind == 0)
         e = e[np.argsort(code[e], kind="stable")]
         q = np.flatnonzero(kind == 1)
-        level = np.asarray(group.column("level").combine_chunks())[q].astype(np.uint64)
-        away = np.minimum(K.U64(BITS) - level, K.U64(BITS - 1))
-        low = np.where(level == 0, K.U64(0), code[q] >> away << away)
-        high = np.where(level == 0, ~K.U64(0), low | ((K.U64(1) << away) - K.U64(1)))
-        high = np.where(level == BITS, code[q], high)
-        low = np.where(level == BITS, code[q], low)
+        low, high = prefix_range(code[q], np.asarray(group.column("level").combine_chunks())[q])
         lo, hi = np.searchsorted(code[e], low, side="left"), np.searchsorted(code[e], high, side="right")
         who, cand, score = [], [], []
         at = np.arange(len(e))
@@ -225,7 +346,7 @@ def nearest(embeddings: DataFrame, is_query, k: int = 20, id_col: str = "vec_id"
     vectors = written(packed(embeddings, id_col, vec_col), "ann-vectors")
     groups = vectors.groupBy("key").agg(F.min("vec_id").alias("rep"), F.max(is_query(F.col("vec_id")).cast("int")).alias("asks"), F.count(F.lit(1)).alias("n"))
     entries = written(groups.join(vectors.select(F.col("vec_id").alias("rep"), "v"), "rep").select("rep", "v", "key", "asks", "n"), "ann-entries")
-    shared = spark.sparkContext.broadcast(fit(entries, trees, cell))
+    shared = spark.sparkContext.broadcast(fit(entries, trees, cell, budget, k))
 
     def planted(query: bool, heavy: bool):
         names = ["dim", "tree", "cell", "salt", "kind", "id", "code"] + (["level", "v"] if heavy else [])
@@ -237,12 +358,14 @@ def nearest(embeddings: DataFrame, is_query, k: int = 20, id_col: str = "vec_id"
                     for a in range(0, len(rows), 1024):
                         some = pa.array(rows[a:a + 1024])
                         x, ids = _vectors(b.column(1).take(some)), np.asarray(b.column(0).take(some))
-                        n = len(ids)
                         raw = pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary()) if heavy else None
-                        level = (b.column(2).take(some) if query else pa.array(np.zeros(n, np.int32))) if heavy else None
-                        for t, code, c, salt in forest.place(dim, x, ids, query):
-                            cols = [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(c), pa.array(salt), pa.array(np.full(n, int(query), np.int32)), pa.array(ids), pa.array(K.signed(code))]
-                            yield pa.RecordBatch.from_arrays(cols + ([level, raw] if heavy else []), names)
+                        level = np.asarray(b.column(2).take(some)) if query and heavy else np.full(len(ids), BITS if query else 0, np.int32)
+                        for t, all_rows, all_code, all_c, all_salt in forest.seek(dim, x, ids, level) if query else forest.place(dim, x, ids):
+                            for z in range(0, len(all_rows), 8192):  # a query may go to many cells
+                                row, code, c, salt = (y[z:z + 8192] for y in (all_rows, all_code, all_c, all_salt))
+                                n = len(row)
+                                cols = [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(c), pa.array(salt), pa.array(np.full(n, int(query), np.int32)), pa.array(ids[row]), pa.array(K.signed(code))]
+                                yield pa.RecordBatch.from_arrays(cols + ([pa.array(level[row]), raw.take(pa.array(row))] if heavy else []), names)
 
         return run
 
@@ -251,14 +374,14 @@ def nearest(embeddings: DataFrame, is_query, k: int = 20, id_col: str = "vec_id"
     cell_of = ["dim", "tree", "cell", "salt"]
     asks = entries.where("asks = 1").select("rep", "v")
     strings = entries.select("rep", "v").mapInArrow(planted(False, False), light).unionByName(asks.mapInArrow(planted(True, False), light))
-    counts = strings.groupBy(*cell_of).applyInArrow(_descend, "id long, counts binary").groupBy("id").agg(F.collect_list("counts").alias("counts"))
+    counts = strings.groupBy(*cell_of).applyInArrow(_descend(shared), "id long, dim int, counts binary").groupBy("id", "dim").agg(F.collect_list("counts").alias("counts"))
 
     def ascend(batches):
         for b in batches:
             level = []
-            for lists in b.column(1).to_pylist():  # one short list a tree
-                total = np.sum([np.frombuffer(c, np.int32) for c in lists], axis=0, dtype=np.int64)
-                enough = np.flatnonzero(total >= budget)
+            for dim, lists in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):  # one short list a tree and sub-cell
+                total = np.sum([np.frombuffer(c, np.int64) for c in lists], axis=0)
+                enough = np.flatnonzero(total >= shared.value.budget[dim])
                 level.append(int(enough[-1]) if len(enough) else 0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(level, pa.int32())], ["rep", "level"])
 

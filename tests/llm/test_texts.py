@@ -178,3 +178,17 @@ def test_pipeline_decisions_take_effect(spark):
     packed = corpus_pipeline.run(spark, SF)
     assert packed.select("doc_id").distinct().count() == now.select("doc_id").distinct().count()
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def _recall(spark, x, queries, **options):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann_forest.nearest(df, lambda i: i.isin(queries), **options).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = {q: [i for i in np.argsort(-(x @ x[q]), kind="stable") if i != q][:20] for q in queries}
+    return np.mean([len(got[q] & set(want[q])) / 20 for q in queries])
+
+
+def test_the_ascent_goes_past_the_cell(spark):
+    x = np.random.default_rng(8).standard_normal((3000, 32))
+    assert _recall(spark, x, list(range(0, 3000, 60)), trees=4, cell=50, budget=100) >= 0.9  # 4 x 50 entries see few neighbours
