@@ -18,8 +18,8 @@
    original vectors.
 
 Equal vectors are one entry; the ``k + 1`` smallest ids of each stand for it, which no answer can exceed.
-Near-equal vectors that no prefix tells apart are dealt over sub-cells of ``cell`` size, differently in each
-tree, and a query of theirs sees one sub-cell a tree.  Work is queries x budget, memory one cell.
+Near-equal vectors that no prefix tells apart are dealt over sub-cells of ``SUB`` cells' size; a query goes to all
+of them.  Work is queries x budget (more for near-equal vectors), memory one cell or sub-cell.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and null ids, take
 no part; of rows with one id the vector with the smallest digest counts; vectors meet only those of
@@ -44,6 +44,8 @@ BUDGET = 32_768
 #: share of the probes' true neighbours that the budget must reach, and about how many queries are probes
 RECALL = 0.95
 PROBES = 128
+#: cells' sizes to a sub-cell of vectors that no bit tells apart
+SUB = 16
 SAMPLE = 20_000
 #: candidates kept beyond k before the exact scores
 SPARE = 16
@@ -89,7 +91,7 @@ def split_cells(sample: np.ndarray, rows_each: float, cell: int) -> tuple[np.nda
                 hi = mid
                 expected = (hi - lo) * rows_each
         starts.append(start)
-        parts.append(max(1, int(np.ceil(expected / cell))))
+        parts.append(max(1, int(np.ceil(expected / (SUB * cell)))))
     order = np.argsort(np.array(starts, dtype=np.uint64))
     return np.array(starts, dtype=np.uint64)[order], np.array(parts, dtype=np.int64)[order]
 
@@ -122,8 +124,8 @@ class Forest:
             salt = K.mix(ids.astype(np.uint64) + K.U64(t * 0x9E3779B9)) % parts[cell].astype(np.uint64)
             yield t, np.arange(len(x)), c[:, t], cell.astype(np.int32), salt.astype(np.int32)
 
-    def seek(self, dim: int, x: np.ndarray, ids: np.ndarray, level):
-        """Yield (tree, row, string, cell, sub-cell) of queries, in a sub-cell of all cells that their prefixes of ``level`` bits meet."""
+    def seek(self, dim: int, x: np.ndarray, level):
+        """Yield (tree, row, string, cell, sub-cell) of queries, in all sub-cells that their prefixes of ``level`` bits meet."""
         c = self.strings(dim, x, True)
         for t in range(self.trees):
             starts, parts = self.cells[dim][t]
@@ -131,7 +133,8 @@ class Forest:
             first = np.searchsorted(starts, low, side="right") - 1
             width = np.searchsorted(starts, high, side="right") - first
             row, cell = np.repeat(np.arange(len(x)), width), K.ragged(first, width)
-            salt = K.mix(ids[row].astype(np.uint64) + K.U64(t * 0x9E3779B9)) % parts[cell].astype(np.uint64)
+            n = parts[cell]
+            row, cell, salt = np.repeat(row, n), np.repeat(cell, n), K.ragged(np.zeros(len(n), np.int64), n)
             yield t, row, c[row, t], cell.astype(np.int32), salt.astype(np.int32)
 
     def beyond(self, dim: int, tree: int, cell: int, code: np.ndarray) -> np.ndarray:
@@ -289,14 +292,14 @@ def probe(entries: DataFrame, forest: Forest, asks: dict[int, int], k: int) -> t
 
 def _descend(shared):
     def run(key, group):
-        """Per query of a cell, how many entries agree on at least 0, 1, ... BITS bits; the other cells are added."""
+        """Per query of a cell, how many entries agree on at least 0, 1, ... BITS bits; the first sub-cell adds the other cells."""
         dim, tree, cell, salt = (x.as_py() for x in key)
         kind = np.asarray(group.column("kind").combine_chunks())
         code = np.asarray(group.column("code").combine_chunks()).view(np.uint64)
         entry, ask = np.sort(code[kind == 0]), code[kind == 1]
         low, high = prefix_range(ask[:, None], np.arange(BITS + 1)[None, :])
         out = (np.searchsorted(entry, high, side="right") - np.searchsorted(entry, low, side="left")).astype(np.int64)
-        if len(ask):
+        if not salt:
             out += shared.value.beyond(dim, tree, cell, ask)
         ids = group.column("id").combine_chunks().filter(pa.array(kind == 1))
         return pa.table({"id": ids, "dim": pa.array(np.full(len(ask), dim, np.int32)), "counts": pa.array([row.tobytes() for row in out], pa.binary())})
@@ -360,7 +363,7 @@ def nearest(embeddings: DataFrame, is_query, k: int = 20, id_col: str = "vec_id"
                         x, ids = _vectors(b.column(1).take(some)), np.asarray(b.column(0).take(some))
                         raw = pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary()) if heavy else None
                         level = np.asarray(b.column(2).take(some)) if query and heavy else np.full(len(ids), BITS if query else 0, np.int32)
-                        for t, all_rows, all_code, all_c, all_salt in forest.seek(dim, x, ids, level) if query else forest.place(dim, x, ids):
+                        for t, all_rows, all_code, all_c, all_salt in forest.seek(dim, x, level) if query else forest.place(dim, x, ids):
                             for z in range(0, len(all_rows), 8192):  # a query may go to many cells
                                 row, code, c, salt = (y[z:z + 8192] for y in (all_rows, all_code, all_c, all_salt))
                                 n = len(row)

@@ -192,3 +192,9 @@ def _recall(spark, x, queries, **options):
 def test_the_ascent_goes_past_the_cell(spark):
     x = np.random.default_rng(8).standard_normal((3000, 32))
     assert _recall(spark, x, list(range(0, 3000, 60)), trees=4, cell=50, budget=100) >= 0.9  # 4 x 50 entries see few neighbours
+
+
+def test_a_query_sees_all_its_near_copies(spark):
+    r = np.random.default_rng(9)
+    x = np.concatenate([r.standard_normal(16) + 1e-5 * r.standard_normal((1500, 16)), r.standard_normal((500, 16))])
+    assert _recall(spark, x, list(range(0, 1500, 30)), trees=3, cell=5, budget=100) >= 0.95  # hardly a sign tells them apart
