@@ -1,12 +1,13 @@
 """Main text of HTML pages by the distribution of text over line blocks.
 
 The markup is stripped to lines: every block-level element begins a new line, inline elements
-do not.  Text inside boilerplate elements (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments) counts as empty, so these lines weigh nothing.  The
-weight of a line block is the text length of ``WINDOW`` consecutive lines.  The text surges where
-a block first weighs something and dives where a whole block is empty again; the region with the
-most text is the article.  Where the page names its article (``article`` or ``main``), its lines are
-joined with no gap between them and nothing outside competes, so short paragraphs stay whole.
+do not, and markup alone makes no line.  Boilerplate elements (menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles, reader comments) leave one empty line.  A line weighs its text; links
+weigh nothing unless the line is as long as a sentence (``SENTENCE``) or lies inside ``article`` or ``main``.  The
+weight of a line block is that of ``WINDOW`` consecutive lines.  The text surges where a block first weighs
+something and dives where a whole block weighs nothing; the text between each surge and its dive is
+kept, and what dives (lists of links) is left out.  A page on which nothing surges keeps its lines.
+Where the page names its article (``article`` or ``main``), nothing outside competes.
 
 One pass over each page, no shuffle.  Edge cases: a null or empty page gives an empty text;
 unclosed elements end with their parent or the page; repeated rows are extracted each; other
@@ -26,6 +27,8 @@ from protolens.llm.common import prepare
 
 #: consecutive lines of a block
 WINDOW = 3
+#: characters from which a line of links counts as text
+SENTENCE = 80
 TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>")
 #: comments, declarations, and elements whose content is not markup
 OPAQUE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style|template|noscript|textarea|svg|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
@@ -48,22 +51,34 @@ def _boilerplate(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, bool]]:
-    """(text, inside an article element) of every line; boilerplate gives empty lines."""
+def _clean(words: list[str]) -> str:
+    return BLANK.sub(" ", html.unescape("".join(words))).strip()
+
+
+def lines_of(page: str) -> list[tuple[str, int, bool]]:
+    """(text, weight, inside an article element) of every line with text, and an empty one for each boilerplate element."""
     page = OPAQUE.sub(" ", page)
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[str, int, bool]] = []
     words: list[str] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, boilerplate from here, article from here
-    off, inside, at = False, False, 0
+    plain: list[str] = []  # the words outside links
+    open_: list[tuple[str, bool, bool, bool]] = []  # name; boilerplate, article, link from here
+    off, inside, link, at = False, False, False, 0
 
     def end_line() -> None:
-        text = BLANK.sub(" ", html.unescape("".join(words))).strip()
-        out.append((text, inside))
+        text = _clean(words)
+        if text:
+            out.append((text, len(text) if inside or len(text) >= SENTENCE else len(_clean(plain)), inside))
         words.clear()
+        plain.clear()
+
+    def add(text: str) -> None:
+        words.append(text)
+        if not link:
+            plain.append(text)
 
     for m in TAG.finditer(page):
         if not off and m.start() > at:
-            words.append(page[at:m.start()])
+            add(page[at:m.start()])
         at = m.end()
         name = m[2].lower()
         if name == "br":
@@ -74,25 +89,29 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         if m[1]:
             if any(o[0] == name for o in open_):
                 while open_:
-                    gone, off, inside = open_.pop()
+                    gone, off, inside, link = open_.pop()
                     if gone == name:
                         break
         elif name not in VOID and not m[3].rstrip().endswith("/"):
             if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and open_ and open_[-1][0] == name:
-                _, off, inside = open_.pop()  # these end where the next begins
+                _, off, inside, link = open_.pop()  # these end where the next begins
             if len(open_) < 10_000:
-                open_.append((name, off, inside))
-            off = off or _boilerplate(name, m[3], inside)
+                open_.append((name, off, inside, link))
+            if not off and _boilerplate(name, m[3], inside):
+                off = True
+                if name in BLOCK:
+                    out.append(("", 0, inside))
             inside = inside or name in MAIN
+            link = link or name == "a" and "href" in m[3].lower()
     if not off:
-        words.append(page[at:])
+        add(page[at:])
     end_line()
     return out
 
 
-def region(weights: list[int], window: int = WINDOW) -> tuple[int, int]:
-    """First and last line (exclusive) between the surge and the dive that hold the most text."""
-    best, at, n = (0, 0, 0), 0, len(weights)
+def regions(weights: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """(weight, first line, last line (exclusive)) of the text between each surge and its dive."""
+    out, at, n = [], 0, len(weights)
     while at < n:
         if not weights[at]:
             at += 1
@@ -102,22 +121,24 @@ def region(weights: list[int], window: int = WINDOW) -> tuple[int, int]:
             if weights[at]:
                 last, total = at, total + weights[at]
             at += 1
-        if total > best[0]:
-            best = (total, begin, last + 1)
+        out.append((total, begin, last + 1))
         at = max(at, last + 1)
-    return best[1], best[2]
+    return out
+
+
+def region(weights: list[int], window: int = WINDOW) -> tuple[int, int]:
+    """First and last line (exclusive) between the surge and the dive that hold the most text."""
+    return max(regions(weights, window), key=lambda r: r[0], default=(0, 0, 0))[1:]
 
 
 def main_text(page: str | None, window: int = WINDOW) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    if any(inside and text for text, inside in lines):
-        kept = [text for text, inside in lines if inside and text]
-    else:
-        a, b = region([len(text) for text, _ in lines], window)
-        kept = [text for text, _ in lines[a:b] if text]
-    return "\n\n".join(kept)
+    if any(inside and text for text, _, inside in lines):
+        lines = [line for line in lines if line[2]]
+    parts = regions([weight for _, weight, _ in lines], window) or [(0, 0, len(lines))]
+    return "\n\n".join(text for _, a, b in parts for text, _, _ in lines[a:b] if text)
 
 
 def extract(pages: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -67,6 +67,16 @@ def test_surge_and_dive():
     assert html_extract.region([]) == (0, 0) and html_extract.region([0, 0]) == (0, 0)
 
 
+def test_articles_without_an_article_element_stay_whole():
+    wrapped = "".join(f"<section><div><div><p>Part {i}.</p></div></div></section>" for i in range(4))
+    table = "<table><tbody><tr><td>1</td><td>two</td></tr></tbody></table>"
+    advert = "<div class='advert'><div><div><p>Buy</p></div></div></div>"
+    links = "<div><ul>" + "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(6)) + "</ul></div>"
+    page = f"<body>{links}<div><h1>Head</h1></div>{wrapped}{advert}<div><div><p>After.</p></div></div>{table}{links}<div><div><p>The end.</p></div></div>{links}</body>"
+    assert html_extract.main_text(page).split("\n\n") == ["Head", "Part 0.", "Part 1.", "Part 2.", "Part 3.", "After.", "1", "two", "The end."]
+    assert html_extract.main_text(links).count("Link") == 6
+
+
 def test_languages_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
