@@ -7,7 +7,6 @@ weigh nothing unless the line is as long as a sentence (``SENTENCE``) or lies in
 weight of a line block is that of ``WINDOW`` consecutive lines.  The text surges where a block first weighs
 something and dives where a whole block weighs nothing; the text between each surge and its dive is
 kept, and what dives (lists of links) is left out.  A page on which nothing surges keeps its lines.
-Where the page names its article (``article`` or ``main``), nothing outside competes.
 
 One pass over each page, no shuffle.  Edge cases: a null or empty page gives an empty text;
 unclosed elements end with their parent or the page; repeated rows are extracted each; other
@@ -55,10 +54,10 @@ def _clean(words: list[str]) -> str:
     return BLANK.sub(" ", html.unescape("".join(words))).strip()
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, inside an article element) of every line with text, and an empty one for each boilerplate element."""
+def lines_of(page: str) -> list[tuple[str, int]]:
+    """(text, weight) of every line with text, and an empty one for each boilerplate element."""
     page = OPAQUE.sub(" ", page)
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int]] = []
     words: list[str] = []
     plain: list[str] = []  # the words outside links
     open_: list[tuple[str, bool, bool, bool]] = []  # name; boilerplate, article, link from here
@@ -67,7 +66,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     def end_line() -> None:
         text = _clean(words)
         if text:
-            out.append((text, len(text) if inside or len(text) >= SENTENCE else len(_clean(plain)), inside))
+            out.append((text, len(text) if inside or len(text) >= SENTENCE else len(_clean(plain))))
         words.clear()
         plain.clear()
 
@@ -100,7 +99,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             if not off and _boilerplate(name, m[3], inside):
                 off = True
                 if name in BLOCK:
-                    out.append(("", 0, inside))
+                    out.append(("", 0))
             inside = inside or name in MAIN
             link = link or name == "a" and "href" in m[3].lower()
     if not off:
@@ -135,10 +134,8 @@ def main_text(page: str | None, window: int = WINDOW) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    if any(inside and text for text, _, inside in lines):
-        lines = [line for line in lines if line[2]]
-    parts = regions([weight for _, weight, _ in lines], window) or [(0, 0, len(lines))]
-    return "\n\n".join(text for _, a, b in parts for text, _, _ in lines[a:b] if text)
+    parts = regions([weight for _, weight in lines], window) or [(0, 0, len(lines))]
+    return "\n\n".join(text for _, a, b in parts for text, _ in lines[a:b] if text)
 
 
 def extract(pages: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -77,6 +77,11 @@ def test_articles_without_an_article_element_stay_whole():
     assert html_extract.main_text(links).count("Link") == 6
 
 
+def test_line_blocks_decide_on_pages_that_name_their_article():
+    page = "<div><p>Outside the tag.</p></div><article><p>Inside.</p><ul>" + "<li><a href='/'>Link</a></li>" * 5 + "</ul></article><div><p>Outside too.</p></div>"
+    assert html_extract.main_text(page).split("\n\n") == ["Outside the tag.", "Inside."] + ["Link"] * 5 + ["Outside too."]
+
+
 def test_languages_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
