@@ -1,11 +1,12 @@
 """Secret scan: fixed patterns plus dictionary-primed zstandard novelty.
 
 Base spans come from three patterns (``assign``, ``access``, ``hex``).  On top, every other
-long run of key characters that stands near a sensitive word is weighed by its marginal
-compressed size: bytes of (context + candidate) minus bytes of (context), both compressed
+maximal run of key characters that stands near a sensitive word, or follows or precedes such a run
+on an adjacent line (a key block), is weighed by its marginal compressed size: bytes of (context + candidate) minus bytes of (context), both compressed
 with a dictionary primed with the corpus' own identifiers.  Names that code repeats cost
 almost nothing; a string that neither its surroundings nor the identifiers explain costs
-nearly its entropy and is reported as ``novel``.
+nearly its entropy and is reported as ``novel``: the parts of it that no base span covers, and a shorter last
+line below it.  What stands before an ``assign`` span in its run is the name's beginning and weighed on its own.
 
 The identifier dictionary is counted over the surroundings of all candidates and base spans
 of all documents; the ``DICTIONARY_WORDS`` most frequent are kept, so what reaches the driver
@@ -35,7 +36,11 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN_MIN, ACCESS_MIN = 6, 20
 
 SENSITIVE = ("passw", "secret", "token", "api_key", "apikey", "access_key", "accesskey", "credential", "bearer", "private", "signature", "auth")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,512}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: between the lines of a key block (also as escapes or quoted strings), and a short last line below a line of ``WRAP`` or more
+ADJACENT = re.compile(r"""\\+|[\x20\t]*(?:\\[rn])*["']?[\x20\t]*[+,\\]?[\x20\t]*\r?\n[\x20\t]*[>#*"']*[\x20\t]*""")
+TAIL = re.compile(r"[\x20\t]*\r?\n[\x20\t]*([A-Za-z0-9+/_=-]{1,15})(?=[\x20\t]*(?:\r?\n|\Z))")
+WRAP = 40
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,31}")
 NEAR = 64  # code points of context on each side
 DICTIONARY_WORDS = 2048
@@ -59,24 +64,68 @@ def _mentions(text: str) -> bool:
     return any(w in low for w in ("passw", "secret", "token", "api"))
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of key characters with letters and digits, near a sensitive word, that no base span touches."""
+def _mixed(run: str) -> bool:
+    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+
+
+def _uncovered(a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, kind number of the base span at the end or -1) of the parts of a run outside ``base``, in order."""
+    out = []
+    for s, kind, e in base:
+        if a < s < b:
+            out.append((a, s, kind))
+        a = max(a, e)
+    return out + [(a, b, -1)] if a < b else out
+
+
+def _assigned(block: list[tuple[int, int]], base: list[tuple[int, int, int]], k: int) -> bool:
+    """Whether an ``assign`` span from number ``k`` on covers the beginning of a block of several lines."""
+    while len(block) > 1 and k < len(base) and base[k][0] < block[0][1]:
+        if base[k][1] == 0:
+            return True
+        k += 1
+    return False
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """(start, end, parts to report) of the runs with letters and digits near a sensitive word, or in a block with such a run."""
     low = text.lower()
     if not any(w in low for w in SENSITIVE):
         return []
-    out, k = [], 0
+    blocks: list[list[tuple[int, int]]] = []
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        own = m[0]
-        if not any(c.isdigit() for c in own) or not any(c.isalpha() for c in own):
+        if blocks and m.start() - blocks[-1][-1][1] <= NEAR and ADJACENT.fullmatch(text, blocks[-1][-1][1], m.start()):
+            blocks[-1].append(m.span())
+        else:
+            blocks.append([m.span()])
+    out, k = [], 0
+    for block in blocks:
+        mixed = [_mixed(text[a:b]) for a, b in block]
+        if not any(mixed):
             continue
-        while k < len(base) and base[k][2] <= a:
+        while k < len(base) and base[k][2] <= block[0][0]:
             k += 1
-        if any(s < b and e > a for s, _, e in base[k:k + 4]):
+        if not _assigned(block, base, k) and not any(w in (text[max(0, a - NEAR):a] + "\n" + text[b:b + NEAR // 2]).lower() for (a, b), yes in zip(block, mixed) if yes for w in SENSITIVE):
             continue
-        around = (text[max(0, a - NEAR):a] + "\n" + text[b:b + NEAR // 2]).lower()
-        if any(w in around for w in SENSITIVE):
-            out.append((a, b))
+        for (a, b), yes in zip(block, mixed):
+            if not yes and (len(block) == 1 or b - a < WRAP):
+                continue
+            tail = TAIL.match(text, b) if b - a >= WRAP and (a, b) == block[-1] else None
+            end = tail.end(1) if tail else b
+            while k < len(base) and base[k][2] <= a:
+                k += 1
+            over, n = [], k
+            while n < len(base) and base[n][0] < end:
+                over.append(base[n])
+                n += 1
+            parts = []
+            for s, e, kind in _uncovered(a, b, over):
+                if kind:
+                    parts.append((s, e))
+                elif e - s >= 16 and _mixed(text[s:e]):  # before the sensitive word of an assignment
+                    out.append((s, e, [(s, e)]))
+            if parts:
+                out.append((a, b, parts + [(s, e) for s, e, _ in (_uncovered(*tail.span(1), over) if tail else [])]))
     return out
 
 
@@ -94,7 +143,7 @@ def identifier_dictionary(docs: DataFrame, size: int = DICTIONARY_WORDS) -> byte
                 if not text:
                     continue
                 base = base_spans(text)
-                for a, b in [(s, e) for s, _, e in base] + candidates(text, base):
+                for a, b in [(s, e) for s, _, e in base] + [(a, b) for a, b, _ in candidates(text, base)]:
                     seen.update(IDENTIFIER.findall(_around(text, a, b)))
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
@@ -123,7 +172,7 @@ class Novelty:
 def all_spans(text: str | None, novelty: Novelty, threshold: float = NOVELTY) -> list[tuple[int, int, int]]:
     text = text or ""
     base = base_spans(text)
-    more = [(a, 3, b) for a, b in candidates(text, base) if novelty.per_char(text, a, b) >= threshold]
+    more = [(s, 3, e) for a, b, parts in candidates(text, base) if novelty.per_char(text, a, b) >= threshold for s, e in parts]
     return sorted(base + more) if more else base
 
 

@@ -39,6 +39,23 @@ def test_base_spans_and_novelty(spark):
     assert secret_scan.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_long_keys_and_key_blocks_are_found_whole():
+    import string
+
+    r, novelty = random.Random(6), secret_scan.Novelty(b"")
+    key = lambda n: "".join(r.choice(string.ascii_letters + string.digits + "+/") for _ in range(n))
+    mask = lambda t: secret_scan.masked(t, secret_scan.all_spans(t, novelty), "#")
+    assert mask(f"Bearer {key(2000)} end") == "Bearer # end"
+    lines = [key(64) for _ in range(12)] + ["QmFzZQ=="]
+    for gap in ("\n", "\r\n", "\n    "):
+        out = mask("-----BEGIN RSA PRIVATE KEY-----" + gap + gap.join(lines) + gap + "-----END RSA PRIVATE KEY-----")
+        assert not any(x in out for x in lines) and out.endswith("-----END RSA PRIVATE KEY-----")
+    assert not any(x in mask("api_key=" + "\n".join(lines[:4])) for x in lines[:4])
+    a, b, other = "Gz" + key(30) + "Y", "Z" + key(30) + "q7", "plain_name_of_no_key"
+    assert mask(f"private {a}{'0123456789abcdef' * 2}{b} {other}") == f"private ### {other}"
+    assert mask("my_password=hunter22hunter22") == "my_#"
+
+
 def test_redaction_masks_spans_and_keeps_rows(spark):
     df = spark.createDataFrame([(1, 'a token = "abcdef0123456789abcdef0123456789" b', 46), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secret_scan.redact(df, length_col="n_chars").collect()}
