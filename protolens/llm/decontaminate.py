@@ -1,7 +1,9 @@
 """Benchmark decontamination by greedy string tiling.
 
-Tokens are runs of letters, digits and bytes over 127, A-Z lower-cased.  A document and a benchmark
-item are a candidate pair when they share a seed of ``LEAST`` consecutive tokens; the seeds they share
+Tokens are runs of letters, digits and bytes over 127, A-Z lower-cased; in scripts written without spaces
+(``UNSPACED``) every character is a token, and their punctuation (``BETWEEN``) is none.  A document and a benchmark
+item are a candidate pair when they share a seed of ``LEAST`` consecutive tokens, or of all tokens of an item
+that has fewer; the seeds they share
 bound what tiling can cover, and pairs whose bound is under the threshold go no further.  For the rest
 tiling repeatedly marks the longest matches of unmarked tokens, ``LEAST`` tokens or more, until none is
 left (running Karp-Rabin: hashes of ``LEAST`` tokens find where matches may run).  Marked tokens never
@@ -12,8 +14,8 @@ The benchmark goes to the executors in blocks of ``BLOCK_BYTES`` of text; each b
 documents, which are neither shuffled nor cut.  A larger benchmark means more passes, never a larger
 broadcast.
 
-Edge cases: null or empty texts hold nothing; items of fewer than ``LEAST`` tokens cannot be told from
-chance and are left out; equal items are reported each; repeated rows are tested each; other columns
+Edge cases: null or empty texts and items without a token hold nothing; an item of fewer than ``LEAST`` tokens
+leaks where all of it stands in a row; equal items are reported each; repeated rows are tested each; other columns
 are passed over.
 """
 
@@ -36,10 +38,38 @@ BLOCK_BYTES = 16 << 20
 _BITS = 22
 
 
+#: code points of scripts without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, kana, ideographs and their extensions
+UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF),
+            (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
+#: ideographic and full-width punctuation
+BETWEEN = ((0x3000, 0x3004), (0x3008, 0x303F), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+_ONE, _NONE = 1, 2
+_KIND = np.zeros(0x40000, np.uint8)
+for _kind, _ranges in ((_ONE, UNSPACED), (_NONE, BETWEEN)):
+    for _a, _b in _ranges:
+        _KIND[_a:_b + 1] = _kind
+
+
 def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = K.LOWER[buf]
-    s, e, first = K.spans(low, offs, WORD)
-    return K.hash_spans(low, s, e, seed=3), first
+    at = np.flatnonzero(low >= 0xE0)  # first bytes of three or four
+    at = at[at + 2 + (low[at] >= 0xF0) < len(low)]
+    wide = low[at] >= 0xF0
+    byte = [low[np.minimum(at + k, len(low) - 1)].astype(np.int64) & 0x3F for k in range(4)]
+    code = np.where(wide, (byte[0] & 7) << 18 | byte[1] << 12 | byte[2] << 6 | byte[3], (byte[0] & 15) << 12 | byte[1] << 6 | byte[2])
+    kind = _KIND[np.minimum(code, len(_KIND) - 1)] * (code < len(_KIND))
+    if not kind.any():
+        s, e, first = K.spans(low, offs, WORD)
+        return K.hash_spans(low, s, e, seed=3), first
+    words, width = low.copy(), 3 + wide
+    for k in range(4):
+        words[at[(kind > 0) & (width > k)] + k] = 0x20
+    s, e, _ = K.spans(words, offs, WORD)
+    one = kind == _ONE
+    s, e = np.concatenate([s, at[one]]), np.concatenate([e, at[one] + width[one]])
+    order = np.argsort(s, kind="stable")
+    s, e = s[order], e[order]
+    return K.hash_spans(low, s, e, seed=3), np.searchsorted(s, offs)
 
 
 def tile(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
@@ -74,15 +104,36 @@ def tile(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> list[tuple[int, in
 
 
 class Items:
-    """A block of benchmark items: token hashes, and the sorted seeds with their places."""
+    """A block of benchmark items, those of ``least`` tokens or more together, shorter ones by their length."""
 
     def __init__(self, ids: list, text: list[str | None], least: int):
         buf, offs = K.string_buffers(pa.array([t or "" for t in text], pa.large_string()))
         tok, first = tokens(buf, offs)
-        self.least = least
-        keep = [k for k in range(len(ids)) if first[k + 1] - first[k] >= least]
+        keep = [k for k in range(len(ids)) if first[k + 1] > first[k]]
         self.ids = [ids[k] for k in keep]
-        self.tokens = [tok[first[k]:first[k + 1]] for k in keep]
+        items = [tok[first[k]:first[k + 1]] for k in keep]
+        size = [min(len(t), least) for t in items]
+        self.seeds = [Seeds([i for i, x in enumerate(size) if x == n], items, n) for n in sorted(set(size))]
+
+    def hits(self, tok: np.ndarray, first: np.ndarray) -> dict[int, list]:
+        """(seeds, places of those that are known), by document of a run."""
+        out: dict[int, list] = {}
+        for seeds in self.seeds:
+            for doc, places in seeds.hits(tok, first).items():
+                out.setdefault(doc, []).append((seeds, places))
+        return out
+
+    def leaks(self, own: np.ndarray, begin: int, found: list, threshold: float) -> list[tuple[int, int, int, int]]:
+        """(item, tiles, tiled tokens, item tokens) of the items that leak into the tokens ``own``, which start at ``begin``."""
+        return [leak for seeds, places in found for leak in seeds.leaks(own, places - begin, threshold)]
+
+
+class Seeds:
+    """Token hashes of some items, and their sorted seeds of ``least`` tokens with their places."""
+
+    def __init__(self, which: list[int], items: list[np.ndarray], least: int):
+        self.least, self.which = least, which
+        self.tokens = [items[k] for k in which]
         seeds = [K.window_hash(t, least) for t in self.tokens]
         h = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
@@ -134,7 +185,7 @@ class Items:
             tiles = tile(mine, some, self.least)
             tiled = sum(n for *_, n in tiles)
             if tiled >= threshold * len(mine):
-                out.append((item, len(tiles), tiled, len(mine)))
+                out.append((self.which[item], len(tiles), tiled, len(mine)))
         return out
 
 
@@ -165,8 +216,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                 keys = b.column(0)
                 for lo, _, part, o in K.chunks(buf, offs):
                     tok, first = tokens(part, o)
-                    for k, at in items.hits(tok, first).items():
-                        for item, n, tiled, size in items.leaks(tok[first[k]:first[k + 1]], at - first[k], threshold):
+                    for k, known in items.hits(tok, first).items():
+                        for item, n, tiled, size in items.leaks(tok[first[k]:first[k + 1]], first[k], known, threshold):
                             found.append((keys[lo + k].as_py(), items.ids[item], n, tiled, size, tiled / size))
                 if found:
                     kinds = [pa.int64()] * 5 + [pa.float64()]
@@ -192,8 +243,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", th
                 buf, offs = K.string_buffers(b.column(at))
                 for lo, _, part, o in K.chunks(buf, offs):
                     tok, first = tokens(part, o)
-                    for k, places in items.hits(tok, first).items():
-                        keep[lo + k] = not items.leaks(tok[first[k]:first[k + 1]], places - first[k], threshold)
+                    for k, known in items.hits(tok, first).items():
+                        keep[lo + k] = not items.leaks(tok[first[k]:first[k + 1]], first[k], known, threshold)
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, schema)

@@ -200,3 +200,13 @@ def test_benchmark_blocks_give_the_same_leaks(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     blocks = decontaminate.item_blocks(bench, block_bytes=150)
     assert len(blocks) > 2 and sorted(i for b in blocks for i in b.ids) == list(range(9))
+
+
+def test_unspaced_scripts_and_short_items_are_searched(spark):
+    item = "人工知能は、世界を大きく変える技術である。"
+    docs = [(1, "前置き" + item.replace("、", "") + "続きの文章"), (2, "人工知能は別の話。"), (3, "𠀀𠀁𠀂𠀃𠀄𠀅"), (4, "Capital OF France, they say"), (5, "capital of the France"), (6, "ภาษาไทยไม่มีช่องว่าง"), (7, "。、!")]
+    bench = [(10, item), (11, "capital of France"), (12, "𠀁𠀂𠀃𠀄𠀅𠀆"), (13, "ไทยไม่มีช่อง"), (14, "。")]
+    df, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_tiles"], r["tiled"], r["item_tokens"]) for r in decontaminate.find_leaks(df, items).collect()}
+    assert got == {(1, 10): (1, 19, 19), (3, 12): (1, 5, 6), (4, 11): (1, 3, 3), (6, 13): (1, 12, 12)}
+    assert sorted(r["doc_id"] for r in decontaminate.keep_clean(df, items).collect()) == [2, 5, 7]
