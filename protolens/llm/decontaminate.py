@@ -21,13 +21,15 @@ are passed over.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from protolens.llm import kernel as K
-from protolens.llm.common import prepare, texts
+from protolens.llm.common import prepare, texts, written
 from protolens.llm.toxicity import WORD
 
 #: tokens of a seed, and of the shortest tile
@@ -189,23 +191,26 @@ class Seeds:
         return out
 
 
-def item_blocks(benchmark: DataFrame, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> list[Items]:
+def each_block(benchmark: DataFrame, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[Items, bool]]:
+    """(block, whether it is the only one), built one at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    out = []
     for k in range(n):
         got = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").toArrow()  # about block_bytes
-        out.append(Items(got.column("item_id").to_pylist(), got.column("text").to_pylist(), least))
-    return out
+        yield Items(got.column("item_id").to_pylist(), got.column("text").to_pylist(), least), n == 1
+
+
+def item_blocks(benchmark: DataFrame, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> list[Items]:
+    return [block for block, _ in each_block(benchmark, least, block_bytes)]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, n_tiles, tiled, item_tokens, coverage of every leak."""
     spark = docs.sparkSession
     prepare(spark)
     rows, out = texts(docs), None
-    for block in item_blocks(benchmark, least):
+    for block, only in each_block(benchmark, least, block_bytes):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
@@ -224,16 +229,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], ["doc_id", "item_id", "n_tiles", "tiled", "item_tokens", "coverage"])
 
         part = rows.mapInArrow(run, "doc_id long, item_id long, n_tiles long, tiled long, item_tokens long, coverage double")
+        if not only:  # a pass of its own
+            part = written(part, "leaks-block")
+            shared.unpersist()
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that no item leaks into, all columns unchanged."""
     spark = docs.sparkSession
     prepare(spark)
     at, schema = docs.columns.index(text_col), docs.schema
-    for block in item_blocks(benchmark, least):
+    for block, only in each_block(benchmark, least, block_bytes):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
@@ -248,4 +256,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", th
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, schema)
+        if not only:  # a pass of its own
+            docs = written(docs, "clean-block")
+            shared.unpersist()
     return docs

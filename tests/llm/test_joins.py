@@ -210,3 +210,15 @@ def test_unspaced_scripts_and_short_items_are_searched(spark):
     got = {(r["doc_id"], r["item_id"]): (r["n_tiles"], r["tiled"], r["item_tokens"]) for r in decontaminate.find_leaks(df, items).collect()}
     assert got == {(1, 10): (1, 19, 19), (3, 12): (1, 5, 6), (4, 11): (1, 3, 3), (6, 13): (1, 12, 12)}
     assert sorted(r["doc_id"] for r in decontaminate.keep_clean(df, items).collect()) == [2, 5, 7]
+
+
+def test_one_benchmark_block_at_a_time(spark, monkeypatch):
+    items = [(k, " ".join(f"b{k}x{i}" for i in range(12))) for k in range(9)]
+    docs = spark.createDataFrame(items + [(20, "clean words and nothing else")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    tables = []
+    monkeypatch.setattr(decontaminate, "written", lambda df, name: tables.append(name) or df.localCheckpoint())
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench, block_bytes=300).collect()) == [(k, k) for k in range(9)]
+    assert [r["doc_id"] for r in decontaminate.keep_clean(docs, bench, block_bytes=300).collect()] == [20]
+    n = len(decontaminate.item_blocks(bench, block_bytes=300))
+    assert n > 1 and tables == ["leaks-block"] * n + ["clean-block"] * n
