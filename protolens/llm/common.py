@@ -56,3 +56,15 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
 
 def partitions(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def hot_join(rows: DataFrame, other: DataFrame, on: list[str], weight: str, total: int, share: int = 1000) -> DataFrame:
+    """Left join to a table with one row a key, whose column ``weight`` counts the rows that have the key.
+
+    Keys with more than 1/``share`` of the ``total`` rows are fewer than ``share``: they are broadcast, so that no task
+    receives the rows of a hot key.  The others meet in a shuffle.
+    """
+    bar = max(1, total // share)
+    hot = F.broadcast(other.where(F.col(weight) > bar))
+    rest = rows.join(F.broadcast(other.where(F.col(weight) > bar).select(*on)), on, "left_anti")
+    return rows.join(hot, on).unionByName(rest.join(other.where(F.col(weight) <= bar), on, "left"))
