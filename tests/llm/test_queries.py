@@ -14,6 +14,9 @@ COLUMNS = {
     8: ["doc_id", "held_out", "score", "predicted"],
     9: ["doc_id", "n_shingles", "component_id"],
     10: ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+    11: ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+    12: ["page_id", "host", "path", "rule", "verdict"],
+    13: ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
 }
 
 
@@ -36,9 +39,9 @@ def test_contract_columns_and_rows(spark, registered, n):
     got = registered[name](spark, SF)
     assert set(COLUMNS[n]) <= set(got.columns)
     rows = got.collect()
-    if n in (2, 3, 6, 7, 8, 9):
+    if n in (2, 3, 6, 7, 8, 9, 11):
         assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
-    if n == 5:
+    if n in (5, 12):
         assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()
     if n == 1:
         ids = [r["vec_id"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()]
