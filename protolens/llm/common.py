@@ -59,7 +59,7 @@ def partitions(spark: SparkSession, at_least: int = 1) -> int:
 
 
 def hot_join(rows: DataFrame, other: DataFrame, on: list[str], weight: str, total: int, share: int = 1000) -> DataFrame:
-    """Left join to a table with one row a key, whose column ``weight`` counts the rows that have the key.
+    """Left join to a table with one row for every key of ``rows``, whose column ``weight`` counts the rows that have it.
 
     Keys with more than 1/``share`` of the ``total`` rows are fewer than ``share``: they are broadcast, so that no task
     receives the rows of a hot key.  The others meet in a shuffle.

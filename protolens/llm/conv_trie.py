@@ -8,7 +8,12 @@ grouped again one level higher.  So each node is found and aggregated in the sam
 Turns travel as 16-byte digests; a node's key is the digest of its parent's key and its last turn, and a surviving row
 carries the keys of its path (16 bytes a turn).  Copies of a conversation are one row from the first grouping
 on, and all groupings are sums and minima combined before the shuffle, so a first turn or a conversation that a third of
-all rows share costs one row a task.  Rounds are as many as the turns of the longest conversation.
+all rows share costs one row a task.
+
+A grouping of all rows a depth would take as many rounds as the longest conversation has turns.  So long conversations
+are first peeled to depth 4096, 512, 64 and 8: rows that share their first 8 turns are peeled by one task where they
+hold at most ``GROUP_TURNS`` turns below, and by rounds where they hold more.  The last nine depths are rounds.
+The turns of one conversation are sorted and gathered in one task.
 
 Edge cases: turns are ordered by ``turn``, null first, ties by a digest of role and text (equal rows are separate turns); a
 null role or text is empty; rows without conv_id take no part; an empty table has no node; other columns are
@@ -18,13 +23,18 @@ passed over.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from protolens.llm.common import hot_join, prepare, written
-from protolens.session import scratch_path
+
+#: depths to which rows are peeled in one task a group before all rows are peeled depth by depth
+CUTS = (8, 64, 512, 4096, 32768)
+#: turns of a group that one task may peel
+GROUP_TURNS = 1 << 19
 
 
 def _md5(text):
@@ -71,45 +81,134 @@ def paths(turns: DataFrame) -> DataFrame:
     return per.select("conv_id", keys.alias("path"), sizes.alias("sizes"))
 
 
-def prefix_trie(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _key(depth: int | None = None):
+    """Key of the node where a row's path ends, or of its prefix of ``depth`` turns."""
+    return F.element_at("path", -1 if depth is None else depth + 1)
+
+
+def _level(rows: DataFrame, d: int) -> DataFrame:
+    """Nodes of depth ``d`` from the rows whose path ends there."""
+    node = rows.groupBy(_key().alias("key")).agg(
+        F.first("path").alias("path"), F.first("sizes").alias("sizes"), F.sum("n_convs").alias("n_convs"),
+        F.min("conv_id").alias("conv_id"), F.sum("n_children").alias("n_children"),
+        F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
+    return node.select(
+        "key", (F.element_at("path", -2) if d else F.lit(None).cast("binary")).alias("parent_key"),
+        F.lit(d).cast("long").alias("depth"), "path", "sizes", "n_convs", "conv_id", "n_children",
+        F.greatest("n_leaves", F.lit(1).cast("long")).alias("n_leaves"),
+        (F.col("saved_tokens") + (F.col("n_convs") - 1) * F.element_at("sizes", -1)).alias("saved_tokens"))
+
+
+def _stripped(nodes: DataFrame, d: int) -> DataFrame:
+    """Nodes of depth ``d`` as rows of their parents."""
+    return nodes.select(F.lit(d - 1).alias("depth"), F.slice("path", 1, d).alias("path"), F.slice("sizes", 1, d).alias("sizes"),
+                        "n_convs", "conv_id", F.lit(1).cast("long").alias("n_children"), "n_leaves", "saved_tokens")
+
+
+def _rounds(rows: DataFrame, top: int, bottom: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Peel from depth ``top`` to ``bottom``, one grouping of all rows a depth: (nodes by depth, rows of depth bottom - 1)."""
+    levels, above = [], None
+    for d in range(top, bottom - 1, -1):
+        here = rows.where(F.col("depth") == d).select(ROW)
+        if above is not None:
+            here = here.unionByName(above)
+        levels.append(written(_level(here, d), f"trie-level-{d}"))
+        above = _stripped(levels[-1], d) if d else None
+    return levels, above
+
+
+def _peel_group(rows: list[tuple], bottom: int) -> tuple[list[tuple], tuple]:
+    """Nodes below depth ``bottom`` of rows that share their first ``bottom`` turns, and the row of that prefix."""
+    by_depth: dict[int, list] = {}
+    for depth, path, sizes, *numbers in rows:
+        by_depth.setdefault(depth, []).append((path, sizes, *numbers))
+    nodes, above = [], []
+    for d in range(max(by_depth), bottom, -1):
+        level: dict[bytes, list] = {}
+        for path, sizes, n, conv, children, leaves, saved in (*by_depth.get(d, ()), *above):
+            x = level.get(path[d])
+            if x is None:
+                level[path[d]] = [path, sizes, n, conv, children, leaves, saved]
+            else:
+                x[2:] = x[2] + n, min(x[3], conv), x[4] + children, x[5] + leaves, x[6] + saved
+        above = []
+        for key, (path, sizes, n, conv, children, leaves, saved) in level.items():
+            leaves, saved = max(leaves, 1), saved + (n - 1) * sizes[d]
+            nodes.append((key, path[d - 1], d, n, conv, children, leaves, saved))
+            above.append((path, sizes, n, conv, 1, leaves, saved))
+    path, sizes = above[0][:2]
+    n, conv, children, leaves, saved = zip(*(x[2:] for x in above))
+    return nodes, (bottom, path[:bottom + 1], sizes[:bottom + 1], sum(n), min(conv), sum(children), sum(leaves), sum(saved))
+
+
+NODE = ["key", "parent_key", "depth", "n_convs", "conv_id", "n_children", "n_leaves", "saved_tokens"]
+ROW = ["depth", "path", "sizes", "n_convs", "conv_id", "n_children", "n_leaves", "saved_tokens"]
+_PEELED = pa.schema([("key", pa.binary()), ("parent_key", pa.binary()), ("depth", pa.int64()), ("path", pa.list_(pa.binary())),
+                     ("sizes", pa.list_(pa.int64())), *((c, pa.int64()) for c in ROW[3:])])
+
+
+def _peel(bottom: int):
+    """Rows sorted by their prefix of ``bottom`` turns: the nodes below (with a key), then the row left of each group."""
+
+    def batch(nodes: list[tuple], left: list[tuple]) -> pa.RecordBatch:
+        rows = [dict(zip(NODE, x)) for x in nodes] + [dict(zip(ROW, x)) for x in left]
+        return pa.RecordBatch.from_pylist(rows, schema=_PEELED)
+
+    def run(batches):
+        group, prefix = [], None
+        for b in batches:
+            nodes, left = [], []
+            for row in zip(*(b.column(i).to_pylist() for i in range(len(ROW)))):
+                if group and row[1][bottom] != prefix:
+                    more, rest = _peel_group(group, bottom)
+                    nodes += more
+                    left.append(rest)
+                    group = []
+                prefix = row[1][bottom]
+                group.append(row)
+            yield batch(nodes, left)
+        if group:
+            nodes, rest = _peel_group(group, bottom)
+            yield batch(nodes, [rest])
+
+    return run
+
+
+def prefix_trie(turns: DataFrame, group_turns: int = GROUP_TURNS) -> tuple[DataFrame, DataFrame]:
     """(nodes, ends).  nodes: key, depth, conv_id (smallest member), parent_key, parent_conv_id, n_convs, n_children,
     n_leaves, saved_tokens; ends: key, conv_id of each conversation and the node where it ends."""
-    spark = turns.sparkSession
-    prepare(spark)
-    whole = written(paths(turns).withColumn("depth", F.size("path") - 1), "trie-paths")
-    ends = whole.select(F.element_at("path", -1).alias("key"), "conv_id")
-    ended = written(whole.groupBy("depth", F.element_at("path", -1).alias("key"))
-                    .agg(F.first("path").alias("path"), F.first("sizes").alias("sizes"),
-                         F.count("*").alias("n_convs"), F.min("conv_id").alias("conv_id"))
-                    .drop("key"), "trie-ended", by=["depth"])
-    deepest = ended.agg(F.max("depth")).first()[0]
-    root = scratch_path(spark, "trie-levels")
-    above, schema = None, None
-    for d in range(-1 if deepest is None else deepest, -1, -1):
-        zero = F.lit(0).cast("long")
-        rows = ended.where(F.col("depth") == d).select("path", "sizes", "n_convs", "conv_id", zero.alias("n_children"),
-                                                       zero.alias("n_leaves"), zero.alias("saved_tokens"))
-        if above is not None:  # strip the last turn
-            rows = rows.unionByName(above.select(
-                F.slice("path", 1, d + 1).alias("path"), F.slice("sizes", 1, d + 1).alias("sizes"), "n_convs", "conv_id",
-                F.lit(1).cast("long").alias("n_children"), "n_leaves", "saved_tokens"))
-        node = rows.groupBy(F.element_at("path", -1).alias("key")).agg(
-            F.first("path").alias("path"), F.first("sizes").alias("sizes"), F.sum("n_convs").alias("n_convs"),
-            F.min("conv_id").alias("conv_id"), F.sum("n_children").alias("n_children"),
-            F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
-        node = node.select(
-            "key", (F.element_at("path", -2) if d else F.lit(None).cast("binary")).alias("parent_key"), "path", "sizes",
-            "n_convs", "conv_id", "n_children", F.greatest("n_leaves", F.lit(1).cast("long")).alias("n_leaves"),
-            (F.col("saved_tokens") + (F.col("n_convs") - 1) * F.element_at("sizes", -1)).alias("saved_tokens"))
-        path = f"{root}/depth={d}"
-        node.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        schema = node.schema
-        above = spark.read.schema(schema).parquet(path)
-    if above is None:
-        empty = whole.select("depth", *(F.lit(None).cast("binary").alias(c) for c in ("key", "parent_key")), "conv_id",
-                             *(F.lit(None).cast("long").alias(c) for c in ("parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens")))
-        return empty.withColumn("depth", F.col("depth").cast("long")), ends
-    nodes = spark.read.schema(schema.add("depth", "long")).option("basePath", root).parquet(root).drop("path", "sizes")
+    prepare(turns.sparkSession)
+    whole = written(paths(turns), "trie-paths")
+    ends = whole.select(_key().alias("key"), "conv_id")
+    zero = F.lit(0).cast("long")
+    rows = whole.groupBy((F.size("path") - 1).alias("depth"), _key().alias("key")).agg(
+        F.first("path").alias("path"), F.first("sizes").alias("sizes"), F.count("*").alias("n_convs"), F.min("conv_id").alias("conv_id"))
+    rows = written(rows.select(*ROW[:5], *(zero.alias(c) for c in ROW[5:])), "trie-ended")
+    deepest = rows.agg(F.max("depth")).first()[0]
+    if deepest is None:
+        empty = rows.select(F.lit(None).cast("binary").alias("key"), F.col("depth").cast("long").alias("depth"), "conv_id",
+                            F.lit(None).cast("binary").alias("parent_key"), zero.alias("parent_conv_id"), *ROW[3:4], *ROW[5:])
+        return empty, ends
+    tables, top = [], deepest
+    for c in reversed([c for c in CUTS if c < deepest]):
+        deep, rows = rows.where(F.col("depth") > c), rows.where(F.col("depth") <= c)
+        weights = deep.groupBy(_key(c).alias("key")).agg(F.sum(F.col("depth") - c).alias("turns"))
+        large = written(weights.where(F.col("turns") > group_turns).select("key"), "trie-large")  # few: the sum is bounded
+        mine = deep.join(F.broadcast(large), _key(c) == large["key"], "left_anti")
+        peeled = (mine.select(F.col("depth").cast("long").alias("depth"), *ROW[1:]).repartition(_key(c)).sortWithinPartitions(_key(c))
+                  .mapInArrow(_peel(c), "key binary, parent_key binary, depth long, path array<binary>, sizes array<long>, "
+                              + ", ".join(f"{x} long" for x in ROW[3:])))
+        peeled = written(peeled, "trie-peeled")
+        tables.append(peeled.where("key is not null"))
+        rows = rows.unionByName(peeled.where("key is null").select(F.col("depth").cast("int").alias("depth"), *ROW[1:]))
+        if not large.isEmpty():
+            levels, left = _rounds(deep.join(F.broadcast(large), _key(c) == large["key"], "left_semi"), top, c + 1)
+            tables += levels
+            rows = rows.unionByName(left)
+        rows, top = written(rows, "trie-rows"), c
+    tables += _rounds(rows, top, 0)[0]
+    nodes = reduce(DataFrame.unionByName, [t.select(NODE) for t in tables])
+    nodes = written(nodes, "trie-nodes")
     parents = nodes.where("n_children > 0").select(F.col("key").alias("parent_key"), F.col("conv_id").alias("parent_conv_id"),
                                                    F.col("n_children").alias("below"))
     return hot_join(nodes, parents, ["parent_key"], "below", nodes.count()).drop("below"), ends

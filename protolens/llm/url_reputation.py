@@ -74,7 +74,7 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
              .join(lengths, "under"))
     hosts = written(hosts.groupBy("host").agg(F.collect_list(F.struct("under", "lengths")).alias("keys")), "url-hosts")
     sizes = urls.groupBy("host").agg(F.count("*").alias("urls"))
-    known = hosts.join(sizes, "host")
+    known = sizes.join(hosts, "host", "left")  # every host, so that a hot one without rules is known to be hot
     asked = (hot_join(urls, known, ["host"], "urls", urls.count()).where("keys is not null")
              .select("host", "path", F.explode("keys").alias("k"))
              .select("host", "path", F.col("k.under").alias("under"), F.explode("k.lengths").alias("n"))
