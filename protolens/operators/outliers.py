@@ -6,9 +6,9 @@
   bucketed rank cut.  No row is replicated to all trees.
 * Fitting: one ``applyInPandas`` group per (group, tree) holds at most
   ``max_samples`` (256) rows; it returns the tree as flat node arrays.
-* Scoring: the forest (trees x <= 2*256 nodes per class) is a measured,
-  parameter-sized table; it is broadcast and path lengths are computed per
-  Arrow batch with numpy in ``mapInPandas``.
+* Scoring: path lengths are computed with numpy per Arrow batch; trees (at most
+  2*256 nodes each) are broadcast where all fit the limit, and stream past the
+  rows of their group where they do not.
 * Rule (contamination 'auto'): keep a row when -2^(-E[h]/c(psi)) >= -0.5.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from protolens.operators.params import DEFAULT_MAX_BROADCAST_BYTES, attach_params
+from protolens.operators import blocks as B
+from protolens.operators.params import attach_params
 from protolens.operators.sampling import rank_cut
 
 EULER = 0.5772156649015329
@@ -39,28 +40,35 @@ def avg_path(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + EULER) - 2.0 * (n - 1.0) / n
 
 
-def _fit_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int):
+def _draw(tag: str, path: str, what: str) -> float:
+    """Number in [0, 1) from the md5 of a tree's tag, a node's path (L and R from the root) and a name."""
+    return int(hashlib.md5(f"{tag}|{path}|{what}".encode()).hexdigest()[:8], 16) / 2.0 ** 32
+
+
+def _fit_tree(x: np.ndarray, tag: str, max_depth: int):
+    """Node arrays of an isolation tree.  The split of a node is drawn from its path, so it is the same on every retry and
+    can be drawn again elsewhere: feature number floor(u * usable) of the features that vary, threshold lo + u' (hi - lo)."""
     feat, thr, left, right, size = [], [], [], [], []
 
-    def build(idx: np.ndarray, depth: int) -> int:
+    def build(idx: np.ndarray, path: str) -> int:
         node = len(feat)
         feat.append(-1), thr.append(0.0), left.append(-1), right.append(-1), size.append(len(idx))
-        if depth >= max_depth or len(idx) <= 1:
+        if len(path) >= max_depth or len(idx) <= 1:
             return node
         sub = x[idx]
         lo, hi = sub.min(axis=0), sub.max(axis=0)
         usable = np.flatnonzero(hi > lo)
         if usable.size == 0:
             return node
-        q = int(rng.choice(usable))
-        t = float(rng.uniform(lo[q], hi[q]))
+        q = int(usable[int(_draw(tag, path, "feature") * usable.size)])
+        t = float(lo[q] + _draw(tag, path, "threshold") * (hi[q] - lo[q]))
         mask = sub[:, q] < t
         feat[node], thr[node] = q, t
-        left[node] = build(idx[mask], depth + 1)
-        right[node] = build(idx[~mask], depth + 1)
+        left[node] = build(idx[mask], path + "L")
+        right[node] = build(idx[~mask], path + "R")
         return node
 
-    build(np.arange(x.shape[0]), 0)
+    build(np.arange(x.shape[0]), "")
     return feat, thr, left, right, size
 
 
@@ -76,7 +84,8 @@ def _path_lengths(x: np.ndarray, tree) -> np.ndarray:
         depth[active] += 1.0
         active = feat[node] >= 0
     leaf_sizes = size[node]
-    return depth + np.array([avg_path(s) for s in leaf_sizes])
+    sizes, at = np.unique(leaf_sizes, return_inverse=True)
+    return depth + np.array([avg_path(s) for s in sizes])[at]
 
 
 def fit_forests(df: DataFrame, keys: Sequence[str], id_col: str = "example_id", vec: str = "vector",
@@ -105,80 +114,46 @@ def fit_forests(df: DataFrame, keys: Sequence[str], id_col: str = "example_id",
         psi = x.shape[0]
         key_vals = [pdf[k].iloc[0] for k in keys]
         tree_id = int(pdf["tree"].iloc[0])
-        tag = "|".join([*(str(v) for v in key_vals), str(tree_id), str(seed)]).encode()
-        rng = np.random.default_rng(int(hashlib.md5(tag).hexdigest()[:8], 16))  # stable across retries
-        f, t, le, ri, sz = _fit_tree(x, rng, max(1, math.ceil(math.log2(max(psi, 2)))))
+        tag = "|".join([*(str(v) for v in key_vals), str(tree_id), str(seed)])
+        f, t, le, ri, sz = _fit_tree(x, tag, max(1, math.ceil(math.log2(max(psi, 2)))))
         return pd.DataFrame([{**dict(zip(keys, key_vals)), "tree": tree_id, "psi": psi, "feat": f, "thr": t,
                               "left": le, "right": ri, "size": sz}], columns=[s.name for s in schema.fields])
 
     return picked.select(*keys, "tree", "_h", vec).groupBy(*keys, "tree").applyInPandas(fit, schema)
 
 
+def _route(x: np.ndarray, blocks: list, state: dict) -> None:
+    """Add the path lengths of the rows in each tree: state 0 their sum, 1 the number of trees, 2 their sample size."""
+    for _, _, _, numbers in blocks:
+        feat, thr, left, right, size = numbers[1:].reshape(5, -1)
+        total = state.setdefault(0, np.zeros(len(x)))
+        total += _path_lengths(x, (feat.astype(np.int64), thr, left.astype(np.int64), right.astype(np.int64), size))
+        state[1] = state.get(1, np.zeros(len(x))) + 1
+        state[2] = np.full(len(x), numbers[0])
+
+
 def outlier_scores(df: DataFrame, forests: DataFrame, keys: Sequence[str], vec: str = "vector",
-                   max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+                   max_broadcast_bytes: int | None = None) -> DataFrame:
     """Anomaly score -2^(-E[h]/c(psi)) of every row under its own group's forest, and ``keep`` (score >= -0.5).
 
-    Forests are parameter-sized; groups are scored in chunks whose forests fit
-    the broadcast limit, each chunk's forests read to the driver only when its
-    broadcast is built, and each chunk scanning only its own rows.
+    A tree is a block of numbers: forests within the broadcast limit are broadcast once, larger ones stream past the
+    rows of their group (``blocks.score``), so no size of forest aborts or is held whole.
     """
-    from protolens.operators.params import materialize
-    from protolens.operators.scoring import _key_filter
-
     keys = list(keys)
-    forests = materialize(forests)
-    sizes = forests.groupBy(*keys).agg(F.sum(F.size("feat") * 24 + 64).alias("b")).collect()
-    chunks, cur, cur_b = [], [], 0
-    for r in sorted(sizes, key=lambda r: tuple(str(r[k]) for k in keys)):
-        key, b = tuple(r[k] for k in keys), int(r["b"])
-        if b > max_broadcast_bytes:
-            raise ValueError(f"the forest of group {key} (~{b} bytes) exceeds the broadcast limit; lower n_trees")
-        if cur and cur_b + b > max_broadcast_bytes:
-            chunks.append(cur)
-            cur, cur_b = [], 0
-        cur.append(key)
-        cur_b += b
-    if cur:
-        chunks.append(cur)
-    out_schema = T.StructType(df.schema.fields + [T.StructField("outlier_score", T.DoubleType()),
-                                                  T.StructField("keep", T.BooleanType())])
-
-    def scorer(bc):
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            fz = bc.value
-            for pdf in batches:
-                if pdf.empty:
-                    yield pdf.assign(outlier_score=pd.Series(dtype="float64"), keep=pd.Series(dtype="bool"))
-                    continue
-                scores = np.full(len(pdf), np.nan)
-                for key, part in pdf.groupby(keys, sort=False, dropna=False):
-                    key = key if isinstance(key, tuple) else (key,)
-                    trees = fz.get(tuple(key))
-                    if not trees:
-                        continue
-                    x = np.stack(part[vec].to_numpy()).astype(np.float64)
-                    h = np.mean([_path_lengths(x, t) for _, t in trees], axis=0)
-                    psi = trees[0][0]
-                    scores[pdf.index.get_indexer(part.index)] = -np.power(2.0, -h / max(avg_path(psi), 1e-12))
-                yield pdf.assign(outlier_score=scores, keep=np.nan_to_num(scores, nan=0.0) >= -0.5)
-        return score
-
-    parts = []
-    for ch in chunks:
-        forest: dict[tuple, list] = {}
-        for r in forests.where(_key_filter(keys, ch)).collect():  # one chunk on the driver at a time
-            forest.setdefault(tuple(r[k] for k in keys), []).append(
-                (r["psi"], (r["feat"], r["thr"], r["left"], r["right"], r["size"])))
-        bc = df.sparkSession.sparkContext.broadcast(forest)
-        parts.append(df.where(_key_filter(keys, ch)).mapInPandas(scorer(bc), out_schema))
-    res = parts[0]
-    for p_ in parts[1:]:
-        res = res.unionByName(p_)
-    return res
+    as_double = lambda c: F.col(c).cast("array<double>")
+    trees = forests.select(*keys, "tree", F.concat(F.array(F.col("psi").cast("double")), as_double("feat"), as_double("thr"),
+                                                   as_double("left"), as_double("right"), as_double("size")).alias("_nodes"))
+    blocks = B.vector_blocks(trees, keys, "tree", F.col("_nodes"))
+    scored = B.score(df, blocks, keys, vec, "_paths", _route, max_broadcast_bytes)
+    total, n, psi = (F.element_at("_paths", i) for i in (1, 2, 3))
+    harmonic = 2.0 * (F.log(psi - 1.0) + EULER) - 2.0 * (psi - 1.0) / psi
+    usual = F.when(psi <= 1, 1e-12).when(psi == 2, 1.0).otherwise(harmonic)
+    score = -F.pow(F.lit(2.0), -(total / n) / usual)
+    return scored.select(*df.columns, score.alias("outlier_score"), (score >= -0.5).alias("keep"))
 
 
 def outlier_filter(df: DataFrame, keys: Sequence[str], id_col: str = "example_id", vec: str = "vector",
                    n_trees: int = 100, max_samples: int = 256, seed: int = 42) -> DataFrame:
     """drop rows that their own class's forest flags as outliers."""
     forests = fit_forests(df, keys, id_col, vec, n_trees, max_samples, seed)
-    return outlier_scores(df, forests, keys, vec).where(F.col("keep"))
+    return outlier_scores(df, forests, keys, vec).where("keep").select(*df.columns)

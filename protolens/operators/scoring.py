@@ -3,23 +3,21 @@
 Parameters are packed per key (one array of per-class structs per layer) and
 attached with ``attach_params`` (measured broadcast or salted join).  Per-row
 arithmetic is built-in higher-order functions, so nothing leaves the JVM; for
-vectors wider than ``HOF_MAX_DIM`` the same scores are computed with numpy
-BLAS per Arrow batch against broadcast parameter chunks (``engine='arrow'``).
+vectors wider than ``HOF_MAX_DIM``, and for Mahalanobis distances, the same
+scores are computed with numpy BLAS per Arrow batch against parameter blocks
+(``engine='arrow'``, see ``blocks``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from protolens.functions import vec as V
-from protolens.operators.params import DEFAULT_MAX_BROADCAST_BYTES, attach_params, materialize, pack_params, require_dense_ids
+from protolens.operators import blocks as B
+from protolens.operators.params import attach_params, materialize, pack_params, require_dense_ids
 
 # Engine choice in 'auto' mode, from tools/engine_bench.py (local[8], 20k rows): the d^2-per-row Mahalanobis
 # distance as higher-order functions is 4x slower than numpy at d = 16 and ~100x at d = 256, so it always runs
@@ -46,8 +44,8 @@ def gda_logits(df: DataFrame, params: DataFrame, keys=("layer",), label: str = "
         width = packed.select(F.max(F.size(F.element_at("_gda", 1)["w"]))).first()[0] or 0
         engine = "hof" if width <= HOF_MAX_DIM else "arrow"
     if engine == "arrow":
-        return _arrow_rowwise(df, packed, keys, "_gda", ["w", "b"], vec, out, lambda x, wb: x @ wb[0].T + wb[1],
-                              max_broadcast_bytes)
+        blocks = B.vector_blocks(params, keys, label, F.concat("w", F.array(F.col("b").cast("double"))))
+        return B.score(df, blocks, keys, vec, out, B.logits, max_broadcast_bytes)
     j = attach_params(df, packed, keys, materialized=True)
     return j.withColumn(out, F.transform("_gda", lambda p: V.dot(vec, p["w"]) + p["b"])).drop("_gda")
 
@@ -62,288 +60,28 @@ def argmax_class(df: DataFrame, scores: str = "probs", out: str = "pred") -> Dat
     return df.withColumn(out, V.argmax(scores))
 
 
-def _key_filter(keys: list[str], ks) -> F.Column:
-    cond = None
-    for k in ks:
-        c = None
-        for name, val in zip(keys, k):
-            e = F.col(name) == F.lit(val)
-            c = e if c is None else c & e
-        cond = c if cond is None else cond | c
-    return cond
-
-
-#: example rows that one copy of a streamed key's parameters serves
-STREAM_ROWS = 200_000
-
-
-def _stream_scored(df: DataFrame, params: DataFrame, keys: list[str], vec: str, out: str, build, fn) -> DataFrame:
-    """``out`` = fn(X, build(parameter rows)) for keys of any size, without the driver.
-
-    ``params``: (keys..., _a, _i, _v) rows of numbers, in the order (_a, _i).  Each key's example rows are
-    dealt over ceil(rows / ``STREAM_ROWS``) salts by a hash of the whole row, its parameter rows are copied
-    to each salt, and both meet in one partition sorted by (keys, salt, parameters first).  A task holds
-    the parameters of one key and one Arrow batch; every input row gives one output row, whatever its id.
-    """
-    from protolens.operators.params import row_salt
-
-    limit = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    known = params.select(*keys).distinct()
-    counts = df.join(F.broadcast(known), keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))  # one row a parameter key
-    counts = materialize(counts.withColumn("_salts", F.ceil(F.col("_rows") / STREAM_ROWS).cast("int")).drop("_rows"))
-    rows = df.join(F.broadcast(counts), keys).withColumn("_salt", row_salt(df, keys, F.col("_salts"))).drop("_salts")
-    copies = params.join(F.broadcast(counts), keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
-    rows = rows.withColumns({"_kind": F.lit(1), "_a": F.lit(None).cast(params.schema["_a"].dataType), "_i": F.lit(None).cast("int"), "_v": F.lit(None).cast("array<double>")})
-    copies = copies.withColumn("_kind", F.lit(0))
-    both = rows.unionByName(copies, allowMissingColumns=True)
-    both = both.repartition(limit, *keys, "_salt").sortWithinPartitions(*keys, "_salt", "_kind", "_a", "_i")
-    names = df.columns
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields] + [T.StructField(out, T.ArrayType(T.DoubleType()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, loaded, ready = None, [], None
-        for batch in batches:
-            key = list(zip(*[batch.column(c).to_pylist() for c in [*keys, "_salt"]]))
-            kind = np.asarray(batch.column("_kind"))
-            cuts = [0, *[k for k in range(1, len(key)) if key[k] != key[k - 1] or kind[k] != kind[k - 1]], len(key)]
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if hi == lo:
-                    continue
-                if key[lo] != held:
-                    held, loaded, ready = key[lo], [], None
-                part = batch.slice(lo, hi - lo)
-                if kind[lo] == 0:
-                    loaded += list(zip(*[part.column(c).to_pylist() for c in ("_a", "_i", "_v")]))
-                    continue
-                if ready is None:
-                    ready, loaded = build(loaded), []
-                x = np.asarray(part.column(vec).flatten(), dtype=np.float64).reshape(hi - lo, -1)
-                scores = pa.array(list(fn(x, ready)), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], scores], [*names, out])
-
-    return both.mapInArrow(run, schema)
-
-
-def _chunked_keys(sizes: dict, max_bytes: int) -> tuple[list[list], list]:
-    """(chunks of keys under ``max_bytes`` together, keys that alone pass it)."""
-    chunks, cur, cur_b, large = [], [], 0, []
-    for k in sorted(sizes, key=lambda k: tuple(str(v) for v in k)):
-        if sizes[k] > max_bytes:
-            large.append(k)
-            continue
-        if cur and cur_b + sizes[k] > max_bytes:
-            chunks.append(cur)
-            cur, cur_b = [], 0
-        cur.append(k)
-        cur_b += sizes[k]
-    return chunks + ([cur] if cur else []), large
-
-
-def _limit(df: DataFrame, max_bytes: int | None) -> int:
-    if max_bytes is not None:
-        return max_bytes
-    return int(df.sparkSession.conf.get("protolens.maxBroadcastBytes", str(DEFAULT_MAX_BROADCAST_BYTES)))
-
-
-def _united(parts: list[DataFrame], df: DataFrame, out: str) -> DataFrame:
-    if not parts:  # no parameters at all: no rows
-        return df.withColumn(out, F.lit(None).cast("array<double>")).limit(0)
-    res = parts[0]
-    for p_ in parts[1:]:
-        res = res.unionByName(p_)
-    return res
-
-
-def _arrow_rowwise(df: DataFrame, packed: DataFrame, keys: list[str], name: str, fields: Sequence[str], vec: str,
-                   out: str, fn, max_bytes: int | None) -> DataFrame:
-    """Apply ``fn(X, params) -> (n x K)`` per key and Arrow batch.
-
-    ``packed``: one row per key with an array ``name`` of per-class structs.
-    Keys are grouped into chunks under ``max_bytes``, whose parameters are
-    broadcast; a key that alone passes it is streamed (``_stream_scored``).
-    Each chunk scans only its own rows (partition pruning on a
-    layer-partitioned table); chunk results are unioned.
-    """
-    spark, max_bytes = df.sparkSession, _limit(df, max_bytes)
-    out_schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
-    elem = packed.schema[name].dataType.elementType
-
-    def field_size(field):
-        if isinstance(elem[field].dataType, T.ArrayType):
-            return lambda it: F.coalesce(F.size(it[field]), F.lit(0))
-        return lambda it: F.lit(1)  # a scalar field
-
-    size = F.lit(0).cast("long")
-    for f in fields:
-        size = size + F.aggregate(F.transform(name, field_size(f)), F.lit(0).cast("long"), lambda a, b: a + b)
-    sizes = packed.select(*keys, (size * 8).alias("_b")).collect()
-    chunks, large = _chunked_keys({tuple(r[c] for c in keys): int(r["_b"]) for r in sizes}, max_bytes)
-
-    def make(bc):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            prm = bc.value
-            for pdf in batches:
-                res = [None] * len(pdf)
-                for key, part in pdf.groupby(keys, sort=False, dropna=False):
-                    key = key if isinstance(key, tuple) else (key,)
-                    if key not in prm:
-                        continue
-                    x = np.stack(part[vec].to_numpy()).astype(np.float64)
-                    vals = fn(x, prm[key])
-                    for pos, row in zip(pdf.index.get_indexer(part.index), vals):
-                        res[pos] = row.tolist()
-                yield pdf.assign(**{out: res})
-        return run
-
-    parts = []
-    for ch in chunks:
-        prm = _packed_to_numpy(packed.where(_key_filter(keys, ch)), keys, name, fields)  # one chunk at a time
-        parts.append(df.where(_key_filter(keys, ch)).mapInPandas(make(spark.sparkContext.broadcast(prm)), out_schema))
-    if large:
-        is_list = [isinstance(elem[f].dataType, T.ArrayType) for f in fields]
-        flat = packed.where(_key_filter(keys, large)).select(*keys, F.posexplode(name).alias("_a", "_it"))
-        prm = flat.select(*keys, "_a", F.posexplode(F.array(*[F.col(f"_it.{f}").cast("array<double>") if li else F.array(F.col(f"_it.{f}").cast("double"))
-                                                              for f, li in zip(fields, is_list)])).alias("_i", "_v"))
-
-        def build(rows):
-            rows = sorted(rows, key=lambda r: (r[0], r[1]))
-            by_field = [[np.asarray(v, dtype=np.float64) for _, i, v in rows if i == k] for k in range(len(is_list))]
-            return tuple(np.stack(vs) if li else np.array([v[0] for v in vs]) for vs, li in zip(by_field, is_list))
-
-        parts.append(_stream_scored(df.where(_key_filter(keys, large)), prm, keys, vec, out, build, fn))
-    return _united(parts, df, out)
-
-
-def _packed_to_numpy(packed: DataFrame, keys: list[str], name: str, fields: Sequence[str]) -> dict:
-    """Packed per-key parameter arrays (parameter-sized) to numpy on the driver."""
-    out = {}
-    for r in packed.collect():
-        items = r[name]
-        out[tuple(r[k] for k in keys)] = tuple(np.array([it[f] for it in items], dtype=np.float64) for f in fields)
-    return out
-
-
-class _ParamSource:
-    """Parameter-sized tables, read to the driver one chunk of keys (or one row block) at a time."""
-
-    def __init__(self, means: DataFrame, matrices: DataFrame, keys: list[str], label: str, per_class: bool):
-        self.means = materialize(means.select(*keys, label, "mean"))
-        cols = keys + ([label] if per_class else [])
-        self.matrices = materialize(matrices.select(*cols, "i", "row"))
-        self.keys, self.label, self.per_class = keys, label, per_class
-        require_dense_ids(pack_params(self.means.select(*keys, label), keys, label, [], "_ids"), keys, "_ids")
-        info = self.means.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.max(F.size("mean")).alias("d"))
-        self.shape = {tuple(r[c] for c in keys): (int(r["k"]), int(r["d"])) for r in info.collect()}
-
-    def nbytes(self, key) -> int:
-        k, d = self.shape[key]
-        return (k * d + (k if self.per_class else 1) * d * d) * 8
-
-    def load(self, ks) -> dict:
-        """{key: (K x d means, precision d x d, or K x d x d)} for the keys ``ks``."""
-        cond = _key_filter(self.keys, ks)
-        mu: dict = {}
-        for r in self.means.where(cond).collect():
-            mu.setdefault(tuple(r[c] for c in self.keys), []).append((r[self.label], r["mean"]))
-        mats: dict = {}
-        cols = self.keys + ([self.label] if self.per_class else [])
-        for r in self.matrices.where(cond).collect():
-            mats.setdefault(tuple(r[c] for c in cols), []).append((r["i"], r["row"]))
-        out = {}
-        for k, lst in mu.items():
-            lst.sort()
-            m = np.array([v for _, v in lst], dtype=np.float64)
-
-            def mat(key):
-                return np.array([v for _, v in sorted(mats[key])], dtype=np.float64)
-
-            p = np.stack([mat(k + (lab,)) for lab, _ in lst]) if self.per_class else mat(k)
-            out[k] = (m, p)
-        return out
-
-    def rows(self, ks) -> DataFrame:
-        """(keys..., _a, _i, _v): means at _i = -1, matrix rows at _i >= 0; _a is the label where it has one."""
-        cond = _key_filter(self.keys, ks)
-        label = self.means.schema[self.label].dataType
-        mu = self.means.where(cond).select(*self.keys, F.col(self.label).alias("_a"), F.lit(-1).alias("_i"), F.col("mean").alias("_v"))
-        of = F.col(self.label) if self.per_class else F.lit(None).cast(label)
-        return mu.unionByName(self.matrices.where(cond).select(*self.keys, of.alias("_a"), F.col("i").alias("_i"), F.col("row").alias("_v")))
-
-
-def _distances(x: np.ndarray, params) -> np.ndarray:
-    """Squared Mahalanobis distances of rows to every mean, with one matrix or one a mean."""
-    m, p = params
-    dist = np.empty((x.shape[0], m.shape[0]))
-    for c in range(m.shape[0]):
-        z = x - m[c]
-        dist[:, c] = np.einsum("ij,ij->i", z @ (p[c] if p.ndim == 3 else p), z)
-    return dist
-
-
-def _arrow_mahalanobis(df: DataFrame, src: _ParamSource, keys: list[str], vec: str, out: str,
-                       max_bytes: int | None) -> DataFrame:
-    """Distances per Arrow batch with numpy.
-
-    Keys are grouped into chunks under ``max_bytes`` whose parameters are
-    broadcast; each chunk scans only its own rows.  A key whose matrices alone
-    pass the limit is streamed to its example rows (``_stream_scored``): no
-    driver, no row ids, any width.
-    """
-    spark, max_bytes = df.sparkSession, _limit(df, max_bytes)
-    out_schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
-    chunks, large = _chunked_keys({k: src.nbytes(k) for k in src.shape}, max_bytes)
-
-    def scorer(bc):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            prm = bc.value
-            for pdf in batches:
-                res = [None] * len(pdf)
-                for key, part in pdf.groupby(keys, sort=False, dropna=False):
-                    key = key if isinstance(key, tuple) else (key,)
-                    if key not in prm:
-                        continue
-                    x = np.stack(part[vec].to_numpy()).astype(np.float64)
-                    for pos, row in zip(pdf.index.get_indexer(part.index), _distances(x, prm[key])):
-                        res[pos] = row.tolist()
-                yield pdf.assign(**{out: res})
-        return run
-
-    per_class = src.per_class
-
-    def build(rows):
-        means = sorted((a, v) for a, i, v in rows if i < 0)
-        m = np.array([v for _, v in means], dtype=np.float64)
-        if not per_class:
-            return m, np.array([v for _, _, v in sorted((r for r in rows if r[1] >= 0), key=lambda r: r[1])], dtype=np.float64)
-        by: dict = {}
-        for a, i, v in rows:
-            if i >= 0:
-                by.setdefault(a, []).append((i, v))
-        return m, np.stack([np.array([v for _, v in sorted(by[a], key=lambda r: r[0])], dtype=np.float64) for a, _ in means])
-
-    parts = []
-    for ch in chunks:
-        bc = spark.sparkContext.broadcast(src.load(ch))  # one chunk on the driver at a time
-        parts.append(df.where(_key_filter(keys, ch)).mapInPandas(scorer(bc), out_schema))
-    if large:
-        parts.append(_stream_scored(df.where(_key_filter(keys, large)), src.rows(large), keys, vec, out, build, _distances))
-    return _united(parts, df, out)
+def _arrow_distances(df: DataFrame, means: DataFrame, matrices: DataFrame, keys: list[str], label: str, cls: str | None,
+                     vec: str, out: str, max_bytes: int | None, keep: Sequence[str] | None) -> DataFrame:
+    """Squared Mahalanobis distances by whitening: |L^T (x - mean)|^2, added up over blocks of rows of L^T."""
+    means = materialize(means.select(*keys, label, "mean"))
+    require_dense_ids(pack_params(means.select(*keys, label), keys, label, [], "_ids"), keys, "_ids")
+    blocks = B.vector_blocks(means, keys, label, F.col("mean")).unionByName(B.factor_blocks(matrices, keys, cls))
+    return B.score(df, blocks, keys, vec, out, B.mahalanobis, max_bytes, keep)
 
 
 def mahalanobis_sq(df: DataFrame, means: DataFrame, precision: DataFrame, keys=("layer",), label: str = "label",
                    vec: str = "vector", out: str = "maha", engine: str = "auto",
-                   max_broadcast_bytes: int | None = None) -> DataFrame:
+                   max_broadcast_bytes: int | None = None, keep: Sequence[str] | None = None) -> DataFrame:
     """Squared Mahalanobis distance to every prototype with one shared precision per key.
 
-    ``engine``: 'hof' (JVM higher-order functions), 'arrow' (numpy per batch);
-    'auto' is 'arrow' (see the measurements at ``HOF_MAX_DIM``).
+    ``engine``: 'hof' (JVM higher-order functions), 'arrow' (numpy per batch, whitened by blocks of the Cholesky factor);
+    'auto' is 'arrow' (see the measurements at ``HOF_MAX_DIM``).  ``keep``: columns of ``df`` to return ('arrow' only).
     """
     keys = _k(keys)
     if engine == "auto":
         engine = "arrow"  # d^2 per row: numpy BLAS wins at every measured width
     if engine == "arrow":
-        src = _ParamSource(means, precision, keys, label, per_class=False)
-        return _arrow_mahalanobis(df, src, keys, vec, out, max_broadcast_bytes)
+        return _arrow_distances(df, means, precision, keys, label, None, vec, out, max_broadcast_bytes, keep)
     mpack = pack_params(means, keys, label, ["mean"], "_mu")
     ppack = precision.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda t: t["row"]).alias("_p")
@@ -357,14 +95,13 @@ def mahalanobis_sq(df: DataFrame, means: DataFrame, precision: DataFrame, keys=(
 
 def mahalanobis_class_sq(df: DataFrame, means: DataFrame, class_precision: DataFrame, keys=("layer",),
                          label: str = "label", vec: str = "vector", out: str = "maha", engine: str = "auto",
-                         max_broadcast_bytes: int | None = None) -> DataFrame:
+                         max_broadcast_bytes: int | None = None, keep: Sequence[str] | None = None) -> DataFrame:
     """Squared distance with each prototype's own precision matrix (engines as in G4)."""
     keys = _k(keys)
     if engine == "auto":
         engine = "arrow"  # d^2 per row: numpy BLAS wins at every measured width
     if engine == "arrow":
-        src = _ParamSource(means, class_precision, keys, label, per_class=True)
-        return _arrow_mahalanobis(df, src, keys, vec, out, max_broadcast_bytes)
+        return _arrow_distances(df, means, class_precision, keys, label, label, vec, out, max_broadcast_bytes, keep)
     pm = class_precision.groupBy(*keys, label).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda t: t["row"]).alias("p")
     )
@@ -387,10 +124,7 @@ def nmc_neg_distance(df: DataFrame, means: DataFrame, keys=("layer",), label: st
         width = packed.select(F.max(F.size(F.element_at("_mu", 1)["mean"]))).first()[0] or 0
         engine = "hof" if width <= HOF_MAX_DIM else "arrow"
     if engine == "arrow":
-        def neg_dist(x, m):  # centred, as in the other engine: no cancellation
-            return -np.stack([np.sqrt(np.einsum("ij,ij->i", x - mu, x - mu)) for mu in m[0]], axis=1)
-
-        return _arrow_rowwise(df, packed, keys, "_mu", ["mean"], vec, out, neg_dist, max_broadcast_bytes)
+        return B.score(df, B.vector_blocks(means, keys, label, F.col("mean")), keys, vec, out, B.negative_distance, max_broadcast_bytes)
     j = attach_params(df, packed, keys, materialized=True)
     return j.withColumn(out, F.transform("_mu", lambda m: -F.sqrt(V.sq_dist(vec, m["mean"])))).drop("_mu")
 

@@ -198,8 +198,48 @@ def q_contrastive_zip(spark, sf):
     return C.contrastive_zip(fx.doc_vectors(spark, sf), "example_id", "label")
 
 
-# F9 (rows only: randomised trees) --------------------------------------------------
-@register("outlier_filter")
+# F9 ------------------------------------------------------------------------------
+_WIDTH = 16  # of the vectors fixture
+_EXTREMES = "[" + ", ".join(f"{{f}}(vector[{i}]) FILTER (WHERE drawn) OVER w" for i in range(1, _WIDTH + 1)) + "]"
+
+
+def _uniform(what: str) -> str:
+    """The number that a node's split draws from its path."""
+    return f"CAST('0x' || substr(md5(concat(layer, '|', label, '|', tree, '|42|', path, '|{what}')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+def _average_path(n: str) -> str:
+    return (f"CASE WHEN {n} <= 1 THEN 0.0::DOUBLE WHEN {n} = 2 THEN 1.0::DOUBLE ELSE "
+            f"2.0::DOUBLE * (ln({n} - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2.0::DOUBLE * ({n} - 1.0::DOUBLE) / {n} END")
+
+
+#: the split of the node where each row stands: sample size, extremes, feature and threshold
+_SPLIT = f"""
+SELECT layer, label, tree, example_id, vector, drawn, most, path, n,
+       CASE WHEN n > 1 AND length(path) < most AND len(usable) > 0
+            THEN usable[1 + CAST(floor({_uniform("feature")} * len(usable)) AS BIGINT)] END AS q, lo, hi
+FROM (SELECT *, list_filter(range(1, {_WIDTH + 1}), lambda i: hi[i] > lo[i]) AS usable
+      FROM (SELECT *, count(*) FILTER (WHERE drawn) OVER w AS n, {_EXTREMES.format(f="min")} AS lo, {_EXTREMES.format(f="max")} AS hi
+            FROM {{src}} WINDOW w AS (PARTITION BY layer, label, tree, path)))"""
+
+#: the same trees, every row carried down all levels at once (samples of classes up to 448 rows, which no prefilter thins)
+F9_SQL = with_views(f"""
+WITH s AS (SELECT example_id, layer, label, vector, CAST(tree AS INTEGER) AS tree,
+       row_number() OVER (PARTITION BY layer, label, tree ORDER BY sha256(concat(example_id, ':', tree, ':42')), example_id) <= 256 AS drawn,
+       least(256, count(*) OVER (PARTITION BY layer, label, tree)) AS psi
+     FROM vectors, (SELECT unnest(range(100)) AS tree) WHERE layer <> 0),
+start AS (SELECT layer, label, tree, example_id, vector, drawn, CAST(greatest(1, ceil(log2(greatest(psi, 2)))) AS BIGINT) AS most, '' AS path FROM s),
+r AS ({_SPLIT.format(src="start")}
+      UNION ALL
+      {_SPLIT.format(src=f"""(SELECT layer, label, tree, example_id, vector, drawn, most, path || CASE WHEN vector[q] < lo[q] + {_uniform("threshold")} * (hi[q] - lo[q])
+       THEN 'L' ELSE 'R' END AS path FROM r WHERE q IS NOT NULL)""")}),
+h AS (SELECT layer, label, example_id, avg(length(path) + {_average_path("n")}) AS h FROM r WHERE q IS NULL GROUP BY layer, label, example_id),
+o AS (SELECT example_id, layer, label, -pow(2.0::DOUBLE, -h / greatest({_average_path("psi")}, 1e-12)) AS score
+      FROM h JOIN (SELECT DISTINCT layer, label, psi FROM s) USING (layer, label))
+SELECT example_id, layer, label, round(score, 6) AS outlier_score, score >= -0.5 AS keep FROM o""", "vectors").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("outlier_filter", F9_SQL)
 def q_outlier_filter(spark, sf):
     """Per (layer, class) isolation forests on the vector table; rows of every class scored by their own forest."""
     from protolens.operators import outliers as O

@@ -126,9 +126,11 @@ def test_streamed_parameters_give_the_broadcast_scores(spark, monkeypatch):
     """Keys over the broadcast limit (here 1 byte): same scores, also for repeated ids and several salts."""
     import numpy as np
 
+    from protolens.operators import blocks as B
     from protolens.operators import scoring as SC
 
-    monkeypatch.setattr(SC, "STREAM_ROWS", 25)
+    monkeypatch.setattr(B, "HELD_BYTES", 25 * 12 * 8)
+    monkeypatch.setattr(B, "BLOCK_BYTES", 5 * 12 * 8)
     df, fit = _scored_pairs(spark)
     key = lambda x: (x.example_id, x.layer, x.label, tuple(x.vector))
     for score in (lambda b: SC.mahalanobis_sq(df, fit["means"], fit["precision"], ["layer"], out="s", max_broadcast_bytes=b),
