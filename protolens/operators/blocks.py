@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from protolens.operators.params import DEFAULT_MAX_BROADCAST_BYTES, attach_params, materialize, row_salt
+from protolens.session import scratch_path
 
 BLOCK_BYTES = 2 << 20
 HELD_BYTES = 128 << 20
@@ -67,14 +68,18 @@ def factor_blocks(matrices: DataFrame, keys: Sequence[str], cls: str | None = No
 
     The rows are those of L^T of the Cholesky factor P = L L^T, so that |L^T z|^2 = z^T P z.  A matrix that is not
     positive definite is taken apart by its eigenvectors instead, with negative signs where eigenvalues are negative; one
-    with NaN gives NaN.  A group is one matrix, read from its Arrow buffer.
+    with NaN gives NaN.  A group is one matrix, read from Arrow buffers and given back block by block.
     """
     keys = list(keys)
     by, limit = keys + ([cls] if cls else []), BLOCK_BYTES
 
-    def run(table: pa.Table) -> pa.Table:
-        i = np.asarray(table.column("i").combine_chunks())
-        p = _vectors(table.column("row"))[np.argsort(i)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, p = None, None
+        for b in batches:
+            rows = _vectors(b.column("row"))
+            if first is None:
+                first, p = b.slice(0, 1).select(by), np.empty((rows.shape[1],) * 2)
+            p[np.asarray(b.column("i"))] = rows
         d = p.shape[1]
         try:
             f, signs = np.linalg.cholesky(p).T, np.ones(d, int)
@@ -84,18 +89,15 @@ def factor_blocks(matrices: DataFrame, keys: Sequence[str], cls: str | None = No
                 f, signs = (v * np.sqrt(np.abs(w))).T, np.where(w < 0, -1, 1)
             else:
                 f, signs = np.full((1, d), np.nan), np.ones(1, int)
+        del p
         step = max(1, limit // (8 * d))
-        data, sign = [], []
+        of = pa.array([int(first.column(cls)[0].as_py()) if cls else ALL], pa.int32())
         for s in (1, -1):
-            part = f[signs == s]
-            for a in range(0, len(part), step):
-                data.append(np.ascontiguousarray(part[a:a + step]).tobytes())
-                sign.append(s)
-        n = len(data)
-        first = [pa.array(table.column(k).slice(0, 1).to_pylist() * n, table.schema.field(k).type) for k in by]
-        of = pa.array([int(table.column(cls)[0].as_py()) if cls else ALL] * n, pa.int32())
-        return pa.Table.from_arrays([*first[:len(keys)], pa.array([FACTOR] * n, pa.int32()), of, pa.array(sign, pa.int32()),
-                                     pa.array(data, pa.binary())], [*keys, "kind", "cls", "sign", "data"])
+            at = np.flatnonzero(signs == s)
+            for a in range(0, len(at), step):
+                yield pa.RecordBatch.from_arrays(
+                    [*first.columns[:len(keys)], pa.array([FACTOR], pa.int32()), of, pa.array([s], pa.int32()),
+                     pa.array([f[at[a:a + step]].tobytes()], pa.binary())], [*keys, "kind", "cls", "sign", "data"])
 
     return matrices.select(*by, "i", "row").groupBy(*by).applyInArrow(run, _schema(matrices, keys))
 
@@ -152,7 +154,7 @@ def score(df: DataFrame, blocks: DataFrame, keys: Sequence[str], vec: str, out:
     if limit is None:
         limit = int(df.sparkSession.conf.get("protolens.maxBroadcastBytes", str(DEFAULT_MAX_BROADCAST_BYTES)))
     keep = list(df.columns if keep is None else keep)
-    blocks = materialize(blocks)
+    blocks = _written(blocks)
     size = blocks.agg(F.sum(F.length("data"))).first()[0] or 0
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.DoubleType()))])
     df = df.select(*keep, *[c for c in (*keys, vec) if c not in keep])
@@ -161,6 +163,15 @@ def score(df: DataFrame, blocks: DataFrame, keys: Sequence[str], vec: str, out:
     return _broadcast(df, blocks, keys, vec, keep, schema, fold)
 
 
+def _written(blocks: DataFrame) -> DataFrame:
+    """As ``materialize``, in small row groups without dictionaries: a writer holds a few blocks, not a matrix."""
+    path = scratch_path(blocks.sparkSession, "blocks")
+    options = {"parquet.block.size": str(8 * BLOCK_BYTES), "parquet.block.row.count.limit": "8",
+               "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false", "compression": "none"}
+    blocks.write.mode("overwrite").options(**options).parquet(path)
+    return blocks.sparkSession.read.schema(blocks.schema).parquet(path)
+
+
 def _parsed(rows) -> list:
     return [(kind, cls, sign, np.frombuffer(data, dtype=np.float64)) for kind, cls, sign, data in rows]
 
