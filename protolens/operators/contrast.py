@@ -1,19 +1,20 @@
 """Contrastive directions, condition similarity and threshold search (survey C1-C17).
 
-Pairs are (layer, pair, pos, neg) rows.  Principal directions come from the
-same additive Gram partials as the covariance statistics; the eigen
-decomposition runs once per layer on a d x d matrix (``applyInPandas``).
-The condition grid search reduces rows to per-(combination, score bin,
-label) counts first, so its cost is independent of the number of examples.
+Pairs are (layer, pair, pos, neg) rows.  Principal directions of narrow rows
+come from the same additive Gram partials as the covariance statistics, those
+of wide rows from block iteration on the rows (``subspace``).  The condition
+grid search reduces rows to counts per (combination, score bin, label).
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 from protolens.functions import vec as V
 from protolens.operators import stats as S
 from protolens.operators.params import attach_params, materialize
+from protolens.operators.subspace import krylov_directions
 
 DIRECTIONS = ("larger", "smaller")  # iteration order of the grid search
 
@@ -30,11 +32,20 @@ DIRECTIONS = ("larger", "smaller")  # iteration order of the grid search
 # ---------------------------------------------------------------- C1-C3
 def pair_vectors(vectors: DataFrame, pairs: DataFrame, keys=("layer",), id_col: str = "example_id",
                  vec: str = "vector") -> DataFrame:
-    """(keys..., rank, pos_id, neg_id, pos, neg) from a vector table and zipped id pairs."""
+    """(keys..., rank, pos_id, neg_id, pos, neg) from a vector table and zipped id pairs (one row a rank).
+
+    The ranks meet the vectors by id and both members of a pair by (keys, rank): wide vectors are shuffled once."""
     keys = list(keys)
-    p = vectors.select(*keys, F.col(id_col).alias("pos_id"), F.col(vec).alias("pos"))
-    n = vectors.select(*keys, F.col(id_col).alias("neg_id"), F.col(vec).alias("neg"))
-    return pairs.join(p, "pos_id").join(n, keys + ["neg_id"])
+    side = F.inline(F.array(F.struct(F.lit(0).alias("_side"), F.col("pos_id").alias(id_col)),
+                            F.struct(F.lit(1).alias("_side"), F.col("neg_id").alias(id_col))))
+    rows = attach_params(vectors.select(*keys, id_col, vec), pairs.select("rank", side), [id_col], uniform_keys=True)
+
+    def member(i: int) -> Column:
+        return F.first(F.when(F.col("_side") == i, F.struct(F.col(id_col), F.col(vec))), ignorenulls=True)
+
+    both = rows.groupBy(*keys, "rank").agg(member(0).alias("_p"), member(1).alias("_n")).where("_p is not null and _n is not null")
+    return both.select(*keys, "rank", F.col(f"_p.{id_col}").alias("pos_id"), F.col(f"_n.{id_col}").alias("neg_id"),
+                       F.col(f"_p.{vec}").alias("pos"), F.col(f"_n.{vec}").alias("neg"))
 
 
 def contrast_matrix_diff(pairs: DataFrame, keys=("layer",)) -> DataFrame:
@@ -65,13 +76,23 @@ def _cov_rows(rows: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
     return scat.select(*keys, "i", "n", V.scale("row", S._inv_dof("n")).alias("row"))
 
 
-def principal_directions(rows: DataFrame, keys=("layer",), vec: str = "vector", k: int = 1) -> DataFrame:
+#: widths up to which the whole d x d matrix is cheaper than several passes over the rows
+GRAM_MAX_DIM = 512
+
+
+def principal_directions(rows: DataFrame, keys=("layer",), vec: str = "vector", k: int = 1, engine: str = "auto") -> DataFrame:
     """Top-k principal axes of the column-centred rows per key and their explained variance ratios.
 
-    Sign convention before orientation: the largest-magnitude entry is positive.
+    ``engine``: 'gram' (d x d matrix and its eigenvectors), 'krylov' (block iteration on the rows, block x d numbers a
+    task) or 'auto' (by width).  Sign convention before orientation: the largest-magnitude entry is positive.
     Output: (keys..., component INT, direction ARRAY<DOUBLE>, evr DOUBLE, variance DOUBLE).
     """
     keys = list(keys)
+    if engine == "auto":
+        width = rows.select(F.size(vec).alias("d")).limit(1).collect()
+        engine = "krylov" if width and width[0].d > GRAM_MAX_DIM else "gram"
+    if engine == "krylov":
+        return krylov_directions(rows, keys, vec, k)
     cov = _cov_rows(rows, keys, vec)
     schema = T.StructType([rows.schema[c] for c in keys] + [
         T.StructField("component", T.IntegerType()), T.StructField("direction", T.ArrayType(T.DoubleType())),
@@ -185,15 +206,63 @@ def threshold_grid(spark, lo: float, hi: float, step: float) -> DataFrame:
                                  (F.lit(float(lo)) + F.col("id").cast("double") * F.lit(float(step))).alias("t"))
 
 
-def layer_combinations(spark, layers: Sequence[int], max_layers: int) -> DataFrame:
-    """All combinations of up to ``max_layers`` layers in search order (parameter-sized: sum C(L, r))."""
-    rows = []
-    idx = 0
-    for r in range(1, min(max_layers, len(layers)) + 1):
-        for combo in itertools.combinations(list(layers), r):
-            rows.append((idx, r, list(int(x) for x in combo), "_".join(str(x) for x in combo)))
-            idx += 1
-    return spark.createDataFrame(rows, "combo_idx int, r int, layers array<int>, combo string")
+#: examples whose bins a task holds while it counts them for every combination
+HELD_EXAMPLES = 1 << 19
+
+
+def _combination_counts(bins: DataFrame, layers: Sequence[int], max_layers: int, nt: int) -> DataFrame:
+    """(combo_idx, combo, counts): for every combination of up to ``max_layers`` layers, in search order, how many examples
+    have label 0 or 1 and their largest (smallest) bin at 0..nt, as one array in the order (kind, label, bin).
+
+    ``bins``: (y, b ARRAY<INT>) with one bin a layer, null where there is none.  A task holds the bins of its examples
+    as a small integer matrix and takes maxima of two of its columns at a time: no example is copied for a combination.
+    """
+    layers, held = [int(x) for x in layers], HELD_EXAMPLES
+    wide = nt + 2  # a bin of its own for examples without any layer of the combination
+    schema = "combo_idx int, combo array<int>, counts array<double>"
+
+    def count(y: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        base = y.astype(np.int64) * wide
+        low, high = np.where(b < 0, 0, b + 1).astype(np.int32), np.where(b < 0, nt + 1, b).astype(np.int32)
+        found: list[tuple] = []
+
+        def walk(first: int, picked: tuple, top: np.ndarray | None, bottom: np.ndarray | None) -> None:
+            for x in range(first, len(layers)):
+                t = low[:, x] if top is None else np.maximum(top, low[:, x])
+                m = high[:, x] if bottom is None else np.minimum(bottom, high[:, x])
+                # bins moved by one for the maximum: its place 0 and the minimum's place nt + 1 are of no use
+                largest = np.bincount(base + t, minlength=2 * wide).reshape(2, wide)[:, 1:]
+                smallest = np.bincount(base + m, minlength=2 * wide).reshape(2, wide)[:, :-1]
+                found.append((len(picked) + 1, (*picked, x), np.stack([largest, smallest]).ravel()))
+                if len(picked) + 1 < max_layers:
+                    walk(x + 1, (*picked, x), t, m)
+
+        walk(0, (), None, None)
+        for a in range(0, len(found), 1000):
+            part = found[a:a + 1000]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([place[p] for _, p, _ in part], pa.int32()), pa.array([[layers[x] for x in p] for _, p, _ in part], pa.list_(pa.int32())),
+                pa.array([c.astype(np.float64) for _, _, c in part], pa.list_(pa.float64()))], ["combo_idx", "combo", "counts"])
+
+    place = {p: i for i, p in enumerate(p for r in range(1, min(max_layers, len(layers)) + 1) for p in itertools.combinations(range(len(layers)), r))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ys, bs, n = [], [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ys.append(np.asarray(batch.column("y")))
+            flat = batch.column("b").flatten()
+            bs.append(np.asarray(pc.fill_null(flat, -1)).reshape(batch.num_rows, -1))
+            n += batch.num_rows
+            if n >= held:
+                yield from count(np.concatenate(ys), np.concatenate(bs))
+                ys, bs, n = [], [], 0
+        if n:
+            yield from count(np.concatenate(ys), np.concatenate(bs))
+
+    counted = bins.mapInArrow(run, schema)
+    return counted.groupBy("combo_idx", "combo").agg(vector_to_array(Summarizer.sum(array_to_vector("counts"))).alias("counts"))
 
 
 def grid_f1(sims: DataFrame, labels: DataFrame, layers: Sequence[int], max_layers: int = 1,
@@ -202,51 +271,50 @@ def grid_f1(sims: DataFrame, labels: DataFrame, layers: Sequence[int], max_layer
     """C17 grid: F1 for every (layer combination, threshold, direction).
 
     Per example and combination only max(sim) ('smaller' fires iff max > t)
-    and min(sim) ('larger' fires iff min <= t) matter; both are binned by the
-    number of thresholds strictly below them, counted by (combo, bin, label),
-    and turned into TP/FP/FN by cumulative sums over bins.
+    and min(sim) ('larger' fires iff min <= t) matter.  Each layer's similarity
+    becomes the number of thresholds strictly below it; the bins of an example
+    are one row, counted for all combinations where it stands, and TP/FP/FN of
+    a threshold are sums of counts on one side of it.
     """
-    spark = sims.sparkSession
-    combos = layer_combinations(spark, layers, max_layers)
-    grid = threshold_grid(spark, threshold_range[0], threshold_range[1], threshold_step)
+    layers = [int(x) for x in layers]
+    grid = threshold_grid(sims.sparkSession, threshold_range[0], threshold_range[1], threshold_step)
     ts = [r.t for r in grid.orderBy("j").collect()]  # the threshold list: a parameter (bounded)
-    tarr = F.array(*[F.lit(float(t)) for t in ts])
-    ex = sims.join(F.broadcast(combos.select("combo_idx", F.explode("layers").alias("layer"))), "layer")
-    per = ex.groupBy(id_col, "combo_idx").agg(F.max(sim).alias("smax"), F.min(sim).alias("smin"))
-    per = per.join(labels.select(id_col, F.col("label").cast("int").alias("y")), id_col)
-    nbin = lambda c: F.size(F.filter(tarr, lambda t: t < F.col(c)))
-    binned = per.select("combo_idx", "y", nbin("smax").alias("bmax"), nbin("smin").alias("bmin"))
-    binned = materialize(binned.groupBy("combo_idx", "y", "bmax", "bmin").agg(F.count(F.lit(1)).alias("n")))  # examples counted once
-    nt = len(ts)
-    # dense (combo, y, bin) frame from generators; counts joined on equal keys; running sums over bins
-    dense = combos.select("combo_idx", F.explode(F.sequence(F.lit(0), F.lit(nt))).alias("bin")) \
-        .withColumn("y", F.explode(F.array(F.lit(0), F.lit(1))))
-    w = Window.partitionBy("combo_idx", "y").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-
-    def cum(col):
-        c = binned.groupBy("combo_idx", "y", F.col(col).alias("bin")).agg(F.sum("n").alias("count"))
-        d = dense.join(c, ["combo_idx", "y", "bin"], "left").fillna(0, ["count"])
-        d = d.select("combo_idx", "y", "bin", F.sum("count").over(w).alias("le"),
-                     F.sum("count").over(Window.partitionBy("combo_idx", "y")).alias("tot"))
-        return d.groupBy("combo_idx", "bin").agg(
-            F.sum(F.when(F.col("y") == 1, F.col("le")).otherwise(0)).alias("le1"),
-            F.sum(F.when(F.col("y") == 0, F.col("le")).otherwise(0)).alias("le0"),
-            F.sum(F.when(F.col("y") == 1, F.col("tot")).otherwise(0)).alias("tot1"))
-
-    # 'smaller' fires at threshold j iff bmax > j; 'larger' iff bmin <= j
-    cmax = cum("bmax").select("combo_idx", F.col("bin").alias("j"), F.lit("smaller").alias("direction"),
-                              (F.col("tot1") - F.col("le1")).alias("tp"),
-                              (F.col("le1") + 0 * F.col("le0")).alias("fn"), "le0", "tot1")
-    cmax = cmax.join(binned.groupBy("combo_idx").agg(F.sum((1 - F.col("y")) * F.col("n")).alias("tot0")), "combo_idx") \
-        .withColumn("fp", F.col("tot0") - F.col("le0")).select("combo_idx", "j", "direction", "tp", "fp", "fn")
-    cmin = cum("bmin").select("combo_idx", F.col("bin").alias("j"), F.lit("larger").alias("direction"),
-                              F.col("le1").alias("tp"), F.col("le0").alias("fp"),
-                              (F.col("tot1") - F.col("le1")).alias("fn"))
-    cells = cmax.unionByName(cmin)
+    nt, tarr = len(ts), F.array(*[F.lit(float(t)) for t in ts])
+    slim = sims.where(F.col("layer").isin(layers)).select(
+        F.col(id_col), "layer", F.when(F.col(sim).isNotNull(), F.size(F.filter(tarr, lambda t: t < F.col(sim)))).alias("_bin"))
+    per = slim.groupBy(id_col).agg(F.array(*[F.max(F.when(F.col("layer") == x, F.col("_bin"))) for x in layers]).alias("b"))
+    per = per.join(labels.select(id_col, F.col("label").cast("int").alias("y")), id_col).where(F.col("y").isin(0, 1))
+    combos = materialize(_combination_counts(per.select("y", "b"), layers, max_layers, nt))
+
+    def side(kind: int, y: int, lo: Column, n: Column) -> Column:
+        """Examples of label ``y`` in ``n`` bins from ``lo`` on (kind 0: largest, 1: smallest bin)."""
+        return V.vsum(F.slice("counts", (2 * kind + y) * (nt + 1) + 1 + lo, n)).cast("long")
+
+    j = F.col("j")
+    above, upto = (F.lit(nt) - j), (j + 1)  # bins above j, and bins up to j
+    cells = combos.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nt - 1))))
+    both = F.inline(F.array(  # 'smaller' fires at threshold j iff the largest bin is above j; 'larger' iff the smallest is not
+        F.struct(F.lit("smaller").alias("direction"), side(0, 1, upto, above).alias("tp"), side(0, 0, upto, above).alias("fp"),
+                 side(0, 1, F.lit(0), upto).alias("fn")),
+        F.struct(F.lit("larger").alias("direction"), side(1, 1, F.lit(0), upto).alias("tp"), side(1, 0, F.lit(0), upto).alias("fp"),
+                 side(1, 1, upto, above).alias("fn"))))
+    cells = cells.select("combo_idx", F.size("combo").alias("r"), F.concat_ws("_", F.col("combo").cast("array<string>")).alias("combo"),
+                         F.col("combo").alias("layers"), "j", F.element_at(tarr, j + 1).alias("t"), both)
     f1 = F.when(2 * F.col("tp") + F.col("fp") + F.col("fn") > 0,
                 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).otherwise(F.lit(0.0))
-    return cells.join(F.broadcast(combos), "combo_idx").join(F.broadcast(grid), "j").select(
-        "combo_idx", "r", "combo", "layers", "j", "t", "direction", "tp", "fp", "fn", f1.alias("f1"))
+    return cells.select("*", f1.alias("f1"))
+
+
+def similarities_by_class(sims: DataFrame, labels: DataFrame, layers: Sequence[int], threshold_range=(0.0, 1.0),
+                          threshold_step: float = 0.01, id_col: str = "example_id", sim: str = "similarity") -> DataFrame:
+    """C17: the similarities of each layer by class, one row an example, and its number of thresholds below (its place in
+    the search): (layer, class 'positive' / 'negative', id, similarity, bin)."""
+    n = int(np.ceil((threshold_range[1] - threshold_range[0]) / threshold_step))
+    ts = F.array(*[F.lit(float(threshold_range[0]) + j * float(threshold_step)) for j in range(n)])
+    rows = sims.where(F.col("layer").isin([int(x) for x in layers])).select(id_col, "layer", sim)
+    rows = rows.join(labels.select(id_col, F.col("label").cast("int").alias("_y")), id_col)
+    return rows.select("layer", F.when(F.col("_y") == 1, "positive").otherwise("negative").alias("class"), id_col, sim,
+                       F.size(F.filter(ts, lambda t: t < F.col(sim))).alias("bin"))
 
 
 def best_condition_point(grid: DataFrame) -> DataFrame:

@@ -250,9 +250,9 @@ best AS (SELECT * FROM f WHERE f1 > 0 ORDER BY f1 DESC, r, combo_idx, j, di LIMI
 
 
 def _grid(spark, sf):
-    sims = _sims(spark, sf)
-    labels = layer_vectors(spark, sf).where("layer = 1").select("example_id", "label")
-    return sims, CT.grid_f1(sims, labels, [1, 2, 3], max_layers=2, threshold_range=(0.0, 1.0), threshold_step=0.01)
+    sims, v = _sims(spark, sf), layer_vectors(spark, sf)
+    layers = [r["layer"] for r in v.select("layer").distinct().orderBy("layer").collect()]  # one row a layer
+    return sims, CT.grid_f1(sims, v.select("example_id", "label").distinct(), layers, max_layers=2, threshold_range=(0.0, 1.0), threshold_step=0.01)
 
 
 @register("best_condition_point", _sims_sql("x AS (SELECT 1)" + _GRID + """
@@ -280,6 +280,28 @@ def q_similarity_analysis(spark, sf):
                     rnd("f1").alias("f1"))
 
 
+@register("layer_similarities_by_class", _sims_sql("""
+x AS (SELECT 1)
+SELECT layer, CASE WHEN label = 1 THEN 'positive' ELSE 'negative' END AS class, example_id, round(sim, 6) AS similarity,
+       CAST((SELECT count(*) FROM range(100) r(j) WHERE 0.0::DOUBLE + CAST(j AS DOUBLE) * 0.01::DOUBLE < sim) AS INTEGER) AS bin FROM sims"""))
+def q_layer_similarities_by_class(spark, sf):
+    v = layer_vectors(spark, sf)
+    layers = [r["layer"] for r in v.select("layer").distinct().collect()]  # one row a layer
+    s = CT.similarities_by_class(_sims(spark, sf), v.select("example_id", "label").distinct(), layers)
+    return s.select("layer", "class", "example_id", rnd("similarity").alias("similarity"), "bin")
+
+
+# the whole search from principal directions: the same grid on other similarities
+CONDITION_SEARCH_SQL = _sql(_PCA + """,
+ve AS (SELECT vv.example_id, vv.layer, vv.label, unnest(vv.vector) AS x, unnest(od.d) AS v FROM vv JOIN od USING (layer)),
+hv AS (SELECT example_id, layer, sum(x * v) / sum(v * v) AS c FROM ve GROUP BY ALL),
+tv AS (SELECT ve.example_id, ve.layer, ve.label, ve.x, tanh(ve.v * hv.c) AS y FROM ve JOIN hv USING (example_id, layer)),
+sims AS (SELECT example_id, layer, any_value(label) AS label, sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) AS sim
+         FROM tv GROUP BY example_id, layer)""" + _GRID + """
+SELECT s.example_id, CAST(bool_or(CASE WHEN b.direction = 'smaller' THEN s.sim > b.t ELSE s.sim <= b.t END) AS INTEGER) AS pred
+FROM sims s JOIN best b ON list_contains(b.layers, s.layer) GROUP BY s.example_id""")
+
+
 # C12 ----------------------------------------------------------------------------
 RULES = ["if C1 or C2 then B1", "if C1 and C3 then B2", "if C2 then B1", "if C3 and C4 then B2"]
 

@@ -8,6 +8,7 @@ from protolens.plans import categories, combos, flagship
 from protolens.plans.catalog import register
 from protolens.plans.common import layer_vectors, rnd, train_test
 from protolens.plans.condition import condition_search
+from protolens.plans.q_contrast import CONDITION_SEARCH_SQL
 
 
 def _rounded(df):
@@ -20,7 +21,7 @@ def q_multilayer_report(spark, sf):
     return _rounded(flagship.multilayer_report(spark, sf))
 
 
-@register("condition_search")
+@register("condition_search", CONDITION_SEARCH_SQL)
 def q_condition_search(spark, sf):
     """Pairs -> principal directions -> similarities -> threshold grid -> best cell -> predictions."""
     v = layer_vectors(spark, sf)
