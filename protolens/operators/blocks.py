@@ -118,24 +118,30 @@ def negative_distance(x: np.ndarray, blocks: list, state: dict) -> None:
         state[c] = -np.sqrt(np.einsum("ij,ij->i", z, z))
 
 
-def mahalanobis(x: np.ndarray, blocks: list, state: dict) -> None:
-    """Squared distances: sum of sign |f (x - mean)|^2 over the factor rows of the class, or of all classes."""
-    means = state.setdefault("means", {})
-    for kind, c, sign, v in blocks:
-        if kind == MEAN:
-            means[c] = v
-            state[c] = np.zeros(len(x))
-            continue
-        f = v.reshape(-1, x.shape[1])
-        if c != ALL:
-            z = (x - means[c]) @ f.T
-            state[c] += sign * np.einsum("ij,ij->i", z, z)
-            continue
-        origin = means[min(means)]  # near the rows: no cancellation for vectors with a large common offset
-        z = (x - origin) @ f.T
-        for k, m in means.items():
-            u = z - f @ (m - origin)
-            state[k] += sign * np.einsum("ij,ij->i", u, u)
+def mahalanobis_of(k: int | None) -> Fold:
+    """Squared distances: sum of sign |f (x - mean)|^2 over the rows of a factor.
+
+    Factor c belongs to the classes c k .. c k + k - 1 (to class c with k = 1), factor ``ALL`` to every class."""
+
+    def fold(x: np.ndarray, blocks: list, state: dict) -> None:
+        means = state.setdefault("means", {})
+        for kind, c, sign, v in blocks:
+            if kind == MEAN:
+                means[c] = v
+                state[c] = np.zeros(len(x))
+                continue
+            f = v.reshape(-1, x.shape[1])
+            of = list(means) if c == ALL else [c * k + j for j in range(k) if c * k + j in means]
+            origin = means[of[0]]  # near the rows: no cancellation for vectors with a large common offset
+            z = (x - origin) @ f.T
+            for j in of:
+                u = z - f @ (means[j] - origin)
+                state[j] += sign * np.einsum("ij,ij->i", u, u)
+
+    return fold
+
+
+mahalanobis = mahalanobis_of(1)
 
 
 def _scores(state: dict) -> pa.Array:

@@ -77,12 +77,14 @@ GRAM_STATE_BUDGET_BYTES = 512 * 1024 * 1024
 
 
 def gram_partials(df: DataFrame, group_cols: Sequence[str], vec: str = "vector",
-                  state_budget_bytes: int = GRAM_STATE_BUDGET_BYTES) -> DataFrame:
+                  state_budget_bytes: int = GRAM_STATE_BUDGET_BYTES, one_at_a_time: bool = False) -> DataFrame:
     """Per input partition and group: n, column sums s_i and Gram rows g_i (numpy BLAS).
 
     A task keeps one d x d accumulator per group it has seen; when they exceed
     ``state_budget_bytes`` the oldest accumulators are emitted early (partials
     are additive, so this only adds rows to the shuffle, never changes results).
+    With ``one_at_a_time`` rows are sorted by group within their partition: a
+    task holds one matrix and emits each group once, however many groups there are.
     Output: (group_cols..., i INT, n BIGINT, s DOUBLE, g ARRAY<DOUBLE>).
     """
     group_cols = list(group_cols)
@@ -112,6 +114,10 @@ def gram_partials(df: DataFrame, group_cols: Sequence[str], vec: str = "vector",
                 key = key if isinstance(key, tuple) else (key,)
                 x = np.asarray(np.stack(part[vec].to_numpy()), dtype=np.float64)
                 st = acc.get(key)
+                if one_at_a_time and st is None and acc:  # sorted: the group before is complete
+                    old, (n, s, g) = acc.popitem()
+                    held -= g.nbytes
+                    yield emit(old, n, s, g)
                 if st is None:
                     acc[key] = [x.shape[0], x.sum(axis=0), x.T @ x]
                     held += acc[key][2].nbytes
@@ -127,7 +133,8 @@ def gram_partials(df: DataFrame, group_cols: Sequence[str], vec: str = "vector",
         for key, (n, s, g) in acc.items():
             yield emit(key, n, s, g)
 
-    return df.select(*group_cols, vec).mapInPandas(per_partition, out_schema)
+    rows = df.select(*group_cols, vec)
+    return (rows.sortWithinPartitions(*group_cols) if one_at_a_time else rows).mapInPandas(per_partition, out_schema)
 
 
 def merge_gram(partials: DataFrame, group_cols: Sequence[str]) -> DataFrame:
@@ -170,7 +177,9 @@ def class_scatter(
         means = materialize(means)  # pass 1 over the rows, computed once
     centred = attach_params(df.select(*keys, label, vec), means, keys + [label], materialized=True)
     centred = centred.select(*keys, label, V.sub(vec, "mean").alias(vec))
-    merged = merge_gram(gram_partials(centred, keys + [label], vec), keys + [label])
+    info = means.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("mean")).alias("d")).first()
+    many = (info.k or 0) * (info.d or 0) ** 2 * 8 > GRAM_STATE_BUDGET_BYTES
+    merged = merge_gram(gram_partials(centred, keys + [label], vec, one_at_a_time=many), keys + [label])
     return _rows_to_scatter(merged, keys + [label])
 
 

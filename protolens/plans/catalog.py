@@ -29,6 +29,7 @@ _MODULES = (
     "protolens.plans.q_rollup",
     "protolens.plans.q_io",
     "protolens.plans.q_flows",
+    "protolens.plans.q_experiments",
 )
 _loaded = False
 

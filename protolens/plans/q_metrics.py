@@ -27,7 +27,7 @@ def _binary(spark, sf) -> DataFrame:
     return s.withColumn("pred", M.threshold_predict(F.col("score")))
 
 
-_CONF = nmc_ctes() + """,
+CONFUSION_SQL = """,
 bp AS (SELECT *, CAST(score > 0.5 AS INTEGER) AS bpred FROM preds),
 cf AS (SELECT layer, dataset,
               CAST(sum(CASE WHEN label = 0 AND bpred = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
@@ -36,6 +36,7 @@ cf AS (SELECT layer, dataset,
               CAST(sum(CASE WHEN label = 1 AND bpred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
               avg(CAST(bpred = label AS DOUBLE)) AS accuracy
        FROM bp GROUP BY layer, dataset)"""
+_CONF = nmc_ctes() + CONFUSION_SQL
 
 M1_SQL = vec_base(nmc_ctes() + """
 SELECT example_id, layer, CAST(score > 0.5 AS INTEGER) AS pred FROM preds""")
@@ -98,7 +99,7 @@ def q_supports(spark, sf):
     return _conf(spark, sf).select(*KEYS, "negative_support", "positive_support")
 
 
-_RANK = """,
+RANK_SQL = _RANK = """,
 st AS (SELECT layer, dataset, score, sum(label) AS pos, sum(1 - label) AS neg FROM preds GROUP BY ALL),
 cu AS (SELECT *, sum(neg) OVER (PARTITION BY layer, dataset ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nb,
               sum(pos) OVER (PARTITION BY layer, dataset ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tpc,
@@ -249,7 +250,7 @@ soft AS (SELECT *, exp(s - max(s) OVER w) AS e FROM two WINDOW w AS (PARTITION B
 ps AS (SELECT kind, example_id, layer, dataset, label, cls, e / sum(e) OVER (PARTITION BY kind, example_id, layer) AS prob FROM soft),
 allp AS (SELECT 'nmc' AS kind, layer AS l, dataset AS ds, label, score FROM nmc
          UNION ALL SELECT kind, layer, dataset, label, prob FROM ps WHERE cls = 1),
-preds AS (SELECT concat(kind, '_layer', CAST(l AS VARCHAR)) AS layer, ds AS dataset, label, score FROM allp)""" + _CONF[len(nmc_ctes()):] + _RANK + """
+preds AS (SELECT concat(kind, '_layer', CAST(l AS VARCHAR)) AS layer, ds AS dataset, label, score FROM allp)""" + CONFUSION_SQL + _RANK + """
 SELECT dataset, layer AS method, round(accuracy, 6) AS accuracy,
        round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1,
        round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS true_positive_rate,

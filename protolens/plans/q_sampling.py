@@ -85,16 +85,17 @@ def q_balanced_take(spark, sf):
 
 # SP7 --------------------------------------------------------------------------
 @register("seed_size_grid", with_views("""
-WITH seeds AS (SELECT unnest([0, 1, 2]) AS seed), sizes AS (SELECT unnest([10, 20, 40]) AS size),
-r AS (SELECT v.example_id, v.label, s.seed,
-             row_number() OVER (PARTITION BY s.seed, v.label
-                                ORDER BY md5(concat(CAST(v.example_id AS VARCHAR), ':', CAST(s.seed AS VARCHAR))), v.example_id) AS rn
-      FROM vectors v, seeds s WHERE v.layer = 1 AND v.split = 'train')
+WITH seeds AS (SELECT unnest([0, 1, 2, 3, 4]) AS seed), sizes AS (SELECT unnest([10, 50, 100, 500, 1000, 5000, 10000, 20000, 40000]) AS size),
+e AS (SELECT DISTINCT example_id, label FROM vectors WHERE split = 'train'),
+r AS (SELECT example_id, label, seed,
+             row_number() OVER (PARTITION BY seed, label ORDER BY md5(concat(CAST(example_id AS VARCHAR), ':', CAST(seed AS VARCHAR))), example_id) AS rn
+      FROM e, seeds)
 SELECT CAST(seed AS INTEGER) AS seed, CAST(size AS INTEGER) AS size, label, example_id FROM r, sizes WHERE rn <= size""",
                                       "vectors"))
 def q_seed_size_grid(spark, sf):
-    tr = _layer1(spark, sf).where("split = 'train'")
-    g = SP.seed_size_grid(tr, [0, 1, 2], [10, 20, 40], [], "label", "example_id")
+    """All seeds and sizes of the sweep, over every training example; a size beyond a class takes all of it."""
+    ids = fx.vectors(spark, sf).where("split = 'train'").select("example_id", "label").distinct()
+    g = SP.seed_size_grid(ids, [0, 1, 2, 3, 4], [10, 50, 100, 500, 1000, 5000, 10000, 20000, 40000], [], "label", "example_id")
     return g.select("seed", "size", "label", "example_id")
 
 

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from protolens.functions import vec as V
-from protolens.operators import metrics as M
-from protolens.operators import sampling as SP
 from protolens.operators import scoring as SC
 from protolens.operators import stats as S
 from protolens.operators.params import attach_params
@@ -415,43 +413,6 @@ def q_odd_class_sum(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("example_id", "layer", rnd(SC.odd_class_sum("probs")).alias("value"))
 
 
-# ------------------------------------------------------------------ G19 layer sweep
-G19_SQL = vec_base("""
-seeds AS (SELECT unnest([0, 1, 2]) AS seed),
-rk AS (SELECT tr.*, seed, row_number() OVER (PARTITION BY seed, layer, label
-                 ORDER BY md5(concat(CAST(example_id AS VARCHAR), ':', CAST(seed AS VARCHAR))), example_id) AS rn
-       FROM tr, seeds),
-smp AS (SELECT * FROM rk WHERE rn <= 100),
-""" + gda_ctes(keys="seed, layer", src="smp").lstrip() + """,
-lg AS (SELECT p.seed, te.example_id, te.layer, te.label, p.cls, list_dot_product(te.vector, p.w) + p.b AS s
-       FROM te JOIN g_params p ON te.layer = p.layer),
-lmx AS (SELECT seed, example_id, layer, max(s) AS ms FROM lg GROUP BY ALL),
-gp AS (SELECT lg.*, exp(lg.s - lmx.ms) / sum(exp(lg.s - lmx.ms)) OVER (PARTITION BY lg.seed, lg.example_id, lg.layer) AS prob
-       FROM lg JOIN lmx USING (seed, example_id, layer)),
-pr AS (SELECT seed, example_id, layer, any_value(label) AS label, CAST(max(prob) FILTER (WHERE cls = 1) > 0.5 AS INTEGER) AS pred
-       FROM gp GROUP BY ALL)
-SELECT CAST(seed AS INTEGER) AS seed, layer, round(avg(CAST(pred = label AS DOUBLE)), 6) AS accuracy,
-       round(CASE WHEN 2 * sum(pred * label) + sum(pred * (1 - label)) + sum((1 - pred) * label) > 0
-             THEN 2.0 * sum(pred * label) / (2 * sum(pred * label) + sum(pred * (1 - label)) + sum((1 - pred) * label))
-             ELSE 0 END, 6) AS f1
-FROM pr GROUP BY seed, layer""")
-
-
-@register("layer_sweep", G19_SQL)
-def q_layer_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """Single-layer evaluation for every (seed, layer) as one grouped job."""
-    tr, te = train_test(spark, sf)
-    seeds = F.explode(F.array(*[F.lit(i) for i in range(3)]))
-    smp = SP.sample_per_class(tr.withColumn("seed", seeds), n=100, keys=["seed", "layer"], label="label",
-                              id_col="example_id", seed_col="seed")
-    fit = S.fit_gda(smp, ["seed", "layer"], "label")
-    rows = te.withColumn("seed", seeds)
-    s = SC.softmax_probs(SC.gda_logits(rows, fit["params"], ["seed", "layer"], "label"))
-    s = s.withColumn("pred", (SC.positive_score("probs") > 0.5).cast("int"))
-    m = M.counting_metrics(M.confusion_counts(s, ["seed", "layer"], "pred", "label"))
-    return m.select("seed", "layer", rnd("accuracy").alias("accuracy"), rnd("f1").alias("f1"))
-
-
 # ------------------------------------------------------------------ J3, J7, J8
 J7_SQL = vec_base("""
 mu AS (SELECT layer, label AS proto, i, avg(x) AS m FROM tre GROUP BY ALL)
