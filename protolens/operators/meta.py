@@ -1,73 +1,190 @@
-"""Layer stacking and supervised baselines with pyspark.ml (survey G11-G18).
-
-The meta model is fitted on a per-example feature table (one column per
-layer); the table is persisted because the optimizer makes several passes.
-Objective parity with liblinear: it minimises ||w||_1 + C * sum(loss) and
-penalises the intercept; Spark minimises mean(loss) + regParam * ||w||_1, so
-regParam = 1 / (C * n) and a constant feature in place of Spark's free
-intercept give the same objective.  The convergence tolerance (1e-6) is
-tighter than liblinear's default (1e-4).
+"""Layer stacking and supervised baselines (survey G11-G18).
+
+The stack is fitted on a per-example feature table (one column per layer).
+Its objective is liblinear's: ||w||_1 + C * sum(loss) with a penalised
+intercept.  Proximal Newton needs one aggregated gradient and Hessian of
+(features + 1)^2 numbers a pass and a handful of passes; any number of stacks
+(C values, row subsets, feature subsets) are fitted in the same passes.
+G16-G18 are pyspark.ml classifiers on the raw vectors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from typing import NamedTuple
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import DenseVector, Vectors
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from protolens.operators.params import materialize
 
-def assemble(df: DataFrame, feature_cols: Sequence[str], out: str = "features") -> DataFrame:
-    """Layer features followed by a constant 1, whose weight is the intercept (penalised like the others)."""
-    one = "one_" + "_".join(feature_cols)
-    return VectorAssembler(inputCols=[*feature_cols, one], outputCol=out, handleInvalid="keep").transform(df.withColumn(one, F.lit(1.0))).drop(one)
 
+class Stack(NamedTuple):
+    """Weights of the features, then the intercept, and the largest violation of the optimality conditions."""
 
-def _training(features: DataFrame, feature_cols: Sequence[str], label: str) -> DataFrame:
-    """(features, label) for a fit without Spark's own intercept.
+    coefficients: DenseVector
+    violation: float
 
-    Spark gives a column without variance the weight 0.  The logistic loss of a row is that of its negated
-    features with the other label, so half of the rows (by hash) are turned over: the constant column then
-    varies and the objective stays exactly the same."""
-    turned = F.pmod(F.xxhash64(*[F.col(c) for c in feature_cols], F.col(label)), F.lit(2)) == 1
-    sign, y = F.when(turned, -1.0).otherwise(1.0), F.col(label).cast("double")
-    names = [f"f{i}" for i in range(len(feature_cols) + 1)]
-    rows = features.select(*[(F.col(c).cast("double") * sign).alias(n) for c, n in zip(feature_cols, names)], sign.alias(names[-1]),
-                           F.when(turned, 1.0 - y).otherwise(y).alias("label"))
-    return VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(rows).select("features", "label")
 
+class Problem(NamedTuple):
+    """One stack to fit: its C, the rows that belong to it (all by default) and the features it may use (all by default)."""
+
+    C: float = 1.0
+    rows: Column | None = None
+    columns: Sequence[str] | Sequence[int] | None = None
 
-def intercept(model) -> float:
-    return float(model.coefficients[len(model.coefficients) - 1])
 
+#: step lengths whose losses a pass also measures, beside the whole step
+SHORTER = (0.25, 0.0625)
+MAX_PASSES = 200
+#: largest violation of the optimality conditions of |w| + C sum(loss) at which a fit ends
+VIOLATION = 1e-10
 
-def _n(df: DataFrame) -> int:
-    return df.count()
+
+def intercept(model: Stack) -> float:
+    return float(model.coefficients[len(model.coefficients) - 1])
 
 
-def meta_fit(features: DataFrame, feature_cols: Sequence[str], label: str = "label", C: float = 1.0,
-             n: int | None = None):
+def _derivatives(rows: DataFrame, at: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums over the rows of each problem (first axis): loss at ``other``[:, t], loss, gradient and Hessian at ``at``.
+
+    One scan; a task sends one row of problems x (features + 1)^2 numbers."""
+    problems, p = at.shape
+    trials = other.shape[1]
+    shape = [(problems, trials), (problems,), (problems, p), (problems, p, p)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(s) for s in shape]
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            x = np.column_stack([np.asarray(b.column("x").flatten()).reshape(n, -1), np.ones(n)])
+            y, member = np.asarray(b.column("y")), np.asarray(b.column("member").flatten()).reshape(n, -1)
+            for k in range(problems):
+                xk, yk = (x, y) if member[:, k].all() else (x[member[:, k]], y[member[:, k]])
+                z = xk @ at[k]
+                chance = 0.5 * (1 + np.tanh(z / 2))
+                sums[0][k] += [(np.logaddexp(0, v) - yk * v).sum() for v in (xk @ w for w in other[k])]
+                sums[1][k] += (np.logaddexp(0, z) - yk * z).sum()
+                sums[2][k] += xk.T @ (chance - yk)
+                sums[3][k] += xk.T @ (xk * (chance * (1 - chance))[:, None])
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([s.ravel() for s in sums])], pa.list_(pa.float64()))], ["v"])
+
+    row = rows.mapInArrow(run, "v array<double>").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")).first()
+    flat, out = np.array(row.v if row and row.v else np.zeros(sum(int(np.prod(s)) for s in shape))), []
+    for s in shape:
+        size = int(np.prod(s))
+        out.append(flat[:size].reshape(s))
+        flat = flat[size:]
+    return tuple(out)
+
+
+def _violations(w: np.ndarray, g: np.ndarray, allowed: np.ndarray) -> float:
+    """Largest violation of the optimality conditions; ``g``: gradient of C sum(loss)."""
+    v = np.where(w != 0, np.abs(g + np.sign(w)), np.maximum(np.abs(g) - 1, 0))
+    return float(np.where(allowed, v, 0).max(initial=0.0))
+
+
+def _newton_step(w: np.ndarray, g: np.ndarray, h: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """argmin over d of g d + d h d / 2 + |w + d| (a problem of features + 1 numbers).
+
+    Coordinate descent finds which weights are zero and the signs of the others; a linear system gives these exactly,
+    and its solution is taken once it has the same signs and no zero weight wants to move."""
+    h = h + np.eye(len(w)) * (1e-12 * max(np.trace(h), 1e-300) / len(w) + 1e-300)
+    d, hd, use = np.where(allowed, 0.0, -w), np.zeros_like(w), np.flatnonzero(allowed)
+    hd = h @ d
+    for _ in range(400):
+        before = d.copy()
+        for _ in range(25):
+            for j in use:
+                u = w[j] + d[j] - (g[j] + hd[j]) / h[j, j]
+                new = np.sign(u) * max(abs(u) - 1 / h[j, j], 0.0) - w[j]
+                if new != d[j]:
+                    hd += (new - d[j]) * h[:, j]
+                    d[j] = new
+        on = allowed & (w + d != 0)
+        sign = np.sign(w + d)
+        off = ~on
+        exact = -w.copy()
+        if on.any():
+            right = -(g[on] + sign[on]) + h[np.ix_(on, off)] @ w[off]
+            exact[on] = np.linalg.lstsq(h[np.ix_(on, on)], right, rcond=None)[0]
+        slope = g + h @ exact
+        if (np.sign(w + exact)[on] == sign[on]).all() and (np.abs(slope[off & allowed]) <= 1 + 1e-9).all():
+            return exact
+        if np.abs(d - before).max() <= 1e-14 * max(1.0, np.abs(d).max()):
+            break
+    return d
+
+
+def fit_stacks(features: DataFrame, feature_cols: Sequence[str], label: str, problems: Sequence[Problem]) -> list[Stack]:
+    """L1 logistic stacks, all problems in the same passes (proximal Newton).
+
+    A pass gives every problem its loss, gradient and Hessian; the step minimises their quadratic model with the L1 term,
+    and is shortened where the loss does not fall enough.  Rows without all features take no part.
+    """
+    feature_cols = list(feature_cols)
+    x = F.array(*[F.col(c).cast("double") for c in feature_cols])
+    return fit_array_stacks(features, x, feature_cols, label, problems)
+
+
+def fit_array_stacks(features: DataFrame, x: Column, names: Sequence, label: str, problems: Sequence[Problem]) -> list[Stack]:
+    """``fit_stacks`` on an array column; ``names`` are what the problems call its entries."""
+    member = F.array(*[F.lit(True) if q.rows is None else F.coalesce(q.rows, F.lit(False)) for q in problems])
+    rows = features.select(x.alias("x"), F.col(label).cast("double").alias("y"), member.alias("member"))
+    rows = materialize(rows.where(F.col("y").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v))))
+    size, p = len(problems), len(names) + 1
+    C = np.array([q.C for q in problems])
+    allowed = np.array([[q.columns is None or c in q.columns for c in names] + [True] for q in problems])
+    w, step = np.zeros((size, p)), np.zeros((size, p))
+    value, g, h = np.full(size, np.inf), np.zeros((size, p)), np.zeros((size, p, p))
+    stale, left = np.zeros(size, bool), np.full(size, np.inf)
+    for _ in range(MAX_PASSES):
+        shorter, loss, new_g, new_h = _derivatives(rows, w + step, np.stack([w + a * step for a in SHORTER], axis=1))
+        for k in range(size):
+            whole = C[k] * loss[k] + np.abs(w[k] + step[k]).sum()
+            promised = C[k] * (g[k] @ step[k]) + np.abs(w[k] + step[k]).sum() - np.abs(w[k]).sum()
+            if stale[k] or not step[k].any() or whole <= value[k] + 0.01 * promised + 1e-12 * abs(value[k]):
+                w[k], value[k], g[k], h[k], stale[k] = w[k] + step[k], whole, new_g[k], new_h[k], False
+                left[k] = _violations(w[k], C[k] * g[k], allowed[k])
+                step[k] = 0 if left[k] <= VIOLATION * max(1.0, C[k]) else _newton_step(w[k], C[k] * g[k], C[k] * h[k], allowed[k])
+                continue
+            values = [C[k] * s + np.abs(w[k] + a * step[k]).sum() for a, s in zip(SHORTER, shorter[k])]
+            best = int(np.argmin(values))
+            if values[best] < value[k]:  # go there; its derivatives come with the next pass
+                w[k], value[k], step[k], stale[k] = w[k] + SHORTER[best] * step[k], values[best], 0, True
+            else:
+                step[k] *= SHORTER[-1] / 4
+                if np.abs(step[k]).max() < 1e-14:
+                    step[k] = 0
+        if not step.any() and not stale.any():
+            break
+    return [Stack(Vectors.dense(w[k]), float(left[k])) for k in range(size)]
+
+
+def meta_fit(features: DataFrame, feature_cols: Sequence[str], label: str = "label", C: float = 1.0) -> Stack:
     """L1 logistic regression over layer features (liblinear-style C)."""
-    data = _training(features, feature_cols, label)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    n = n or _n(data)
-    lr = LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (C * n), standardization=False, fitIntercept=False, maxIter=200,
-                            tol=1e-6, family="binomial")
-    model = lr.fit(data)
-    data.unpersist()
-    return model
+    return fit_stacks(features, feature_cols, label, [Problem(C)])[0]
+
 
+def stack_score(model: Stack, feature_cols: Sequence[str]) -> Column:
+    """P(class 1) of a fitted stack."""
+    w = [float(v) for v in model.coefficients]
+    z = reduce(lambda a, cw: a + F.col(cw[0]) * F.lit(cw[1]), zip(feature_cols, w), F.lit(w[-1]))
+    return 1.0 / (1.0 + F.exp(-z))
 
-def meta_predict(model, features: DataFrame, feature_cols: Sequence[str], out: str = "meta_score") -> DataFrame:
-    """P(class 1) from the stacked model."""
-    data = assemble(features, feature_cols, "_features")
-    scored = model.setFeaturesCol("_features").setProbabilityCol("_prob").setPredictionCol("_pred") \
-        .setRawPredictionCol("_raw").transform(data)
-    return scored.withColumn(out, vector_to_array("_prob")[1]).drop("_features", "_prob", "_pred", "_raw")
+
+def meta_predict(model: Stack, features: DataFrame, feature_cols: Sequence[str], out: str = "meta_score") -> DataFrame:
+    """P(class 1) from the stacked model, null where a feature is."""
+    return features.withColumn(out, stack_score(model, feature_cols))
 
 
 # The C grid of the regularisation sweep, in the reference's order.
@@ -75,17 +192,9 @@ REGULARISATION_CS = (0.0001, 0.001, 0.005, 0.05, 0.01, 0.5, 1, 10)
 
 
 def regularisation_path(features: DataFrame, feature_cols: Sequence[str], label: str = "label",
-                        cs: Sequence[float] = REGULARISATION_CS):
-    """One model per C from a single persisted feature table (``fit`` with param maps)."""
-    data = _training(features, feature_cols, label)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    n = data.count()
-    lr = LogisticRegression(elasticNetParam=1.0, standardization=False, fitIntercept=False, maxIter=200, tol=1e-6,
-                            family="binomial")
-    maps = [{lr.regParam: 1.0 / (c * n)} for c in cs]
-    models = lr.fit(data, maps)
-    data.unpersist()
-    return list(zip(cs, models))
+                        cs: Sequence[float] = REGULARISATION_CS) -> list[tuple[float, Stack]]:
+    """One stack per C, all fitted in the same passes."""
+    return list(zip(cs, fit_stacks(features, feature_cols, label, [Problem(c) for c in cs])))
 
 
 def meta_coefficients(spark, model, layers: Sequence[int], C: float | None = None,

@@ -55,8 +55,8 @@ def combo_multilayer_stack(train: DataFrame, bench: DataFrame, datasets=None, C:
     Per-layer GDA models are fitted per (layer, dataset) in one grouped job; every
     training and benchmark row is scored against every dataset's model of its
     layer (rows x k datasets, a parameter); each combination fits its L1 stack on
-    the rows of its own datasets with only its own models' features (Q14), one
-    distributed fit per combination (2^k - 1, k = number of datasets).
+    the rows of its own datasets with only its own models' features (Q14), all
+    2^k - 1 of them in the same passes.
     """
     from protolens.operators import meta as ME
     from protolens.plans.flagship import RECORD_COLS
@@ -77,15 +77,14 @@ def combo_multilayer_stack(train: DataFrame, bench: DataFrame, datasets=None, C:
         wide = s.groupBy(*id_cols).pivot("_f", cols).agg(F.first(F.element_at("probs", 2)))
         return materialize(wide), cols
 
-    tr_feat, _ = features(train, ["example_id", "dataset", "label"])
+    tr_feat, cols = features(train, ["example_id", "dataset", "label"])
     b_feat, _ = features(bench, ["example_id", *bench_keys, "label"])
-    out = None
-    combos = S.dataset_combinations(train.sparkSession, datasets).groupBy("combo").agg(
-        F.collect_list("dataset").alias("members")).collect()  # 2^k - 1 rows
-    for c in sorted(combos, key=lambda r: r.combo):
-        cols = [f"layer{l}_{d}" for l in layers for d in sorted(c.members)]
-        model = ME.meta_fit(tr_feat.where(F.col("dataset").isin(list(c.members))), cols, "label", C)
-        scored = ME.meta_predict(model, b_feat, cols, "score").withColumn("combo", F.lit(c.combo))
-        rec = M.binary_scores(scored, ["combo", *bench_keys], "score", "label")
-        out = rec if out is None else out.unionByName(rec)
+    combos = sorted(S.dataset_combinations(train.sparkSession, datasets).groupBy("combo").agg(
+        F.collect_list("dataset").alias("members")).collect(), key=lambda r: r.combo)  # 2^k - 1 rows
+    used = [[f"layer{l}_{d}" for l in layers for d in sorted(c.members)] for c in combos]
+    models = ME.fit_stacks(tr_feat, cols, "label", [ME.Problem(C, F.col("dataset").isin(list(c.members)), u) for c, u in zip(combos, used)])
+    # one slim row an example and combination, from one scan of the features
+    scores = F.explode(F.array(*[F.struct(F.lit(c.combo).alias("combo"), ME.stack_score(m, cols).alias("score")) for c, m in zip(combos, models)]))
+    scored = b_feat.select(*bench_keys, "label", scores.alias("_s")).select(*bench_keys, "label", "_s.combo", "_s.score")
+    out = M.binary_scores(scored, ["combo", *bench_keys], "score", "label")
     return out.select("combo", *bench_keys, *RECORD_COLS)

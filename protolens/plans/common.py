@@ -23,6 +23,12 @@ def train_test(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return v.where(F.col("split") == "train"), v.where(F.col("split") == "test")
 
 
+def signal_split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows whose label the vectors carry (for the stack)."""
+    v = select_layers(fx.signal_vectors(spark, sf), exclude=(0,), pooling=None)
+    return v.where(F.col("split") == "train"), v.where(F.col("split") == "test")
+
+
 def long_array(df: DataFrame, keys, arr: str, idx: str = "i", val: str = "value", digits: int = 6) -> DataFrame:
     keys = list(keys)
     ex = df.select(*keys, F.posexplode(arr).alias(idx, val))

@@ -20,7 +20,7 @@ from protolens.operators import meta as ME
 from protolens.operators import metrics as M
 from protolens.operators import scoring as SC
 from protolens.operators import stats as S
-from protolens.plans.common import rnd, train_test
+from protolens.plans.common import rnd, signal_split
 from protolens.operators.params import materialize
 from protolens.session import ensure_checkpoint_dir
 
@@ -40,10 +40,11 @@ def layer_probabilities(rows: DataFrame, params: DataFrame, label: str = "label"
     return s.withColumn("score", score)
 
 
-def features(scored: DataFrame, layers) -> tuple[DataFrame, list[str]]:
-    wide = SC.layer_features(scored, "example_id", ["layer"], "score", layers)
-    cols = [f"layer_{x}" for x in layers]
-    return wide.select("example_id", *[F.col(str(x)).alias(f"layer_{x}") for x in layers]), cols
+def features(scored: DataFrame, layers, own: tuple | list = ()) -> tuple[DataFrame, list[str]]:
+    """One row an example: its scores by layer (columns named in the list) and its own columns ``own``."""
+    wide = scored.groupBy("example_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in own],
+                                            *[F.max(F.when(F.col("layer") == x, F.col("score"))).alias(f"layer_{x}") for x in layers])
+    return wide, [f"layer_{x}" for x in layers]
 
 
 def sample_training_ids(train: DataFrame, num_samples_per_class: int | None = None,
@@ -81,9 +82,8 @@ def stack_evaluate(train: DataFrame, bench: DataFrame, C: float = 1.0, use_logit
     # layer ids (a parameter) from the small fitted table, not from another scan of the vectors
     layers = sorted(r[0] for r in params.select("layer").distinct().collect())
 
-    tr_feat, cols = features(layer_probabilities(train, params, use_logits=use_logits), layers)
-    labels_tr = train.select("example_id", "label").distinct()
-    model = ME.meta_fit(tr_feat.join(labels_tr, "example_id"), cols, "label", C)
+    tr_feat, cols = features(layer_probabilities(train, params, use_logits=use_logits), layers, ["label"])
+    model = ME.meta_fit(tr_feat, cols, "label", C)
 
     # one id per benchmark example: the example id is only unique within its benchmark
     uid = F.concat_ws("|", *[F.col(k).cast("string") for k in bench_keys], F.col("example_id").cast("string"))
@@ -92,9 +92,8 @@ def stack_evaluate(train: DataFrame, bench: DataFrame, C: float = 1.0, use_logit
                                    use_logits=use_logits)
     # used twice (stack features, per-layer records): keep the slim scores, not the vectors, and scan once
     b_scored = materialize(b_scored.select("example_id", "layer", *bench_keys, "label", "score"))
-    b_feat, _ = features(b_scored, layers)
-    b_meta = b.select(F.col("_uid").alias("example_id"), *bench_keys, "label").distinct()
-    stacked = ME.meta_predict(model, b_feat.join(b_meta, "example_id"), cols, "score")
+    b_feat, _ = features(b_scored, layers, [*bench_keys, "label"])
+    stacked = ME.meta_predict(model, b_feat, cols, "score")
     stacked = stacked.withColumn("method", F.lit("multilayer_gda"))
 
     per_layer = b_scored.select(*bench_keys, "label", "score",
@@ -111,7 +110,7 @@ def stack_evaluate(train: DataFrame, bench: DataFrame, C: float = 1.0, use_logit
 
 def multilayer_report(spark: SparkSession, sf: str, C: float = 1.0, use_logits: bool = False) -> DataFrame:
     """The flagship on the vector fixture: train split to fit, test split scored per dataset."""
-    tr, te = train_test(spark, sf)
+    tr, te = signal_split(spark, sf)
     return stack_evaluate(tr, te, C, use_logits, ["dataset"])["records"]
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from protolens.functions import vec as V
 from protolens.plans.catalog import register
+from protolens.plans.q_meta import META_COEFFICIENTS_SQL
 from protolens.plans.common import layer_vectors, long_array, rnd
 from protolens.sources import fixtures as fx
 from protolens.sources import readers as RD
@@ -193,7 +194,7 @@ def q_write_scores(spark, sf):
 
 
 # K4 ---------------------------------------------------------------------------
-@register("write_meta_coefficients")
+@register("write_meta_coefficients", META_COEFFICIENTS_SQL)
 def q_write_meta_coefficients(spark, sf):
     from protolens.plans.q_meta import q_meta_coefficients
 

@@ -14,35 +14,53 @@ from protolens.operators import metrics as M
 from protolens.operators import scoring as SC
 from protolens.operators import stats as S
 from protolens.plans.catalog import register
-from protolens.plans.common import long_array, long_matrix, rnd, train_test
+from protolens.plans.common import long_array, long_matrix, rnd, signal_split, train_test
 from protolens.plans.flagship import RECORD_COLS, features, fit_layers, layer_probabilities
+from protolens.plans.sqlparts import gda_ctes, l1_ctes, vec_base
 
 
 def _train_features(spark: SparkSession, sf: str):
-    tr, te = train_test(spark, sf)
+    tr, te = signal_split(spark, sf)
     fit = fit_layers(tr)
     layers = sorted(r[0] for r in fit["params"].select("layer").distinct().collect())
-    feat, cols = features(layer_probabilities(tr, fit["params"]), layers)
-    feat = feat.join(tr.select("example_id", "label").distinct(), "example_id")
+    feat, cols = features(layer_probabilities(tr, fit["params"]), layers, ["label"])
     return tr, te, layers, fit, feat, cols
 
 
-@register("meta_fit")
+_PROB = """
+lg{n} AS (SELECT t.example_id, t.layer, t.label, p.cls, list_dot_product(t.vector, p.w) + p.b AS s FROM {rows} t JOIN g_params p USING (layer)),
+pr{n} AS (SELECT *, exp(s - max(s) OVER o) AS e FROM lg{n} WINDOW o AS (PARTITION BY example_id, layer)),
+ft{n} AS (SELECT 'all' AS grp, example_id AS rid, list_append(list(prob ORDER BY layer), 1.0::DOUBLE) AS x, any_value(label) AS y
+        FROM (SELECT example_id, layer, label, cls, e / sum(e) OVER (PARTITION BY example_id, layer) AS prob FROM pr{n}) WHERE cls = 1 GROUP BY example_id)"""
+
+
+def _stack_sql(cs: str, body: str, steps: int = 3500) -> str:
+    """``body`` over l1 (grp, C, w[]) fitted on the layer probabilities of the training rows, and ft2 (test features)."""
+    return vec_base(gda_ctes() + "," + _PROB.format(n=1, rows="tr") + "," + _PROB.format(n=2, rows="te") + f""",
+cs AS (SELECT 'all' AS grp, unnest([{cs}]) AS C),""" + l1_ctes("ft1", "cs", steps=steps) + f""",
+ly AS (SELECT layer, row_number() OVER (ORDER BY layer) AS p FROM (SELECT DISTINCT layer FROM tr))
+{body}""", "signal_vectors")
+
+
+@register("meta_fit", _stack_sql("1.0, 0.1, 0.01", """
+SELECT C, layer, round(w[p], 6) AS coefficient FROM l1, ly
+UNION ALL SELECT C, -1, round(w[-1], 6) FROM l1"""))
 def q_meta_fit(spark, sf):
     """Stacked L1 models for C = 1, 0.1, 0.01 -> (C, layer, coefficient) plus intercept rows."""
     _, _, layers, fit, feat, cols = _train_features(spark, sf)
+    cs = (1.0, 0.1, 0.01)
     out = None
-    for c in (1.0, 0.1, 0.01):
-        model = ME.meta_fit(feat, cols, "label", c)
+    for c, model in zip(cs, ME.fit_stacks(feat, cols, "label", [ME.Problem(c) for c in cs])):
         co = ME.meta_coefficients(spark, model, layers, c, layer_source=fit["params"])
         intercept = fit["params"].select(F.lit(-1).alias("layer"), F.lit(ME.intercept(model)).alias("coefficient"),
                                          F.lit(float(c)).alias("C")).limit(1)  # one row, from the fitted table
         co = co.unionByName(intercept)
         out = co if out is None else out.unionByName(co)
-    return out
+    return out.select("C", "layer", rnd("coefficient").alias("coefficient"))
 
 
-@register("meta_predict")
+@register("meta_predict", _stack_sql("1.0", """
+SELECT rid AS example_id, round(1 / (1 + exp(-list_dot_product(x, w))), 6) AS meta_score FROM ft2, l1"""))
 def q_meta_predict(spark, sf):
     """P(class 1) of the stacked model for every test example."""
     _, te, layers, fit, feat, cols = _train_features(spark, sf)
@@ -51,23 +69,29 @@ def q_meta_predict(spark, sf):
     return ME.meta_predict(model, te_feat, cols, "meta_score").select("example_id", rnd("meta_score").alias("meta_score"))
 
 
-@register("regularisation_path")
+@register("regularisation_path", _stack_sql(", ".join(map(str, ME.REGULARISATION_CS)), """
+SELECT C, layer, round(w[p], 6) AS coefficient, CAST(sum(CASE WHEN abs(w[p]) > 1e-5 THEN 1 ELSE 0 END) OVER (PARTITION BY C) AS BIGINT) AS layers_used
+FROM l1, ly"""))
 def q_regularisation_path(spark, sf):
-    """Eight C values from one persisted feature table -> (C, layer, coefficient, layers_used)."""
+    """Eight C values, all fitted in the same passes -> (C, layer, coefficient, layers_used)."""
     _, _, layers, fit, feat, cols = _train_features(spark, sf)
     out = None
     for c, model in ME.regularisation_path(feat, cols, "label"):
         co = ME.meta_coefficients(spark, model, layers, c, layer_source=fit["params"])
         out = co if out is None else out.unionByName(co)
     used = out.groupBy("C").agg(F.sum((F.abs("coefficient") > 1e-5).cast("int")).alias("layers_used"))
-    return out.join(used, "C")
+    return out.join(used, "C").select("C", "layer", rnd("coefficient").alias("coefficient"), "layers_used")
+
+
+META_COEFFICIENTS_SQL = _stack_sql("1.0", "SELECT layer, round(w[p], 6) AS coefficient FROM l1, ly")
 
 
-@register("meta_coefficients")
+@register("meta_coefficients", META_COEFFICIENTS_SQL)
 def q_meta_coefficients(spark, sf):
     """Layer -> weight of the C = 1 stack."""
     _, _, layers, fit, feat, cols = _train_features(spark, sf)
-    return ME.meta_coefficients(spark, ME.meta_fit(feat, cols, "label", 1.0), layers, layer_source=fit["params"])
+    co = ME.meta_coefficients(spark, ME.meta_fit(feat, cols, "label", 1.0), layers, layer_source=fit["params"])
+    return co.select("layer", rnd("coefficient").alias("coefficient"))
 
 
 @register("reuse_first_meta")

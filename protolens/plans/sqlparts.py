@@ -5,11 +5,11 @@ from __future__ import annotations
 from protolens.sources.fixtures import with_views
 
 
-def vec_base(extra: str) -> str:
+def vec_base(extra: str, view: str = "vectors") -> str:
     """CTEs v (layers 1-3), tr (train), te (test), tre/tee (exploded) then ``extra``."""
     body = f"""
 WITH v AS (SELECT example_id, layer, label, category, split, dataset, dataset_type, vector
-           FROM vectors WHERE layer <> 0),
+           FROM {view} WHERE layer <> 0),
 tr AS (SELECT * FROM v WHERE split = 'train'),
 te AS (SELECT * FROM v WHERE split = 'test'),
 tre AS (SELECT example_id, layer, label, category, dataset, CAST(unnest(range(len(vector))) AS INTEGER) AS i,
@@ -17,8 +17,8 @@ tre AS (SELECT example_id, layer, label, category, dataset, CAST(unnest(range(le
 tee AS (SELECT example_id, layer, label, category, dataset, dataset_type, CAST(unnest(range(len(vector))) AS INTEGER) AS i,
                unnest(vector) AS x FROM te),
 {extra}"""
-    sql = with_views(body, "vectors")
-    return sql.replace("WITH ", "WITH RECURSIVE ", 1) if "gj_" in extra else sql
+    sql = with_views(body, view)
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1) if "gj_" in extra or "USING KEY" in extra else sql
 
 
 def nmc_ctes(label: str = "label") -> str:
@@ -86,6 +86,34 @@ g_w AS (SELECT {kj}, cls, m, kk, list_transform(p, lambda r: list_dot_product(r,
 g_params AS (SELECT {kj}, cls, m, w, ln(1.0 / kk) - 0.5 * list_dot_product(w, m) AS b FROM g_w)"""
 
 
+def l1_ctes(features: str, cs: str, name: str = "l1", steps: int = 3500) -> str:
+    """L1 logistic stacks by descent along lines, one line a step, with the curvature bound 1/4.
+
+    ``features``: a table (grp, rid, x[], y) whose x ends with the constant 1; ``cs``: a table (grp, C).  Makes ``name``
+    (grp, C, w[]).  Lines 1..p move one weight, the others a weight and the intercept so that the mean of z stays, since
+    features that vary little are almost the constant.  Along a line the objective is a parabola and two absolute values,
+    whose least point is a stationary point of one of its four pieces or a kink.  The recursion keeps each row's z."""
+    return f"""
+{name}_in AS (SELECT CAST(c.grp AS VARCHAR) AS grp, CAST(c.C AS DOUBLE) AS C, f.rid, f.x, CAST(f.y AS DOUBLE) AS y FROM {features} f JOIN {cs} c ON c.grp = f.grp),
+{name}_m AS (SELECT grp, C, list(m ORDER BY j) AS a FROM (SELECT grp, C, j, avg(v) AS m
+             FROM (SELECT grp, C, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS j FROM {name}_in) GROUP BY grp, C, j) GROUP BY grp, C),
+{name}_l AS (SELECT grp, C, list_concat(list_transform(a, lambda v: 0.0::DOUBLE), a[1:-2]) AS m FROM {name}_m),
+{name}_h AS (SELECT grp, C, any_value(m) AS m, list(h ORDER BY j) AS h FROM (SELECT grp, C, j, any_value(m) AS m, greatest(C / 4 * sum(v * v), 1e-300) AS h
+             FROM (SELECT grp, C, m, unnest(list_transform(m, lambda q, j: x[1 + (j - 1) % len(x)] - q)) AS v, unnest(range(1, len(m) + 1)) AS j
+                   FROM {name}_in JOIN {name}_l USING (grp, C)) GROUP BY grp, C, j) GROUP BY grp, C),
+{name}_r(grp, C, rid, k, x, y, m, h, z, w) USING KEY (grp, C, rid) AS (
+  SELECT i.grp, i.C, i.rid, 0, i.x, i.y, q.m, q.h, 0.0::DOUBLE, list_transform(i.x, lambda v: 0.0::DOUBLE) FROM {name}_in i JOIN {name}_h q ON q.grp = i.grp AND q.C = i.C
+  UNION
+  SELECT grp, C, rid, k + 1, x, y, m, h, z + t * (x[j] - m[l]),
+         list_transform(w, lambda v, q: v + CASE WHEN q = j THEN t ELSE 0 END - CASE WHEN q = len(w) THEN m[l] * t ELSE 0 END)
+  FROM (SELECT *, list_sort(list_transform(list_concat([-w[j], CASE WHEN m[l] <> 0 THEN w[-1] / m[l] ELSE 0 END],
+                 list_transform([[1, 1], [1, -1], [-1, 1], [-1, -1]], lambda s: -(g + s[1] - m[l] * s[2]) / h[l])),
+                 lambda t: struct_pack(v := h[l] * t * t / 2 + g * t + abs(w[j] + t) + CASE WHEN m[l] <> 0 THEN abs(w[-1] - m[l] * t) ELSE 0 END, t := t)))[1].t AS t
+        FROM (SELECT *, sum(C * (1 / (1 + exp(-z)) - y) * (x[j] - m[l])) OVER (PARTITION BY grp, C) AS g
+              FROM (SELECT *, 1 + k % len(m) AS l, 1 + (k % len(m)) % len(x) AS j FROM {name}_r WHERE k < {steps})))),
+{name} AS (SELECT grp, C, any_value(w) AS w FROM {name}_r GROUP BY grp, C)"""
+
+
 #: squared Mahalanobis distance of the difference z[] under the matrix p[][]
 DISTANCE = "list_sum(list_transform(range(1, len(z) + 1), lambda q: z[q] * list_dot_product(p[q], z)))"
 

@@ -45,6 +45,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def signal_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vectors`` with a label that they carry: the sign of the sum of the fifth entry of layers 1 to 3."""
+    emb = table(spark, sf_dir, "embeddings")
+    sign = sum((F.element_at("embedding", i).cast("double") for i in (21, 37, 53)), F.lit(0.0))
+    own = emb.select(F.col("vec_id").alias("example_id"), (sign > 0).cast("int").alias("_sign"))
+    return vectors(spark, sf_dir).join(own, "example_id").withColumn("label", F.col("_sign")).drop("_sign")
+
+
 def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """token_vectors(example_id, pos, mask, vector)."""
     emb = table(spark, sf_dir, "embeddings")
@@ -129,6 +137,14 @@ SELECT vec_id AS example_id, CAST(layer AS INTEGER) AS layer, CAST(label % 2 AS
  concat('ds', CAST(vec_id % 3 AS VARCHAR)) AS dataset,
  CASE WHEN vec_id % 3 = 2 THEN 'non_harmful' ELSE 'harmful' END AS dataset_type,
  CAST(embedding[layer*16+1 : layer*16+16] AS DOUBLE[]) AS vector
+FROM embeddings, (SELECT unnest([0,1,2,3]) AS layer) t""",
+    "signal_vectors": """
+SELECT vec_id AS example_id, CAST(layer AS INTEGER) AS layer,
+ CAST(0.0::DOUBLE + embedding[21]::DOUBLE + embedding[37]::DOUBLE + embedding[53]::DOUBLE > 0 AS INT) AS label, label AS category,
+ CASE WHEN vec_id % 5 = 0 THEN 'test' ELSE 'train' END AS split,
+ concat('ds', CAST(vec_id % 3 AS VARCHAR)) AS dataset,
+ CASE WHEN vec_id % 3 = 2 THEN 'non_harmful' ELSE 'harmful' END AS dataset_type,
+ CAST(embedding[layer*16+1 : layer*16+16] AS DOUBLE[]) AS vector
 FROM embeddings, (SELECT unnest([0,1,2,3]) AS layer) t""",
     "token_vectors": """
 SELECT vec_id AS example_id, CAST(pos AS INTEGER) AS pos, CASE WHEN pos <= vec_id % 4 THEN 1 ELSE 0 END AS mask,

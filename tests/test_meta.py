@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from protolens.operators import clustering as CL
 from protolens.operators import meta as ME
-from protolens.plans.common import train_test
+from protolens.plans.common import signal_split
 from protolens.plans.flagship import features, fit_layers, layer_probabilities
 
 from .conftest import SF_CHECK
@@ -14,7 +14,7 @@ from .conftest import SF_CHECK
 
 @pytest.fixture(scope="module")
 def feats(spark):
-    tr, te = train_test(spark, SF_CHECK)
+    tr, te = signal_split(spark, SF_CHECK)
     layers = [1, 2, 3]
     fit = fit_layers(tr)
     f, cols = features(layer_probabilities(tr, fit["params"]), layers)
@@ -63,8 +63,33 @@ def test_l1_stack_is_stationary_with_a_penalised_intercept(feats):
     _, _, f, cols = feats
     rows = f.select(*[F.col(c).cast("double") for c in cols], F.col("label").cast("double")).toPandas().to_numpy()
     x, y = np.column_stack([rows[:, :-1], np.ones(len(rows))]), np.where(rows[:, -1] == 1, 1.0, -1.0)
-    for C in (0.1, 1.0):
+    for C in (0.1, 1.0, 10.0):
         w = ME.meta_fit(f, cols, "label", C).coefficients.toArray()
+        assert C < 1 or np.abs(w[:-1]).max() > 1  # the label is in the vectors: the stack is not empty
         g = -C * (x * (y / (1 + np.exp(y * (x @ w))))[:, None]).sum(0)
         on = np.abs(w) > 1e-6
         assert np.allclose(g[on], -np.sign(w[on]), atol=5e-3 * max(1.0, C * len(x) / 100)) and (np.abs(g[~on]) <= 1.05).all()
+
+
+def test_stacks_of_row_and_feature_subsets_equal_single_fits(spark):
+    """Problems fitted in the same passes: each equals its own fit on its rows and columns; rows with gaps take no part."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 3)) * [1.0, 0.01, 5.0] + [0.5, 0.5, -2.0]
+    y = (x @ [1.0, 80.0, -0.2] - 40.5 + rng.logistic(size=500) > 0).astype(int)
+    rows = [(*map(float, v), int(t), int(i % 3)) for i, (v, t) in enumerate(zip(x, y))] + [(None, 1.0, 1.0, 1, 0), (1.0, float("nan"), 1.0, 0, 1)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, label int, part int")
+    problems = [ME.Problem(2.0), ME.Problem(0.5, F.col("part") == 1), ME.Problem(5.0, F.col("part") != 0, ["b", "c"]), ME.Problem(1.0, F.lit(False))]
+    many = ME.fit_stacks(df, ["a", "b", "c"], "label", problems)
+    assert all(m.violation < 1e-6 for m in many)
+    for m, q, keep in zip(many, problems, (range(500), [i for i in range(500) if i % 3 == 1], [i for i in range(500) if i % 3], [])):
+        w = m.coefficients.toArray()
+        z, t = np.column_stack([x, np.ones(500)])[keep], y[keep]
+        g = q.C * z.T @ (1 / (1 + np.exp(-z @ w)) - t)
+        for j, name in enumerate(["a", "b", "c", None]):
+            if q.columns and name and name not in q.columns:
+                assert w[j] == 0
+            elif w[j]:
+                assert abs(g[j] + np.sign(w[j])) < 1e-6
+            else:
+                assert abs(g[j]) <= 1 + 1e-6
+    assert not many[3].coefficients.toArray().any()
