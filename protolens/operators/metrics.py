@@ -2,12 +2,11 @@
 
 Counting metrics are one grouped aggregation.  Ranking metrics (ROC AUC,
 average precision) first collapse rows to one row per distinct score and
-group (map-side combined), then need prefix sums over the score order.  A
-window partitioned only by the group would put a hot group (one dataset may
-hold a third of all rows) into one task, so ``prefix_sums`` range-partitions
-the (group, score) rows into contiguous ranges sized from the row count,
-cumulates each sorted range in one streaming pass and adds per-range offsets
-from a tiny (group x range) table.
+group (map-side combined), then need counts below each score.  A window
+partitioned only by the group would put a hot group (one dataset may hold a
+third of all rows) into one task, so counts are cumulated over score bins and
+only inside the bins that hold a positive over rows.  ``prefix_sums`` gives
+running sums of any order in the same spirit, over contiguous ranges.
 """
 
 from __future__ import annotations
@@ -163,8 +162,16 @@ def score_table(df: DataFrame, keys, score: str = "score", label: str = "label")
 
 
 # ---------------------------------------------------------------- M7, M8
+#: score bins of a group
+BINS = 256
+
+
 def ranking_metrics(table: DataFrame, keys, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """M7 + M8 from one ascending prefix pass over a (keys, score, pos, neg) table.
+    """M7 + M8 from a (keys, score, pos, neg) table in two passes: counts by bin, then ranks inside bins.
+
+    Bins are cut at approximate quantiles of each group's scores (they decide the balance, not the result), their counts
+    are cumulated, and only rows of bins that hold a positive are ordered, within their bin: no range sort of all rows
+    and no task with a whole group.
 
     ROC AUC = sum pos(s) * (negatives below s + neg(s) / 2) / (P N)   (ties count 1/2)
     AP      = sum pos(s) / P * TP(>= s) / ALL(>= s) over distinct thresholds, descending,
@@ -172,17 +179,35 @@ def ranking_metrics(table: DataFrame, keys, buckets: int = DEFAULT_BUCKETS) -> D
     Both are NULL for a group with one class.
     """
     keys = _k(keys)
-    c = prefix_sums(table, keys, "score", ["pos", "neg"], buckets)
-    w_tot = table.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    j = attach_params(c, w_tot, keys)  # one row a group: broadcast when measured small, salted otherwise
+    whole = not keys
+    if whole:
+        table, keys = table.withColumn("_all", F.lit(0)), ["_all"]
+    shares = [i / BINS for i in range(1, BINS)]
+    groups = materialize(table.groupBy(*keys).agg(
+        F.percentile_approx("score", shares, 10 * BINS).alias("_edges"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n")))
+    bin_ = F.size(F.filter("_edges", lambda e: e < F.col("score")))
+    rows = attach_params(table, groups, keys, materialized=True).withColumn("_bin", bin_).drop("_edges")
+    bins = rows.groupBy(*keys, "_bin").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # at most BINS rows a group
+    bins = materialize(bins.select("*", F.coalesce(F.sum("_bp").over(before), F.lit(0)).alias("_p0"),
+                                   F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_n0")))
+    # a bin without positives adds nothing; the others are ranked inside, one task a (group, bin)
+    live = bins.where(F.col("_bp") > 0).select(*keys, "_bin", "_p0", "_n0")
+    inner = rows.join(live, [*keys, "_bin"])  # bins hold about equal parts of a group
+    upto = Window.partitionBy(*keys, "_bin").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inner.select("*", (F.col("_p0") + F.sum("pos").over(upto)).alias("pos_cum"), (F.col("_n0") + F.sum("neg").over(upto)).alias("neg_cum"))
+    j = ranked.where(F.col("pos") > 0)
     pos_below = F.col("pos_cum") - F.col("pos")
     neg_below = F.col("neg_cum") - F.col("neg")
     tp_ge = F.col("_p") - pos_below
     all_ge = F.col("_p") + F.col("_n") - pos_below - neg_below
     agg = j.groupBy(*keys).agg(
         F.sum(F.col("pos") * (neg_below + 0.5 * F.col("neg"))).alias("_u"),
-        F.sum(F.col("pos") * tp_ge / all_ge).alias("_s"),
-        F.first("_p").alias("_p"), F.first("_n").alias("_n"))
+        F.sum(F.col("pos") * tp_ge / all_ge).alias("_s"))
+    # groups without positives have no row to rank: their totals make them null
+    agg = groups.select(*keys, "_p", "_n").join(agg, keys, "left")
+    if whole:
+        agg, keys = agg.drop("_all"), []
     ok = (F.col("_p") > 0) & (F.col("_n") > 0)
     return agg.select(*keys, F.when(ok, F.col("_u") / (F.col("_p") * F.col("_n"))).alias("roc_auc"),
                       F.when(ok, F.col("_s") / F.col("_p")).alias("average_precision"))
