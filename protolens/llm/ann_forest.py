@@ -101,7 +101,7 @@ class Forest:
     how many entries lie before each."""
 
     def __init__(self, trees: int):
-        self.trees, self.norm, self.budget, self.cells, self.before, self._planes = trees, {}, {}, {}, {}, {}
+        self.trees, self.norm, self.shift, self.budget, self.cells, self.before, self._planes = trees, {}, {}, {}, {}, {}, {}
 
     def planes(self, dim: int) -> np.ndarray:
         if dim not in self._planes:
@@ -111,6 +111,11 @@ class Forest:
     def __getstate__(self):
         return {**self.__dict__, "_planes": {}}
 
+    def scaled(self, dim: int, x: np.ndarray, query: bool) -> np.ndarray:
+        """Vectors by a power of two, so that 32-bit floats hold them: entries by the table's largest norm, a query by its own
+        largest component (its order of candidates is the same at any scale)."""
+        return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None] if query else -self.shift[dim])
+
     def strings(self, dim: int, x: np.ndarray, query: bool) -> np.ndarray:
         square = self.norm[dim] ** 2 - (x.astype(np.float64) ** 2).sum(1)
         return codes(x, np.zeros(len(x)) if query else np.sqrt(np.maximum(square, 0.0)), self.planes(dim), self.trees)
@@ -186,7 +191,9 @@ def fit(entries: DataFrame, trees: int, cell: int, budget: int, k: int, sample:
         for b in batches:
             for rows, dim in _by_dim(b, 1):
                 x, asks = _vectors(b.column(1).take(pa.array(rows))), np.asarray(b.column(2).take(pa.array(rows)))
-                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([int(asks.sum())], pa.int64()), pa.array([float(np.sqrt((x * x).sum(1)).max())])], ["dim", "n", "asks", "norm"])
+                e = int(np.frexp(np.abs(x).max())[1])
+                norm = e + float(np.log2(np.sqrt((np.ldexp(x, -e) ** 2).sum(1)).max()))  # squares of the vectors themselves may overflow
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([int(asks.sum())], pa.int64()), pa.array([norm])], ["dim", "n", "asks", "norm"])
 
     forest = Forest(trees)
     stats = entries.select("rep", "v", "asks").mapInArrow(norms, "dim int, n long, asks long, norm double").groupBy("dim").agg(F.sum("n").alias("n"), F.sum("asks").alias("asks"), F.max("norm").alias("norm")).collect()  # one row a length
@@ -198,9 +205,10 @@ def fit(entries: DataFrame, trees: int, cell: int, budget: int, k: int, sample:
         for rows, dim in _by_dim(batch, 1):
             by_dim.setdefault(dim, []).append(_vectors(batch.column(1).take(pa.array(rows))))
     for r in stats:
-        dim, forest.norm[r["dim"]] = r["dim"], r["norm"]
-        x = np.concatenate(by_dim[dim]).astype(np.float32) if dim in by_dim else np.zeros((0, dim), np.float32)
-        square = r["norm"] ** 2 - (x.astype(np.float64) ** 2).sum(1)
+        dim, forest.shift[r["dim"]] = r["dim"], int(np.floor(r["norm"])) + 1
+        forest.norm[dim] = 2.0 ** (r["norm"] - forest.shift[dim])
+        x = forest.scaled(dim, np.concatenate(by_dim[dim]), False).astype(np.float32) if dim in by_dim else np.zeros((0, dim), np.float32)
+        square = forest.norm[dim] ** 2 - (x.astype(np.float64) ** 2).sum(1)
         c = np.sort(codes(x, np.sqrt(np.maximum(square, 0.0)), forest.planes(dim), trees), axis=0)
         drawn_codes[dim] = c, r["n"] / max(len(x), 1)
         forest.cells[dim] = [split_cells(c[:, t], drawn_codes[dim][1], cell) for t in range(trees)]
@@ -239,7 +247,7 @@ def probe(entries: DataFrame, forest: Forest, asks: dict[int, int], k: int) -> t
     for batch in drawn.to_batches():
         for rows, dim in _by_dim(batch, 1):
             some = pa.array(rows)
-            probes.setdefault(dim, []).append((np.asarray(batch.column(0).take(some)), _vectors(batch.column(1).take(some))))
+            probes.setdefault(dim, []).append((np.asarray(batch.column(0).take(some)), forest.scaled(dim, _vectors(batch.column(1).take(some)), True)))
     probes = {d: tuple(np.concatenate(x) for x in zip(*parts)) for d, parts in probes.items()}
     shared = entries.sparkSession.sparkContext.broadcast((forest, probes))
 
@@ -253,7 +261,7 @@ def probe(entries: DataFrame, forest: Forest, asks: dict[int, int], k: int) -> t
             for rows, dim in _by_dim(b, 1):
                 for a in range(0, len(rows), 8192):
                     part = pa.array(rows[a:a + 8192])
-                    x, ids = _vectors(b.column(1).take(part)), np.asarray(b.column(0).take(part))
+                    x, ids = forest.scaled(dim, _vectors(b.column(1).take(part)), False), np.asarray(b.column(0).take(part))
                     c = forest.strings(dim, x, False)
                     for t in range(forest.trees):
                         starts = forest.cells[dim][t][0]
@@ -360,7 +368,7 @@ def nearest(embeddings: DataFrame, is_query, k: int = 20, id_col: str = "vec_id"
                 for rows, dim in _by_dim(b, 1):
                     for a in range(0, len(rows), 1024):
                         some = pa.array(rows[a:a + 1024])
-                        x, ids = _vectors(b.column(1).take(some)), np.asarray(b.column(0).take(some))
+                        x, ids = forest.scaled(dim, _vectors(b.column(1).take(some)), query), np.asarray(b.column(0).take(some))
                         raw = pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary()) if heavy else None
                         level = np.asarray(b.column(2).take(some)) if query and heavy else np.full(len(ids), BITS if query else 0, np.int32)
                         for t, all_rows, all_code, all_c, all_salt in forest.seek(dim, x, level) if query else forest.place(dim, x, ids):
@@ -410,7 +418,8 @@ def nearest(embeddings: DataFrame, is_query, k: int = 20, id_col: str = "vec_id"
     def exact(batches):
         for b in batches:
             if b.num_rows:
-                score = [float(np.dot(np.frombuffer(x, "<f8"), np.frombuffer(y, "<f8"))) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    score = [float(np.dot(np.frombuffer(x, "<f8"), np.frombuffer(y, "<f8"))) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64())], ["rep", "cand", "score"])
 
     v = entries.select("rep", "v")

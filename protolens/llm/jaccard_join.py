@@ -456,13 +456,13 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Of rows that share this doc_id the one with the smallest text stays; rows with a null doc_id, which no
     component can name, stay."""
     found = link_components(docs, percent)
-    drop = written(found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "jaccard-dropped")
+    place, gone, again = (x + "_" * max(map(len, docs.columns)) for x in ("place", "gone", "again"))  # longer than any column's name
+    drop = written(found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct(), "jaccard-dropped")
     twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    out = docs.join(drop.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    out = docs.join(drop.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(gone), "left_anti")
     if twice.isEmpty():
         return out
     order = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in ("text", *[c for c, t in docs.dtypes if c not in ("doc_id", "text") and not t.startswith("map")])])
-    again = written(twice.select(F.col("doc_id").alias("again")), "jaccard-repeated")
-    place = "place_" + "_".join(sorted(docs.columns))  # a name that no column has
-    some = out.join(again, F.col("doc_id") == F.col("again"), "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
-    return out.join(again, F.col("doc_id") == F.col("again"), "left_anti").unionByName(some)
+    repeated = written(twice.select(F.col("doc_id").alias(again)), "jaccard-repeated")
+    some = out.join(repeated, F.col("doc_id") == F.col(again), "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+    return out.join(repeated, F.col("doc_id") == F.col(again), "left_anti").unionByName(some)

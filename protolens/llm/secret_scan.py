@@ -37,8 +37,8 @@ ASSIGN_MIN, ACCESS_MIN = 6, 20
 
 SENSITIVE = ("passw", "secret", "token", "api_key", "apikey", "access_key", "accesskey", "credential", "bearer", "private", "signature", "auth")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: between the lines of a key block (also as escapes or quoted strings), and a short last line below a line of ``WRAP`` or more
-ADJACENT = re.compile(r"""\\+|[\x20\t]*(?:\\[rn])*["']?[\x20\t]*[+,\\]?[\x20\t]*\r?\n[\x20\t]*[>#*"']*[\x20\t]*""")
+#: between the parts of a dotted token, and the lines of a key block (also as escapes or quoted strings); a short last line below a line of ``WRAP`` or more
+ADJACENT = re.compile(r"""\.|\\+|[\x20\t]*(?:\\[rn])*["']?[\x20\t]*[+,\\]?[\x20\t]*\r?\n[\x20\t]*[>#*"']*[\x20\t]*""")
 TAIL = re.compile(r"[\x20\t]*\r?\n[\x20\t]*([A-Za-z0-9+/_=-]{1,15})(?=[\x20\t]*(?:\r?\n|\Z))")
 WRAP = 40
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,31}")

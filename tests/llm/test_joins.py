@@ -222,3 +222,12 @@ def test_one_benchmark_block_at_a_time(spark, monkeypatch):
     assert [r["doc_id"] for r in decontaminate.keep_clean(docs, bench, block_bytes=300).collect()] == [20]
     n = len(decontaminate.item_blocks(bench, block_bytes=300))
     assert n > 1 and tables == ["leaks-block"] * n + ["clean-block"] * n
+
+
+def test_keep_one_with_columns_of_its_own_names(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, 1, 2, 3), (2, text, 4, 5, 6), (3, "other words stand here", 7, 8, 9), (3, "other words stand here", 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone int, again int, `a.b` int")
+    got = jaccard_join.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == [rows[0], rows[2]]

@@ -230,3 +230,36 @@ def test_a_query_sees_all_its_near_copies(spark):
     r = np.random.default_rng(9)
     x = np.concatenate([r.standard_normal(16) + 1e-5 * r.standard_normal((1500, 16)), r.standard_normal((500, 16))])
     assert _recall(spark, x, list(range(0, 1500, 30)), trees=3, cell=5, budget=100) >= 0.95  # hardly a sign tells them apart
+
+
+@pytest.mark.parametrize("factor", [1e25, 1e-30, 1e150, 1e-150, 1e200])
+def test_nearest_neighbours_at_any_scale(spark, factor):
+    """Finite vectors keep their neighbours whatever their size; scores are the plain double products."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((300, 16)) * factor
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann_forest.nearest(df, lambda i: i % 20 == 0, k=20).collect():
+        found.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    assert sorted(found) == list(range(0, 300, 20)) and all(len(f) == 20 for f in found.values())
+    if factor > 1e150:  # the products pass the largest double: infinite or NaN scores, still 20 rows a query
+        return
+    hits = 0
+    for q, f in found.items():
+        s = (x / factor) @ (x[q] / factor)
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & set(f))
+        assert all(v == pytest.approx(float(np.dot(x[i], x[q])), abs=0) for i, v in f.items())
+    assert hits >= 0.9 * 20 * len(found)
+
+
+def test_parts_of_a_dotted_token_are_one_secret():
+    rng = random.Random(5)
+    part = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-") for _ in range(n))
+    token = ".".join((part(36), part(90), part(43)))
+    text = f"Send it with Authorization: Bearer {token} and nothing else."
+    covered = set()
+    for s, _, e in secret_scan.all_spans(text, secret_scan.Novelty(b"")):
+        covered |= set(range(s, e))
+    at = text.index(token)
+    assert {at + i for i, c in enumerate(token) if c != "."} <= covered
