@@ -462,7 +462,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     out = docs.join(drop.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(gone), "left_anti")
     if twice.isEmpty():
         return out
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in ("text", *[c for c, t in docs.dtypes if c not in ("doc_id", "text") and not t.startswith("map")])])
+    order = Window.partitionBy("doc_id").orderBy(*[F.col("`" + c.replace("`", "``") + "`") for c in ("text", *[c for c, t in docs.dtypes if c not in ("doc_id", "text") and not t.startswith("map")])])
     repeated = written(twice.select(F.col("doc_id").alias(again)), "jaccard-repeated")
     some = out.join(repeated, F.col("doc_id") == F.col(again), "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
     return out.join(repeated, F.col("doc_id") == F.col(again), "left_anti").unionByName(some)
