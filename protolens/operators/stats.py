@@ -21,10 +21,12 @@ Design
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -315,29 +317,107 @@ def merge_means_weighted(means: DataFrame, group_cols: Sequence[str]) -> DataFra
 
 
 # ---------------------------------------------------------------- A13, A14, A15
-def dataset_combinations(spark, datasets: Sequence[str], fixed: Sequence[Sequence[str]] | None = None) -> DataFrame:
-    """Every non-empty subset (or a fixed list) as (combo STRING, dataset STRING) rows.
+def combination_name(mask: Column, names: Sequence[str]) -> Column:
+    """Names of the datasets in a set, joined by '+'; bit r of ``mask`` stands for ``names[r]``."""
+    named = F.transform(F.array(*[F.lit(n) for n in names]), lambda n, r: F.when(_has(mask, r), n))
+    return F.array_join(named, "+")  # nulls are left out
+
+
+def _has(mask: Column, r: Column) -> Column:
+    return F.call_function("shiftright", mask, r.cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
+def _position(names: Sequence[str], dataset: str) -> Column:
+    return F.array_position(F.array(*[F.lit(n) for n in names]), F.col(dataset)) - 1
+
 
-    The combination list is parameter-sized (2^k - 1 for k datasets).
+def combination_sums(table: DataFrame, keys: Sequence[str], names: Sequence[str], vec: str, dataset: str = "dataset",
+                     masks: Sequence[int] | None = None) -> DataFrame:
+    """(keys, mask, n, vec): ``n`` and ``vec`` summed over every non-empty set of datasets (over ``masks`` when given).
+
+    ``table`` has one row for each key and dataset.  The rows of a key, at most one a dataset, are gathered; the sets are
+    walked depth first, so each is one vector addition to the set without its last member, and only the sums
+    on the way to a set are held.  Sets that hold no dataset of a key give no row.
     """
-    datasets = list(datasets)
-    if fixed is None:
-        combos = []
-        for mask in range(1, 2 ** len(datasets)):
-            combos.append([d for b, d in enumerate(datasets) if mask >> b & 1])
-    else:
-        combos = [list(c) for c in fixed]
-    rows = [("+".join(c), d, len(c)) for c in combos for d in c]
-    return spark.createDataFrame(rows, "combo string, dataset string, combo_size int")
-
-
-def stack_prototypes(means: DataFrame, combos: DataFrame, keys=("layer",), label: str = "label") -> DataFrame:
-    """Prototypes of the chosen datasets stacked; proto_id re-ranked, class = proto_id mod 2."""
-    keys = _keys(keys)
-    j = means.join(F.broadcast(combos.select("combo", "dataset")), "dataset")  # driver-built combination list
-    w = Window.partitionBy("combo", *keys).orderBy("dataset", label)
+    keys, k = list(keys), len(names)
+    if k > 62:
+        raise ValueError("sets of more than 62 datasets do not fit a 64-bit mask")
+    wanted = None if masks is None else {int(m) for m in masks}
+    member = F.struct(_position(names, dataset).cast("int").alias("r"), F.col("n").cast("long").alias("n"), F.col(vec).alias("v"))
+    gathered = table.where(_position(names, dataset) >= 0).groupBy(*keys).agg(F.collect_list(member).alias("_rows"))
+    schema = T.StructType(_field_types(table, keys) + [T.StructField("mask", T.LongType()), T.StructField("n", T.LongType()),
+                                                       T.StructField(vec, T.ArrayType(T.DoubleType()))])
+
+    def walk(rows: dict, r: int, mask: int, held: bool, n: int, v: np.ndarray) -> Iterator[tuple]:
+        for q in range(r, k):
+            now, here = mask | 1 << q, held or q in rows
+            total = (n + rows[q][0], v + rows[q][1]) if q in rows else (n, v)
+            if here and (wanted is None or now in wanted):
+                yield now, *total
+            yield from walk(rows, q + 1, now, here, *total)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            types = [b.schema.field(c).type for c in keys]
+            for i in range(b.num_rows):
+                of = b.column("_rows").slice(i, 1).flatten()
+                values = of.field("v")
+                rows = {r: (n, np.asarray(values[j].values, dtype=np.float64))
+                        for j, (r, n) in enumerate(zip(of.field("r").to_pylist(), of.field("n").to_pylist()))}
+                d = len(next(iter(rows.values()))[1])
+                key, step = [b.column(c)[i].as_py() for c in keys], max(1, (4 << 20) // (8 * d))
+                sums = walk(rows, 0, 0, False, 0, np.zeros(d))
+                while part := list(itertools.islice(sums, step)):
+                    m = len(part)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array([x] * m, t) for x, t in zip(key, types)), pa.array([x for x, _, _ in part], pa.int64()),
+                         pa.array([n for _, n, _ in part], pa.int64()),
+                         pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * d, pa.int32()), pa.array(np.concatenate([v for _, _, v in part])))],
+                        [*keys, "mask", "n", vec])
+
+    return gathered.mapInArrow(run, schema)
+
+
+def merge_combination_covariances(cov: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """A11 for every set of datasets: sum_j cov_j (n_j - 1) / (sum n_j - 1): (mask, keys, i, n, row)."""
+    keys = list(keys)
+    weighted = cov.select(*keys, "dataset", "i", "n", V.scale("row", (F.col("n") - 1).cast("double")).alias("row"))
+    sums = combination_sums(weighted, [*keys, "i"], names, "row")
+    return sums.select("mask", *keys, "i", "n", V.scale("row", _inv_dof("n")).alias("row"))
+
+
+def merge_combination_means(means: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """A12 for every set of datasets: sum n_j mu_j / sum n_j: (mask, keys, n, mean); keys include the class."""
+    keys = list(keys)
+    sums = combination_sums(means.select(*keys, "dataset", "n", V.scale("mean", F.col("n").cast("double")).alias("mean")), keys, names, "mean")
+    return sums.select("mask", *keys, "n", V.scale("mean", 1.0 / F.col("n")).alias("mean"))
+
+
+def dataset_masks(names: Sequence[str], dataset: str = "dataset") -> Column:
+    """All sets that hold the row's dataset, as an array of masks."""
+    last = (1 << len(names)) - 1
+    return F.filter(F.sequence(F.lit(1).cast("long"), F.lit(last).cast("long")), lambda m: _has(m, _position(names, dataset)))
+
+
+def dataset_combinations(spark, datasets: Sequence[str], fixed: Sequence[Sequence[str]] | None = None) -> DataFrame:
+    """Every non-empty subset (or a fixed list) as (combo STRING, dataset STRING, combo_size INT) rows, made in Spark."""
+    names = list(datasets)
+    if fixed is not None:
+        rows = [("+".join(c), d, len(c)) for c in fixed for d in c]
+        return spark.createDataFrame(rows, "combo string, dataset string, combo_size int")
+    one = spark.createDataFrame([(n,) for n in names], "dataset string")
+    sets = one.select("dataset", F.explode(dataset_masks(names)).alias("m"))
+    return sets.select(combination_name(F.col("m"), names).alias("combo"), "dataset", F.bit_count("m").cast("int").alias("combo_size"))
+
+
+def stack_prototypes(means: DataFrame, datasets: Sequence[str], keys=("layer",), label: str = "label") -> DataFrame:
+    """Prototypes of the datasets of every set stacked; proto_id re-ranked, class = proto_id mod 2."""
+    keys, names = _keys(keys), list(datasets)
+    j = means.where(F.col("dataset").isin(names)).withColumn("mask", F.explode(dataset_masks(names)))
+    w = Window.partitionBy("mask", *keys).orderBy("dataset", label)  # the prototypes of one set
     return j.select(
-        "combo", *keys, "dataset", label, "n", "mean", (F.row_number().over(w) - 1).cast("int").alias("proto_id")
+        combination_name(F.col("mask"), names).alias("combo"), "mask", *keys, "dataset", label, "n", "mean",
+        (F.row_number().over(w) - 1).cast("int").alias("proto_id")
     ).withColumn("proto_class", (F.col("proto_id") % 2).cast("int"))
 
 

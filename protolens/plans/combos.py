@@ -6,20 +6,22 @@ statistics in one (combo, layer)-keyed job:
   * prototypes: all class means of the combination's datasets (A13), class = proto_id mod 2;
   * precision: merged covariance sum_j cov_j (n_j - 1) / (sum n_j - 1) (A11), Bayes precision (A6);
   * GDA over the stacked prototypes (A8).
-Benchmark rows are scored against every combination (rows x 2^k - 1 combinations,
-k = number of datasets, a parameter) and collapsed with M14 (argmax mod 2,
-sum of odd-class probabilities).
+The sums of all sets of datasets come from a walk over the lattice of sets, one addition a set.
+Each benchmark vector meets the models of all 2^k - 1 sets in one place; scores are collapsed with
+M14 (argmax mod 2, sum of odd-class probabilities) before rows are made of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from protolens.functions import vec as V
+from protolens.operators import blocks as B
 from protolens.operators import metrics as M
 from protolens.operators import scoring as SC
 from protolens.operators import stats as S
-from protolens.operators.params import materialize
+from protolens.operators.params import attach_params, materialize
 
 
 def combo_prototype_scores(train: DataFrame, bench: DataFrame, datasets=None, bench_keys=("dataset",)) -> DataFrame:
@@ -27,24 +29,28 @@ def combo_prototype_scores(train: DataFrame, bench: DataFrame, datasets=None, be
 
     Returns one score record per (combo, layer, bench keys).
     """
-    spark = train.sparkSession
     bench_keys = list(bench_keys)
     means = materialize(S.class_means(train, ["layer", "dataset"], "label"))
     if datasets is None:  # dataset names (a parameter) from the small means table
         datasets = sorted(r[0] for r in means.select("dataset").distinct().collect())
-    combos = S.dataset_combinations(spark, datasets)
     scatter = S.class_scatter(train, ["layer", "dataset"], "label", means=means, means_materialized=True)
     per_ds = materialize(S.pooled_covariance(scatter, ["layer", "dataset"]))
-    cmap = F.broadcast(combos.select("dataset", "combo"))  # 2^k - 1 combinations, built on the driver
-    merged = S.merge_covariances(per_ds.join(cmap, "dataset"), ["combo", "layer"], over="dataset")
-    precision = materialize(S.bayes_precision(merged, ["combo", "layer"]))
-    protos = S.stack_prototypes(means, combos, ["layer"], "label").select("combo", "layer", "proto_id", "mean", "n")
-    params = materialize(S.gda_params(protos, precision, ["combo", "layer"], "proto_id"))
-    names = [r[0] for r in combos.select("combo").distinct().collect()]
-    rows = bench.withColumn("combo", F.explode(F.array(*[F.lit(c) for c in names])))
-    scored = SC.softmax_probs(SC.gda_logits(rows, params, ["combo", "layer"], "proto_id"))
+    merged = S.merge_combination_covariances(per_ds, ["layer"], datasets)
+    precision = materialize(S.bayes_precision(merged, ["mask", "layer"]))
+    protos = materialize(S.stack_prototypes(means, datasets, ["layer"], "label").select("mask", "layer", "proto_id", "mean", "n"))
+    params = S.gda_params(protos, precision, ["mask", "layer"], "proto_id")
+    # the models of all sets side by side, so a vector meets them in one place
+    place = Window.partitionBy("layer").orderBy("mask", "proto_id")
+    params = materialize(params.withColumn("_cls", F.row_number().over(place) - 1))
+    layout = params.groupBy("layer", "mask").agg(F.min("_cls").alias("at"), F.count("*").cast("int").alias("size"))
+    layout = layout.groupBy("layer").agg(F.collect_list(F.struct("mask", "at", "size")).alias("_sets"))
+    blocks = B.vector_blocks(params, ["layer"], "_cls", F.concat("w", F.array("b")))
+    rows = B.score(bench, blocks, ["layer"], "vector", "_s", B.logits, keep=["layer", *bench_keys, "label"])
+    rows = attach_params(rows, layout, ["layer"]).select("layer", *bench_keys, "label", "_s", F.inline("_sets"))
+    probs = V.softmax(F.slice("_s", F.col("at") + 1, F.col("size")))
     pred, score = M.collapse_dataset_protos(F.col("probs"))
-    scored = scored.withColumn("pred", pred).withColumn("score", score)
+    scored = rows.select(S.combination_name(F.col("mask"), datasets).alias("combo"), "layer", *bench_keys, "label", probs.alias("probs"))
+    scored = scored.withColumn("pred", pred).withColumn("score", score).drop("probs")
     return M.binary_scores(scored, ["combo", "layer"] + bench_keys, "score", "label", pred="pred")
 
 

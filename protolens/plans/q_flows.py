@@ -9,6 +9,9 @@ from protolens.plans.catalog import register
 from protolens.plans.common import layer_vectors, rnd, train_test
 from protolens.plans.condition import condition_search
 from protolens.plans.q_contrast import CONDITION_SEARCH_SQL
+from protolens.plans.q_metrics import CONFUSION_SQL, RANK_SQL
+from protolens.plans.q_vectors import DATASET_COMBOS_SQL
+from protolens.plans.sqlparts import precision_ctes, scatter_ctes, vec_base
 
 
 def _rounded(df):
@@ -36,7 +39,31 @@ def q_category_steps(spark, sf):
     return _rounded(categories.category_steps_report(tr, te))
 
 
-@register("combo_prototype_scores")
+COMBO_SCORES_SQL = vec_base(scatter_ctes("label", "layer, dataset") + "," + DATASET_COMBOS_SQL + """,
+cn AS (SELECT layer, dataset, count(*) AS n FROM g_x GROUP BY ALL),
+cb AS (SELECT DISTINCT m, combo FROM combos),
+mn AS (SELECT combo, layer, sum(n) AS nn FROM cn JOIN combos USING (dataset) GROUP BY ALL),
+ms AS (SELECT combo, layer, nn, i, j, sum(s) AS s FROM g_se JOIN combos USING (dataset) JOIN mn USING (combo, layer) GROUP BY ALL),
+""" + precision_ctes("combo, layer", "ms", "mp").lstrip() + """,
+pt AS (SELECT combo, g_mu.layer, m, row_number() OVER (PARTITION BY combo, g_mu.layer ORDER BY dataset, cls) - 1 AS cls,
+              count(*) OVER (PARTITION BY combo, g_mu.layer) AS kk FROM (SELECT layer, dataset, cls, m FROM g_mu) g_mu JOIN (SELECT combo, dataset FROM combos) USING (dataset)),
+pw AS (SELECT combo, layer, pt.m, cls, kk, list_transform(p, lambda r: list_dot_product(r, pt.m)) AS w FROM pt JOIN mp USING (combo, layer)),
+lg AS (SELECT combo, te.layer, te.example_id, te.dataset, te.label, cls,
+              list_dot_product(te.vector, w) + ln(1.0 / kk) - 0.5 * list_dot_product(w, m) AS s FROM te JOIN pw USING (layer)),
+sx AS (SELECT *, exp(s - max(s) OVER o) AS e, max(s) OVER o AS top FROM lg WINDOW o AS (PARTITION BY combo, layer, example_id)),
+preds AS (SELECT concat(combo, '|', CAST(layer AS VARCHAR)) AS layer, dataset, any_value(label) AS label,
+                 CAST(min(cls) FILTER (WHERE s = top) % 2 AS INTEGER) AS pred, sum(e) FILTER (WHERE cls % 2 = 1) / sum(e) AS score
+          FROM sx GROUP BY combo, sx.layer, example_id, dataset)""" + CONFUSION_SQL.replace("CAST(score > 0.5 AS INTEGER)", "pred") + RANK_SQL + """
+SELECT split_part(layer, '|', 1) AS combo, CAST(split_part(layer, '|', 2) AS INTEGER) AS layer, dataset, round(accuracy, 6) AS accuracy,
+       round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1,
+       round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS true_positive_rate,
+       round(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0 END, 6) AS true_negative_rate,
+       tn + fp AS negative_support, tp + fn AS positive_support,
+       round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision
+FROM cf JOIN rk USING (layer, dataset)""")
+
+
+@register("combo_prototype_scores", COMBO_SCORES_SQL)
 def q_combo_prototype_scores(spark, sf):
     """Score records of prototypes merged over every dataset combination."""
     tr, te = train_test(spark, sf)

@@ -140,7 +140,7 @@ def q_gda_params(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ A11-A15
 
-_DS_COMBOS = """
+DATASET_COMBOS_SQL = _DS_COMBOS = """
 ds AS (SELECT dataset, CAST(row_number() OVER (ORDER BY dataset) - 1 AS INTEGER) AS r FROM (SELECT DISTINCT dataset FROM v)),
 masks AS (SELECT unnest(range(1, CAST(pow(2, (SELECT count(*) FROM ds)) AS BIGINT))) AS m),
 cd AS (SELECT m, dataset, r FROM masks, ds WHERE (m >> r) & 1 = 1),
@@ -148,14 +148,9 @@ combos AS (SELECT m, dataset, string_agg(dataset, '+' ORDER BY r) OVER (PARTITIO
                   CAST(count(*) OVER (PARTITION BY m) AS INTEGER) AS combo_size FROM cd)"""
 
 
-def _combos(spark: SparkSession, v: DataFrame) -> DataFrame:
-    """A14 from the data: every non-empty subset of the distinct datasets, named by '+'.
-
-    The dataset names are a parameter (a handful), so the 2^k - 1 subsets are
-    enumerated on the driver and used as a small broadcast table.
-    """
-    names = sorted(r[0] for r in v.select("dataset").distinct().collect())
-    return S.dataset_combinations(spark, names)
+def _dataset_names(v: DataFrame) -> list[str]:
+    """Names of the datasets (a parameter: a handful)."""
+    return sorted(r[0] for r in v.select("dataset").distinct().collect())
 
 
 A14_SQL = vec_base(_DS_COMBOS + """
@@ -164,20 +159,11 @@ SELECT combo, combo_size, dataset FROM combos""")
 
 @register("dataset_combinations", A14_SQL)
 def q_dataset_combinations(spark: SparkSession, sf: str) -> DataFrame:
-    """Every non-empty subset of the datasets found in the data, computed in Spark: ranked distinct
-    datasets exploded over the 2^k - 1 subset masks (a generator), grouped back by mask."""
-    from pyspark.sql import Window
-
-    ds = layer_vectors(spark, sf).select("dataset").distinct()
-    ranked = ds.withColumn("r", (F.row_number().over(Window.orderBy("dataset")) - 1).cast("int"))
-    k = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    masks = ranked.withColumn("k", k).withColumn("m", F.explode(F.sequence(F.lit(1), F.pow(2, F.col("k")).cast("int") - 1)))
-    member = masks.where(F.expr("shiftright(m, r) & 1") == 1)
-    names = member.groupBy("m").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "dataset"))), lambda t: t["dataset"]),
-                     "+").alias("combo"),
-        F.count(F.lit(1)).cast("int").alias("combo_size"))
-    return member.join(names, "m").select("combo", "combo_size", "dataset")
+    """Every non-empty set of the datasets found in the data: their distinct names exploded over the sets that hold them."""
+    v = layer_vectors(spark, sf)
+    names = _dataset_names(v)
+    sets = v.select("dataset").distinct().select("dataset", F.explode(S.dataset_masks(names)).alias("m"))
+    return sets.select(S.combination_name(F.col("m"), names).alias("combo"), F.bit_count("m").cast("int").alias("combo_size"), "dataset")
 
 
 A11_SQL = vec_base(_DS_COMBOS + """,
@@ -194,11 +180,10 @@ FROM sc JOIN cnt USING (layer, dataset) JOIN combos USING (dataset) GROUP BY com
 @register("merge_covariances", A11_SQL)
 def q_merge_covariances(spark: SparkSession, sf: str) -> DataFrame:
     tr, _ = train_test(spark, sf)
-    combos = _combos(spark, layer_vectors(spark, sf))
+    names = _dataset_names(layer_vectors(spark, sf))
     per_ds = S.pooled_covariance(S.class_scatter(tr, ["layer", "dataset"], "label"), ["layer", "dataset"])
-    expanded = per_ds.join(F.broadcast(combos.select("dataset", "combo")), "dataset")  # 2^k-1 combos, built on the driver
-    merged = S.merge_covariances(expanded, ["combo", "layer"], over="dataset")
-    return long_matrix(merged, ["combo", "layer"])
+    merged = S.merge_combination_covariances(per_ds, ["layer"], names)
+    return long_matrix(merged.withColumn("combo", S.combination_name(F.col("mask"), names)), ["combo", "layer"])
 
 
 A12_SQL = vec_base(_DS_COMBOS + """,
@@ -210,11 +195,9 @@ FROM mu JOIN combos USING (dataset) GROUP BY combo, layer, label, i""")
 @register("merge_means_weighted", A12_SQL)
 def q_merge_means_weighted(spark: SparkSession, sf: str) -> DataFrame:
     tr, _ = train_test(spark, sf)
-    combos = _combos(spark, layer_vectors(spark, sf))
-    means = S.class_means(tr, ["layer", "dataset"], "label")
-    expanded = means.join(F.broadcast(combos.select("dataset", "combo")), "dataset")
-    merged = S.merge_means_weighted(expanded, ["combo", "layer", "label"])
-    return long_array(merged, ["combo", "layer", "label", "n"], "mean")
+    names = _dataset_names(layer_vectors(spark, sf))
+    merged = S.merge_combination_means(S.class_means(tr, ["layer", "dataset"], "label"), ["layer", "label"], names)
+    return long_array(merged.withColumn("combo", S.combination_name(F.col("mask"), names)), ["combo", "layer", "label", "n"], "mean")
 
 
 A13_SQL = vec_base(_DS_COMBOS + """,
@@ -228,9 +211,8 @@ FROM mu JOIN combos USING (dataset)""")
 @register("stack_prototypes", A13_SQL)
 def q_stack_prototypes(spark: SparkSession, sf: str) -> DataFrame:
     tr, _ = train_test(spark, sf)
-    combos = _combos(spark, layer_vectors(spark, sf))
-    means = S.class_means(tr, ["layer", "dataset"], "label")
-    st = S.stack_prototypes(means, combos, ["layer"], "label")
+    names = _dataset_names(layer_vectors(spark, sf))
+    st = S.stack_prototypes(S.class_means(tr, ["layer", "dataset"], "label"), names, ["layer"], "label")
     return st.select("combo", "layer", "dataset", "label", "n", "proto_id", "proto_class")
 
 
