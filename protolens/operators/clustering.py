@@ -2,19 +2,25 @@
 
 k-means for every (layer, class) group at once: one distributed Lloyd step per
 iteration (assign rows to the nearest centre of their own group, average per
-cluster), centres checkpointed each iteration to cut lineage.  Initial
-centres are the first k rows of each group in seeded hash order.  Only the
-centre table (groups x k x d) is ever attached to rows.
+cluster), centres checkpointed each iteration to cut lineage; the rows are
+written once, with the columns that the steps need.  Initial centres are the
+first k rows of each group in seeded hash order, or an oversampled start:
+rounds that draw rows by their squared distance from the centres so far, whose
+candidates are weighted by the rows nearest to them and thinned to k.  Only
+centre tables (groups x some k x d) are ever attached to rows.
 """
 
 from __future__ import annotations
 
 import warnings
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from protolens.functions import vec as V
 from protolens.operators import stats as S
@@ -22,24 +28,68 @@ from protolens.operators.params import attach_params, materialize, pack_params
 from protolens.operators.sampling import sample_per_class
 
 
+def _nearest(rows: DataFrame, centres: DataFrame, g: list[str], vec: str) -> DataFrame:
+    """Rows with the number (``_near``) and squared distance (``_d2``) of the nearest centre of their group, the first on ties."""
+    packed = pack_params(centres, g, "cluster", ["cluster", "center"], "_cs")
+    d = F.transform("_cs", lambda t: V.sq_dist(vec, t["center"]))
+    j = attach_params(rows, packed, g).withColumn("_d", d)
+    best = F.element_at("_cs", F.array_position("_d", F.array_min("_d")).cast("int"))["cluster"]
+    return j.withColumn("_near", best.cast("int")).withColumn("_d2", F.array_min("_d")).drop("_cs", "_d")
+
+
+def _uniform(id_col: str, tag: str):
+    """Number in [0, 1) from the md5 of a row's id and a tag, the same on every retry."""
+    return F.conv(F.substring(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(":" + tag))), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+def oversampled_start(rows: DataFrame, g: list[str], vec: str, k: int, id_col: str, seed: int = 42, rounds: int = 5) -> DataFrame:
+    """(group, cluster 0..k-1, center): a start far apart, after ``rounds`` scans that each draw about 2 k rows a group."""
+    first = sample_per_class(rows, 1, g[:-1], g[-1], id_col, seed, rank_col="_r")
+    found = materialize(first.select(*g, F.lit(0).alias("cluster"), F.col(vec).alias("center")))
+    for r in range(rounds):
+        near = _nearest(rows, found, g, vec)
+        cost = near.groupBy(*g).agg(F.sum("_d2").alias("_cost"), F.count("*").alias("_rows"))
+        drawn = attach_params(near, cost, g).where(_uniform(id_col, f"{seed}:{r}") * F.col("_cost") < 2.0 * k * F.col("_d2"))
+        taken = drawn.select(*g, id_col, F.col(vec).alias("center")).unionByName(found.select(*g, F.lit(None).cast(rows.schema[id_col].dataType).alias(id_col), "center"))
+        number = F.row_number().over(Window.partitionBy(*g).orderBy(F.col(id_col).asc_nulls_first(), F.to_json(F.array("center"))))  # some k a group
+        found = materialize(taken.select(*g, (number - 1).cast("int").alias("cluster"), "center"))
+    weights = _nearest(rows, found, g, vec).groupBy(*g, F.col("_near").alias("cluster")).agg(F.count("*").alias("weight"))
+    weighted = found.join(weights, [*g, "cluster"])
+    schema = T.StructType([rows.schema[c] for c in g] + [T.StructField("cluster", T.IntegerType()), T.StructField("center", T.ArrayType(T.DoubleType()))])
+
+    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
+        """k of the candidates: the heaviest, then always the one with the largest weight times squared distance."""
+        pdf = pdf.sort_values("cluster")
+        x, w = np.stack(pdf["center"].to_numpy()).astype(np.float64), pdf["weight"].to_numpy()
+        picked = [int(np.argmax(w))]
+        d2 = ((x - x[picked[0]]) ** 2).sum(1)
+        while len(picked) < min(k, len(x)):
+            picked.append(int(np.argmax(w * d2)))
+            d2 = np.minimum(d2, ((x - x[picked[-1]]) ** 2).sum(1))
+        return pd.DataFrame([[*(pdf[c].iloc[0] for c in g), i, x[p].tolist()] for i, p in enumerate(picked)], columns=[f.name for f in schema.fields])
+
+    return weighted.groupBy(*g).applyInPandas(thin, schema)
+
+
 def grouped_kmeans(df: DataFrame, keys=("layer",), label: str = "label", vec: str = "vector", k: int = 2,
-                   iters: int = 300, seed: int = 42, id_col: str = "example_id", tol: float = 1e-9):
+                   iters: int = 300, seed: int = 42, id_col: str = "example_id", tol: float = 1e-9, start: str = "first"):
     """Returns (centres(keys..., label, cluster, center), assignments(df + cluster)).
 
-    Runs until no centre moves; a warning tells when ``iters`` rounds were not enough.
+    ``start``: 'first' (first k rows in hash order) or 'oversampled'.  Runs until no centre moves; a warning tells when
+    ``iters`` rounds were not enough.
     """
     keys = list(keys)
     g = keys + [label]
-    init = sample_per_class(df, k, keys, label, id_col, seed, rank_col="_r")
-    centres = init.select(*g, (F.col("_r") - 1).cast("int").alias("cluster"), F.col(vec).alias("center"))
+    slim = materialize(df.select(*g, id_col, vec))
+    if start == "oversampled":
+        centres = oversampled_start(slim, g, vec, k, id_col, seed)
+    else:
+        init = sample_per_class(slim, k, keys, label, id_col, seed, rank_col="_r")
+        centres = init.select(*g, (F.col("_r") - 1).cast("int").alias("cluster"), F.col(vec).alias("center"))
     centres = materialize(centres)
 
-    def assign(c: DataFrame) -> DataFrame:
-        packed = pack_params(c, g, "cluster", ["cluster", "center"], "_cs")
-        j = attach_params(df, packed, g)
-        d = F.transform("_cs", lambda t: V.sq_dist(vec, t["center"]))
-        best = F.element_at("_cs", F.array_position(d, F.array_min(d)).cast("int"))["cluster"]
-        return j.withColumn("cluster", best.cast("int")).drop("_cs")
+    def assign(c: DataFrame, rows: DataFrame = slim) -> DataFrame:
+        return _nearest(rows, c, g, vec).withColumnRenamed("_near", "cluster").drop("_d2")
 
     shift = 0.0
     for _ in range(iters):
@@ -56,15 +106,15 @@ def grouped_kmeans(df: DataFrame, keys=("layer",), label: str = "label", vec: st
             break
     else:
         warnings.warn(f"k-means: centres still moved by {shift:g} after {iters} rounds", RuntimeWarning, stacklevel=2)
-    return centres, assign(centres)
+    return centres, assign(centres, df)
 
 
 def cluster_prototypes(df: DataFrame, keys=("layer",), label: str = "label", vec: str = "vector",
                        n_clusters_per_class: int = 2, iters: int = 300, seed: int = 42, id_col: str = "example_id",
-                       scale_covariances: bool = False):
+                       scale_covariances: bool = False, start: str = "first"):
     """Cluster ids offset by class (class * k + c); per-cluster and pooled covariance keyed by example."""
     keys = list(keys)
-    centres, assigned = grouped_kmeans(df, keys, label, vec, n_clusters_per_class, iters, seed, id_col)
+    centres, assigned = grouped_kmeans(df, keys, label, vec, n_clusters_per_class, iters, seed, id_col, start=start)
     assigned = assigned.withColumn("cluster_id", (F.col(label) * n_clusters_per_class + F.col("cluster")).cast("int"))
     means = S.class_means(assigned, keys, "cluster_id", vec)
     scatter = S.class_scatter(assigned, keys, "cluster_id", vec, means)

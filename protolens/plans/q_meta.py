@@ -16,7 +16,7 @@ from protolens.operators import stats as S
 from protolens.plans.catalog import register
 from protolens.plans.common import long_array, long_matrix, rnd, signal_split, train_test
 from protolens.plans.flagship import RECORD_COLS, features, fit_layers, layer_probabilities
-from protolens.plans.sqlparts import gda_ctes, l1_ctes, vec_base
+from protolens.plans.sqlparts import gda_ctes, l1_ctes, precision_ctes, scatter_ctes, vec_base
 
 
 def _train_features(spark: SparkSession, sf: str):
@@ -148,7 +148,26 @@ def q_supervised_gbt(spark, sf):
     return _supervised(spark, sf, ME.supervised_gbt, "gbt")
 
 
-@register("cluster_prototypes")
+def _mean_of(cluster: int) -> str:
+    return "[" + ", ".join(f"avg(vector[{i}]) FILTER (WHERE cl = {cluster}) OVER g" for i in range(1, 17)) + "]"
+
+
+#: Lloyd's rounds on the rows themselves, two clusters a class, from the first two rows in hash order
+_LLOYD = f"""
+st AS (SELECT example_id, layer, label, vector, row_number() OVER (PARTITION BY layer, label ORDER BY md5(concat(CAST(example_id AS VARCHAR), ':42')), example_id) AS rn FROM tr),
+c0 AS (SELECT layer, label, max(vector) FILTER (WHERE rn = 1) AS a, max(vector) FILTER (WHERE rn = 2) AS b FROM st GROUP BY layer, label),
+ll(example_id, layer, label, vector, k, cl) USING KEY (example_id, layer) AS (
+  SELECT example_id, st.layer, st.label, vector, 0, CASE WHEN list_distance(vector, b) < list_distance(vector, a) THEN 1 ELSE 0 END
+  FROM st JOIN c0 ON st.layer = c0.layer AND st.label = c0.label
+  UNION
+  SELECT example_id, layer, label, vector, k + 1, CASE WHEN list_distance(vector, b) < list_distance(vector, a) THEN 1 ELSE 0 END
+  FROM (SELECT *, {_mean_of(0)} AS a, {_mean_of(1)} AS b FROM ll WHERE k < 100 WINDOW g AS (PARTITION BY layer, label))),
+asg AS (SELECT example_id, layer, CAST(label * 2 + cl AS INTEGER) AS cluster_id, vector FROM ll),
+ae AS (SELECT layer, cluster_id, unnest(range(len(vector))) AS i, unnest(vector) AS x FROM asg)"""
+
+
+@register("cluster_prototypes", vec_base(_LLOYD + """
+SELECT layer, cluster_id, CAST(count(*) AS BIGINT) AS n, CAST(i AS INTEGER) AS i, round(avg(x), 6) AS value FROM ae GROUP BY layer, cluster_id, i"""))
 def q_cluster_prototypes(spark, sf):
     """Two k-means prototypes per class and layer -> (layer, cluster_id, n, i, value)."""
     tr, _ = train_test(spark, sf)
@@ -156,7 +175,12 @@ def q_cluster_prototypes(spark, sf):
     return long_array(p["means"], ["layer", "cluster_id", "n"], "mean")
 
 
-@register("cluster_precisions")
+@register("cluster_precisions", vec_base(_LLOYD + "," + scatter_ctes("cluster_id", "layer", "asg") + """,
+cn AS (SELECT layer, cls, count(*) AS nn FROM g_x GROUP BY ALL),
+cs AS (SELECT g_se.layer, g_se.cls, nn, i, j, s FROM g_se JOIN cn ON g_se.layer = cn.layer AND g_se.cls = cn.cls),
+""" + precision_ctes("layer, cls", "cs", "cp").lstrip() + """,
+pr AS (SELECT layer, cls, unnest(range(len(p))) AS i, unnest(p) AS r FROM cp)
+SELECT layer, CAST(cls AS INTEGER) AS cluster_id, CAST(i AS INTEGER) AS i, CAST(unnest(range(len(r))) AS INTEGER) AS j, round(unnest(r), 6) AS value FROM pr"""))
 def q_cluster_precisions(spark, sf):
     """A10: Bayes precision of every cluster covariance -> (layer, cluster_id, i, j, value)."""
     tr, _ = train_test(spark, sf)

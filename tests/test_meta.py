@@ -93,3 +93,16 @@ def test_stacks_of_row_and_feature_subsets_equal_single_fits(spark):
             else:
                 assert abs(g[j]) <= 1 + 1e-6
     assert not many[3].coefficients.toArray().any()
+
+
+def test_oversampled_start_finds_the_groups(spark):
+    """Six clusters far apart, a class with fewer rows than clusters, and equal rows."""
+    rng = np.random.default_rng(2)
+    rows = [(i, 0, 0, (rng.normal(size=3) + 40 * np.eye(3)[i % 3] * (1 + i // 3 % 2)).tolist()) for i in range(240)]
+    rows += [(1000, 0, 1, [1.0, 2.0, 3.0]), (1001, 0, 1, [9.0, 2.0, 3.0])] + [(2000 + i, 0, 2, [5.0, 5.0, 5.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "example_id long, layer int, label int, vector array<double>").repartition(4)
+    centres, assigned = CL.grouped_kmeans(df, ["layer"], "label", k=6, start="oversampled")
+    per = {r.label: r.n for r in centres.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert per[0] == 6 and per[1] <= 2 and per[2] == 1
+    sizes = [r["count"] for r in assigned.where("label = 0").groupBy("cluster").count().collect()]
+    assert sizes == [40] * 6 and assigned.count() == len(rows)
