@@ -11,7 +11,7 @@ from protolens.plans.condition import condition_search
 from protolens.plans.q_contrast import CONDITION_SEARCH_SQL
 from protolens.plans.q_metrics import CONFUSION_SQL, RANK_SQL
 from protolens.plans.q_vectors import DATASET_COMBOS_SQL
-from protolens.plans.sqlparts import precision_ctes, scatter_ctes, vec_base
+from protolens.plans.sqlparts import gda_ctes, l1_ctes, precision_ctes, scatter_ctes, vec_base
 
 
 def _rounded(df):
@@ -70,6 +70,39 @@ def q_combo_prototype_scores(spark, sf):
     return _rounded(combos.combo_prototype_scores(tr, te))
 
 
+_STEP_FEATURES = """
+lg{n} AS (SELECT p.step, t.example_id, t.layer, t.dataset, t.category, p.cls, list_dot_product(t.vector, p.w) + p.b AS s
+       FROM {rows} t JOIN g_params p ON t.layer = p.layer {only}),
+pr{n} AS (SELECT *, exp(s - max(s) OVER o) AS e FROM lg{n} WINDOW o AS (PARTITION BY step, example_id, layer)),
+ft{n} AS (SELECT CAST(step AS VARCHAR) AS grp, example_id AS rid, any_value(dataset) AS dataset, CAST(any_value(category) >= 1 AS INTEGER) AS y,
+              list_append(list(prob ORDER BY layer, cls) FILTER (WHERE cls >= 1), 1.0::DOUBLE) AS x
+       FROM (SELECT step, example_id, layer, dataset, category, cls, e / sum(e) OVER (PARTITION BY step, example_id, layer) AS prob FROM pr{n})
+       GROUP BY step, example_id)"""
+
+# scores to 9 places: a weight that is zero in the optimum is only nearly so after these steps
+CATEGORY_STACK_SQL = vec_base("""
+stp AS (SELECT tr.*, step FROM tr, (SELECT unnest(range(1, (SELECT max(category) FROM tr) + 1)) AS step) WHERE category <= step),
+""" + gda_ctes("category", "step, layer", "stp").lstrip() + "," + _STEP_FEATURES.format(n=1, rows="tr", only="AND t.category <= p.step") + ","
+    + _STEP_FEATURES.format(n=2, rows="te", only="") + """,
+cs AS (SELECT DISTINCT grp, 0.01::DOUBLE AS C FROM ft1),""" + l1_ctes("ft1", "cs", steps=600) + """,
+preds AS (SELECT f.grp AS layer, dataset, y AS label, round(1 / (1 + exp(-list_dot_product(x, w))), 9) AS score FROM ft2 f JOIN l1 ON l1.grp = f.grp)"""
+    + CONFUSION_SQL + RANK_SQL + """
+SELECT CAST(layer AS INTEGER) AS step, dataset, round(accuracy, 6) AS accuracy,
+       round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1,
+       round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS true_positive_rate,
+       round(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0 END, 6) AS true_negative_rate,
+       tn + fp AS negative_support, tp + fn AS positive_support,
+       round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision
+FROM cf JOIN rk USING (layer, dataset)""")
+
+
+@register("category_growth_stack", CATEGORY_STACK_SQL)
+def q_category_growth_stack(spark, sf):
+    """Score records of the stack refitted at every category step on per-class features (C = 0.01)."""
+    tr, te = train_test(spark, sf)
+    return _rounded(categories.category_growth_stack(tr, te))
+
+
 @register("combo_multilayer_stack")
 def q_combo_multilayer_stack(spark, sf):
     """Score records of the per-combination stack over per-dataset models."""
