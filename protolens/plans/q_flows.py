@@ -6,21 +6,34 @@ from pyspark.sql import functions as F
 
 from protolens.plans import categories, combos, flagship
 from protolens.plans.catalog import register
-from protolens.plans.common import layer_vectors, rnd, train_test
+from protolens.plans.common import layer_vectors, rnd, signal_split, train_test
 from protolens.plans.condition import condition_search
 from protolens.plans.q_contrast import CONDITION_SEARCH_SQL
-from protolens.plans.q_metrics import CONFUSION_SQL, RANK_SQL
+from protolens.plans.q_meta import _stack_sql
+from protolens.plans.q_metrics import CONFUSION_SQL, RANK_SQL, RECORD_SQL
 from protolens.plans.q_vectors import DATASET_COMBOS_SQL
-from protolens.plans.sqlparts import gda_ctes, l1_ctes, precision_ctes, scatter_ctes, vec_base
+from protolens.plans.sqlparts import DISTANCE, gda_ctes, l1_ctes, precision_ctes, scatter_ctes, vec_base
+
+
+_BY_PRED = CONFUSION_SQL.replace("CAST(score > 0.5 AS INTEGER)", "pred")
 
 
 def _rounded(df):
     return df.select(*[rnd(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-@register("multilayer_report")
+MULTILAYER_SQL = _stack_sql("1.0", """,
+own AS (SELECT DISTINCT example_id, dataset, label FROM te),
+preds AS (SELECT 'multilayer_gda' AS layer, dataset, label, round(1 / (1 + exp(-list_dot_product(x, w))), 9) AS score FROM ft2 JOIN own ON rid = example_id, l1
+          UNION ALL SELECT concat('gda_layer', CAST(layer AS VARCHAR)), dataset, own.label, e / total
+          FROM (SELECT *, sum(e) OVER (PARTITION BY example_id, layer) AS total FROM pr2) q JOIN own USING (example_id) WHERE cls = 1)"""
+    + CONFUSION_SQL + RANK_SQL + """
+SELECT dataset, layer AS method, """ + RECORD_SQL)
+
+
+@register("multilayer_report", MULTILAYER_SQL)
 def q_multilayer_report(spark, sf):
-    """Stacked layers evaluated on every benchmark (fitted L1 stack: no SQL form)."""
+    """Stacked layers evaluated on every benchmark."""
     return _rounded(flagship.multilayer_report(spark, sf))
 
 
@@ -32,7 +45,27 @@ def q_condition_search(spark, sf):
     return condition_search(v.select("example_id", "layer", "label", "vector"), layers, max_layers=2)["predictions"]
 
 
-@register("category_steps")
+_STEPPED = """
+stp AS (SELECT tr.*, step FROM tr, (SELECT unnest(range(1, (SELECT max(category) FROM tr) + 1)) AS step) WHERE category <= step),
+""" + gda_ctes("category", "step, layer", "stp").lstrip()
+
+CATEGORY_STEPS_SQL = vec_base(_STEPPED + f""",
+me AS (SELECT p.step, p.cls, p.m, p.w, p.b, te.example_id, te.layer, te.dataset, te.category, te.vector
+       FROM te JOIN g_params p ON te.layer = p.layer AND te.category <= p.step),
+zz AS (SELECT me.step, me.layer, me.example_id, me.dataset, me.category, me.cls, q.p, list_transform(me.vector, lambda x, c: x - me.m[c]) AS z
+       FROM me JOIN g_prec q ON q.step = me.step AND q.layer = me.layer),
+every AS (SELECT 'gda' AS kind, step, layer, example_id, dataset, category, cls, list_dot_product(vector, w) + b AS s FROM me
+          UNION ALL SELECT 'nmc', step, layer, example_id, dataset, category, cls, -list_distance(vector, m) FROM me
+          UNION ALL SELECT 'mahalanobis', step, layer, example_id, dataset, category, cls, -({DISTANCE}) FROM zz),
+soft AS (SELECT *, max(s) OVER o AS top, exp(s - max(s) OVER o) AS e FROM every WINDOW o AS (PARTITION BY kind, step, layer, example_id)),
+preds AS (SELECT concat_ws('|', kind, step, layer) AS layer, dataset, CAST(any_value(category) >= 1 AS INTEGER) AS label,
+                 CAST(min(cls) FILTER (WHERE s = top) >= 1 AS INTEGER) AS pred, 1 - sum(e) FILTER (WHERE cls = 0) / sum(e) AS score
+          FROM soft GROUP BY kind, step, soft.layer, example_id, dataset)""" + _BY_PRED + RANK_SQL + """
+SELECT split_part(layer, '|', 1) AS method, CAST(split_part(layer, '|', 2) AS INTEGER) AS step, CAST(split_part(layer, '|', 3) AS INTEGER) AS layer,
+       dataset, """ + RECORD_SQL)
+
+
+@register("category_steps", CATEGORY_STEPS_SQL)
 def q_category_steps(spark, sf):
     """Score records for every step of category growth."""
     tr, te = train_test(spark, sf)
@@ -53,14 +86,8 @@ lg AS (SELECT combo, te.layer, te.example_id, te.dataset, te.label, cls,
 sx AS (SELECT *, exp(s - max(s) OVER o) AS e, max(s) OVER o AS top FROM lg WINDOW o AS (PARTITION BY combo, layer, example_id)),
 preds AS (SELECT concat(combo, '|', CAST(layer AS VARCHAR)) AS layer, dataset, any_value(label) AS label,
                  CAST(min(cls) FILTER (WHERE s = top) % 2 AS INTEGER) AS pred, sum(e) FILTER (WHERE cls % 2 = 1) / sum(e) AS score
-          FROM sx GROUP BY combo, sx.layer, example_id, dataset)""" + CONFUSION_SQL.replace("CAST(score > 0.5 AS INTEGER)", "pred") + RANK_SQL + """
-SELECT split_part(layer, '|', 1) AS combo, CAST(split_part(layer, '|', 2) AS INTEGER) AS layer, dataset, round(accuracy, 6) AS accuracy,
-       round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1,
-       round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS true_positive_rate,
-       round(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0 END, 6) AS true_negative_rate,
-       tn + fp AS negative_support, tp + fn AS positive_support,
-       round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision
-FROM cf JOIN rk USING (layer, dataset)""")
+          FROM sx GROUP BY combo, sx.layer, example_id, dataset)""" + _BY_PRED + RANK_SQL + """
+SELECT split_part(layer, '|', 1) AS combo, CAST(split_part(layer, '|', 2) AS INTEGER) AS layer, dataset, """ + RECORD_SQL + """""")
 
 
 @register("combo_prototype_scores", COMBO_SCORES_SQL)
@@ -87,13 +114,7 @@ stp AS (SELECT tr.*, step FROM tr, (SELECT unnest(range(1, (SELECT max(category)
 cs AS (SELECT DISTINCT grp, 0.01::DOUBLE AS C FROM ft1),""" + l1_ctes("ft1", "cs", steps=600) + """,
 preds AS (SELECT f.grp AS layer, dataset, y AS label, round(1 / (1 + exp(-list_dot_product(x, w))), 9) AS score FROM ft2 f JOIN l1 ON l1.grp = f.grp)"""
     + CONFUSION_SQL + RANK_SQL + """
-SELECT CAST(layer AS INTEGER) AS step, dataset, round(accuracy, 6) AS accuracy,
-       round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1,
-       round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS true_positive_rate,
-       round(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0 END, 6) AS true_negative_rate,
-       tn + fp AS negative_support, tp + fn AS positive_support,
-       round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision
-FROM cf JOIN rk USING (layer, dataset)""")
+SELECT CAST(layer AS INTEGER) AS step, dataset, """ + RECORD_SQL + """""")
 
 
 @register("category_growth_stack", CATEGORY_STACK_SQL)
@@ -103,8 +124,25 @@ def q_category_growth_stack(spark, sf):
     return _rounded(categories.category_growth_stack(tr, te))
 
 
-@register("combo_multilayer_stack")
+_MODEL_FEATURES = """
+lg{n} AS (SELECT t.example_id, t.layer, t.label, t.dataset, p.dataset AS model, p.cls, list_dot_product(t.vector, p.w) + p.b AS s
+       FROM {rows} t JOIN g_params p ON t.layer = p.layer),
+pr{n} AS (SELECT *, exp(s - max(s) OVER o) AS e FROM lg{n} WINDOW o AS (PARTITION BY example_id, layer, model)),
+ft{n} AS (SELECT combo AS grp, example_id AS rid, any_value(q.dataset) AS dataset, any_value(label) AS y, list_append(list(prob ORDER BY layer, model), 1.0::DOUBLE) AS x
+       FROM (SELECT example_id, layer, label, dataset, model, cls, e / sum(e) OVER (PARTITION BY example_id, layer, model) AS prob FROM pr{n}) q
+       JOIN (SELECT combo, dataset AS model FROM combos) USING (model) WHERE cls = 1 GROUP BY combo, example_id)"""
+
+COMBO_STACK_SQL = vec_base(gda_ctes(keys="layer, dataset") + "," + DATASET_COMBOS_SQL + "," + _MODEL_FEATURES.format(n=1, rows="tr") + ","
+    + _MODEL_FEATURES.format(n=2, rows="te") + """,
+fit AS (SELECT ft1.* FROM ft1 JOIN combos ON combos.combo = ft1.grp AND combos.dataset = ft1.dataset),
+cs AS (SELECT DISTINCT grp, 0.1::DOUBLE AS C FROM fit),""" + l1_ctes("fit", "cs", steps=1500) + """,
+preds AS (SELECT f.grp AS layer, dataset, y AS label, round(1 / (1 + exp(-list_dot_product(x, w))), 9) AS score FROM ft2 f JOIN l1 ON l1.grp = f.grp)"""
+    + CONFUSION_SQL + RANK_SQL + """
+SELECT layer AS combo, dataset, """ + RECORD_SQL, "signal_vectors")
+
+
+@register("combo_multilayer_stack", COMBO_STACK_SQL)
 def q_combo_multilayer_stack(spark, sf):
     """Score records of the per-combination stack over per-dataset models."""
-    tr, te = train_test(spark, sf)
+    tr, te = signal_split(spark, sf)
     return _rounded(combos.combo_multilayer_stack(tr, te))

@@ -222,6 +222,14 @@ SELECT dataset, concat('nmc_layer', CAST(layer AS VARCHAR)) AS method, round(acc
        round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision
 FROM cf JOIN rk USING (layer, dataset)""")
 
+#: the columns of a score record from cf and rk
+RECORD_SQL = """round(accuracy, 6) AS accuracy,
+       round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1,
+       round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS true_positive_rate,
+       round(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0 END, 6) AS true_negative_rate,
+       tn + fp AS negative_support, tp + fn AS positive_support,
+       round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision
+FROM cf JOIN rk USING (layer, dataset)"""
 RECORD_COLS = ["accuracy", "f1", "true_positive_rate", "true_negative_rate", "negative_support", "positive_support",
                "roc_auc", "average_precision"]
 
