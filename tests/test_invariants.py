@@ -169,11 +169,9 @@ def test_flagship_with_logits(spark):
 def test_evaluate_from_reference_layout_matches_flagship(spark):
     """Vector fixture written as per-layer files (train) and per-benchmark folders; same records as the flagship."""
     from protolens.plans import flagship
-    from protolens.plans.common import layer_vectors
-
-    from protolens.sources.fixtures import vectors
+    from protolens.sources.fixtures import signal_vectors
 
-    v = layer_vectors(spark, SF_CHECK).union(vectors(spark, SF_CHECK).where("layer = 0"))
+    v = signal_vectors(spark, SF_CHECK)  # the flagship's fixture, layer 0 included
 
     def write(df, path, by):
         out = df.select(*by, F.concat(F.lit("layer_"), F.col("layer").cast("string"),
