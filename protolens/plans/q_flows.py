@@ -146,3 +146,30 @@ def q_combo_multilayer_stack(spark, sf):
     """Score records of the per-combination stack over per-dataset models."""
     tr, te = signal_split(spark, sf)
     return _rounded(combos.combo_multilayer_stack(tr, te))
+
+
+SHARED_COVARIANCE_SQL = vec_base(scatter_ctes("label", "layer, dataset") + "," + DATASET_COMBOS_SQL + """,
+cn AS (SELECT layer, dataset, count(*) AS n FROM g_x GROUP BY ALL),
+mn AS (SELECT combo, layer, sum(n) AS nn FROM cn JOIN combos USING (dataset) GROUP BY ALL),
+ms AS (SELECT combo, layer, nn, i, j, sum(s) AS s FROM g_se JOIN combos USING (dataset) JOIN mn USING (combo, layer) GROUP BY ALL),
+""" + precision_ctes("combo, layer", "ms", "mp").lstrip() + """,
+pw AS (SELECT combo, layer, dataset AS model, cls, mu.m, list_transform(p, lambda r: list_dot_product(r, mu.m)) AS w
+       FROM (SELECT layer, dataset, cls, m FROM g_mu) mu JOIN (SELECT combo, dataset FROM combos) USING (dataset) JOIN mp USING (combo, layer)),""" + ",".join(f"""
+lg{n} AS (SELECT combo, t.layer, model, t.example_id, t.dataset, t.label, cls, list_dot_product(t.vector, w) + ln(0.5::DOUBLE) - 0.5 * list_dot_product(w, m) AS s
+       FROM {rows} t JOIN pw ON t.layer = pw.layer),
+pr{n} AS (SELECT *, exp(s - max(s) OVER o) AS e FROM lg{n} WINDOW o AS (PARTITION BY combo, layer, model, example_id)),
+ft{n} AS (SELECT combo AS grp, example_id AS rid, any_value(dataset) AS dataset, any_value(label) AS y, list_append(list(prob ORDER BY layer, model), 1.0::DOUBLE) AS x
+       FROM (SELECT *, e / sum(e) OVER (PARTITION BY combo, layer, model, example_id) AS prob FROM pr{n}) WHERE cls = 1 GROUP BY combo, example_id)"""
+    for n, rows in ((1, "tr"), (2, "te"))) + """,
+fit AS (SELECT ft1.* FROM ft1 JOIN combos ON combos.combo = ft1.grp AND combos.dataset = ft1.dataset),
+cs AS (SELECT DISTINCT grp, 0.1::DOUBLE AS C FROM fit),""" + l1_ctes("fit", "cs", steps=1500) + """,
+preds AS (SELECT f.grp AS layer, dataset, y AS label, round(1 / (1 + exp(-list_dot_product(x, w))), 9) AS score FROM ft2 f JOIN l1 ON l1.grp = f.grp)"""
+    + CONFUSION_SQL + RANK_SQL + """
+SELECT layer AS combo, dataset, """ + RECORD_SQL, "signal_vectors")
+
+
+@register("shared_covariance_stack", SHARED_COVARIANCE_SQL)
+def q_shared_covariance_stack(spark, sf):
+    """Score records of the stack with one covariance a dataset combination and each member's own means."""
+    tr, te = signal_split(spark, sf)
+    return _rounded(combos.shared_covariance_stack(tr, te))

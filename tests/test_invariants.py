@@ -348,3 +348,20 @@ def test_category_steps_plan(spark):
     for (step, layer, method, ds), r in by.items():
         if method == "gda":
             assert r.accuracy == by[(step, layer, "mahalanobis", ds)].accuracy
+
+
+def test_outliers_leave_before_the_fit(spark):
+    """Rows far away change the prototypes; with outlier removal the records are those of a fit without them."""
+    from protolens.operators.outliers import outlier_filter
+    from protolens.plans.combos import combo_prototype_scores
+    from protolens.plans.common import train_test
+
+    tr, te = train_test(spark, SF_CHECK)
+    tr = tr.where("layer = 1").withColumn("vector", F.when(F.col("example_id") % 97 == 1, F.transform("vector", lambda x: x + 8.0)).otherwise(F.col("vector")))
+    te, key = te.where("layer = 1"), lambda r: (r.combo, r.dataset)
+    kept = outlier_filter(tr, ["layer", "dataset", "label"])
+    assert 0 < kept.count() < tr.count() and kept.where("example_id % 97 = 1").count() == 0
+    a = sorted(combo_prototype_scores(tr, te, remove_outliers=True).collect(), key=key)
+    b = sorted(combo_prototype_scores(kept, te).collect(), key=key)
+    assert len(a) == 21 and [key(r) for r in a] == [key(r) for r in b]
+    assert all(x.f1 == y.f1 and abs(x.roc_auc - y.roc_auc) < 1e-9 for x, y in zip(a, b))
