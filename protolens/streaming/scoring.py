@@ -2,8 +2,9 @@
 
 The reference only scores finite files; this module applies the same batch
 operators to a Structured Streaming source.  Parameters are a materialized,
-measured batch table joined to the stream (stream-static broadcast join), so
-each micro-batch is stateless and its work is proportional to its rows.
+measured batch table joined to the stream (stream-static join, broadcast within
+the limit), so each micro-batch is stateless and its work is proportional to its
+rows.
 """
 
 from __future__ import annotations
@@ -20,10 +21,8 @@ def score_stream(stream: DataFrame, params: DataFrame, keys=("layer",), label: s
     """GDA logits, probabilities, argmax and the >0.5 decision for every streamed row."""
     keys = list(keys)
     packed = materialize(pack_params(params, keys, label, ["w", "b"], "_gda"))
-    size = estimated_bytes(packed)
-    if size > max_broadcast_bytes:
-        raise ValueError(f"parameter table of {size} bytes is above the broadcast limit for stream scoring")
-    j = stream.join(F.broadcast(packed), keys)
+    # above the limit each micro-batch meets the table through a shuffle
+    j = stream.join(F.broadcast(packed) if estimated_bytes(packed) <= max_broadcast_bytes else packed, keys)
     logits = F.transform("_gda", lambda p: V.dot(vec, p["w"]) + p["b"])
     return (j.withColumn("logits", logits).drop("_gda")
             .withColumn("probs", V.softmax("logits"))

@@ -132,19 +132,20 @@ def test_isolation_forest_flags_far_points(spark):
     assert s.keep.mean() > 0.9
 
 
-def test_stream_scoring_equals_batch(spark):
+@pytest.mark.parametrize("limit", [1 << 20, 1])
+def test_stream_scoring_equals_batch(spark, limit):
     tr, te = train_test(spark, SF_CHECK)
     fit = S.fit_gda(tr, ["layer"], "label")
     path = scratch_path(spark, "stream_in")
     te.write.mode("overwrite").parquet(path)
     stream = spark.readStream.schema(te.schema).option("maxFilesPerTrigger", 2).parquet(path)
-    q = score_stream(stream, fit["params"]).select("example_id", "layer", "pred", "score") \
-        .writeStream.format("memory").queryName("scored_stream").outputMode("append").start()
+    q = score_stream(stream, fit["params"], max_broadcast_bytes=limit).select("example_id", "layer", "pred", "score") \
+        .writeStream.format("memory").queryName(f"scored_stream_{limit}").outputMode("append").start()
     try:
         q.processAllAvailable()
     finally:
         q.stop()
-    got = {(r.example_id, r.layer): (r.pred, round(r.score, 9)) for r in spark.sql("SELECT * FROM scored_stream").collect()}
+    got = {(r.example_id, r.layer): (r.pred, round(r.score, 9)) for r in spark.sql(f"SELECT * FROM scored_stream_{limit}").collect()}
     from protolens.operators import scoring as SC
 
     b = SC.argmax_class(SC.softmax_probs(SC.gda_logits(te, fit["params"], ["layer"])), "probs", "pred")
