@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns plus dictionary-primed zstandard novelty.
 
 Base spans come from three patterns (``assign``, ``access``, ``hex``).  On top, every other
-maximal run of key characters that stands near a sensitive word, or follows or precedes such a run
+maximal run of key characters that stands near a sensitive word, begins like a known issuer's key (``ISSUED``), or follows or precedes such a run
 on an adjacent line (a key block), is weighed by its marginal compressed size: bytes of (context + candidate) minus bytes of (context), both compressed
 with a dictionary primed with the corpus' own identifiers.  Names that code repeats cost
 almost nothing; a string that neither its surroundings nor the identifiers explain costs
@@ -36,6 +36,9 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN_MIN, ACCESS_MIN = 6, 20
 
 SENSITIVE = ("passw", "secret", "token", "api_key", "apikey", "access_key", "accesskey", "credential", "bearer", "private", "signature", "auth")
+#: fixed values: beginnings of keys that name their issuer; such a key is sensitive wherever it stands
+ISSUED = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk_live_", "sk_test_", "rk_live_", "xoxb-", "xoxp-", "AIza", "npm_")
+ISSUED_KEY = re.compile("(?<![A-Za-z0-9])(?:" + "|".join(ISSUED) + ")[A-Za-z0-9]")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: between the parts of a dotted token, and the lines of a key block (also as escapes or quoted strings); a short last line below a line of ``WRAP`` or more
 ADJACENT = re.compile(r"""\.|\\+|[\x20\t]*(?:\\[rn])*["']?[\x20\t]*[+,\\]?[\x20\t]*\r?\n[\x20\t]*[>#*"']*[\x20\t]*""")
@@ -90,7 +93,8 @@ def _assigned(block: list[tuple[int, int]], base: list[tuple[int, int, int]], k:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, list[tuple[int, int]]]]:
     """(start, end, parts to report) of the runs with letters and digits near a sensitive word, or in a block with such a run."""
     low = text.lower()
-    if not any(w in low for w in SENSITIVE):
+    issued = any(w in text for w in ISSUED)
+    if not issued and not any(w in low for w in SENSITIVE):
         return []
     blocks: list[list[tuple[int, int]]] = []
     for m in CANDIDATE.finditer(text):
@@ -105,7 +109,8 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             continue
         while k < len(base) and base[k][2] <= block[0][0]:
             k += 1
-        if not _assigned(block, base, k) and not any(w in (text[max(0, a - NEAR):a] + "\n" + text[b:b + NEAR // 2]).lower() for (a, b), yes in zip(block, mixed) if yes for w in SENSITIVE):
+        own = issued and any(yes and ISSUED_KEY.search(text, a, b) for (a, b), yes in zip(block, mixed))
+        if not own and not _assigned(block, base, k) and not any(w in (text[max(0, a - NEAR):a] + "\n" + text[b:b + NEAR // 2]).lower() for (a, b), yes in zip(block, mixed) if yes for w in SENSITIVE):
             continue
         for (a, b), yes in zip(block, mixed):
             if not yes and (len(block) == 1 or b - a < WRAP):

@@ -56,6 +56,15 @@ def test_long_keys_and_key_blocks_are_found_whole():
     assert mask("my_password=hunter22hunter22") == "my_#"
 
 
+def test_keys_of_known_issuers_need_no_sensitive_word():
+    novelty, key = secret_scan.Novelty(b""), "x7Kq2Vd9Zr4Bn8Lw1Tc6Ym3Hp5Gs0Jf2QaEu"
+    for start in secret_scan.ISSUED:
+        text = f"run with {start}{key} here"
+        assert secret_scan.masked(text, secret_scan.all_spans(text, novelty), "#") == "run with # here", start
+    for text in (f"run with {key} here", f"run with xghp_{key} here", "see ghp_ and sk_live_ in the manual"):
+        assert secret_scan.all_spans(text, novelty) == []
+
+
 def test_redaction_masks_spans_and_keeps_rows(spark):
     df = spark.createDataFrame([(1, 'a token = "abcdef0123456789abcdef0123456789" b', 46), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secret_scan.redact(df, length_col="n_chars").collect()}
@@ -118,6 +127,23 @@ def test_language_edge_cases(spark):
     assert language_id.predict_languages(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
 
 
+def test_filter_follows_its_n_grams_and_agrees_with_sets():
+    assert [language_id.rows_for(n) for n in (0, 1 << 17, (1 << 17) + 1, 1 << 30)] == [1 << 20, 1 << 20, 1 << 21, language_id.ROWS_MOST]
+    r = np.random.default_rng(5)
+    for rows in (1 << 20, 1 << 22):
+        sets = [r.integers(0, 1 << 32, 100_000, dtype=np.uint64).astype(np.uint32) for _ in range(3)]
+        words = np.zeros((1, rows), np.uint64)
+        for k, g in enumerate(sets):
+            for s in language_id.slots(g, rows):
+                words[0, s] |= np.uint64(1 << k)
+        f = language_id.LanguageFilter(["a", "b", "c"], words, 0)
+        assert f.fill.max() < 0.25
+        docs = [np.concatenate([s[i * 50:i * 50 + n] for s, n in zip(sets, r.integers(0, 50, 3))] + [r.integers(0, 1 << 32, 20, dtype=np.uint64).astype(np.uint32)]) for i in range(40)]
+        plain = np.array([[np.isin(d, s).sum() for s in sets] for d in docs])
+        got = f.evidence(np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])]))
+        assert np.abs(got - plain).max() < 15 and np.abs((got - plain).mean()) < 1
+
+
 def test_filter_with_many_languages():
     names = [f"l{i:03d}" for i in range(70)]
     words, r = np.zeros((2, language_id.ROWS), np.uint64), np.random.default_rng(1)
