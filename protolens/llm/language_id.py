@@ -1,6 +1,8 @@
 """Language identification with a bit-sliced Bloom filter of n-grams.
 
-One filter of ``ROWS`` rows holds all languages: a row is a bit mask with one bit a language, and an
+One filter holds all languages.  Its rows are a power of two, at least ``ROWS`` and ``ROWS_EACH`` for every n-gram that
+the fullest language may have, so that at most about a fifth of a language's bits are set (``fill``), up to ``ROWS_MOST``
+(beyond, bits fill up and the correction below weighs what is left).  A row is a bit mask with one bit a language, and an
 n-gram's mask is the AND of its ``HASHES`` rows, so one look-up returns every language that has the
 n-gram.  A document's evidence for a language is the popcount of its bit over the document's n-grams,
 corrected for the bit's false positive rate ``fill ** HASHES``; the largest decides.
@@ -9,7 +11,7 @@ n-grams are windows of ``N`` bytes of the text with A-Z lower-cased and every ru
 neither letters nor over 127 read as one blank.  An n-gram belongs to a language when it was seen there
 ``MIN_COUNT`` times or more, at ``SHARE`` or more of the largest rate that any language shows.  Counts come
 from all training documents (partial counts in the tasks, one sum by n-gram); only filter rows reach
-the driver, ``ROWS`` at most whatever the input.
+the driver, ``ROWS_MOST`` for each 64 languages at most whatever the input.
 
 Edge cases: text null or without a letter is ``und`` with score 0; a text whose n-grams no language
 knows gets the language with most training documents; no training rows at all give ``und``; rows with a
@@ -27,7 +29,7 @@ from protolens.llm import kernel as K
 from protolens.llm.common import prepare
 
 N = 4
-ROWS = 1 << 20
+ROWS, ROWS_EACH, ROWS_MOST = 1 << 20, 8, 1 << 24
 HASHES = 2
 MIN_COUNT = 3
 SHARE = 0.2
@@ -58,9 +60,14 @@ def grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return every[use], np.concatenate([[0], np.cumsum(use)])[np.minimum(offs, len(every))]
 
 
-def slots(g: np.ndarray) -> list[np.ndarray]:
+def rows_for(grams: int) -> int:
+    """Filter rows where the fullest language has so many n-grams."""
+    return min(ROWS_MOST, max(ROWS, 1 << max(0, ROWS_EACH * grams - 1).bit_length()))
+
+
+def slots(g: np.ndarray, rows: int = ROWS) -> list[np.ndarray]:
     h = K.mix(g.astype(np.uint64))
-    return [((h >> K.U64(24 * k)) & K.U64(ROWS - 1)).astype(np.int64) for k in range(HASHES)]
+    return [((h >> K.U64(24 * k)) & K.U64(rows - 1)).astype(np.int64) for k in range(HASHES)]
 
 
 class LanguageFilter:
@@ -75,7 +82,7 @@ class LanguageFilter:
     def evidence(self, g: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Corrected popcounts, documents x languages."""
         n = np.diff(first)
-        at = slots(g)
+        at = slots(g, self.words.shape[1])
         out = np.zeros((len(n), len(self.languages)))
         for w in range(len(self.words)):
             mask = self.words[w][at[0]]
@@ -156,11 +163,13 @@ def learn(docs: DataFrame) -> LanguageFilter:
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     counts.persist()
     try:
-        totals = counts.groupBy("lang").agg(F.sum(F.when(F.col("gram") >= 0, F.col("n"))).alias("grams"), F.sum(F.when(F.col("gram") < 0, F.col("n"))).alias("docs")).collect()
+        totals = counts.groupBy("lang").agg(F.sum(F.when(F.col("gram") >= 0, F.col("n"))).alias("grams"), F.sum(F.when(F.col("gram") < 0, F.col("n"))).alias("docs"),
+                                              F.count_if((F.col("gram") >= 0) & (F.col("n") >= MIN_COUNT)).alias("often")).collect()
+        size = rows_for(max((r["often"] for r in totals), default=0))
         totals = sorted((r["lang"], max(r["grams"] or 0, 1), r["docs"]) for r in totals)  # one row a language
         languages = [t[0] for t in totals]
         if not languages:
-            return LanguageFilter([], np.zeros((1, ROWS), np.uint64), 0)
+            return LanguageFilter([], np.zeros((1, size), np.uint64), 0)
         info = spark.createDataFrame([(t[0], k, float(t[1])) for k, t in enumerate(totals)], "lang string, bit int, total double")
         rate = (counts.where("gram >= 0").join(F.broadcast(info), "lang").withColumn("rate", F.col("n") / F.col("total"))
                 .withColumn("top", F.max("rate").over(Window.partitionBy("gram")))  # one row a language in each group
@@ -169,15 +178,15 @@ def learn(docs: DataFrame) -> LanguageFilter:
         def place(batches):
             for b in batches:
                 g, bit = np.asarray(b.column(0)).astype(np.uint32), np.asarray(b.column(1))
-                at = np.concatenate(slots(g))
+                at = np.concatenate(slots(g, size))
                 many = np.tile(bit, HASHES)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array((many // 64).astype(np.int32)), pa.array(np.left_shift(np.int64(1), (many % 64).astype(np.int64)))], ["slot", "word", "mask"])
 
         placed = (rate.select("gram", "bit").mapInArrow(place, "slot long, word int, mask long")
-                  .groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow())  # at most ROWS rows a word
+                  .groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow())  # at most ROWS_MOST rows a word
     finally:
         counts.unpersist()
-    words = np.zeros((-(-len(languages) // 64), ROWS), np.uint64)
+    words = np.zeros((-(-len(languages) // 64), size), np.uint64)
     words[np.asarray(placed.column("word")), np.asarray(placed.column("slot"))] = np.asarray(placed.column("mask").combine_chunks()).view(np.uint64)
     return LanguageFilter(languages, words, int(np.argmax([t[2] for t in totals])))
 
