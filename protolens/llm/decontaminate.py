@@ -6,7 +6,7 @@ item are a candidate pair when they share a seed of ``LEAST`` consecutive tokens
 that has fewer; the seeds they share
 bound what tiling can cover, and pairs whose bound is under the threshold go no further.  For the rest
 tiling repeatedly marks the longest matches of unmarked tokens, ``LEAST`` tokens or more, until none is
-left (running Karp-Rabin: hashes of ``LEAST`` tokens find where matches may run).  Marked tokens never
+left (running Karp-Rabin: hashes of many tokens find where long matches run, then of half as many, down to ``LEAST``).  Marked tokens never
 match again, so passages count whatever order they come in, and once only.  An item leaks into a
 document when its marked share is ``threshold`` or more.
 
@@ -21,6 +21,7 @@ are passed over.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,8 @@ LEAST = 5
 THRESHOLD = 0.5
 BLOCK_BYTES = 16 << 20
 _BITS = 22
+#: pairs of equal windows looked at in one step
+_PAIRS = 1 << 20
 
 
 #: code points of scripts without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, kana, ideographs and their extensions
@@ -74,35 +77,79 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return K.hash_spans(low, s, e, seed=3), np.searchsorted(s, offs)
 
 
-def tile(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """Greedy tiling of token arrays: (start in a, start in b, length), longest first, ties by place."""
+def _matches(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """(-length, start in a, start in b) of the maximal matches of ``size`` free tokens or more.
+
+    Hashes of ``size`` tokens find the places where the two agree, ``_PAIRS`` at a time; only those where a match begins or
+    ends are held, and one end follows each beginning on its diagonal."""
+    if min(len(a), len(b)) < size:
+        return []
+    ha, hb = K.window_hash(a, size), K.window_hash(b, size)
+    at_a, at_b = (np.flatnonzero(c[size:] - c[:-size] == size) for c in (np.concatenate([[0], np.cumsum(f)]) for f in (free_a, free_b)))
+    if not len(at_a) or not len(at_b):
+        return []
+    at_a = at_a[np.argsort(ha[at_a], kind="stable")]
+    key = ha[at_a]
+    lo, hi = np.searchsorted(key, hb[at_b], side="left"), np.searchsorted(key, hb[at_b], side="right")
+    at_b, lo, hi = (v[hi > lo] for v in (at_b, lo, hi))
+
+    def agree(x, y):
+        ok = (x >= 0) & (y >= 0) & (x < len(a)) & (y < len(b))
+        ok[ok] = (a[x[ok]] == b[y[ok]]) & free_a[x[ok]] & free_b[y[ok]]
+        return ok
+
+    begins, ends = [], []
+    total = np.concatenate([[0], np.cumsum(hi - lo)])
+    first = 0
+    while first < len(at_b):
+        last = max(first + 1, int(np.searchsorted(total, total[first] + _PAIRS, side="right")) - 1)
+        many = hi[first:last] - lo[first:last]
+        x, y = at_a[K.ragged(lo[first:last], many)], np.repeat(at_b[first:last], many)
+        for out, step in ((begins, -1), (ends, size)):
+            edge = ~agree(x + step, y + step)
+            out.append(np.stack([y[edge] - x[edge], x[edge]]))
+        first = last
+    if not begins:
+        return []
+    (diagonal, x), (_, end) = (v[:, np.lexsort((v[1], v[0]))] for v in (np.concatenate(begins, 1), np.concatenate(ends, 1)))
+    return list(zip((x - end - size).tolist(), x.tolist(), (x + diagonal).tolist()))
+
+
+def _free_parts(free: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(start, length) of the runs of ``least`` or more."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], free.astype(np.int8), [0]])))
+    return [(int(s), int(e - s)) for s, e in zip(edge[::2], edge[1::2]) if e - s >= least]
+
+
+def tile(a: np.ndarray, b: np.ndarray, least: int = LEAST, enough: float = np.inf) -> list[tuple[int, int, int]]:
+    """Greedy tiling of token arrays: (start in a, start in b, length), longest first, ties by place.
+
+    Running Karp-Rabin: matches are searched by hashes of half of a, then of half that length, down to ``least`` tokens.
+    At each length the longest match is marked first; one that marked tokens cut goes back with what is left of it,
+    if that is long enough, or is found again at a shorter length.  Tiling stops once ``enough`` tokens are tiled."""
     free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
     out: list[tuple[int, int, int]] = []
+    tiled, size = 0, max(least, min(len(a), len(b)) // 2)
     while True:
-        best, found = least, []
-        run = np.zeros(len(b) + 1, np.int32)  # run[q + 1]: length of the match that ends at (p, q)
-        for p in range(len(a) + 1):
-            now = np.zeros_like(run)
-            if p < len(a) and free_a[p]:
-                same = (b == a[p]) & free_b
-                now[1:][same] = run[:-1][same] + 1
-            over = np.flatnonzero(run[:-1] >= best)  # matches that end at p - 1 and do not go on
-            over = over[now[over + 1] == 0]
-            last = run[-1] >= best
-            for q in [*over.tolist(), *([len(b)] if last else [])]:
-                n = int(run[q])
-                if n > best:
-                    best, found = n, []
-                if n == best:
-                    found.append((p - n, q - n, n))
-            run = now
-        if not found:
+        heap = _matches(a, b, free_a, free_b, size)
+        heapq.heapify(heap)
+        while heap:
+            n, i, j = heapq.heappop(heap)
+            free = free_a[i:i - n] & free_b[j:j - n]
+            if free.all():
+                if not np.array_equal(a[i:i - n], b[j:j - n]):  # equal hashes are only a hint
+                    continue
+                free_a[i:i - n] = free_b[j:j - n] = False
+                out.append((i, j, -n))
+                tiled -= n
+                if tiled >= enough:
+                    return out
+            else:
+                for s, left in _free_parts(free, size):
+                    heapq.heappush(heap, (-left, i + s, j + s))
+        if size == least:
             return out
-        for i, j, n in sorted(found):
-            if free_a[i:i + n].all() and free_b[j:j + n].all():
-                free_a[i:i + n] = False
-                free_b[j:j + n] = False
-                out.append((i, j, n))
+        size = max(least, size // 2)
 
 
 class Items:
@@ -129,6 +176,10 @@ class Items:
         """(item, tiles, tiled tokens, item tokens) of the items that leak into the tokens ``own``, which start at ``begin``."""
         return [leak for seeds, places in found for leak in seeds.leaks(own, places - begin, threshold)]
 
+    def any_leak(self, own: np.ndarray, begin: int, found: list, threshold: float) -> bool:
+        """Whether an item leaks; tiling stops at the threshold, and with the first leak."""
+        return any(True for seeds, places in found for _ in seeds.leaks(own, places - begin, threshold, stop=True))
+
 
 class Seeds:
     """Token hashes of some items, and their sorted seeds of ``least`` tokens with their places."""
@@ -159,8 +210,8 @@ class Seeds:
         cut = np.flatnonzero(np.diff(doc)) + 1
         return {int(doc[g[0]]): at[g] for g in np.split(np.arange(len(doc)), cut) if len(g)}
 
-    def leaks(self, own: np.ndarray, places: np.ndarray, threshold: float) -> list[tuple[int, int, int, int]]:
-        """(item, tiles, tiled tokens, item tokens) of the items that leak into the tokens ``own``."""
+    def leaks(self, own: np.ndarray, places: np.ndarray, threshold: float, stop: bool = False) -> Iterator[tuple[int, int, int, int]]:
+        """(item, tiles, tiled tokens, item tokens) of the items that leak into the tokens ``own``; ``stop`` tiles no further than to the threshold."""
         h = K.window_hash(own, self.least)
         # only tokens inside a known seed can be tiled; runs apart from each other stay apart
         inside = np.zeros(len(own) + 1, np.int64)
@@ -173,7 +224,6 @@ class Seeds:
         lo = np.searchsorted(self.h, h[places], side="left")
         hi = np.searchsorted(self.h, h[places], side="right")
         shared = np.unique(K.ragged(lo, hi - lo))
-        out = []
         order = shared[np.argsort(self.item[shared], kind="stable")]
         cut = np.flatnonzero(np.diff(self.item[order])) + 1
         for g in np.split(order, cut):
@@ -184,11 +234,10 @@ class Seeds:
             np.add.at(cover, self.at[g] + self.least, -1)
             if (np.cumsum(cover[:-1]) > 0).sum() < threshold * len(mine):
                 continue
-            tiles = tile(mine, some, self.least)
+            tiles = tile(mine, some, self.least, max(1, threshold * len(mine)) if stop else np.inf)
             tiled = sum(n for *_, n in tiles)
             if tiled >= threshold * len(mine):
-                out.append((self.which[item], len(tiles), tiled, len(mine)))
-        return out
+                yield self.which[item], len(tiles), tiled, len(mine)
 
 
 def each_block(benchmark: DataFrame, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[Items, bool]]:
@@ -252,7 +301,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", th
                 for lo, _, part, o in K.chunks(buf, offs):
                     tok, first = tokens(part, o)
                     for k, known in items.hits(tok, first).items():
-                        keep[lo + k] = not items.leaks(tok[first[k]:first[k + 1]], first[k], known, threshold)
+                        keep[lo + k] = not items.any_leak(tok[first[k]:first[k + 1]], first[k], known, threshold)
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, schema)

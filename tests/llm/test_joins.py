@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from protolens.llm import components, decontaminate, jaccard_join, substring_dedup
 
@@ -181,6 +182,61 @@ def test_tiling_equals_brute_force():
         assert sorted(got) == sorted(brute_tiles(a, b, 2))
 
 
+def test_tiling_of_long_and_periodic_texts(monkeypatch):
+    monkeypatch.setattr(decontaminate, "_PAIRS", 7)
+    r = random.Random(8)
+    for _ in range(60):
+        words = [r.randint(1, 3) for _ in range(8)]
+        a, b = ([w for _ in range(r.randint(1, 4)) for w in words[r.randint(0, 6):] + [r.randint(1, 9)] * r.randint(0, 2)] for _ in range(2))
+        got = decontaminate.tile(np.array(a, np.uint64), np.array(b, np.uint64), 3)
+        assert sorted(got) == sorted(brute_tiles(a, b, 3))
+        total = sum(n for *_, n in got)
+        some = sum(n for *_, n in decontaminate.tile(np.array(a, np.uint64), np.array(b, np.uint64), 3, enough=total / 2))
+        assert total / 2 <= some <= total
+    monkeypatch.undo()
+    assert decontaminate.tile(np.full(300, 7, np.uint64), np.full(20_000, 7, np.uint64), 5) == [(0, 0, 300)]
+
+
+def test_leaks_equal_plain_tiling_of_every_pair(spark):
+    r = random.Random(21)
+    word = lambda: f"w{r.randint(0, 5)}"
+    items = [(k, " ".join(word() for _ in range(r.randint(1, 18)))) for k in range(12)]
+    docs = []
+    for i in range(60):
+        parts = [word() for _ in range(r.randint(0, 25))]
+        for _ in range(r.randint(0, 3)):
+            w = r.choice(items)[1].split()
+            s = r.randint(0, len(w) - 1)
+            parts += w[s:s + r.randint(1, 12)] + [word()]
+        docs.append((i, " ".join(parts)))
+    want = set()
+    for k, item in items:
+        w = item.split()
+        for i, text in docs:
+            tiles = brute_tiles(w, text.split(), min(5, len(w)))
+            tiled = sum(n for *_, n in tiles)
+            if tiled >= 0.5 * len(w):
+                want.add((i, k, len(tiles), tiled, len(w)))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(x)[:5] for x in decontaminate.find_leaks(df, bench).collect()} == want
+    assert {x["doc_id"] for x in decontaminate.keep_clean(df, bench).collect()} == {i for i, _ in docs} - {w[0] for w in want}
+
+
+def test_sets_that_share_a_64_bit_hash_stay_apart(spark, monkeypatch):
+    one, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, one), (2, other), (3, one + " end"), (4, other + " end"), (5, one), (6, other)]
+    sets = spark.createDataFrame([(i, 37, 7, 1 if "a0" in t else 2, None, None, None) for i, t in rows[:2] + rows[4:]],
+                                 "doc_id long, n int, sid long, sid2 long, coarse binary, fine binary, prefix binary")
+    apart, reps = jaccard_join.one_id_a_set(sets)
+    ids = {r["doc_id"]: r["sid"] for r in apart.collect()}
+    assert ids[1] == ids[5] != ids[2] == ids[6] and apart.columns == sets.columns
+    assert sorted((r["rep"], r["low"]) for r in reps.collect()) == [(1, 1), (2, 2)]
+    inner = jaccard_join.set_table
+    monkeypatch.setattr(jaccard_join, "set_table", lambda *a: inner(*a).withColumn("sid", F.when(F.col("n") > 0, F.lit(7)).otherwise(F.col("sid"))))
+    got = jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 1, 4: 2, 5: 1, 6: 2}
+
+
 def test_reordered_passages_are_found_and_clean_texts_left(spark):
     item = " ".join(f"Item{i}" for i in range(30))
     w = item.split()
