@@ -136,7 +136,7 @@ def set_table(docs: DataFrame, common: np.ndarray, rule: Rule) -> DataFrame:
         common = shared.value
         gate = np.zeros(1 << 20, bool)
         gate[(common >> K.U64(44)).astype(np.int64)] = True
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for b in batches:
             keys = b.column(0)
             buf, offs = K.string_buffers(b.column(1))
@@ -147,12 +147,12 @@ def set_table(docs: DataFrame, common: np.ndarray, rule: Rule) -> DataFrame:
                     n.append(len(g))
                     sid.append(x)
                     sid2.append(y)
-                    if not len(g) or x in seen:
+                    if not len(g) or (x, y) in seen:
                         coarse.append(None)
                         fine.append(None)
                         prefix.append(None)
                         continue
-                    seen.add(x)
+                    seen.add((x, y))
                     bits = fine_bits(len(g))
                     fine.append(parity(g, bits))
                     coarse.append(fold(np.frombuffer(fine[-1], np.uint8), COARSE // 8).tobytes())
@@ -173,6 +173,21 @@ def set_table(docs: DataFrame, common: np.ndarray, rule: Rule) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n int, sid long, sid2 long, coarse binary, fine binary, prefix binary")
 
 
+def one_id_a_set(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sets, one row of each set): sets whose 64-bit ids are equal by chance, as their other halves tell, get new ids."""
+    rounds = 0
+    while True:
+        reps = written(sets.where("n > 0").groupBy("sid")
+                       .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("coarse").alias("coarse"), F.max("fine").alias("fine"),
+                            F.min("sid2").alias("low"), F.max("sid2").alias("high")), "jaccard-reps")
+        clash = reps.where("low <> high").select(F.col("sid").alias("clash"))
+        if clash.isEmpty():
+            return sets, reps
+        rounds += 1
+        sid = F.when(F.col("clash").isNull(), F.col("sid")).otherwise(F.xxhash64("sid", "sid2", F.lit(rounds)))
+        sets = written(sets.join(clash, F.col("sid") == F.col("clash"), "left").withColumn("sid", sid).drop("clash"), "jaccard-sets")
+
+
 def _postings(batches):
     """(token, sid, n) of every prefix place."""
     for b in batches:
@@ -364,13 +379,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT, short: int = SHORT,
     prepare(spark)
     rule, parts = Rule(percent), partitions(spark)
     rows = texts(docs)
-    sets = written(set_table(rows, common_shingles(rows), rule), "jaccard-sets")
-    reps = (sets.where("n > 0").groupBy("sid")
-            .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("coarse").alias("coarse"), F.max("fine").alias("fine"),
-                 F.min("sid2").alias("low"), F.max("sid2").alias("high")))
-    reps = written(reps, "jaccard-reps")
-    if not reps.where("low <> high").isEmpty():
-        raise ValueError("two different shingle sets share a 64-bit hash: change the hash seed")
+    sets, reps = one_id_a_set(written(set_table(rows, common_shingles(rows), rule), "jaccard-sets"))
 
     lists = (sets.where("prefix is not null").select("sid", "n", "prefix").mapInArrow(_postings, "token long, sid long, n int")
              .repartition(parts, "token").sortWithinPartitions("token", "sid").mapInArrow(_lists(rule, short), "kind int, x long, y long, nx int, ny int"))
@@ -405,19 +414,19 @@ def link_components(docs: DataFrame, percent: int = PERCENT, short: int = SHORT,
 
     # whole sets of the documents in any candidate: each set that has one has its nearest
     nodes = tried.select(F.col("x").alias("sid")).unionByName(tried.select(F.col("y").alias("sid"))).distinct()
-    wanted = nodes.join(reps.select("sid", "rep"), "sid").where("rep is not null")
+    wanted = nodes.join(reps.select("sid", "rep", "low"), "sid").where("rep is not null")  # low: the second half of the set's hash
 
     def whole(batches):
         for b in batches:
             buf, offs = K.string_buffers(b.column(2))
             for lo, hi, part, o in K.chunks(buf, offs):
                 found = shingle_sets(part, o)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array([set_hash(g)[0] for g in found], pa.int64()),
-                                                  pa.array([g.tobytes() for g in found], pa.binary())], ["sid", "rep", "own", "g"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array([set_hash(g)[1] for g in found], pa.int64()),
+                                                  pa.array([g.tobytes() for g in found], pa.binary()), b.column(3).slice(lo, hi - lo)], ["sid", "rep", "own", "g", "low"])
 
-    found = (rows.join(wanted.select("sid", F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id")
-             .select("sid", F.col("doc_id").alias("rep"), "text").mapInArrow(whole, "sid long, rep long, own long, g binary")
-             .where("sid = own").dropDuplicates(["sid"]).select("sid", "rep", "g"))
+    found = (rows.join(wanted.select("sid", "low", F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id")
+             .select("sid", F.col("doc_id").alias("rep"), "text", "low").mapInArrow(whole, "sid long, rep long, own long, g binary, low long")
+             .where("low = own").dropDuplicates(["sid"]).select("sid", "rep", "g"))
     whole_sets = written(found, "jaccard-whole")
     release(spark)
 
