@@ -140,13 +140,21 @@ def q_reuse_first_meta(spark, sf):
 
 
 def _supervised(spark, sf, fit_fn, method):
-    """A classifier on the raw vectors of every layer, one record a benchmark and layer."""
+    """A classifier on the raw vectors of every layer, one record a benchmark and layer.
+
+    A task that scores holds a whole model, so each layer is scored and written before the next is fitted, by one task a core."""
     tr, te = train_test(spark, sf)
     tr, te = ME.materialize(tr.select("layer", "label", "vector")), ME.materialize(te.select("layer", "dataset", "label", "vector"))
+    cores = spark.sparkContext.defaultParallelism
+
+    def score(layer):
+        model = fit_fn(tr.where(F.col("layer") == layer))
+        s = ME.predict_vectors(model, te.where(F.col("layer") == layer).coalesce(cores), "vector", "score")
+        return ME.materialize(s.select("layer", "dataset", "label", "score"))
+
     scored = None
     for layer in [r["layer"] for r in tr.select("layer").distinct().orderBy("layer").collect()]:  # one model a layer
-        model = fit_fn(tr.where(F.col("layer") == layer))
-        s = ME.predict_vectors(model, te.where(F.col("layer") == layer), "vector", "score").select("layer", "dataset", "label", "score")
+        s = score(layer)
         scored = s if scored is None else scored.unionByName(s)
     rec = M.binary_scores(scored.withColumn("method", F.lit(method)), ["layer", "dataset", "method"], "score", "label")
     return rec.select("layer", "dataset", "method", *[rnd(c).alias(c) if "support" not in c else F.col(c) for c in RECORD_COLS])

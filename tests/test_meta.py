@@ -2,14 +2,17 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from protolens.operators import clustering as CL
 from protolens.operators import meta as ME
+from protolens.plans import q_meta
 from protolens.plans.common import signal_split
 from protolens.plans.flagship import features, fit_layers, layer_probabilities
 
-from .conftest import SF_CHECK
+from .conftest import SF_CHECK, SF_SMALL
 
 
 @pytest.fixture(scope="module")
@@ -46,6 +49,35 @@ def test_supervised_baselines_score_in_unit_interval(feats, fit_fn):
     assert len(s) > 0 and all(0.0 <= x <= 1.0 for x in s)
 
 
+def test_forest_of_cached_node_ids_is_the_same_forest(spark):
+    """Node ids kept with the rows spare the tasks the trees; splits and scores equal those of a forest without them."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, int(rng.integers(2)), rng.normal(size=4).tolist()) for i in range(120)], "example_id long, label int, vector array<double>").coalesce(1)
+    model = ME.supervised_rf(df)
+    assert model.getCacheNodeIds() and model.getNumTrees == 100 and model.getMaxDepth() == 30
+    plain = RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", maxDepth=30, seed=42).fit(
+        df.select(array_to_vector("vector").alias("features"), F.col("label").cast("double").alias("label")))
+    a, b = ({r.example_id: r.score for r in ME.predict_vectors(m, df).select("example_id", "score").collect()} for m in (model, plain))
+    assert a == b and len(a) == 120 and model.toDebugString.split("\n")[1:] == plain.toDebugString.split("\n")[1:]
+
+
+def test_supervised_layers_are_scored_before_the_next_is_fitted(spark, monkeypatch):
+    """One model at a time: no task holds the models of several layers."""
+    steps, write = [], ME.materialize
+
+    def fit(train):
+        steps.append("fit")
+        return ME.supervised_lr(train)
+
+    def record(df):
+        steps.append("written" if "score" in df.columns else "rows")
+        return write(df)
+
+    monkeypatch.setattr(ME, "materialize", record)
+    assert q_meta._supervised(spark, SF_SMALL, fit, "lr").count() == 9
+    assert steps == ["rows", "rows", *["fit", "written"] * 3]
+
+
 def test_kmeans_prototypes_are_class_local(feats):
     tr, _, _, _ = feats
     p = CL.cluster_prototypes(tr, ["layer"], "label", n_clusters_per_class=2, iters=10)
