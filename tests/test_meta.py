@@ -138,3 +138,49 @@ def test_oversampled_start_finds_the_groups(spark):
     assert per[0] == 6 and per[1] <= 2 and per[2] == 1
     sizes = [r["count"] for r in assigned.where("label = 0").groupBy("cluster").count().collect()]
     assert sizes == [40] * 6 and assigned.count() == len(rows)
+
+
+def test_broadcast_centres_give_the_clusters_of_joined_centres(spark):
+    """Same centres and rows a cluster whether the centres fit the broadcast limit or not: a null label and a one-row class."""
+    rng = np.random.default_rng(7)
+    rows = [(i, i % 3, i % 2, rng.normal(size=5).tolist()) for i in range(900)]
+    rows += [(5000, 0, None, [0.0] * 5), (5001, 7, 1, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "example_id long, layer int, label int, vector array<double>").repartition(5)
+
+    def run():
+        centres, assigned = CL.grouped_kmeans(df, ["layer"], "label", k=3)
+        at = {(r.layer, r.label, r.cluster): r.center for r in centres.collect()}
+        return at, {(r.example_id, r.layer): r.cluster for r in assigned.collect()}, centres.dtypes
+
+    centres, clusters, kind = run()
+    spark.conf.set("protolens.maxBroadcastBytes", "1")
+    try:
+        joined, same, kind_joined = run()
+    finally:
+        spark.conf.unset("protolens.maxBroadcastBytes")
+    assert kind == kind_joined and clusters == same and len(clusters) == 901
+    assert centres.keys() == joined.keys() and len(centres) == 19
+    assert all(np.allclose(centres[k], joined[k], rtol=0, atol=1e-12) for k in centres)
+
+
+def test_a_lloyd_round_is_one_job(spark, monkeypatch):
+    """Rounds write no tables: what a fit writes does not grow with its rounds."""
+    rng = np.random.default_rng(8)
+    rows = [(i, 0, i % 2, rng.normal(size=3).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "example_id long, layer int, label int, vector array<double>")
+    written, write = [], CL.materialize
+    monkeypatch.setattr(CL, "materialize", lambda t: written.append(0) or write(t))
+    counts = []
+    for iters in (1, 4):
+        written.clear()
+        with pytest.warns(RuntimeWarning, match="still moved"):
+            CL.grouped_kmeans(df, ["layer"], "label", k=2, iters=iters, tol=-1.0)
+        counts.append(len(written))
+    assert counts[0] == counts[1]
+
+
+def test_nearest_centres_order_numbers_as_spark():
+    """NaN above infinity, the first on ties."""
+    nan, inf = float("nan"), float("inf")
+    d = np.array([[nan, 1.0, nan, nan, 2.0], [inf, 1.0, nan, 0.0, 1.0], [nan, 0.5, nan, nan, 1.0]])
+    assert CL._first_smallest(d).tolist() == [1, 2, 0, 1, 1]
