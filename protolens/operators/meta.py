@@ -5,7 +5,8 @@ Its objective is liblinear's: ||w||_1 + C * sum(loss) with a penalised
 intercept.  Proximal Newton needs one aggregated gradient and Hessian of
 (features + 1)^2 numbers a pass and a handful of passes; any number of stacks
 (C values, row subsets, feature subsets) are fitted in the same passes.
-G16-G18 are pyspark.ml classifiers on the raw vectors.
+G16-G18 are pyspark.ml classifiers on the raw vectors; a forest too large for
+the driver is grown in tables (``forest``).
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from protolens.operators import forest
 from protolens.operators.params import materialize
 
 
@@ -222,12 +224,22 @@ def supervised_lr(train: DataFrame, vec: str = "vector", label: str = "label", C
                               maxIter=200).fit(data)
 
 
+#: trees of the random forest
+TREES = 100
+#: rows times trees up to which the trees are held in the driver; a full tree has about a node a row
+DEFAULT_MAX_DRIVER_NODES = 1_000_000
+
+
 def supervised_rf(train: DataFrame, vec: str = "vector", label: str = "label", seed: int = 42):
     """100 trees, sqrt(d) features per split (Spark caps depth at 30).
 
-    Rows keep the id of their node in each tree, so a level's tasks do not get the trees grown so far; the forest is the same."""
+    Rows keep the id of their node in each tree, so a level's tasks do not get the trees grown so far; the forest is the same.
+    Trees that would fill the driver are grown and kept in tables (``forest``): a forest of the same kind with draws of its own."""
     data = train.select(array_to_vector(vec).alias("features"), F.col(label).cast("double").alias("label"))
-    return RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", maxDepth=30, seed=seed, cacheNodeIds=True).fit(data)
+    most = int(train.sparkSession.conf.get("protolens.maxDriverNodes", str(DEFAULT_MAX_DRIVER_NODES)))
+    if train.count() * TREES > most:
+        return forest.fit(train, vec, label, TREES, seed)
+    return RandomForestClassifier(numTrees=TREES, featureSubsetStrategy="sqrt", maxDepth=30, seed=seed, cacheNodeIds=True).fit(data)
 
 
 def supervised_gbt(train: DataFrame, vec: str = "vector", label: str = "label", seed: int = 42):
@@ -237,6 +249,8 @@ def supervised_gbt(train: DataFrame, vec: str = "vector", label: str = "label",
 
 
 def predict_vectors(model, df: DataFrame, vec: str = "vector", out: str = "score") -> DataFrame:
+    if isinstance(model, forest.Forest):
+        return forest.predict(model, df, vec, out)
     data = df.withColumn("_features", array_to_vector(vec))
     m = model.copy().setFeaturesCol("_features").setPredictionCol("_pred").setProbabilityCol("_prob") \
         .setRawPredictionCol("_raw")
